@@ -11,6 +11,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,6 +38,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """The whole rows of docs as one struct column `row` beside the given columns, so that no name of docs can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[e.alias(n) for n, e in columns.items()])
+
+
+def arrow_schema(df: DataFrame, keep: list[str], more: str) -> T.StructType:
+    """The fields of the kept columns and those of a DDL string."""
+    return T.StructType([T.StructField(c, df.schema[c].dataType) for c in keep] + T.StructType.fromDDL(more).fields)
+
+
 def text_or_empty(col: Column) -> Column:
     return F.coalesce(col.cast("string"), F.lit(""))
 

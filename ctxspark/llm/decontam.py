@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash128, table, text_or_empty
+from .common import hash128, packed, table, text_or_empty
 
 #: Positions that each mask looks at.
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 5, 6))
@@ -67,7 +67,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc
     """The rows of docs that hold no benchmark passage."""
     bad = leaks(docs, benchmark, text, doc_id, **options).select(F.col("doc_id").alias("_id"), F.col("_t1").alias("_u1"), F.col("_t2").alias("_u2")).distinct()
     t1, t2 = hash128(text_or_empty(F.col(text)))
-    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("_id")) & (t1 == F.col("_u1")) & (t2 == F.col("_u2")), "left_anti")
+    rows = packed(docs, id=F.col(doc_id), t1=t1, t2=t2)
+    return rows.join(bad, F.col("id").eqNullSafe(F.col("_id")) & (F.col("t1") == F.col("_u1")) & (F.col("t2") == F.col("_u2")), "left_anti").select("row.*")
 
 
 def op2_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

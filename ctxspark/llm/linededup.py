@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash128, new_folder, table, text_or_empty
+from .common import hash128, new_folder, packed, table, text_or_empty
 
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -69,7 +69,7 @@ class LineRuns:
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_docs: int = 10, min_chars: int = 1, batches: int = 4) -> DataFrame:
-    """docs with the extra columns _n_lines, _n_dropped and _kept (the text of the lines that stay)."""
+    """Every row of docs as the struct `row`, with n_lines, n_dropped and kept, the text of the lines that stay."""
     spark = docs.sparkSession
     whole = text_or_empty(F.col(text))
     keys = F.array_distinct(F.filter(line_keys(whole), lambda k: F.char_length(k) >= min_chars))
@@ -85,19 +85,21 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
         runs.add(arrived.where(F.col("batch") == k))
 
     lost = each.join(runs.frequent().hint("merge"), ["h1", "h2"], "left_semi").groupBy("_id", "_t1", "_t2").agg(F.collect_set("h1").alias("_lost"))
-    mine = docs.withColumns({c: e for c, e in zip(("_t1", "_t2"), hash128(whole))})
-    on = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_t1") == F.col("_u1")) & (F.col("_t2") == F.col("_u2"))
-    joined = mine.join(lost.withColumnsRenamed({"_t1": "_u1", "_t2": "_u2"}), on, "left").drop("_id", "_u1", "_u2", "_t1", "_t2")
+    t1, t2 = hash128(whole)
+    mine = packed(docs, whole=whole, id=F.col(doc_id), t1=t1, t2=t2)
+    on = F.col("id").eqNullSafe(F.col("_id")) & (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2"))
+    joined = mine.join(lost, on, "left").select("row", "whole", "_lost")
+    whole = F.col("whole")
     lines = F.split(whole, "\n")
     stays = lambda key, lost: (F.char_length(key) < min_chars) | ~F.array_contains(lost, F.xxhash64(key))
     kept = F.transform(F.filter(F.arrays_zip(lines.alias("line"), line_keys(whole).alias("key")), lambda z: stays(z["key"], F.col("_lost"))), lambda z: z["line"])
     joined = joined.withColumn("_lines", F.when(F.col("_lost").isNull(), lines).otherwise(kept))
-    return joined.withColumns({"_n_lines": F.size(lines).cast("long"), "_n_dropped": (F.size(lines) - F.size("_lines")).cast("long"), "_kept": F.array_join("_lines", "\n")}).drop("_lost", "_lines")
+    return joined.select("row", F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size("_lines")).cast("long").alias("n_dropped"), F.array_join("_lines", "\n").alias("kept"))
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return docs.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("_kept", 256).alias("kept_sha256"))
+    return docs.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 #: keys and lines side by side; `drop` are the keys of at least 10 documents.

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash128, table, text_or_empty, written
+from .common import arrow_schema, hash128, packed, table, text_or_empty, written
 from .components import connected_components
 
 SEED = 42
@@ -64,8 +64,7 @@ def fingerprints(docs: DataFrame, keys: list[str], text: str = "text", k: int =
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], column], names=[*keys, "fp"])
 
     part = docs.select(*keys, F.col(text).cast("string").alias("_text"))
-    kinds = ", ".join(f"`{c}` {part.schema[c].dataType.simpleString()}" for c in keys)
-    return part.mapInArrow(work, f"{kinds}, fp array<bigint>")
+    return part.mapInArrow(work, arrow_schema(part, keys, "fp array<bigint>"))
 
 
 def ball_pairs(values: DataFrame, value: str, bits: int = 64, radius: int = 2) -> DataFrame:
@@ -134,14 +133,14 @@ def shingle_sets(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """docs with one row of each group of exact or near copies: the one with the least doc_id (null last), then text hash."""
-    names = docs.columns
-    rows = docs.withColumns({c: e for c, e in zip(("_h1", "_h2"), hash128(text_or_empty(F.col(text))))})
+    h1, h2 = hash128(text_or_empty(F.col(text)))
+    rows = packed(docs, doc=F.col(doc_id), _h1=h1, _h2=h2)
     groups = near_groups(docs, text, **options)
-    copies = rows.groupBy("_h1", "_h2").agg(F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"))).alias("first"))
+    copies = rows.groupBy("_h1", "_h2").agg(F.min("doc").alias("id")).select("_h1", "_h2", F.struct(F.col("id").isNull().alias("none"), "id").alias("first"))
     rooted = copies.join(groups.withColumnRenamed("node", "_h1"), "_h1", "left").withColumn("root", F.coalesce("root", "_h1"))
     best = rooted.groupBy("root").agg(F.min(F.struct("first", "_h1", "_h2")).alias("best"))
     stay = best.select(F.col("best._h1").alias("_h1"), F.col("best._h2").alias("_h2"), F.col("best.first.id").alias("_id"))
-    on = (rows["_h1"] == stay["_h1"]) & (rows["_h2"] == stay["_h2"]) & rows[doc_id].eqNullSafe(stay["_id"])
+    on = (rows["_h1"] == stay["_h1"]) & (rows["_h2"] == stay["_h2"]) & rows["doc"].eqNullSafe(stay["_id"])
     found = rows.join(stay, on, "left_semi")
-    same = Window.partitionBy("_h1", "_h2", doc_id).orderBy("_h1")
-    return found.withColumn("_n", F.row_number().over(same)).where("_n = 1").select(*names)
+    same = Window.partitionBy("_h1", "_h2", "doc").orderBy("_h1")
+    return found.withColumn("_n", F.row_number().over(same)).where("_n = 1").select("row.*")
