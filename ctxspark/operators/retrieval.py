@@ -31,21 +31,27 @@ def corpus_stats(chunks: DataFrame, body: str = "body") -> DataFrame:
 
 
 def term_df(chunks: DataFrame, body: str = "body") -> DataFrame:
-    """term, df, cf: in how many chunks a term is, and how often in all."""
-    each = chunks.select(F.explode(tokens(F.col(body))).alias("term"), F.monotonically_increasing_id().alias("_r"))
-    return each.groupBy("term", "_r").agg(F.count("*").alias("tf")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    """term, df, cf: in how many chunks a term is, and how often in all. Both are sums over one explosion, so what is shuffled
+    has been added up before."""
+    toks = chunks.select(tokens(F.col(body)).alias("t"))
+    mark = lambda xs, n: F.transform(xs, lambda x: F.struct(x.alias("term"), F.lit(n).alias("first")))
+    each = toks.select(F.explode(F.concat(mark(F.col("t"), 0), mark(F.array_distinct("t"), 1))).alias("x")).select("x.*")
+    return each.groupBy("term").agg(F.sum(F.col("first").cast("long")).alias("df"), F.count_if(F.col("first") == 0).alias("cf"))
+
+
+def _tf(term: str) -> Column:
+    return F.size(F.filter("_tokens", lambda x: x == term)).cast("double")
 
 
 def search(chunks: DataFrame, query: str, id: str = "chunk_id", body: str = "body", boost: Column | None = None, k: int | None = 5) -> DataFrame:
     """chunks with score, the best k by score and then id (all hits if k is None). boost multiplies the score of a chunk."""
     asked = query_terms(query)
     terms = sorted(set(asked))
-    toks = F.filter(tokens(F.coalesce(F.col(body), F.lit(""))), lambda t: F.lit(True))
-    base = chunks.withColumn("_tokens", toks)
+    base = chunks.withColumn("_tokens", tokens(F.coalesce(F.col(body), F.lit(""))))
     counts = [F.count_if(F.array_contains("_tokens", t)).alias(f"_df{i}") for i, t in enumerate(terms)]
     stats = base.where(F.size("_tokens") > 0).agg(F.count("*").alias("_n"), F.avg(F.size("_tokens")).alias("_avgdl"), *counts)
     hit = F.arrays_overlap("_tokens", F.lit(terms)) if terms else F.lit(False)
-    score = sum((F.lit(asked.count(t)) * idf(F.col("_n"), F.col(f"_df{i}")) * bm25_weight(F.size(F.filter("_tokens", lambda x, t=t: x == t)).cast("double"), F.size("_tokens"), F.col("_avgdl")) for i, t in enumerate(terms)), F.lit(0.0))
+    score = sum((F.lit(asked.count(t)) * idf(F.col("_n"), F.col(f"_df{i}")) * bm25_weight(_tf(t), F.size("_tokens"), F.col("_avgdl")) for i, t in enumerate(terms)), F.lit(0.0))
     if boost is not None:
         score = score * boost
     found = base.where(hit).crossJoin(F.broadcast(stats)).withColumn("score", score).select(*chunks.columns, "score").where("score > 0")
@@ -64,7 +70,7 @@ def search_many(chunks: DataFrame, queries: DataFrame, id: str = "chunk_id", bod
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     part = tf.join(small(df) if few else df, "term").join(small(q) if few else q, "term").crossJoin(F.broadcast(stats))
     scored = part.groupBy("_q", "_id").agg(F.sum(F.col("qf") * idf(F.col("n"), F.col("df")) * bm25_weight(F.col("tf").cast("double"), F.col("dl"), F.col("avgdl"))).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("_q").orderBy(F.desc("score"), "_id"))
+    rank = F.row_number().over(Window.partitionBy("_q").orderBy(F.desc(F.round("score", 9)), "_id"))  # rounded: sums of floats in any order tie alike
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("_q").alias(query_id), F.col("_id").alias(id), "score", "rank")
 
 

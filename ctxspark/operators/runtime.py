@@ -37,7 +37,8 @@ def top_other(regions: DataFrame, name: str, size: str, n: int) -> DataFrame:
 def gaps(regions: DataFrame, by: list[str], start: str = "start", end: str = "end") -> DataFrame:
     """Regions with the gap to the one before in address order (0 for touching or overlapping ones, null for the first)."""
     w = Window.partitionBy(*by).orderBy(start, end)
-    return regions.withColumn("gap", F.greatest(F.col(start) - F.lag(end).over(w), F.lit(0)))
+    before = F.lag(end).over(w)
+    return regions.withColumn("gap", F.when(before.isNotNull(), F.greatest(F.col(start) - before, F.lit(0))))
 
 
 def buckets(regions: DataFrame, by: list[str], n: int, kind: str = "kind", start: str = "start", end: str = "end") -> DataFrame:

@@ -2,10 +2,795 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..functions import vectors as vx
+from ..operators import change, decide, graph, paging, presence, records, retrieval, runtime, telemetry, trace
+from . import relations as rel
+from .relations import read
+
+_QUERIES: dict[str, Callable] = {}
+_SQL: dict[str, str] = {}
+
+QUERY = "inea thble erly than than"
+STOP_SQL = ", ".join(f"'{w}'" for w in tx.STOP)
+TOKENS_SQL = rf"list_filter(string_split_regex(lower({{}}), '[^\p{{{{L}}}}\p{{{{N}}}}]+'), lambda x: octet_length(encode(x)) >= 2 AND x NOT IN ({STOP_SQL}))"
+
+
+def tokens_sql(expr: str) -> str:
+    return TOKENS_SQL.replace("{{", "{").replace("}}", "}").replace("{}", expr)
+
+
+def query(sql: str | None = None):
+    def put(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def queries() -> dict[str, Callable]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _r(c: str, n: int = 6):
+    return F.round(c, n).alias(c)
+
+
+# Retrieval
+
+TERMS = retrieval.query_terms(QUERY)
+TERM_ROWS = ", ".join(f"('{t}', {TERMS.count(t)})" for t in sorted(set(TERMS)))
+TOK_SQL = f"tok AS (SELECT doc_id, lang, source, unnest({tokens_sql('text')}) AS term FROM documents)"
+SCORE_SQL = f"""
+  dl AS (SELECT doc_id, count(*) AS dl FROM tok GROUP BY 1),
+  st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+  q(term, qf) AS (VALUES {TERM_ROWS}),
+  tf AS (SELECT doc_id, term, count(*) AS tf FROM tok WHERE term IN (SELECT term FROM q) GROUP BY 1, 2),
+  df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+  sc AS (SELECT doc_id, sum(qf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
+         FROM tf JOIN df USING (term) JOIN q USING (term) JOIN dl USING (doc_id) CROSS JOIN st GROUP BY 1)"""
+
+
+@query(f"WITH {TOK_SQL}, {SCORE_SQL} SELECT doc_id AS chunk_id, round(score, 6) AS score FROM sc ORDER BY sc.score DESC, doc_id LIMIT 10")
+def bm25_search(spark, sf):
+    return retrieval.search(rel.chunks(spark, sf), QUERY, k=10).select("chunk_id", _r("score"))
+
+
+@query(f"WITH tok AS (SELECT doc_id, unnest({tokens_sql('text')}) AS term FROM documents WHERE lang = 'en' AND source IN ('src5', 'src6', 'src7')), {SCORE_SQL} SELECT doc_id AS chunk_id, round(score, 6) AS score FROM sc ORDER BY sc.score DESC, doc_id LIMIT 10")
+def bm25_facet_search(spark, sf):
+    c = rel.chunks(spark, sf).where((F.col("lang") == "en") & F.col("source").isin("src5", "src6", "src7"))
+    return retrieval.search(c, QUERY, k=10).select("chunk_id", _r("score"))
+
+
+@query(f"""WITH {TOK_SQL}, {SCORE_SQL},
+  b AS (SELECT doc_id, score * CASE WHEN toxic = 1 THEN 8 WHEN quality = 0 THEN 4 WHEN quality = 1 THEN 2 ELSE 1 END AS score FROM sc LEFT JOIN labels USING (doc_id))
+  SELECT doc_id AS chunk_id, round(score, 6) AS score FROM b ORDER BY b.score DESC, doc_id LIMIT 10""")
+def bm25_boosted(spark, sf):
+    labels = read(spark, sf, "labels").select(F.col("doc_id").alias("chunk_id"), F.when(F.col("toxic") == 1, "eyeball_fail").when(F.col("quality") == 0, "open").when(F.col("quality") == 1, "gated").alias("status"))
+    c = rel.chunks(spark, sf).join(labels, "chunk_id", "left")
+    boost = F.coalesce(records.defect_boost(F.col("status")), F.lit(1.0))
+    return retrieval.search(c, QUERY, boost=boost, k=10).select("chunk_id", _r("score"))
+
+
+@query(f"""WITH {TOK_SQL}, dl AS (SELECT doc_id, count(*) AS dl FROM tok GROUP BY 1), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+  q AS (SELECT item_id, term, count(*) AS qf FROM (SELECT item_id, unnest({tokens_sql('text')}) AS term FROM benchmark) GROUP BY 1, 2),
+  tf AS (SELECT doc_id, term, count(*) AS tf FROM tok WHERE term IN (SELECT term FROM q) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+  sc AS (SELECT item_id, doc_id, sum(qf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
+    FROM tf JOIN df USING (term) JOIN q USING (term) JOIN dl USING (doc_id) CROSS JOIN st GROUP BY 1, 2)
+  SELECT item_id, doc_id AS chunk_id, round(score, 4) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS INTEGER) AS rank FROM sc) WHERE rank <= 3""")
+def bm25_batch_benchmark(spark, sf):
+    q = read(spark, sf, "benchmark").select("item_id", "text")
+    out = retrieval.search_many(rel.chunks(spark, sf), q, query_id="item_id", query="text", k=3)
+    return out.select("item_id", "chunk_id", _r("score", 4), "rank")
+
+
+_LOW = "lower(body)"
+_POS = "coalesce(list_min(list_filter([" + ", ".join(f"strpos({_LOW}, '{t}')" for t in sorted(set(TERMS))) + "], lambda x: x > 0)), 1)"
+SNIPPET_SQL = f"""
+  p AS (SELECT *, {_POS} AS pos FROM b), l AS (SELECT *, pos - length(list_last(string_split(substr(body, 1, pos - 1), chr(10)))) AS line FROM p),
+  s AS (SELECT *, substr(body, line) AS rest FROM l),
+  c AS (SELECT *, regexp_replace(replace(substr(rest, 1, $N), chr(10), ' '), '^\\s+|\\s+$', '', 'g') AS cut FROM s),
+  sn AS (SELECT *, CASE WHEN length(rest) > $N THEN cut || ' …' ELSE cut END AS snippet FROM c)"""
+
+
+@query(f"WITH {TOK_SQL}, {SCORE_SQL}, b AS (SELECT doc_id, text AS body, score FROM sc JOIN documents USING (doc_id) ORDER BY score DESC, doc_id LIMIT 10), {SNIPPET_SQL.replace('$N', '280')} SELECT doc_id AS chunk_id, snippet FROM sn")
+def search_snippet(spark, sf):
+    hits = retrieval.search(rel.chunks(spark, sf), QUERY, k=10)
+    return retrieval.with_snippets(hits, QUERY).select("chunk_id", "snippet")
+
+
+@query(rf"""WITH {TOK_SQL}, {SCORE_SQL}, b AS (SELECT doc_id, text AS body, score FROM sc JOIN documents USING (doc_id) ORDER BY score DESC, doc_id LIMIT 5), {SNIPPET_SQL.replace('$N', '220')},
+  cl AS (SELECT *, trim(regexp_replace(trim(regexp_replace(snippet, '\s+', ' ', 'g')), '^[`*#|]+|[`*#|]+$', '', 'g')) AS part FROM sn)
+  SELECT string_agg(CASE WHEN regexp_matches(part, '[.!?]$') THEN part ELSE part || '.' END, ' ' ORDER BY score DESC, doc_id) AS answer, count(*) AS citations FROM cl WHERE part <> ''""")
+def extractive_answer(spark, sf):
+    return retrieval.answer(retrieval.search(rel.chunks(spark, sf), QUERY, k=5), QUERY)
+
+
+@query("""WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0), b AS (SELECT vec_id, 10.0 / (1 + vec_id % 50) AS score, embedding FROM embeddings),
+  h AS (SELECT *, row_number() OVER (ORDER BY score DESC, vec_id) AS rn FROM b), m AS (SELECT max(score) AS m FROM h WHERE rn <= 24),
+  x AS (SELECT vec_id, rn <= 24 AS head, CASE WHEN rn <= 24 THEN 0.5 * score / m + 0.5 * (list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])) + 1) / 2 ELSE score END AS score FROM h, m, q)
+  SELECT vec_id, head, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY head DESC, x.score DESC, vec_id) AS INTEGER) AS rank FROM x QUALIFY rank <= 60""")
+def rerank_cosine(spark, sf):
+    e = read(spark, sf, "embeddings").select("vec_id", (F.lit(10.0) / (1 + F.col("vec_id") % 50)).alias("score"), "embedding")
+    probe = e.where("vec_id = 0").first().embedding
+    out = retrieval.rerank(e, retrieval.cosine_similarity("embedding", probe), id="vec_id")
+    top = out.orderBy(F.desc("head"), F.desc("score"), "vec_id").limit(60)
+    return decide.rank_hits(top, "vec_id").select("vec_id", "head", _r("score"), "rank")
+
+
+PROBE = "Then the thnttion of inea and hath ererered with oror and the thesator"
+_IDEA = "list_filter(string_split_regex(lower({}), '[^a-z0-9]+'), lambda x: length(x) > 2)"
+
+
+@query(f"""WITH d AS (SELECT doc_id AS slug, {_IDEA.format('text')} AS b, {_IDEA.format("'" + PROBE + "'")} AS a FROM documents),
+  s AS (SELECT slug, CASE WHEN len(b) = 0 THEN 0 ELSE len(list_filter(a, lambda x: list_contains(b, x))) / (len(a) + len(b) - len(list_filter(a, lambda x: list_contains(b, x)))) END AS similarity FROM d)
+  SELECT slug, round(similarity, 6) AS similarity FROM s WHERE similarity >= 0.02 ORDER BY s.similarity DESC, slug LIMIT 20""")
+def similar_docs_multiset(spark, sf):
+    d = read(spark, sf, "documents").select(F.col("doc_id").alias("slug"), "text")
+    return retrieval.similar(d, PROBE, threshold=0.02, k=20).select("slug", _r("similarity"))
+
+
+@query(f"""WITH d AS (SELECT doc_id AS slug, list_distinct({_IDEA.format('text')}) AS b, list_distinct({_IDEA.format("'" + PROBE + "'")}) AS a FROM documents),
+  s AS (SELECT slug, CASE WHEN len(b) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END AS similarity FROM d)
+  SELECT slug, round(similarity, 6) AS similarity FROM s WHERE similarity >= 0.02 ORDER BY s.similarity DESC, slug LIMIT 20""")
+def similar_docs_jaccard(spark, sf):
+    d = read(spark, sf, "documents").select(F.col("doc_id").alias("slug"), "text")
+    return retrieval.similar(d, PROBE, mode="set", threshold=0.02, k=20).select("slug", _r("similarity"))
+
+
+@query(f"""WITH {TOK_SQL}, tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY 1, 2) SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM tf GROUP BY 1""")
+def term_df_stats(spark, sf):
+    return retrieval.term_df(rel.chunks(spark, sf)).select("term", "df", "cf")
+
+
+@query(f"WITH {TOK_SQL}, dl AS (SELECT doc_id, count(*) AS dl FROM tok GROUP BY 1) SELECT count(*) AS n, round(avg(dl), 6) AS avgdl FROM dl")
+def corpus_stats(spark, sf):
+    return retrieval.corpus_stats(rel.chunks(spark, sf)).select("n", _r("avgdl"))
+
+
+@query(r"""WITH n AS (SELECT DISTINCT replace(p_name, ' ', '_') AS name FROM part), x AS (SELECT name, 'red_widgt' AS q, lower(name) AS c, length(name) AS l FROM n),
+  y AS (SELECT *, abs(l - 9) AS apart, l >= 4 AND greatest(l, 9) <= 2 * least(l, 9) AS near FROM x)
+  SELECT name, score FROM (SELECT name, CAST(CASE WHEN name = q THEN 0 WHEN c = q THEN 1 WHEN near AND (ends_with(c, q) OR ends_with(q, c)) THEN 10 + apart WHEN near AND (contains(c, q) OR contains(q, c)) THEN 40 + apart
+    WHEN l BETWEEN 4 AND 40 AND apart <= 2 AND (substr(c, 1, 3) = substr(q, 1, 3) OR len(list_intersect(list_distinct(string_split(c, '')), list_distinct(string_split(q, '')))) * 2 >= greatest(l, 9)) AND levenshtein(c, q) <= 2 THEN 20 + levenshtein(c, q) END AS INTEGER) AS score
+  FROM y) WHERE score IS NOT NULL ORDER BY score, name LIMIT 8""")
+def fuzzy_suggest(spark, sf):
+    names = read(spark, sf, "part").select(F.replace("p_name", F.lit(" "), F.lit("_")).alias("name"))
+    return graph.resolve_symbol(names, "red_widgt").select("name", "score")
+
+
+# Telemetry
+
+_MEASURES = "count(*) AS calls, CAST(sum(baseline) AS BIGINT) AS baseline_tokens, CAST(sum(returned) AS BIGINT) AS returned_tokens, CAST(sum(elapsed_us) AS BIGINT) AS total_us, max(elapsed_us) AS peak_us, CAST((sum(elapsed_us) // 1000) // count(*) AS BIGINT) AS avg_ms, " + ", ".join(f"count(*) FILTER (outcome = '{o}') AS {o}_count" for o in telemetry.OUTCOMES)
+ROLLUP_SQL = f"{rel.EVENTS_SQL}, roll AS (SELECT tool, {_MEASURES} FROM ev GROUP BY tool)"
+
+
+@query(f"WITH {ROLLUP_SQL} SELECT * FROM roll")
+def tool_rollup(spark, sf):
+    return telemetry.rollup(rel.telemetry(spark, sf))
+
+
+@query(f"""WITH {rel.EVENTS_SQL}, r AS (SELECT coalesce(tool, 'TOTAL') AS tool, {_MEASURES} FROM ev GROUP BY ROLLUP (tool))
+  SELECT *, CAST(CASE WHEN baseline_tokens = 0 THEN 0 ELSE round(greatest(baseline_tokens - returned_tokens, 0) / baseline_tokens * 100) END AS BIGINT) AS saved_pct FROM r""")
+def tool_rollup_total(spark, sf):
+    return telemetry.rollup_total(rel.telemetry(spark, sf))
+
+
+CUTOFF = 1704931200  # 2024-01-11
+
+
+@query(f"WITH {rel.EVENTS_SQL} SELECT tool, {_MEASURES} FROM ev WHERE ts >= {CUTOFF} AND workspace = '7' GROUP BY tool")
+def tool_rollup_30d(spark, sf):
+    return telemetry.rollup(telemetry.since(rel.telemetry(spark, sf), CUTOFF, "7"))
+
+
+@query(f"""WITH {rel.EVENTS_SQL}, k AS (SELECT tool, elapsed_us, row_number() OVER (PARTITION BY tool ORDER BY elapsed_us) AS rn, count(*) OVER (PARTITION BY tool) AS n FROM ev)
+  SELECT tool, """ + ", ".join(f"max(elapsed_us) FILTER (rn = CAST(round({p} / 100.0 * (n - 1)) AS BIGINT) + 1) AS p{p}" for p in (50, 95, 99)) + " FROM k GROUP BY tool")
+def latency_percentiles(spark, sf):
+    return telemetry.percentiles(rel.telemetry(spark, sf))
+
+
+def _sig(name: str, where: str, value: str) -> str:
+    return f"SELECT '{name}' AS signal, tool, CAST({value} AS BIGINT) AS value FROM roll WHERE {where}"
+
+
+_RATE = "{0}_count * 100 // calls"
+
+
+@query(f"WITH {ROLLUP_SQL} " + " UNION ALL ".join([
+    _sig("slow", "avg_ms >= 50", "avg_ms"),
+    _sig("truncation", f"truncated_count > 0 AND {_RATE.format('truncated')} >= 15", _RATE.format("truncated")),
+    *[_sig(f"{o}_prone", f"calls >= 5 AND {_RATE.format(o)} >= 10", _RATE.format(o)) for o in ("error", "invalid", "not_found")],
+    _sig("low_yield", f"calls >= 10 AND {_RATE.format('low_yield')} >= 25", _RATE.format("low_yield")),
+    _sig("net_negative", "baseline_tokens >= 500 AND returned_tokens >= baseline_tokens", "returned_tokens - baseline_tokens"),
+]))
+def signals(spark, sf):
+    return telemetry.signals(telemetry.rollup(rel.telemetry(spark, sf)))
+
+
+REGISTRY = ["view", "click", "error", "purchase", "signup", "refund", "logout"]
+
+
+@query("SELECT tool FROM (VALUES " + ", ".join(f"('{t}')" for t in REGISTRY) + ") AS r(tool) WHERE tool NOT IN (SELECT event_type FROM events)")
+def never_called(spark, sf):
+    reg = spark.range(1).select(F.explode(F.lit(REGISTRY)).alias("tool"))
+    return telemetry.never_called(reg, rel.telemetry(spark, sf))
+
+
+_LEVEL = "CASE WHEN score <= 2 THEN 'low' WHEN score <= 5 THEN 'medium' WHEN score <= 8 THEN 'high' ELSE 'critical' END"
+
+
+@query(f"""WITH {rel.EVENTS_SQL}, c AS (SELECT workspace, count(*) AS events, CAST(count(*) FILTER (outcome = 'error') * 100 // count(*) AS BIGINT) AS error_pct, CAST(count(*) FILTER (outcome = 'truncated') * 100 // count(*) AS BIGINT) AS truncated_pct FROM ev WHERE ts >= {CUTOFF} GROUP BY 1),
+  s AS (SELECT *, CASE WHEN events >= 80 THEN 3 WHEN events >= 40 THEN 2 WHEN events >= 20 THEN 1 ELSE 0 END + CASE WHEN error_pct >= 20 THEN 2 WHEN error_pct >= 10 THEN 1 ELSE 0 END + CASE WHEN truncated_pct >= 20 THEN 1 ELSE 0 END + 1 + 2 AS score FROM c)
+  SELECT *, {_LEVEL} AS level FROM s""")
+def pressure_score(spark, sf):
+    return telemetry.pressure(telemetry.since(rel.telemetry(spark, sf), CUTOFF), unresolved=3, failed_runs=4, by=["workspace"])
+
+
+@query("SELECT coalesce(CASE WHEN event_type <> 'error' THEN event_type END, 'none') AS bucket, count(*) AS n FROM events GROUP BY 1")
+def cascade_histogram(spark, sf):
+    return telemetry.histogram(rel.telemetry(spark, sf), F.when(F.col("tool") != "error", F.col("tool")))
+
+
+@query(f"WITH {rel.EVENTS_SQL} SELECT event_id, tool, workspace FROM ev QUALIFY row_number() OVER (PARTITION BY tool ORDER BY ts DESC, event_id DESC) <= 40")
+def recent_ring(spark, sf):
+    return telemetry.ring(rel.telemetry(spark, sf), ["tool"], [F.desc("ts"), F.desc("event_id")], 40).select("event_id", "tool", "workspace")
+
+
+@query(f"""WITH {rel.EVENTS_SQL}, a AS (SELECT *, last_value(CASE WHEN tool = 'view' THEN event_id END IGNORE NULLS) OVER (PARTITION BY workspace ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS search FROM ev)
+  SELECT event_id, workspace, search FROM a WHERE tool = 'click'""")
+def click_attribution(spark, sf):
+    e = rel.telemetry(spark, sf)
+    return telemetry.attribute_clicks(e, F.col("tool") == "view", F.col("tool") == "click", "workspace", ["ts", "event_id"], "event_id").select("event_id", "workspace", "search")
+
+
+@query(f"WITH {rel.EVENTS_SQL}, m AS (SELECT workspace, max(ts) AS last FROM ev WHERE tool = 'purchase' GROUP BY 1) SELECT event_id, ev.workspace FROM ev LEFT JOIN m ON ev.workspace = m.workspace WHERE last IS NULL OR ts > last")
+def session_since_marker(spark, sf):
+    return telemetry.since_marker(rel.telemetry(spark, sf), F.col("tool") == "purchase", "workspace", "ts").select("event_id", "workspace")
+
+
+@query(f"WITH {rel.EVENTS_SQL} SELECT count(*) AS searches, round(count(*) FILTER (returned // 100 = 0) * 100 / count(*), 1) AS no_result_pct, round(avg(elapsed_us // 1000), 1) AS avg_latency_ms, round(avg(CASE WHEN event_id % 3 = 0 THEN event_id % 10 END), 1) AS avg_click_rank FROM ev")
+def search_kpis(spark, sf):
+    e = rel.telemetry(spark, sf)
+    s = e.select(F.floor(F.col("returned") / 100).alias("results"), F.floor(F.col("elapsed_us") / 1000).alias("latency_ms"), F.when(F.col("event_id") % 3 == 0, F.col("event_id") % 10).alias("click_rank"))
+    return telemetry.kpis(s)
+
+
+# Traces and runtime captures
+
+ZONES_SQL = f"{rel.TRACE_SQL}, z AS (SELECT name, sum(total_ns) AS total_ns, CAST(sum(counts) AS BIGINT) AS counts, max(max_ns) AS max_ns, sum(total_ns) / sum(counts) / 1000 AS mean_us FROM tr GROUP BY 1)"
+
+
+def _top(sort_by: str, key: str):
+    def run(spark, sf):
+        out = trace.top_zones(trace.zones(rel.trace(spark, sf)), sort_by, 8)
+        return out.select("rank", "name", _r("total_ns", 2), "counts", _r("max_ns", 2), _r("mean_us"), _r("share_pct"))
+
+    run.__name__ = f"trace_top_{sort_by}"
+    query(f"""WITH {ZONES_SQL}, g AS (SELECT sum(total_ns) AS g FROM z) SELECT CAST(row_number() OVER (ORDER BY {key} DESC, name) AS INTEGER) AS rank, name, round(total_ns, 2) AS total_ns, counts, round(max_ns, 2) AS max_ns, round(mean_us, 6) AS mean_us, round(total_ns / g * 100, 6) AS share_pct FROM z, g QUALIFY rank <= 8""")(run)
+
+
+for _s, _k in (("total", "z.total_ns"), ("mean", "z.mean_us"), ("max", "z.max_ns"), ("count", "z.counts")):
+    _top(_s, _k)
+
+
+@query(f"""WITH {rel.TRACE_SQL}, b AS (SELECT name, sum(total_ns) AS base_ns FROM tr WHERE l_orderkey % 2 = 0 AND name <> 'Brand#3' GROUP BY 1), c AS (SELECT name, sum(total_ns) AS current_ns FROM tr WHERE l_orderkey % 2 = 1 AND name <> 'Brand#5' GROUP BY 1),
+  d AS (SELECT name, coalesce(base_ns, 0) AS base_ns, coalesce(current_ns, 0) AS current_ns, CASE WHEN base_ns IS NULL THEN 'new' WHEN current_ns IS NULL THEN 'gone' WHEN base_ns = current_ns THEN 'same' ELSE 'changed' END AS tag FROM b FULL JOIN c USING (name))
+  SELECT name, tag, round(base_ns, 2) AS base_ns, round(current_ns, 2) AS current_ns, round(current_ns - base_ns, 2) AS delta_ns, round(CASE WHEN base_ns > 0 THEN (current_ns - base_ns) / base_ns * 100 END, 4) AS change_pct FROM d""")
+def trace_diff(spark, sf):
+    t = rel.trace(spark, sf)
+    base = trace.zones(t.where((F.col("l_orderkey") % 2 == 0) & (F.col("name") != "Brand#3")))
+    now = trace.zones(t.where((F.col("l_orderkey") % 2 == 1) & (F.col("name") != "Brand#5")))
+    return trace.diff_zones(base, now).select("name", "tag", _r("base_ns", 2), _r("current_ns", 2), _r("delta_ns", 2), _r("change_pct", 4))
+
+
+@query("""WITH m AS (SELECT date_trunc('day', ts) AS day, event_type AS name, CAST(count(*) AS BIGINT) AS value FROM events GROUP BY 1, 2), b AS (SELECT name, value FROM m WHERE day = DATE '2024-01-02'), c AS (SELECT name, value FROM m WHERE day = DATE '2024-01-20' AND name <> 'view')
+  SELECT name, coalesce(b.value, 0) AS base, coalesce(c.value, 0) AS current, coalesce(c.value, 0) - coalesce(b.value, 0) AS delta FROM b FULL JOIN c USING (name)""")
+def snapshot_diff(spark, sf):
+    m = read(spark, sf, "events").groupBy(F.to_date("ts").alias("day"), F.col("event_type").alias("name")).agg(F.count("*").alias("value"))
+    return runtime.diff_named(m.where("day = DATE '2024-01-02'"), m.where("day = DATE '2024-01-20' AND name != 'view'"))
+
+
+LIMITS = [("view", 2000), ("click", 100), ("crash", 1)]
+
+
+@query("""WITH m AS (SELECT event_type AS metric, count(*) AS value FROM events GROUP BY 1) SELECT metric, "limit", value, CASE WHEN value IS NULL THEN 'unavailable' WHEN value > "limit" THEN 'over' ELSE 'ok' END AS status, CASE WHEN value IS NULL THEN 0 ELSE greatest(value - "limit", 0) END AS excess FROM (VALUES """ + ", ".join(f"('{k}', {v})" for k, v in LIMITS) + """) AS l(metric, "limit") LEFT JOIN m USING (metric)""")
+def budget_eval(spark, sf):
+    lim = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{k}', {v})" for k, v in LIMITS) + " AS l(metric, limit)")
+    m = read(spark, sf, "events").groupBy(F.col("event_type").alias("metric")).agg(F.count("*").alias("value"))
+    return runtime.budget(lim, m)
+
+
+@query(f"""WITH {rel.REGIONS_SQL}, s AS (SELECT name, CAST(sum("end" - start) AS BIGINT) AS bytes, count(*) AS regions FROM rg GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY bytes DESC, name) AS rn FROM s)
+  SELECT CASE WHEN rn <= 5 THEN name ELSE 'other' END AS name, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(regions) AS BIGINT) AS regions FROM r GROUP BY 1""")
+def regions_top_other(spark, sf):
+    r = rel.regions(spark, sf).withColumn("size", F.col("end") - F.col("start"))
+    return runtime.top_other(r, "name", "size", 5)
+
+
+@query(f"""WITH {rel.REGIONS_SQL} SELECT proc, start, "end", CASE WHEN lag("end") OVER w IS NULL THEN NULL ELSE greatest(start - lag("end") OVER w, 0) END AS gap FROM rg WINDOW w AS (PARTITION BY proc ORDER BY start, "end")""")
+def segment_gaps(spark, sf):
+    return runtime.gaps(rel.regions(spark, sf), ["proc"]).select("proc", "start", "end", "gap")
+
+
+@query(f"""WITH {rel.REGIONS_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY proc ORDER BY start, "end") AS rn, ceil(count(*) OVER (PARTITION BY proc) / 16) AS per FROM rg)
+  SELECT proc, CAST(floor((rn - 1) / per) AS BIGINT) AS bucket, min(start) AS start, max("end") AS "end", CAST(sum("end" - start) AS BIGINT) AS bytes, count(*) AS regions, CASE WHEN min(kind) = max(kind) THEN min(kind) ELSE 'mixed' END AS kind FROM o GROUP BY 1, 2""")
+def segment_buckets(spark, sf):
+    return runtime.buckets(rel.regions(spark, sf), ["proc"], 16)
+
+
+@query("SELECT CAST(l_partkey * 1237 // 4096 * 4096 AS BIGINT) AS page, count(*) AS samples, round(sum(l_quantity), 4) AS weight FROM lineitem GROUP BY 1")
+def hot_pages(spark, sf):
+    s = read(spark, sf, "lineitem").select((F.col("l_partkey") * 1237).alias("address"), F.col("l_quantity").alias("weight"))
+    return runtime.hot_pages(s).select("page", "samples", _r("weight", 4))
+
+
+@query("SELECT CAST(l_partkey * 1237 // 4096 * 4096 AS BIGINT) AS page, count(*) AS samples FROM lineitem GROUP BY 1 HAVING count(*) >= 20 ORDER BY samples DESC, page LIMIT 12")
+def locality_hotspots(spark, sf):
+    s = read(spark, sf, "lineitem").select((F.col("l_partkey") * 1237).alias("address"), F.col("l_quantity").alias("weight"))
+    return runtime.hotspots(runtime.hot_pages(s), 20, 12).select("page", "samples")
+
+
+@query("""WITH e AS (SELECT l_suppkey AS proc, l_orderkey, l_linenumber, CAST(CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END * l_quantity AS BIGINT) AS d FROM lineitem),
+  r AS (SELECT proc, l_orderkey, l_linenumber, CAST(sum(d) OVER (PARTITION BY proc ORDER BY l_orderkey, l_linenumber, d ROWS UNBOUNDED PRECEDING) AS BIGINT) AS live, d FROM e)
+  SELECT proc, l_orderkey, l_linenumber, live, max(live) OVER (PARTITION BY proc ORDER BY l_orderkey, l_linenumber, d ROWS UNBOUNDED PRECEDING) AS peak FROM r""")
+def alloc_running_peak(spark, sf):
+    e = read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("proc"), "l_orderkey", "l_linenumber", (F.when(F.col("l_returnflag") == "R", -1).otherwise(1) * F.col("l_quantity")).cast("long").alias("d"))
+    return runtime.running_peak(e, ["proc"], ["l_orderkey", "l_linenumber", "d"], F.col("d")).select("proc", "l_orderkey", "l_linenumber", "live", "peak")
+
+
+# Graphs
+
+
+@query(f"WITH {rel.CALLS_SQL}, e AS (SELECT *, CAST(row_number() OVER (PARTITION BY caller ORDER BY n DESC, callee) AS INTEGER) AS line FROM edges) SELECT caller, caller AS rel, min(line) AS line, count(*) AS calls FROM e WHERE split_part(callee, '::', 2) = '3' AND split_part(caller, '::', 2) <> '3' GROUP BY 1, 2")
+def callers(spark, sf):
+    return graph.callers(rel.calls(spark, sf), "3")
+
+
+@query(f"WITH {rel.CALLS_SQL} SELECT split_part(callee, '::', 2) AS callee, count(*) AS calls FROM edges WHERE split_part(caller, '::', 2) = '4' AND split_part(callee, '::', 2) <> '4' GROUP BY 1")
+def callees(spark, sf):
+    return graph.callees(rel.calls(spark, sf), "4")
+
+
+@query(f"WITH {rel.CALLS_SQL} SELECT * FROM adj")
+def adjacency(spark, sf):
+    return graph.adjacency(rel.calls(spark, sf))
+
+
+@query(f"""WITH RECURSIVE {rel.CALLS_SQL}, w AS (SELECT '0' AS node, 0 AS depth UNION SELECT callee, depth + 1 FROM w JOIN adj ON caller = node WHERE depth < 6)
+  SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY 1""")
+def call_path_bfs(spark, sf):
+    return graph.reach(graph.adjacency(rel.calls(spark, sf)), "0", 6)
+
+
+@query(f"""WITH RECURSIVE {rel.CALLS_SQL}, w AS (SELECT '0' AS node, ['0'] AS path UNION ALL SELECT callee, list_append(path, callee) FROM w JOIN adj ON caller = node WHERE len(path) < 8 AND NOT list_contains(path, callee)),
+  g AS (SELECT max(CAST(callee AS INTEGER)) AS g FROM adj), b AS (SELECT path FROM w, g WHERE node = CAST(g AS VARCHAR) ORDER BY len(path), path LIMIT 1)
+  SELECT CAST(unnest(range(len(path))) AS INTEGER) AS step, unnest(path) AS node FROM b""")
+def call_path(spark, sf):
+    adj = graph.adjacency(rel.calls(spark, sf))
+    goal = adj.agg(F.max(F.col("callee").cast("int"))).first()[0]
+    return graph.call_path(adj, "0", str(goal), 8)
+
+
+_COUPLED = f"""{rel.CALLS_SQL}, m AS (SELECT 'n::' || n_nationkey AS name, r_name AS module FROM nation JOIN region ON n_regionkey = r_regionkey),
+  p AS (SELECT a.module AS "from", b.module AS "to", caller, callee, count(*) AS n FROM edges JOIN m a ON caller = a.name JOIN m b ON callee = b.name WHERE a.module <> b.module GROUP BY 1, 2, 3, 4),
+  q AS (SELECT *, row_number() OVER (PARTITION BY "from", "to" ORDER BY caller, callee) AS r FROM p),
+  cp AS (SELECT "from", "to", CAST(sum(n) AS BIGINT) AS edges, count(*) AS pairs, string_agg(caller || '->' || callee, ',' ORDER BY caller || '->' || callee) FILTER (r <= 4) AS samples FROM q GROUP BY 1, 2 HAVING sum(n) >= 2)"""
+
+
+@query(f"WITH {_COUPLED} SELECT * FROM cp")
+def module_coupling(spark, sf):
+    return graph.coupling(rel.calls(spark, sf), rel.modules(spark, sf), least=2)
+
+
+@query(f"""WITH {_COUPLED}, o AS (SELECT "from" AS module, CAST(sum(edges) AS BIGINT) AS outgoing FROM cp GROUP BY 1), i AS (SELECT "to" AS module, CAST(sum(edges) AS BIGINT) AS incoming FROM cp GROUP BY 1) SELECT module, coalesce(outgoing, 0) AS outgoing, coalesce(incoming, 0) AS incoming FROM o FULL JOIN i USING (module)""")
+def module_degrees(spark, sf):
+    return graph.degrees(graph.coupling(rel.calls(spark, sf), rel.modules(spark, sf), least=2))
+
+
+@query(f"WITH {rel.CALLS_SQL}, f AS (SELECT callee, count(*) AS fan_in FROM adj GROUP BY 1) SELECT 'n::' || n_nationkey AS name, coalesce(fan_in, 0) AS fan_in FROM nation LEFT JOIN f ON callee = CAST(n_nationkey AS VARCHAR)")
+def fan_in(spark, sf):
+    return graph.fan_in(rel.modules(spark, sf).select("name"), rel.calls(spark, sf))
+
+
+@query(f"""WITH {rel.CALLS_SQL} SELECT 'n::' || n_nationkey AS name, 'n' AS rel, n_nationkey AS line, n_regionkey = 0 AS caveat FROM nation
+  WHERE CAST(n_nationkey AS VARCHAR) NOT IN (SELECT callee FROM adj) AND n_nationkey NOT IN (SELECT DISTINCT c_nationkey FROM customer WHERE c_custkey < 12)""")
+def dead_nodes(spark, sf):
+    n = read(spark, sf, "nation")
+    defs = n.select(F.concat(F.lit("n::"), F.col("n_nationkey")).alias("name"), F.lit("n").alias("rel"), F.col("n_nationkey").alias("line"), (F.col("n_regionkey") == 0).alias("exported"), F.lit(0).alias("mtime_days"))
+    occ = read(spark, sf, "customer").where("c_custkey < 12").select(F.col("c_nationkey").cast("string").alias("name"), F.lit("ref").alias("role"))
+    return graph.dead(defs, rel.calls(spark, sf), occ).select("name", "rel", "line", "caveat")
+
+
+@query("SELECT o_orderkey AS start, o_orderkey + n - 1 AS \"end\", CAST(n AS BIGINT) AS lines FROM (SELECT l_orderkey AS o_orderkey, count(*) AS n FROM lineitem GROUP BY 1) WHERE n >= 7 ORDER BY n DESC, o_orderkey LIMIT 30")
+def big_items(spark, sf):
+    s = read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("start")).agg(F.count("*").alias("n")).select(F.lit("o").alias("rel"), "start", (F.col("start") + F.col("n") - 1).alias("end"))
+    return graph.big(s, 7).select("start", "end", "lines")
+
+
+@query("SELECT o_orderpriority AS name, count(*) FILTER (o_orderstatus = 'O') AS defs, count(*) FILTER (o_orderstatus = 'F') AS calls, count(*) FILTER (o_orderstatus = 'P') AS refs, count(*) AS total FROM orders GROUP BY 1")
+def occurrence_pivot(spark, sf):
+    role = F.when(F.col("o_orderstatus") == "O", "def").when(F.col("o_orderstatus") == "F", "call").when(F.col("o_orderstatus") == "P", "ref")
+    return graph.occurrence_counts(read(spark, sf, "orders").select(F.col("o_orderpriority").alias("name"), role.alias("role")))
+
+
+HREF_SQL = r"""h AS (SELECT 'p/' || page_id AS source, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target FROM pages),
+  pg AS (SELECT 'p/' || page_id AS path FROM pages UNION SELECT DISTINCT trim(target, '/') FROM h WHERE length(target) <= 4),
+  lk AS (SELECT source, target, CASE WHEN trim(target, '/') IN (SELECT path FROM pg) AND target LIKE '/%' THEN trim(target, '/') END AS resolved FROM (SELECT * FROM h WHERE regexp_matches(target, '^/[^#?/]+$')))"""
+
+
+def _pages(spark, sf):
+    p = read(spark, sf, "pages").select(F.concat(F.lit("p/"), F.col("page_id")).alias("source"), "html")
+    links = p.select("source", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("target"))
+    paths = p.select(F.col("source").alias("path")).unionByName(links.where(F.length("target") <= 4).select(F.trim("target", F.lit("/")).alias("path"))).distinct()
+    return graph.resolve_links(links.where(F.col("target").rlike("^/[^#?/]+$")), paths), paths
+
+
+@query(f"WITH {HREF_SQL} SELECT source, target, count(*) AS n FROM lk WHERE resolved IS NULL GROUP BY 1, 2")
+def link_garden_broken(spark, sf):
+    resolved, paths = _pages(spark, sf)
+    return graph.garden(resolved, paths)[0].groupBy("source", "target").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {HREF_SQL} SELECT path FROM pg WHERE path NOT IN (SELECT resolved FROM lk WHERE resolved IS NOT NULL)")
+def link_garden_orphans(spark, sf):
+    resolved, paths = _pages(spark, sf)
+    return graph.garden(resolved, paths)[1].select("path")
+
+
+@query(f"WITH {HREF_SQL} SELECT DISTINCT source, target FROM lk WHERE resolved = 'The'")
+def backlinks(spark, sf):
+    return graph.backlinks(_pages(spark, sf)[0], "The")
+
+
+# Changes
+
+
+@query("""WITH s AS (SELECT c_nationkey AS rel, c_custkey AS start, c_custkey + 9 AS "end" FROM customer WHERE c_custkey % 5 = 0), h AS (SELECT s_nationkey AS rel, s_suppkey * 13 AS first, s_suppkey * 13 + 4 AS last FROM supplier)
+  SELECT rel, start, "end" FROM s WHERE EXISTS (SELECT 1 FROM h WHERE h.rel = s.rel AND start <= last AND "end" >= first)""")
+def changed_spans(spark, sf):
+    s = read(spark, sf, "customer").where("c_custkey % 5 = 0").select(F.col("c_nationkey").alias("rel"), F.col("c_custkey").alias("start"), (F.col("c_custkey") + 9).alias("end"))
+    h = read(spark, sf, "supplier").select(F.col("s_nationkey").alias("rel"), (F.col("s_suppkey") * 13).alias("first"), (F.col("s_suppkey") * 13 + 4).alias("last"))
+    return change.overlapping(s, h)
+
+
+@query("""WITH o AS (SELECT DISTINCT p_type AS rel, p_brand AS name, CAST(p_size AS VARCHAR) AS sig FROM part WHERE p_partkey % 2 = 0), n AS (SELECT p_partkey, p_type AS rel, p_brand AS name, CAST(p_size AS VARCHAR) AS sig FROM part WHERE p_partkey % 2 = 1)
+  SELECT p_partkey, CASE WHEN NOT EXISTS (SELECT 1 FROM o WHERE o.rel = n.rel AND o.name = n.name) THEN 'new' WHEN EXISTS (SELECT 1 FROM o WHERE o.rel = n.rel AND o.name = n.name AND o.sig = n.sig) THEN 'body' ELSE 'signature' END AS change FROM n""")
+def change_class(spark, sf):
+    p = read(spark, sf, "part").select("p_partkey", F.col("p_type").alias("rel"), F.col("p_brand").alias("name"), F.col("p_size").cast("string").alias("signature"))
+    return change.classify(p.where("p_partkey % 2 = 1"), p.where("p_partkey % 2 = 0").drop("p_partkey")).select("p_partkey", "change")
+
+
+@query("""SELECT rel, symbols, mentions FROM (SELECT l_suppkey AS rel, count(DISTINCT l_partkey) AS symbols, count(*) AS mentions FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size = 11) GROUP BY 1) ORDER BY symbols DESC, mentions DESC, rel LIMIT 40""")
+def impact_rank(spark, sf):
+    c = read(spark, sf, "part").where("p_size = 11").select(F.col("p_partkey").alias("name"))
+    t = read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("rel"), F.col("l_partkey").alias("name"))
+    return change.impact(c, t)
+
+
+_SCOPES = [("core", "economy/"), ("core-red", "economy/red"), ("promo", "promo"), ("rest", "standard/small ring")]
+_DIRTY = "d AS (SELECT DISTINCT lower(p_type) || '/' || p_name AS path FROM part), s(scope, prefix) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _SCOPES) + ")"
+
+
+def _scopes(spark, sf):
+    d = read(spark, sf, "part").select(F.concat(F.lower("p_type"), F.lit("/"), F.col("p_name")).alias("path")).distinct()
+    s = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _SCOPES) + " AS s(scope, prefix)")
+    return change.scopes(d, s)
+
+
+@query(f"WITH {_DIRTY} SELECT scope, count(*) AS paths FROM d JOIN s ON starts_with(path, prefix) GROUP BY 1")
+def scope_groups(spark, sf):
+    return _scopes(spark, sf)[0].groupBy("scope").agg(F.count("*").alias("paths"))
+
+
+@query(f"WITH {_DIRTY} SELECT path FROM d WHERE NOT EXISTS (SELECT 1 FROM s WHERE starts_with(path, prefix))")
+def scope_unscoped(spark, sf):
+    return _scopes(spark, sf)[1]
+
+
+# Records
+
+
+@query(f"WITH {rel.BOARD_SQL} SELECT session, id, role FROM bd WHERE id > 2 AND lower(role) = 'user'")
+def blackboard_read(spark, sf):
+    return records.read_board(rel.board(spark, sf), since_id=2, role="USER").select("session", "id", "role")
+
+
+@query(f"WITH {rel.BOARD_SQL} SELECT session, role, count(*) AS n FROM bd GROUP BY 1, 2")
+def role_counts(spark, sf):
+    return records.role_counts(rel.board(spark, sf))
+
+
+@query(f"""WITH {rel.BOARD_SQL}, c AS (SELECT session, count(*) FILTER (role = 'assistant') AS critics, max(id) FILTER (role = 'assistant') AS last FROM bd GROUP BY 1)
+  SELECT c.session, critics, CASE WHEN critics = 0 THEN 'no_critic' WHEN approved IS NULL THEN 'undecided' WHEN NOT approved THEN 'rejected' WHEN questions > 0 THEN 'approved_with_questions' ELSE 'approved' END AS state FROM c LEFT JOIN bd ON bd.session = c.session AND bd.id = last AND role = 'assistant'""")
+def convergence(spark, sf):
+    return records.convergence(rel.board(spark, sf), critic="assistant")
+
+
+@query("""WITH t AS (SELECT doc_id, octet_length(encode(text)) // 4 AS size FROM documents), r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn, sum(size) OVER (ORDER BY doc_id) AS used FROM t WHERE doc_id >= 30),
+  o AS (SELECT min(rn) FILTER (used > 4000) AS cut FROM r) SELECT doc_id, CAST(rn + 30 AS INTEGER) AS rank, CAST(used AS BIGINT) AS used FROM r, o WHERE cut IS NULL OR rn < cut OR rn = 1""")
+def token_budget_page(spark, sf):
+    d = read(spark, sf, "documents").select("doc_id", tx.approx_tokens(F.col("text")).alias("size"))
+    return paging.budget_page(d, F.col("size"), ["doc_id"], 4000, offset=30).select("doc_id", "rank", "used")
+
+
+@query(f"WITH {rel.DEFECTS_SQL} SELECT 'status' AS facet, status AS value, count(*) AS n FROM df GROUP BY 2 UNION ALL SELECT 'subsystem', subsystem, count(*) FROM df GROUP BY 2")
+def defect_digest(spark, sf):
+    return records.digest(rel.defects(spark, sf), "status", "subsystem")
+
+
+@query(f"WITH {rel.DEFECTS_SQL} SELECT id, status, updated FROM df WHERE status <> 'done' ORDER BY CASE status WHEN 'eyeball_fail' THEN 0 WHEN 'open' THEN 1 ELSE 2 END, updated DESC, id LIMIT 25")
+def defect_list(spark, sf):
+    return records.list_defects(rel.defects(spark, sf), n=25).select("id", "status", "updated")
+
+
+@query(f"WITH {rel.FRESH_SQL} SELECT freshness, count(*) AS n, min(age_days) AS youngest FROM fresh GROUP BY 1")
+def freshness_bands(spark, sf):
+    i = records.with_freshness(rel.ideas(spark, sf), F.lit(rel.TODAY).cast("date"))
+    return i.groupBy("freshness").agg(F.count("*").alias("n"), F.min("age_days").alias("youngest"))
+
+
+@query(f"""WITH {rel.FRESH_SQL} SELECT slug, freshness, age_days FROM fresh WHERE freshness IN ('due', 'stale', 'dormant') AND status NOT IN ('archived', 'implemented')
+  ORDER BY CASE freshness WHEN 'dormant' THEN 0 WHEN 'stale' THEN 1 ELSE 2 END DESC, age_days DESC, slug LIMIT 50""")
+def review_queue(spark, sf):
+    i = records.with_freshness(rel.ideas(spark, sf), F.lit(rel.TODAY).cast("date"))
+    return records.review_queue(i).limit(50).select("slug", "freshness", "age_days")
+
+
+@query(f"WITH {rel.FRESH_SQL} SELECT slug, age_days FROM fresh WHERE status IN ('seed', 'sprouted') ORDER BY age_days DESC, touched, slug LIMIT 3")
+def stalest(spark, sf):
+    return records.stalest(records.with_freshness(rel.ideas(spark, sf), F.lit(rel.TODAY).cast("date"))).select("slug", "age_days")
+
+
+@query("""WITH f AS (SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'open' ELSE 'fixed' END AS found FROM documents WHERE doc_id % 4 <> 0), t AS (SELECT doc_id AS id, CASE WHEN toxic = 1 THEN 'accepted' WHEN quality = 1 THEN 'unreviewed' ELSE 'ignored' END AS state FROM labels)
+  SELECT id, CASE WHEN found IS NULL THEN 'gone' ELSE coalesce(CASE WHEN state <> 'unreviewed' THEN state END, found) END AS status FROM f FULL JOIN t USING (id)""")
+def triage_overlay(spark, sf):
+    f = read(spark, sf, "documents").where("doc_id % 4 != 0").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 3 == 0, "open").otherwise("fixed").alias("status"), F.lit("low").alias("severity"))
+    t = read(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.when(F.col("toxic") == 1, "accepted").when(F.col("quality") == 1, "unreviewed").otherwise("ignored").alias("state"))
+    return records.triage_overlay(f, t).select("id", "status")
+
+
+@query("""WITH o AS (SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_suppkey = 1), n AS (SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_suppkey = 2)
+  SELECT id, CASE WHEN o.id IS NULL THEN 'new' WHEN n.id IS NULL THEN 'fixed' ELSE 'persisting' END AS state FROM o FULL JOIN n USING (id)""")
+def run_compare(spark, sf):
+    l = read(spark, sf, "lineitem").select(F.col("l_partkey").alias("id"), "l_suppkey")
+    return records.compare_runs(l.where("l_suppkey = 1"), l.where("l_suppkey = 2"))
+
+
+@query(f"""WITH {rel.DEFECTS_SQL}, n AS (SELECT id, CASE WHEN id % 4 = 0 THEN 'done' END AS status, updated + 1000 AS updated, CASE WHEN id % 3 = 0 THEN 'again ' || id END AS summary FROM df WHERE id % 2 = 0)
+  SELECT df.id, coalesce(n.status, df.status) AS status, greatest(df.updated, coalesce(n.updated, 0)) AS updated, coalesce(n.summary, df.summary) AS summary FROM df LEFT JOIN n ON df.id = n.id ORDER BY 3 DESC, 1 LIMIT 200""")
+def upsert_latest(spark, sf):
+    d = rel.defects(spark, sf).select("id", "status", "updated", "summary")
+    n = d.where("id % 2 = 0").select("id", F.when(F.col("id") % 4 == 0, "done").alias("status"), (F.col("updated") + 1000).alias("updated"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("again "), F.col("id"))).alias("summary"))
+    return records.upsert(d, n, "id", "updated", retain=200)
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS path, arg_min('b' || event_id, event_id) AS restore, arg_max('a' || event_id, event_id) AS expected, count(*) AS edits FROM events GROUP BY 1")
+def undo_target(spark, sf):
+    e = read(spark, sf, "events").select(F.col("user_id").cast("string").alias("path"), F.col("event_id").alias("ord"), F.concat(F.lit("b"), F.col("event_id")).alias("before"), F.concat(F.lit("a"), F.col("event_id")).alias("after"))
+    return records.undo_targets(e)
+
+
+# Presence
+
+FOLD_SQL = f"""{rel.JOURNAL_SQL}, st AS (SELECT agent_id, max(seq) AS s FROM jr WHERE kind = 'check_in' GROUP BY 1),
+  ag AS (SELECT agent_id, arg_max(state, seq) FILTER (state IS NOT NULL) AS state, arg_max(note, seq) FILTER (note IS NOT NULL) AS note, arg_max(expires_at, seq) FILTER (expires_at IS NOT NULL) AS expires_at, max(seq) AS revision, max(ts) AS updated, count(*) AS events, arg_max(kind, seq) = 'check_out' AS checked_out FROM jr JOIN st USING (agent_id) WHERE seq >= s GROUP BY 1)"""
+NOW = 1706600000
+
+
+@query(f"WITH {FOLD_SQL} SELECT * FROM ag")
+def presence_fold(spark, sf):
+    return presence.fold(rel.journal(spark, sf), ["state", "note", "expires_at"])
+
+
+@query(f"WITH {FOLD_SQL} SELECT count(*) AS agents, count(*) FILTER (checked_out) AS checked_out, count(*) FILTER (NOT checked_out AND expires_at <= {NOW}) AS stale, count(*) FILTER (NOT checked_out AND expires_at > {NOW}) AS active FROM ag")
+def presence_counts(spark, sf):
+    return presence.counts(presence.fold(rel.journal(spark, sf), ["state", "note", "expires_at"]), NOW)
+
+
+@query(f"WITH {rel.JOURNAL_SQL} SELECT seq, agent_id FROM jr WHERE idempotency_key IS NULL OR seq IN (SELECT min(seq) FROM jr GROUP BY idempotency_key)")
+def idempotent_first(spark, sf):
+    return presence.idempotent(rel.journal(spark, sf)).select("seq", "agent_id")
+
+
+@query(f"""WITH {rel.CLAIMS_SQL}, c AS (SELECT DISTINCT agent_id, path FROM cl)
+  SELECT DISTINCT a.agent_id AS a, b.agent_id AS b, a.path AS path_a, b.path AS path_b FROM c a JOIN c b ON a.agent_id < b.agent_id AND (a.path = b.path OR starts_with(a.path, b.path || '/') OR starts_with(b.path, a.path || '/'))""")
+def claim_overlap(spark, sf):
+    return presence.path_overlaps(rel.claims(spark, sf).select("agent_id", "path").distinct())
+
+
+@query(f"WITH {rel.CLAIMS_SQL}, c AS (SELECT DISTINCT agent_id, symbol FROM cl) SELECT a.agent_id AS a, b.agent_id AS b, a.symbol FROM c a JOIN c b ON a.symbol = b.symbol AND a.agent_id < b.agent_id")
+def symbol_overlap(spark, sf):
+    return presence.symbol_overlaps(rel.claims(spark, sf).select("agent_id", "symbol"))
+
+
+@query(f"""WITH {rel.CLAIMS_SQL}, c AS (SELECT DISTINCT agent_id, path FROM cl), d AS (SELECT DISTINCT 'a' || (l_partkey % 50 + 1) AS agent_id, lower(p_type) || '/' || p_name || l_partkey % 400 AS path FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1),
+  x AS (SELECT * FROM d WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.agent_id = d.agent_id AND (c.path = d.path OR starts_with(d.path, c.path || '/'))))
+  SELECT agent_id, path, CAST(greatest(count(*) OVER (PARTITION BY agent_id) - 8, 0) AS BIGINT) AS others FROM x QUALIFY row_number() OVER (PARTITION BY agent_id ORDER BY path) <= 8""")
+def drift(spark, sf):
+    d = read(spark, sf, "lineitem").where("l_linenumber = 1").join(read(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    d = d.select(F.concat(F.lit("a"), F.col("l_partkey") % 50 + 1).alias("agent_id"), F.concat(F.lower("p_type"), F.lit("/"), F.col("p_name"), F.col("l_partkey") % 400).alias("path"))
+    return presence.drift(d, rel.claims(spark, sf).select("agent_id", "path"))
+
+
+@query("""WITH a AS (SELECT CAST(s_suppkey AS VARCHAR) AS agent_id, CASE WHEN s_nationkey % 4 = 0 THEN '' ELSE 'b' || s_nationkey % 3 END AS base_oid FROM supplier WHERE s_suppkey < 40)
+  SELECT x.agent_id AS a, x.base_oid AS base_a, y.agent_id AS b, y.base_oid AS base_b FROM a x JOIN a y ON x.agent_id < y.agent_id AND x.base_oid <> y.base_oid WHERE x.base_oid <> '' AND y.base_oid <> ''""")
+def divergence(spark, sf):
+    a = read(spark, sf, "supplier").where("s_suppkey < 40").select(F.col("s_suppkey").cast("string").alias("agent_id"), F.when(F.col("s_nationkey") % 4 == 0, "").otherwise(F.concat(F.lit("b"), F.col("s_nationkey") % 3)).alias("base_oid"))
+    return presence.divergent_pairs(a)
+
+
+@query(f"""WITH {FOLD_SQL}, h AS (SELECT o_orderkey AS id, CAST(o_custkey % 170 AS VARCHAR) AS "from", CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE CAST(o_orderkey % 180 AS VARCHAR) END AS "to", CASE WHEN o_orderkey % 7 = 0 THEN 'accepted' ELSE 'offered' END AS status, {NOW} - o_orderkey * 20 AS created_at FROM orders)
+  SELECT id, CASE WHEN h.status = 'accepted' THEN 'accepted' WHEN coalesce(f.checked_out, true) AND {NOW} - created_at >= 86400 AND (h."to" = '' OR coalesce(t.checked_out, true)) THEN 'orphaned' ELSE 'offered' END AS derived
+  FROM h LEFT JOIN ag f ON h."from" = f.agent_id LEFT JOIN ag t ON h."to" = t.agent_id""")
+def handoff_status(spark, sf):
+    k = F.col("o_orderkey")
+    h = read(spark, sf, "orders").select(k.alias("id"), (F.col("o_custkey") % 170).cast("string").alias("from"), F.when(k % 5 == 0, "").otherwise((k % 180).cast("string")).alias("to"), F.when(k % 7 == 0, "accepted").otherwise("offered").alias("status"), (F.lit(NOW) - k * 20).alias("created_at"))
+    return presence.handoff_status(h, presence.fold(rel.journal(spark, sf), ["expires_at"]), NOW).select("id", "derived")
+
+
+@query("""WITH w AS (SELECT conv_id AS episode_id, min(turn) + conv_id % 7 AS ts FROM conversations GROUP BY conv_id), n AS (SELECT *, row_number() OVER (ORDER BY ts DESC, episode_id DESC) AS rn, count(*) OVER () AS n FROM w)
+  SELECT episode_id, ts, rn <= least(greatest(ceil(n * 0.2), 1), n - 1) AS holdout FROM n""")
+def holdout_split(spark, sf):
+    w = read(spark, sf, "conversations").groupBy(F.col("conv_id").alias("episode_id")).agg((F.min("turn") + F.first("conv_id") % 7).alias("ts"))
+    return presence.split_holdout(w)
+
+
+# Decisions
+
+_OPT = f"list_filter(string_split_regex(lower({{}}), '[^a-z0-9]+'), lambda x: length(x) >= 2 AND x NOT IN ({STOP_SQL}))"
+OPTIONS_SQL = f"""rq AS (SELECT CAST(d.doc_id AS VARCHAR) AS id, {_OPT.format("substr(text, 1, 300) || ' ' || 'which of the th er on'")} AS ctx FROM documents d WHERE doc_id < 120),
+  op(ord, option, descr) AS (VALUES (0, 'alpha', 'the of inea er on th'), (1, 'beta', 'de la que ion'), (2, 'gamma', 'der die und sch'), (3, 'delta', 'erly hath ion on')),
+  tk AS (SELECT id, option, ord, ctx, {_OPT.format("option || ' ' || descr")} AS toks FROM rq, op),
+  fr AS (SELECT id, option, ord, list_transform(toks, lambda t: len(list_filter(ctx, lambda c: c = t))) AS f, len(toks) AS n FROM tk),
+  rs AS (SELECT id, option, ord, 0.5 + coalesce(list_sum(list_transform(list_filter(f, lambda x: x > 0), lambda x: 1 + ln(1 + x))), 0) + len(list_filter(f, lambda x: x > 0)) / greatest(n, 1) AS raw_score FROM fr),
+  pr AS (SELECT *, exp(raw_score - max(raw_score) OVER (PARTITION BY id)) / sum(exp(raw_score)) OVER (PARTITION BY id) * exp(max(raw_score) OVER (PARTITION BY id)) AS probability FROM rs)"""
+
+
+def _requests(spark, sf):
+    options = "array(named_struct('id', 'alpha', 'description', 'the of inea er on th'), named_struct('id', 'beta', 'description', 'de la que ion'), named_struct('id', 'gamma', 'description', 'der die und sch'), named_struct('id', 'delta', 'description', 'erly hath ion on'))"
+    return read(spark, sf, "documents").where("doc_id < 120").select(F.col("doc_id").cast("string").alias("id"), F.substring("text", 1, 300).alias("state"), F.lit("which of the th er on").alias("question"), F.expr(options).alias("options"))
+
+
+@query(f"WITH {OPTIONS_SQL} SELECT id, option, round(raw_score, 6) AS raw_score, round(probability, 6) AS probability FROM pr")
+def option_softmax(spark, sf):
+    return decide.probabilities(decide.word_scores(_requests(spark, sf))).select("id", "option", _r("raw_score"), _r("probability"))
+
+
+@query(f"""WITH {OPTIONS_SQL}, x AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY probability DESC, ord DESC) AS rn FROM pr)
+  SELECT id, max(option) FILTER (rn = 1) AS chosen, round(max(probability), 6) AS probability, round(max(probability) - max(probability) FILTER (rn = 2), 6) AS margin FROM x GROUP BY 1""")
+def top_margin(spark, sf):
+    return decide.decide(_requests(spark, sf)).select("id", "chosen", _r("probability"), _r("margin"))
+
+
+@query(f"WITH {OPTIONS_SQL} SELECT id, count(*) FILTER (1 - probability <= 0.65) AS set_size, count(*) FILTER (1 - probability <= 0.65) = 1 AS commit FROM pr GROUP BY 1")
+def conformal_set(spark, sf):
+    return decide.conformal(decide.probabilities(decide.word_scores(_requests(spark, sf))), 0.65)
+
+
+@query(f"WITH {OPTIONS_SQL} SELECT id, option, round(raw_score, 6) AS raw_score FROM rs")
+def debiased_scores(spark, sf):
+    return decide.debiased(_requests(spark, sf)).select("id", "option", _r("raw_score"))
+
+
+@query(f"""WITH {TOK_SQL}, {SCORE_SQL}, h AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rn FROM sc QUALIFY rn <= 30), m AS (SELECT max(score) AS m FROM h),
+  x AS (SELECT doc_id, rn <= 5 AS head, CASE WHEN rn <= 5 THEN 0.55 * (1.0 / (1 + doc_id % 10)) + 0.45 * score / m ELSE score END AS score FROM h, m)
+  SELECT doc_id AS chunk_id, head, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY head DESC, x.score DESC, doc_id) AS INTEGER) AS rank FROM x""")
+def blend_head(spark, sf):
+    hits = retrieval.search(rel.chunks(spark, sf), QUERY, k=30)
+    probs = hits.select(F.col("chunk_id").alias("option"), (F.lit(1.0) / (1 + F.col("chunk_id") % 10)).alias("probability"))
+    return decide.rank_hits(decide.blend(hits, probs, "chunk_id"), "chunk_id").select("chunk_id", "head", _r("score"), "rank")
+
+
+@query("""SELECT doc_id, CASE WHEN n >= 1000 THEN 'big' ELSE 'small' END AS size, n AS tokens FROM (SELECT doc_id, CAST(octet_length(encode(text)) // 4 AS BIGINT) AS n FROM documents)""")
+def token_sizes(spark, sf):
+    n = tx.approx_tokens(F.col("text"))
+    return read(spark, sf, "documents").select("doc_id", F.when(n >= 1000, "big").otherwise("small").alias("size"), n.alias("tokens"))
+
+
+@query("""SELECT doc_id, CASE WHEN s = '' THEN 'section' ELSE s END AS slug FROM (SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 60)), '[^\\p{L}\\p{N}_]+', '-', 'g'), '-') AS s FROM documents)""")
+def heading_slugs(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", tx.heading_slug(F.substring("text", 1, 60)).alias("slug"))
+
+
+@query("""SELECT vec_id, label, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST((SELECT embedding FROM embeddings WHERE vec_id = 1) AS DOUBLE[])), 6) AS cosine FROM embeddings""")
+def cosine_scan(spark, sf):
+    e = read(spark, sf, "embeddings")
+    probe = F.array(*[F.lit(float(x)) for x in e.where("vec_id = 1").first().embedding])
+    return e.select("vec_id", "label", F.round(vx.cosine(F.col("embedding"), probe), 6).alias("cosine"))
+
+
+@query("""SELECT user_id, count(*) AS n, CAST(count(*) FILTER (event_type = 'error') AS BIGINT) AS errors FROM events GROUP BY 1 ORDER BY n DESC, user_id LIMIT 20""")
+def busiest_users(spark, sf):
+    e = read(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"))
+    return e.orderBy(F.desc("n"), "user_id").limit(20)
+
+
+# Sources and streams
+
+
+@query()
+def md_sections(spark, sf):
+    """The Markdown parser over every document as a file; headings are rare there, tests/ has files with many."""
+    from ..sources import files
+
+    d = read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("rel"), F.col("text").alias("content"))
+    return files.sections(d).select("path", "heading", "heading_level", "anchor", "start_line", "end_line")
+
+
+@query(r"SELECT CAST(page_id AS VARCHAR) AS rel, i AS line, href AS target FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href, unnest(range(len(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)))) AS i FROM pages)".replace('\\"', '"'))
+def page_links(spark, sf):
+    found = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
+    return read(spark, sf, "pages").select(F.col("page_id").cast("string").alias("rel"), F.posexplode(found).alias("line", "target")).withColumn("line", F.col("line").cast("long"))
+
+
+def _events(spark, sf):
+    from ..streaming import rollups
+
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    return rollups, spark.readStream.schema(schema).format("parquet").load(f"{sf}/events.parque[t]")
+
+
+def _name(what: str) -> str:
+    import uuid
+
+    return f"{what}_{uuid.uuid4().hex}"
+
+
+@query("SELECT event_type AS tool, count(*) AS calls, round(sum(value), 4) AS total, max(value) AS peak FROM events GROUP BY 1")
+def stream_rollup(spark, sf):
+    rollups, e = _events(spark, sf)
+    return rollups.drain(rollups.tool_rollup(e), _name("rollup")).select("tool", "calls", _r("total", 4), "peak")
+
+
+@query("SELECT date_trunc('day', ts) AS start, event_type AS tool, count(*) AS calls FROM events WHERE CAST(ts AS DATE) < DATE '2024-01-30' GROUP BY 1, 2")
+def stream_windows(spark, sf):
+    """Closed windows only: the last day stays open until the watermark passes it."""
+    rollups, e = _events(spark, sf)
+    e = e.withColumn("ts", F.col("ts").cast("timestamp"))
+    return rollups.drain(rollups.windowed_rollup(e), _name("windows"), "append").select(F.col("start").cast("timestamp_ntz").alias("start"), "tool", "calls").where("start < TIMESTAMP_NTZ '2024-01-30'")
+
+
+def _stateful(spark):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+@query(f"""WITH {rel.JOURNAL_SQL}, k AS (SELECT *, max(CASE WHEN kind = 'check_in' THEN seq END) OVER w AS s FROM jr WINDOW w AS (PARTITION BY agent_id ORDER BY seq ROWS UNBOUNDED PRECEDING)),
+  o AS (SELECT *, min(CASE WHEN kind = 'check_out' THEN seq END) OVER (PARTITION BY agent_id, s) AS gone FROM k WHERE s IS NOT NULL), v AS (SELECT * FROM o WHERE gone IS NULL OR seq <= gone), l AS (SELECT agent_id, max(s) AS s FROM v GROUP BY 1)
+  SELECT v.agent_id, arg_max(state, seq) FILTER (state IS NOT NULL) AS state, arg_max(note, seq) FILTER (note IS NOT NULL) AS note, max(seq) AS revision, count(*) AS events, arg_max(kind, seq) = 'check_out' AS checked_out FROM v JOIN l ON v.agent_id = l.agent_id AND v.s = l.s GROUP BY 1""")
+def stream_presence(spark, sf):
+    _stateful(spark)
+    rollups, e = _events(spark, sf)
+    ts = F.unix_seconds(F.col("ts").cast("timestamp"))
+    kind = F.when(F.col("event_type") == "signup", "check_in").when(F.col("event_type") == "purchase", "check_out").otherwise("update")
+    j = e.select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("agent_id"), kind.alias("kind"), F.when(F.col("event_type").isin("signup", "click"), F.concat(F.lit("state"), F.col("event_id") % 4)).alias("state"), F.when(F.col("event_type") == "view", F.concat(F.lit("note"), F.col("event_id") % 7)).alias("note"), F.when(F.col("event_type") != "error", ts + 300).alias("expires_at"))
+    out = rollups.drain(rollups.presence(j), _name("presence"), "update")
+    return out.groupBy("agent_id").agg(F.max_by(F.struct("state", "note", "revision", "events", "checked_out"), "revision").alias("r")).select("agent_id", "r.*")
+
+
+@query("""WITH e AS (SELECT user_id % 16 AS proc, event_id AS ord, event_id // 2 AS ptr, event_id % 2 = 0 AS a, CAST(floor(value) AS BIGINT) + 1 AS size FROM events),
+  d AS (SELECT *, CASE WHEN a THEN size ELSE -coalesce(max(CASE WHEN a THEN size END) OVER (PARTITION BY proc, ptr), 0) END AS delta FROM e),
+  r AS (SELECT proc, ord, sum(delta) OVER (PARTITION BY proc ORDER BY ord) AS live FROM d)
+  SELECT proc, CAST(arg_max(live, ord) AS BIGINT) AS live, CAST(greatest(max(live), 0) AS BIGINT) AS peak FROM r GROUP BY 1""")
+def stream_allocs(spark, sf):
+    _stateful(spark)
+    rollups, e = _events(spark, sf)
+    a = e.select((F.col("user_id") % 16).alias("proc"), F.col("event_id").alias("ord"), F.when(F.col("event_id") % 2 == 0, "A").otherwise("F").alias("kind"), F.floor(F.col("event_id") / 2).cast("long").alias("ptr"), F.lit(None).cast("long").alias("new_ptr"), (F.floor("value") + 1).cast("long").alias("size"))
+    return rollups.drain(rollups.allocations(a), _name("allocs"), "update").select("proc", "live", "peak")
+
+
+def plan_of(df: DataFrame) -> str:
+    """The formatted physical plan, for tests and the bench."""
+    return df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
 
 
-def oracle_sql() -> dict:
-    return {}
