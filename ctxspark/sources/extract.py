@@ -247,7 +247,7 @@ def record_fields(text: str) -> Iterator[dict]:
         n = 0
         for part in re.split(r"[;,](?![^<(]*[>)])", body):
             part = re.sub(r"\b(public|private|protected)\s*:", "", part).strip()
-            rust = re.match(r"(?:pub(?:\([^)]*\))?\s+)?([a-z_]\w*)\s*:\s*(.+)$", part, re.S)
+            rust = re.match(r"(?:pub(?:\([^)]*\))?\s+)?([a-z_]\w*)\s*:(?!:)\s*(.+)$", part, re.S)
             cpp = re.match(r"(?!using|typedef|friend|template|static)([\w:<>,\s*&]+?)\s+([A-Za-z_]\w*)\s*(?:=[^=].*|\{\})?$", part, re.S)
             if rust or cpp:
                 name, ty = (rust[1], rust[2]) if rust else (cpp[2], cpp[1])
