@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash128, packed, table, text_or_empty
+from .common import hash128, packed, table, text_or_empty, texts
 
 #: Positions that each mask looks at.
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 5, 6))
@@ -72,5 +72,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc
 
 
 def op2_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
-    found = leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    found = leaks(texts(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.drop("_t1", "_t2").groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", "matched", "compared", "item_tokens", "doc_start")).alias("m")).select("doc_id", "item_id", "m.doc_start", "m.item_tokens", "m.compared", "m.matched", "m.similarity")

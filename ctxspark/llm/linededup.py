@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash128, new_folder, packed, table, text_or_empty
+from .common import hash128, new_folder, packed, text_or_empty, texts
 
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -98,7 +98,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
-    docs = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = dedup_lines(texts(spark, sf_dir, "documents", "doc_id", "text"))
     return docs.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 

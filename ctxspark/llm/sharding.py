@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash128, table, text_or_empty, written
+from .common import hash128, text_or_empty, texts, written
 
 #: Bundles, how many of them are split, and into how many small ones.
 BUNDLES, SPLIT, SMALL = 4096, 256, 16
@@ -69,5 +69,5 @@ def shard(docs: DataFrame, shards: int = 16, text: str = "text", doc_id: str = "
 
 
 def op8_sharding(spark, sf_dir: str) -> DataFrame:
-    out = shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = shard(texts(spark, sf_dir, "documents", "doc_id", "text"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, hash128, packed, table, text_or_empty, written
+from .common import arrow_schema, hash128, packed, text_or_empty, texts, written
 from .components import connected_components
 
 SEED = 42
@@ -79,7 +79,7 @@ def ball_pairs(values: DataFrame, value: str, bits: int = 64, radius: int = 2) -
 
 
 def op6_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text")
     prints = written(fingerprints(docs, ["doc_id"]).select("doc_id", F.col("fp")[0].alias("fp")), "simhash")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
     groups = connected_components(ball_pairs(distinct.select("fp"), "fp")).withColumnRenamed("node", "fp")
