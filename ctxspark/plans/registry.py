@@ -71,17 +71,17 @@ TOOLS: dict[str, Callable] = {
     "symbol_diff": change.overlapping, "module_map": graph.coupling, "include_graph": graph.includers, "type_layout": files.fields, "diff_map": diff_map, "test_map": graph.occurrence_counts,
     "batch_context": batch_context, "perf_triage": perf_triage, "test_impact": test_impact, "knowledge_search": retrieval.search, "knowledge_answer": retrieval.answer, "knowledge_upsert": records.compose_note,
     "semantic_decide": decide.decide, "trace_summary": trace.top_zones, "trace_profile": perf_triage, "runtime_snapshot": runtime.latest, "memory_diff": runtime.diff_named, "locality_hotspots": runtime.hotspots,
-    "integration_hooks": integration_hooks, "index_stale": index_health, "index_health": index_health, "stats": telemetry.rollup_total, "mas_post": records.cap_fields, "mas_read": records.read_board,
-    "mas_status": records.convergence, "mas_finalize": records.handoff, "session_handoff": records.handoff, "defect_upsert": records.upsert, "defect_list": records.list_defects, "shrift_list": records.facet,
-    "shrift_show": retrieval.similar, "shrift_upsert": records.capture_idea, "shrift_touch": records.upsert, "shrift_review": records.review_queue, "shrift_status": records.upsert, "shrift_bookmark": records.upsert,
-    "run_record": records.upsert, "run_history": records.run_history, "artifact_index": files.artifacts, "session_pressure": telemetry.pressure, "commit_scope": change.scopes, "izakaya_status": presence.findings,
-    "izakaya_check_in": presence.fold, "izakaya_update": presence.fold, "izakaya_check_out": presence.fold, "izakaya_advise": presence.findings, "continuation": paging.budget_page,
+    "integration_hooks": integration_hooks, "index_stale": index_health, "index_health": index_health, "stats": telemetry.rollup_total, "board_post": records.cap_fields, "board_read": records.read_board,
+    "board_status": records.convergence, "board_finalize": records.handoff, "session_handoff": records.handoff, "defect_upsert": records.upsert, "defect_list": records.list_defects, "idea_list": records.facet,
+    "idea_show": retrieval.similar, "idea_upsert": records.capture_idea, "idea_touch": records.upsert, "idea_review": records.review_queue, "idea_status": records.upsert, "idea_bookmark": records.upsert,
+    "run_record": records.upsert, "run_history": records.run_history, "artifact_index": files.artifacts, "session_pressure": telemetry.pressure, "commit_scope": change.scopes, "presence_status": presence.findings,
+    "presence_check_in": presence.fold, "presence_update": presence.fold, "presence_check_out": presence.fold, "presence_advise": presence.findings, "continuation": paging.budget_page,
 }
 
 #: Tools without a function here, and why.
 OUTSIDE = {
-    "decree": "a bridge to another program's library", "mas_timeline": "draws images", "tacet": "a switch of the host's write tools", "profile_upsert": "edits the host's configuration",
-    "task_submit": "jobs on other machines", "task_status": "jobs on other machines", "task_fetch": "jobs on other machines", "task_cancel": "jobs on other machines", "copper_status": "jobs on other machines",
+    "decision_bridge": "a bridge to another program's library", "board_timeline": "draws images", "write_gate": "a switch of the host's write tools", "profile_upsert": "edits the host's configuration",
+    "task_submit": "jobs on other machines", "task_status": "jobs on other machines", "task_fetch": "jobs on other machines", "task_cancel": "jobs on other machines", "worker_status": "jobs on other machines",
 }
 
 
