@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash128, new_folder, packed, text_or_empty, texts
+from .common import hash128, new_folder, packed, text_or_empty, texts, written
 
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -84,7 +84,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
     for k in range(batches):
         runs.add(arrived.where(F.col("batch") == k))
 
-    lost = each.join(runs.frequent().hint("merge"), ["h1", "h2"], "left_semi").groupBy("_id", "_t1", "_t2").agg(F.collect_set("h1").alias("_lost"))
+    # Written, so that both sides of the join are shuffled for it and a hot line's rows can be split.
+    lost = each.join(written(runs.frequent(), "frequent-lines").hint("merge"), ["h1", "h2"], "left_semi").groupBy("_id", "_t1", "_t2").agg(F.collect_set("h1").alias("_lost"))
     t1, t2 = hash128(whole)
     mine = packed(docs, whole=whole, id=F.col(doc_id), t1=t1, t2=t2)
     on = F.col("id").eqNullSafe(F.col("_id")) & (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2"))

@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import texts, written
 
 CAPACITY = 2048
-#: Ranks of one length are counted in parts of about so many rows.
-PART_ROWS = 100_000
+#: Ranks of one length are counted in parts of at most about so many rows, and of that share of all rows.
+PART_ROWS, PARTS = 100_000, 400
 
 
 @lru_cache(1)
@@ -216,7 +216,8 @@ def pack(docs: DataFrame, path: str, pattern: str, text: str = "text", doc_id: s
     spark = docs.sparkSession
     cut = written(pieces(docs, path, pattern, text, doc_id, capacity), "pieces")
     counts = {r.length: r.n for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
-    parts = max(1, -(-max(counts.values(), default=0) // PART_ROWS))
+    most = max(1, min(PART_ROWS, sum(counts.values()) // PARTS))
+    parts = max(1, -(-max(counts.values(), default=0) // most))
     salted = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(parts)).cast("int"))
     by_part = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = salted.groupBy("length", "part").agg(F.count("*").alias("n")).select("length", "part", F.coalesce(F.sum("n").over(by_part), F.lit(0)).alias("before"))
