@@ -39,23 +39,30 @@ def term_df(chunks: DataFrame, body: str = "body") -> DataFrame:
     return each.groupBy("term").agg(F.sum(F.col("first").cast("long")).alias("df"), F.count_if(F.col("first") == 0).alias("cf"))
 
 
-def _tf(term: str) -> Column:
-    return F.size(F.filter("_tokens", lambda x: x == term)).cast("double")
+def _once(value: Column, of) -> Column:
+    """of(value) with the value computed once, wherever the optimizer puts the expression."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
 
 
 def search(chunks: DataFrame, query: str, id: str = "chunk_id", body: str = "body", boost: Column | None = None, k: int | None = 5) -> DataFrame:
     """chunks with score, the best k by score and then id (all hits if k is None). boost multiplies the score of a chunk."""
     asked = query_terms(query)
     terms = sorted(set(asked))
-    base = chunks.withColumn("_tokens", tokens(F.coalesce(F.col(body), F.lit(""))))
-    counts = [F.count_if(F.array_contains("_tokens", t)).alias(f"_df{i}") for i, t in enumerate(terms)]
-    stats = base.where(F.size("_tokens") > 0).agg(F.count("*").alias("_n"), F.avg(F.size("_tokens")).alias("_avgdl"), *counts)
-    hit = F.arrays_overlap("_tokens", F.lit(terms)) if terms else F.lit(False)
-    score = sum((F.lit(asked.count(t)) * idf(F.col("_n"), F.col(f"_df{i}")) * bm25_weight(_tf(t), F.size("_tokens"), F.col("_avgdl")) for i, t in enumerate(terms)), F.lit(0.0))
+    toks = tokens(F.coalesce(F.col(body), F.lit("")))
+    has = _once(toks, lambda t: F.struct(F.size(t).alias("dl"), *[F.array_contains(t, w).alias(f"h{i}") for i, w in enumerate(terms)]))
+    counted = chunks.select(has.alias("s")).where("s.dl > 0")
+    stats = counted.agg(F.count("*").alias("_n"), F.avg("s.dl").alias("_avgdl"), *[F.count_if(f"s.h{i}").alias(f"_df{i}") for i in range(len(terms))])
+
+    def part(t: Column, i: int, w: str) -> Column:
+        tf = F.size(F.filter(t, lambda x: x == w)).cast("double")
+        return F.lit(asked.count(w)) * idf(F.col("_n"), F.col(f"_df{i}")) * bm25_weight(tf, F.size(t), F.col("_avgdl"))
+
+    score = _once(toks, lambda t: sum((part(t, i, w) for i, w in enumerate(terms)), F.lit(0.0)))
     if boost is not None:
         score = score * boost
-    found = base.where(hit).crossJoin(F.broadcast(stats)).withColumn("score", score).select(*chunks.columns, "score").where("score > 0")
-    return found.orderBy(F.desc("score"), id).limit(k) if k is not None else found
+    found = chunks.crossJoin(F.broadcast(stats)).withColumn("score", F.coalesce(score, F.lit(0.0))).select(*chunks.columns, "score")
+    # Above the limit, the filter isn't pushed into the scan, where it would compute the score again.
+    return found.orderBy(F.desc("score"), id).limit(k).where("score > 0") if k is not None else found.where("score > 0")
 
 
 def search_many(chunks: DataFrame, queries: DataFrame, id: str = "chunk_id", body: str = "body", query_id: str = "query_id", query: str = "query", k: int = 5) -> DataFrame:

@@ -137,7 +137,7 @@ _IDEA = "list_filter(string_split_regex(lower({}), '[^a-z0-9]+'), lambda x: leng
   s AS (SELECT slug, CASE WHEN len(b) = 0 THEN 0 ELSE len(list_filter(a, lambda x: list_contains(b, x))) / (len(a) + len(b) - len(list_filter(a, lambda x: list_contains(b, x)))) END AS similarity FROM d)
   SELECT slug, round(similarity, 6) AS similarity FROM s WHERE similarity >= 0.02 ORDER BY s.similarity DESC, slug LIMIT 20""")
 def similar_docs_multiset(spark, sf):
-    d = read(spark, sf, "documents").select(F.col("doc_id").alias("slug"), "text")
+    d = rel.spread(read(spark, sf, "documents").select(F.col("doc_id").alias("slug"), "text"))
     return retrieval.similar(d, PROBE, threshold=0.02, k=20).select("slug", _r("similarity"))
 
 
@@ -145,7 +145,7 @@ def similar_docs_multiset(spark, sf):
   s AS (SELECT slug, CASE WHEN len(b) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END AS similarity FROM d)
   SELECT slug, round(similarity, 6) AS similarity FROM s WHERE similarity >= 0.02 ORDER BY s.similarity DESC, slug LIMIT 20""")
 def similar_docs_jaccard(spark, sf):
-    d = read(spark, sf, "documents").select(F.col("doc_id").alias("slug"), "text")
+    d = rel.spread(read(spark, sf, "documents").select(F.col("doc_id").alias("slug"), "text"))
     return retrieval.similar(d, PROBE, mode="set", threshold=0.02, k=20).select("slug", _r("similarity"))
 
 

@@ -10,8 +10,14 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small table in fewer parts than there are cores, dealt out to all of them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def chunks(spark, sf) -> DataFrame:
-    return read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.coalesce("text", F.lit("")).alias("body"), "lang", "source")
+    return spread(read(spark, sf, "documents").select("doc_id", "text", "lang", "source")).select(F.col("doc_id").alias("chunk_id"), F.coalesce("text", F.lit("")).alias("body"), "lang", "source")
 
 
 #: Telemetry: an event's type is the tool.
