@@ -67,14 +67,20 @@ def fingerprints(docs: DataFrame, keys: list[str], text: str = "text", k: int =
     return part.mapInArrow(work, arrow_schema(part, keys, "fp array<bigint>"))
 
 
-def ball_pairs(values: DataFrame, value: str, bits: int = 64, radius: int = 2) -> DataFrame:
+def ball_pairs(values: DataFrame, value: str, bits: int = 64, radius: int = 2, every: bool = False) -> DataFrame:
     """Pairs (a, b) of distinct values that differ in at most `radius` of the low `bits` bits: for each group that meets on a
-    variant, its least value with every other one. With radius 2 these connect all that is within the radius."""
+    variant, its least value with every other one. With radius 2 these connect all that is within the radius. every: all
+    pairs (a < b) within the radius, for users to whom a connection isn't enough."""
     half = (radius + 1) // 2
     flips = [sum(1 << i for i in c) for n in range(half + 1) for c in combinations(range(bits), n)]
     signed = [f - (1 << 64) if f >> 63 else f for f in flips]
     variants = values.select(F.col(value).alias("b"), F.explode(F.transform(F.lit(signed), lambda m: F.col(value).bitwiseXOR(m))).alias("variant"))
-    met = variants.withColumn("a", F.min("b").over(Window.partitionBy("variant"))).where("a != b")
+    meeting = Window.partitionBy("variant")
+    if every:
+        group = variants.withColumn("group", F.collect_list("b").over(meeting)).where(F.size("group") > 1)
+        met = group.select("b", F.explode("group").alias("a")).where("a < b")
+    else:
+        met = variants.withColumn("a", F.min("b").over(meeting)).where("a != b")
     return met.select("a", "b").distinct().where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
@@ -93,8 +99,10 @@ def near_groups(docs: DataFrame, text: str = "text", k: int = 5, similarity: flo
     """node, root: distinct texts (by 64-bit hash) that are near-duplicates of another, and their component's root.
 
     Candidates: `tables` 32-bit halves of SimHashes over `features`-word shingles, ball hashing with radius 2 in each. In a
-    group of equal halves every text meets the least (in every second table the greatest) one, and the least ones of halves
-    within the radius meet. Every candidate pair is verified by the exact Jaccard similarity of its sets of k-word shingles.
+    group of equal halves every text meets its centre, the least (in every second table the greatest) one, and the centres of
+    all halves within the radius meet. Every candidate pair is verified by the exact Jaccard similarity of its sets of k-word
+    shingles. Groups, and pairs of groups, that this leaves in several components hold pairs that weren't compared: their
+    texts are joined by rare_pairs, so that every pair within the radius is connected, verified or provably less similar.
     """
     whole = F.col("_whole")
     texts = docs.select(text_or_empty(F.col(text)).alias("_whole")).select(F.xxhash64(whole).alias("node"), "_whole")
@@ -102,21 +110,61 @@ def near_groups(docs: DataFrame, text: str = "text", k: int = 5, similarity: flo
     halves = F.flatten(F.transform("fp", lambda x, i: F.array(F.shiftrightunsigned(x, 32).bitwiseOR(F.shiftleft(2 * i.cast("long"), 32)), x.bitwiseAND(0xFFFFFFFF).bitwiseOR(F.shiftleft(2 * i.cast("long") + 1, 32)))))
     rows = written(wide.select("node", F.explode(halves).alias("half")).groupBy("node", "half").count().select("node", "half"), "halves")
     even = F.shiftrightunsigned("half", 32).bitwiseAND(F.lit(1)) == 0
-    centre = written(rows.groupBy("half").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).select("half", F.when(even, F.col("lo")).otherwise(F.col("hi")).alias("centre")), "centres")
-    same = rows.join(centre, "half").select(F.col("node").alias("a"), F.col("centre").alias("b"))
-    near = ball_pairs(centre.select("half"), "half", 32)
+    centre = written(rows.groupBy("half").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).select("half", F.when(even, F.col("lo")).otherwise(F.col("hi")).alias("centre"), "n"), "centres")
+    same = rows.join(centre.where("n > 1"), "half").select(F.col("node").alias("a"), F.col("centre").alias("b"))
+    near = written(ball_pairs(centre.select("half"), "half", 32, every=True).select(F.col("a").alias("x"), F.col("b").alias("y")), "near-halves")
     ends = lambda end, name: centre.select(F.col("half").alias(end), F.col("centre").alias(name))
-    met = near.withColumnsRenamed({"a": "x", "b": "y"}).join(ends("x", "a"), "x").join(ends("y", "b"), "y").select("a", "b")
+    met = near.join(ends("x", "a"), "x").join(ends("y", "b"), "y").select("a", "b")
     pairs = written(same.unionByName(met).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
 
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     shown = texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("_whole").alias("_whole"))
     sets = written(shingle_sets(shown, "node", "_whole", k), "shingle-sets")
+    groups = written(connected_components(_alike(pairs, sets, similarity)), "near-groups")
+
+    # A group's least and greatest component; singles are compared by their centres, two texts of a group by themselves.
+    rooted = rows.join(groups, "node", "left").select("node", "half", F.coalesce("root", "node").alias("root"))
+    state = written(rooted.groupBy("half").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n")), "half-states")
+    side = lambda end: state.select(F.col("half").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("least", "most", "n")])
+    apart = near.join(side("x"), "x").join(side("y"), "y").where("n_x + n_y > 2 AND least(least_x, least_y) != greatest(most_x, most_y)")
+    open_ = state.where("n > 2 AND least != most").select("half").unionByName(apart.select(F.explode(F.array("x", "y")).alias("half"))).distinct()
+    left = written(rooted.join(open_, "half", "left_semi").select("node", "root").distinct(), "open-texts")
+    more = written(_alike(rare_pairs(left.join(sets, "node"), similarity), sets, similarity), "rare-links")
+    if more.isEmpty():
+        return groups
+    return connected_components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets have that Jaccard similarity."""
     a, b = (sets.select(F.col("node").alias(n), F.col("set").alias(f"set_{n}")) for n in "ab")
     both = F.size(F.array_intersect("set_a", "set_b"))
     alike = both >= similarity * (F.size("set_a") + F.size("set_b") - both)
-    links = pairs.join(a, "a").join(b, "b").where(alike).select("a", "b")
-    return connected_components(links)
+    return pairs.join(a, "a").join(b, "b").where(alike).select("a", "b")
+
+
+def rare_pairs(sets: DataFrame, similarity: float, salt: int = 2000) -> DataFrame:
+    """Pairs (a, b) that hold all pairs of that Jaccard similarity between different roots. sets: node, root, set.
+
+    Prefix filtering: shingles are ordered by rareness. The first one that two similar sets share lies among the first
+    n - similarity n + 1 of the larger, the first n - 2 similarity / (1 + similarity) n + 1 of the smaller one, and leaves both
+    enough for the overlap. Shingles of one text only take places but no rows; a frequent one is dealt out to several tasks.
+    """
+    each = sets.select("node", F.explode("set").alias("shingle"))
+    shared = each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    first = lambda part: F.col("n") - F.ceil(F.lit(part) * F.col("n") - 1e-9) + 1
+    ranked = each.join(shared, "shingle").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("ranked"))
+    sized = ranked.join(sets.select("node", "root", F.size("set").alias("n")), "node").withColumn("alone", F.col("n") - F.size("ranked"))
+    prefix = F.slice("ranked", F.lit(1), F.greatest(first(similarity) - F.col("alone"), F.lit(0)).cast("int"))
+    keys = sized.select("node", "root", "n", "alone", F.posexplode(prefix).alias("at", "key")).select("node", "root", "n", (F.col("at") + F.col("alone")).alias("at"), "key.shingle", (F.col("key.df") / salt).cast("int").alias("salts"))
+    keys = written(keys, "rare-shingles")
+    fields = ("node", "root", "n", "at")
+    a = keys.select("shingle", *[F.col(c).alias(f"{c}_a") for c in fields], F.pmod(F.xxhash64("node"), F.col("salts") + 1).cast("int").alias("salt"))
+    b = keys.where(F.col("at") < first(2 * similarity / (1 + similarity))).select("shingle", *[F.col(c).alias(f"{c}_b") for c in fields], F.explode(F.sequence(F.lit(0), "salts")).alias("salt"))
+    needed = F.lit(similarity / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) - 1e-9
+    ordered = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") > F.col("node_b")))
+    met = a.join(b, ["shingle", "salt"]).where(ordered & (F.col("root_a") != F.col("root_b")) & (F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= needed))
+    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def shingle_sets(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:

@@ -278,6 +278,31 @@ def test_keep_one(spark, sf):
     assert len(simhash.keep_one(docs(spark, EDGE)).collect()) == 4  # the three texts without words are copies
 
 
+def test_near_within_template(spark):
+    """Variants of one template share halves without being alike; the pairs among them that are mustn't be lost."""
+    rng = random.Random(5)
+    template = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+
+    def changed(words, n):
+        out = list(words)
+        for j in rng.sample(range(len(out)), n):
+            out[j] = f"q{rng.randrange(10**9)}"
+        return out
+
+    base = [changed(template, 10) for _ in range(2000)]
+    copies = [changed(w, 1) for w in base[:300]]
+    rows = [(i, " ".join(w)) for i, w in enumerate(base + copies)]
+    assert sorted(r.doc_id for r in simhash.keep_one(docs(spark, rows)).collect()) == list(range(2000))
+
+
+def test_every_ball_pair(spark):
+    rng = random.Random(6)
+    base = [rng.getrandbits(32) for _ in range(20)]
+    values = {b ^ sum(1 << x for x in rng.sample(range(32), n)) for b in base for n in (0, 1, 1, 2)}
+    pairs = simhash.ball_pairs(spark.createDataFrame([(v,) for v in values], "half long"), "half", 32, every=True).collect()
+    assert sorted((r.a, r.b) for r in pairs) == sorted((a, b) for a in values for b in values if a < b and bin(a ^ b).count("1") <= 2)
+
+
 # op7, op10
 
 
