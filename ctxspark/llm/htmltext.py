@@ -7,11 +7,14 @@ comments and the like) is dropped. If the page marks its article (article or mai
 Where a page marks none, its blocks are candidates and the host decides: the token streams of the candidates of a host's
 pages are put one after another, a suffix array (by prefix doubling to the length sought) brings equal substrings together,
 and what lies in a substring of at least RUN tokens that occurs in REPEATS or more different pages is covered. Blocks that are
-covered go, the rest stays. A block shorter than RUN tokens is sought as a whole. A host's pages are taken CHUNK at a time,
-dealt by hash, so that a host of any size is many small groups; boilerplate repeats in each.
+covered go, the rest stays. A block shorter than RUN tokens is sought as a whole.
 
-Edge cases: null or empty html has an empty text; unclosed elements end with the page or with the element around them; a page
-that is a third of its host's rows (copies) is seen once, so copies don't cover each other; ties don't matter; page_id and url may be null.
+A host of more than CHUNK different pages doesn't fit one suffix array. Its pages are dealt by hash into chunks, and every
+window of RUN tokens (or shorter block) is counted by hash: different pages in a chunk, then summed over the host's chunks. What
+REPEATS pages of the whole host hold goes back to the chunks that hold it. So both ways find the same, whatever the host's size.
+
+Edge cases: null or empty html has an empty text; unclosed elements end with the page or with the element around them; copies
+of a page are seen once, so they don't cover each other; ties don't matter; page_id and url may be null.
 """
 
 from __future__ import annotations
@@ -24,10 +27,11 @@ from html import unescape
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, texts, written
+from .common import arrow_schema, hash128, texts, written
 
 RUN, REPEATS, CHUNK = 8, 3, 256
 #: Hosts of more than one chunk up to which their names are broadcast (some 50 bytes each).
@@ -159,6 +163,23 @@ def covered(pages: list[list[str]], run: int = RUN, repeats: int = REPEATS) -> l
     return out
 
 
+def windows(text: str, run: int = RUN) -> list[int]:
+    """Hashes of a block's windows of `run` tokens, in order, or of a block that isn't longer as a whole."""
+    words = text.split()
+    return [xxhash.xxh64_intdigest(" ".join(words[i : i + run])) - (1 << 63) for i in range(max(1, len(words) - run + 1))]
+
+
+def covered_by(text: str, repeated: set[int], run: int = RUN) -> bool:
+    """Whether windows that are repeated cover all of a block."""
+    end = 0
+    for i, h in enumerate(windows(text, run)):
+        if h in repeated:
+            if i > end:
+                return False
+            end = i + run
+    return end >= len(text.split())
+
+
 def extract(pages: DataFrame, keep: list[str], html: str = "html", url: str = "url") -> DataFrame:
     """The `keep` columns with text and boilerplate_blocks (how many blocks the suffix array removed).
 
@@ -180,24 +201,49 @@ def extract(pages: DataFrame, keep: list[str], html: str = "html", url: str = "u
 
         return work
 
-    def prune(group: pd.DataFrame) -> pd.DataFrame:
-        """Decides for one chunk of a host."""
-        texts = [tuple(b) for b in group["_blocks"]]
-        distinct = list(dict.fromkeys(texts))
-        gone = dict(zip(distinct, covered([list(t) for t in distinct])))
-        stay = [[b for b, g in zip(t, gone[t]) if not g] for t in texts]
-        out = group[keep].copy()
+    def pruned(group: pd.DataFrame, gone: list[list[bool]]) -> pd.DataFrame:
+        stay = [[b for b, g in zip(t, dead) if not g] for t, dead in zip(group["_blocks"], gone)]
+        out = group[key].copy()
         out["text"] = [" ".join(s) for s in stay]
-        out["boilerplate_blocks"] = np.array([len(t) - len(s) for t, s in zip(texts, stay)], np.int64)
+        out["boilerplate_blocks"] = np.array([len(t) - len(s) for t, s in zip(group["_blocks"], stay)], np.int64)
         return out
 
+    def prune(group: pd.DataFrame) -> pd.DataFrame:
+        """Decides for a host of one chunk."""
+        return pruned(group, covered([list(b) for b in group["_blocks"]]))
+
+    def prune_chunk(group: pd.DataFrame, hashes: pd.DataFrame) -> pd.DataFrame:
+        """Decides for one chunk of a larger host by what the host repeats."""
+        repeated = set(hashes["_window"].tolist())
+        return pruned(group, [[covered_by(b, repeated) for b in t] for t in group["_blocks"]])
+
+    def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, page in enumerate(batch.column(2)):
+                found = pa.array({h for b in page.as_py() for h in windows(b)}, pa.int64())
+                if len(found):
+                    at = pa.array([i] * len(found), pa.int64())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), found], names=["_host", "_chunk", "_window"])
+
     result = arrow_schema(pages, keep, "text string, boilerplate_blocks long")
+    key = ["_host", "_h1", "_h2"]
     direct = rows.mapInArrow(read(True), result)
     open_ = written(rows.mapInArrow(read(False), arrow_schema(pages, keep, "_host string, _blocks array<string>")), "page-candidates")
-    hosts = open_.groupBy("_host").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("_chunks")).where("_chunks > 1")
+    h1, h2 = hash128(F.col("_blocks"))
+    open_ = open_.withColumns({"_h1": h1, "_h2": h2})
+    different = written(open_.groupBy(*key).agg(F.first("_blocks").alias("_blocks")), "different-pages")
+    hosts = different.groupBy("_host").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("_chunks")).where("_chunks > 1")
     few = hosts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
-    dealt = open_.join(F.broadcast(hosts) if few else hosts, "_host", "left").withColumn("_chunk", F.pmod(F.xxhash64(*keep, "_blocks"), F.coalesce("_chunks", F.lit(1)))).drop("_chunks")
-    return direct.unionByName(dealt.groupBy("_host", "_chunk").applyInPandas(prune, result))
+    dealt = different.join(F.broadcast(hosts) if few else hosts, "_host", "left")
+    small = dealt.where("_chunks IS NULL").select(*key, "_blocks")
+    large = dealt.where("_chunks > 1").select(*key, "_blocks", F.pmod("_h1", "_chunks").cast("int").alias("_chunk"))
+    counts = written(large.select("_host", "_chunk", "_blocks").mapInArrow(seek, "_host string, _chunk int, _window long").groupBy("_host", "_chunk", "_window").agg(F.count("*").alias("_n")), "page-windows")
+    repeated = counts.groupBy("_host", "_window").agg(F.sum("_n").alias("_n")).where(F.col("_n") >= REPEATS).select("_host", "_window")
+    held = counts.select("_host", "_chunk", "_window").join(repeated, ["_host", "_window"])
+    decided = arrow_schema(different, key, "text string, boilerplate_blocks long")
+    texts = small.groupBy("_host").applyInPandas(prune, decided)
+    texts = texts.unionByName(large.groupBy("_host", "_chunk").cogroup(held.groupBy("_host", "_chunk")).applyInPandas(prune_chunk, decided))
+    return direct.unionByName(open_.select(*keep, *key).join(texts, key).select(*keep, "text", "boilerplate_blocks"))
 
 
 def op9_html_extraction(spark, sf_dir: str) -> DataFrame:

@@ -412,6 +412,31 @@ def test_host_boilerplate(spark):
     assert all(got[100 + i] == f"{own[0]} {own[1]}" for i in range(5))
 
 
+def test_large_host(spark):
+    """What three pages of a host of many chunks share is boilerplate, as on a small host; copies of a page count once."""
+    words = lambda i: " ".join(f"w{i}x{k}" for k in range(12))
+    notice = "we moved our offices to another town last year please write to the new address"
+    page = lambda i, more="": f"<html><body><div>{words(i)}</div>{more}</body></html>"
+    rows = [(i, "http://a.org/x", page(i, f"<div>{notice}</div><div>Contact</div>" if i in (3, 600, 1199) else "")) for i in range(1200)]
+    rows += [(2000 + i, "http://a.org/x", rows[5][2]) for i in range(4)]
+    got = {r.page_id: (r.text, r.boilerplate_blocks) for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), ["page_id", "url"]).collect()}
+    want = {i: (words(i), 2 if i in (3, 600, 1199) else 0) for i in range(1200)} | {2000 + i: (words(5), 0) for i in range(4)}
+    assert got == want
+
+
+def test_windows_against_suffix_array():
+    rng = random.Random(9)
+    for _ in range(40):
+        pages = [list(b) for b in dict.fromkeys(tuple(" ".join(rng.choice("ab") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(0, 4))) for _ in range(9))]
+        seen = {}
+        for i, p in enumerate(pages):
+            for b in p:
+                for h in htmltext.windows(b, 4):
+                    seen.setdefault(h, set()).add(i)
+        repeated = {h for h, at in seen.items() if len(at) >= 3}
+        assert [[htmltext.covered_by(b, repeated, 4) for b in p] for p in pages] == htmltext.covered(pages, run=4, repeats=3)
+
+
 def test_covered_against_brute():
     rng = random.Random(9)
     for _ in range(40):
