@@ -1,13 +1,14 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced jointly.
 
 The things to pack are items of bounded number, whatever the input's size: groups of equal texts are dealt by hash into
-bundles, some of them much smaller than the others, and a group larger than a bundle should be is an item of its own, in as
-many pieces as it needs. The items' vectors (at most some ten thousand) come to the driver, which places them, largest first,
-each where the dot product with the residual capacity is highest; the small bundles come last and level what is left. Rows
-then learn their shard from their item. A row's slot is its item's first slot and its place in the item, so neither a hot
-group nor a whole shard is ever sorted in one task. No text is shuffled.
+bundles, some of them much smaller than the others, and a group larger than a bundle should be is an item of its own. It stays
+whole as long as a shard can hold it; a group beyond that can't, and is cut into parts that are items. The items' vectors (at most some ten
+thousand) come to the driver, which places them, largest first, each where the weighted dot product with the residual capacity is
+highest; the small bundles come last and level what is left. Rows then learn their shard from their item. A large item's rows
+are dealt by hash into parts, and a row's slot is its part's first slot and its place in the part, so neither a hot group nor a
+whole shard is ever sorted in one task. No text is shuffled.
 
-Edge cases: a null text has size 1 like an empty one; copies beyond a bundle's size are spread, others stay together; repeated
+Edge cases: a null text has size 1 like an empty one; copies beyond a shard's capacity are spread, others stay together; repeated
 rows get slots of their own; an empty table gives no rows; the law is `bytes`.
 """
 
@@ -23,6 +24,8 @@ from .common import hash128, text_or_empty, texts, written
 
 #: Bundles, how many of them are split, and into how many small ones.
 BUNDLES, SPLIT, SMALL = 4096, 256, 16
+#: How much bytes (the law), tokens and rows count in the placement, where a large group makes them differ.
+WEIGHTS = np.array([32.0, 1.0, 8.0])
 
 
 def place(vectors: np.ndarray, shards: int) -> np.ndarray:
@@ -30,7 +33,7 @@ def place(vectors: np.ndarray, shards: int) -> np.ndarray:
     scaled = vectors / np.maximum(vectors.sum(0), 1) * shards
     left, out = np.ones((shards, vectors.shape[1])), np.zeros(len(vectors), np.int64)
     for i in np.lexsort((np.arange(len(vectors)), -scaled.max(1))):
-        out[i] = s = int(np.argmax(left @ scaled[i]))
+        out[i] = s = int(np.argmax(left @ (WEIGHTS * scaled[i])))
         left[s] -= scaled[i]
     return out
 
@@ -46,26 +49,31 @@ def shard(docs: DataFrame, shards: int = 16, text: str = "text", doc_id: str = "
     total = rows.agg(*sums).first()
     share = F.greatest(*[F.col(c) / F.lit(float(max(total[c] or 0, 1))) for c in ("size", "tokens", "n")]) * bundles
     # At most 3 * bundles groups can be larger than a bundle, so what is collected and broadcast is bounded.
-    large = rows.groupBy("h1", "h2").agg(*sums).where(share > 1).select("h1", "h2", F.least(F.ceil(share), F.col("n")).cast("long").alias("pieces")).orderBy("h1", "h2").collect()
-    first, known = bundles * SMALL, []
+    large = rows.groupBy("h1", "h2").agg(*sums).where(share > 1).select("h1", "h2", F.least(F.ceil(share), F.col("n")).cast("long").alias("parts"), (share * shards <= bundles).alias("fits")).orderBy("h1", "h2").collect()
+    first, known, whole_item = bundles * SMALL, [], {}
     for r in large:
-        known.append((r.h1, r.h2, r.pieces, first))
-        first += r.pieces
-    known = F.broadcast(spark.createDataFrame(known, "h1 long, h2 long, pieces long, first long"))
+        known.append((r.h1, r.h2, r.parts, first))
+        if r.fits:
+            whole_item.update((first + p, first) for p in range(r.parts))
+        first += r.parts
+    known = F.broadcast(spark.createDataFrame(known, "h1 long, h2 long, parts long, first long"))
     bundle = F.pmod("h1", F.lit(bundles))
     fine = F.pmod(F.shiftrightunsigned("h2", 20), F.lit(SMALL))
-    item = F.when(F.col("first").isNotNull(), F.col("first") + F.pmod(F.xxhash64("doc_id", "h2"), F.col("pieces"))).otherwise(bundle * SMALL + F.when(bundle < SPLIT, fine).otherwise(F.lit(0)))
-    dealt = rows.join(known, ["h1", "h2"], "left").select("doc_id", "size", "tokens", "text_crc32", item.cast("long").alias("item"))
+    part = F.when(F.col("first").isNotNull(), F.col("first") + F.pmod(F.xxhash64("doc_id", "h2"), F.col("parts"))).otherwise(bundle * SMALL + F.when(bundle < SPLIT, fine).otherwise(F.lit(0)))
+    dealt = rows.join(known, ["h1", "h2"], "left").select("doc_id", "size", "tokens", "text_crc32", part.cast("long").alias("part"))
 
-    items = dealt.groupBy("item").agg(*sums).orderBy("item").collect()
-    places = place(np.array([[r["size"], r.tokens, r.n] for r in items], float).reshape(-1, 3), shards)
+    parts = dealt.groupBy("part").agg(*sums).orderBy("part").collect()
+    items, of = np.unique(np.array([whole_item.get(r.part, r.part) for r in parts], np.int64), return_inverse=True)
+    vectors = np.zeros((len(items), 3))
+    np.add.at(vectors, of, np.array([[r["size"], r.tokens, r.n] for r in parts], float).reshape(-1, 3))
+    places = place(vectors, shards)[of]
     start, at = [0] * shards, []
-    for r, s in zip(items, places.tolist()):
-        at.append((r["item"], s, start[s]))
+    for r, s in zip(parts, places.tolist()):
+        at.append((r.part, s, start[s]))
         start[s] += r.n
-    at = F.broadcast(spark.createDataFrame(at, "item long, shard int, start long"))
-    within = Window.partitionBy("item").orderBy("doc_id", "text_crc32", "size")
-    return dealt.withColumn("rank", F.row_number().over(within)).join(at, "item").select("doc_id", "size", "tokens", "text_crc32", "shard", (F.col("start") + F.col("rank") - 1).cast("long").alias("slot"))
+    at = F.broadcast(spark.createDataFrame(at, "part long, shard int, start long"))
+    within = Window.partitionBy("part").orderBy("doc_id", "text_crc32", "size")
+    return dealt.withColumn("rank", F.row_number().over(within)).join(at, "part").select("doc_id", "size", "tokens", "text_crc32", "shard", (F.col("start") + F.col("rank") - 1).cast("long").alias("slot"))
 
 
 def op8_sharding(spark, sf_dir: str) -> DataFrame:

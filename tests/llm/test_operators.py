@@ -379,6 +379,20 @@ def test_shards(spark):
     assert len(one) == 1 and one[0].slot == 0
 
 
+def test_groups_stay_whole(spark):
+    """Equal texts share a shard as long as it can hold them."""
+    rng = random.Random(8)
+    sizes = [3] * 100 + [25, 150, 400, 1500]
+    rows = [(i, t) for i, t in enumerate([f"group {g} " + "copy " * 20 for g, n in enumerate(sizes) for _ in range(n)] + [f"text {k} " + "w " * rng.randrange(1, 90) for k in range(8000)])]
+    out = sharding.shard(docs(spark, rows), 16).toPandas()
+    assert len(out) == len(rows) and all(sorted(g["slot"]) == list(range(len(g))) for _, g in out.groupby("shard"))
+    group = out["doc_id"].map({i: t.split(" ")[1] for i, t in rows if t.startswith("group")})
+    spread = out.groupby(group)["shard"].nunique()
+    assert (spread.drop("103") == 1).all() and spread["103"] > 1
+    total = out.groupby("shard")["size"].sum()
+    assert total.max() / total.min() < 1.02
+
+
 # op9
 
 
