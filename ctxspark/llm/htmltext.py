@@ -1,140 +1,201 @@
-"""Main text of web pages, with a suffix array per host against boilerplate.
+"""Main text of web pages, with a host suffix array against boilerplate.
 
-A page's mark-up is read as a stream of tags and texts. Block tags end a block; what lies in elements that never hold main
-text (menus, headers, footers, sidebars, forms, scripts, styles, and elements whose class, id or role says advert, notice,
-comments and the like) is dropped. If the page marks its article (article or main), the blocks in it are the text.
+A page's mark-up is read as a stream of tags and texts; block tags end a block. Each block is text of the marked article
+(article, main or role="main"), open (the page marks none), or the rest: what lies in elements that never hold main text
+(menus, headers, footers, sidebars, forms), in elements one of whose class, id or role words says advert, notice, comments and
+the like, and what lies beside a marked article. Scripts, styles and titles (which repeat the article's headline) are nothing at all.
 
-Where a page marks none, its blocks are candidates and the host decides: the token streams of the candidates of a host's
-pages are put one after another, a suffix array (by prefix doubling to the length sought) brings equal substrings together,
-and what lies in a substring of at least RUN tokens that occurs in REPEATS or more different pages is covered. Blocks that are
-covered go, the rest stays. A block shorter than RUN tokens is sought as a whole.
+The rest of all pages, and the open blocks, are what the host decides by. Their token streams are concatenated, by host, in
+every task; a suffix array (prefix doubling to RUN tokens) brings equal substrings together, and each run of RUN tokens (or
+whole shorter block) is passed on with at most REPEATS of its pages. A run that REPEATS different pages of the host hold,
+wherever they lie, is boilerplate. Repeats within articles aren't evidence: articles quote and copy each other.
 
-A host of more than CHUNK different pages doesn't fit one suffix array. Its pages are dealt by hash into chunks, and every
-window of RUN tokens (or shorter block) is counted by hash: different pages in a chunk, then summed over the host's chunks. What
-REPEATS pages of the whole host hold goes back to the chunks that hold it. So both ways find the same, whatever the host's size.
+Open blocks then lose the tokens that such runs cover; what is left of a block, its unique runs, stays. The marked article of a
+page stays whole: a site's notices and adverts may quote what an article says. Beside it nothing stays, repeated or not.
 
-Edge cases: null or empty html has an empty text; unclosed elements end with the page or with the element around them; copies
-of a page are seen once, so they don't cover each other; ties don't matter; page_id and url may be null.
+Runs are known by 64-bit hashes of host and tokens. Up to BROADCAST_RUNS of them (counted first) are broadcast, and pages are
+decided where they lie. Beyond that, a filter of fixed size is broadcast, runs that pass it are joined with the table, and only
+their hashes and the pages are shuffled. So a host of any size is never in one task, and both ways find the same.
+
+Edge cases: null or empty html has an empty text; unclosed elements end with the page or with the element around them; a tag
+without an end is text; copies of a page count once as evidence; page_id and url may be null (an unknown host is a host);
+other columns are carried in a struct, so that no name clashes; no rows give no rows; reading is linear in a page's length.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html import unescape
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, hash128, texts, written
+from .common import arrow_schema, texts, written
 
-RUN, REPEATS, CHUNK = 8, 3, 256
-#: Hosts of more than one chunk up to which their names are broadcast (some 50 bytes each).
-BROADCAST_HOSTS = 500_000
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|select|iframe|object|canvas|math)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>|([^<]+|<)", re.S | re.I)
+RUN, REPEATS = 8, 3
+#: Runs up to which they are broadcast (8 bytes each), and 64-bit words of the filter beyond that.
+BROADCAST_RUNS, FILTER_WORDS = 4_000_000, 1 << 20
+#: Tokens that a task holds before it builds its suffix arrays; tokens whose hashes it remembers.
+FLUSH, REMEMBER = 2_000_000, 400_000
+NAME = re.compile(r"(/?)([a-zA-Z][\w:-]*)")
+PLAIN = re.compile(r"[^<>\"']*")
 NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
-#: Elements that are dropped with what they hold, elements that don't hold anything, and inline elements.
+#: Elements whose content isn't text, elements of the rest, elements that don't hold anything, inline elements.
+RAW = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "title", "noscript", "template", "svg", "textarea", "select", "iframe", "object", "canvas", "math")}
 DROPPED = {"nav", "header", "footer", "aside", "form", "head", "button", "dialog", "menu", "label", "fieldset"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
-#: Words of a class, id or role that mean boilerplate.
+#: A whole word of a class, id or role that means boilerplate: alone, or with more behind it, or behind a part of the page.
 NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|aside|footer|header|masthead|topbar|toolbar|cookies?|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|search|share|sharing|social|related|recommended|recommendations|comments?|replies|reply|disqus|discussion|respond|widget|pagination|pager|copyright|legal|disclaimer|contentinfo|complementary|skip|hidden|tags)(?=$|[\s_-])",
+    r"(?:nav|navbar|navigation|menu|sidebar|side|aside|footer|header|masthead|topbar|toolbar|notices?|alert|overlay|related|recommended|recommendations|repl(?:y|ies)|discussion|widget|copyright|legal|disclaimer|contentinfo|complementary|skip|hidden|tags|banner)"
+    r"|(?:ads?|advert\w*|adsense|sponsor\w*|promo|cookies?|consent|gdpr|newsletter|subscribe|subscription|breadcrumbs?|comments?|disqus|respond|share|sharing|social|pagination|pager|login|signup|search|popup|modal)(?:[-_][\w-]*)?"
+    r"|(?:site|page|main|global|top|bottom|left|right)[-_](?:header|footer|nav|navigation|menu|sidebar|banner|ads?)",
     re.I,
 )
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-MAIN = {"article", "main"}
 #: Elements that an opening tag of the first kind ends when it is open.
 ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-
-
-def _noise(name: str, attrs: str, inside: bool) -> bool:
-    """Whether an element is boilerplate by its name or attributes; inside: it lies in an article."""
-    if name in DROPPED:
-        return not (name == "header" and inside)
-    if attrs:
-        for key, value in NAMED.findall(attrs):
-            key, value = key.lower(), value.strip("\"'")
-            if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and HIDDEN.search(value)):
-                return True
-            if key in ("class", "id", "role") and name not in ("html", "body", "main") and NOISE.search(value):
-                return True
-    return False
-
-
-def blocks(html: str) -> tuple[bool, list[str]]:
-    """Whether the page marks its article, and the blocks of the article, or else of all that isn't dropped."""
-    stack: list[tuple[str, bool, bool]] = []  # name, dropped, in an article
-    texts: dict[bool, list[str]] = {True: [], False: []}
+#: Where a block lies: marked nowhere, in an article, in an article within noise, in noise, and where nothing is an article.
+OPEN, MAIN, INNER, SOFT, HARD = range(5)
+
+
+def _tag_end(html: str, at: int) -> int:
+    """The place of the > that ends a tag whose name ends at `at`; -1 if the tag doesn't end before the next <."""
+    while True:
+        at = PLAIN.match(html, at).end()
+        if at == len(html) or html[at] == "<":
+            return -1
+        if html[at] == ">":
+            return at
+        quoted = html[:at].endswith("=") if at < 2 else html[at - 1] == "=" or (html[at - 1].isspace() and html[max(0, at - 8) : at].rstrip().endswith("="))
+        close = html.find(html[at], at + 1) if quoted else at
+        if close < 0:  # the last quote of its kind, so this happens at most twice
+            return html.find(">", at)
+        at = close + 1
+
+
+def _zone(name: str, attrs: str, around: int) -> int:
+    """Where the content of an element lies."""
+    noise = article = hidden = False
+    for key, value in NAMED.findall(attrs) if attrs else ():
+        key, value = key.lower(), value.strip("\"'")
+        hidden |= key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and bool(HIDDEN.search(value)))
+        if key in ("class", "id", "role"):
+            noise |= any(map(NOISE.fullmatch, value.split()))
+            article |= key == "role" and value.lower() == "main"
+    if around == HARD or hidden or (name in DROPPED and not (name == "header" and around in (MAIN, INNER))):
+        return HARD
+    if name in ("article", "main") or article:
+        if not noise or name == "main":
+            return {OPEN: MAIN, SOFT: INNER}.get(around, around)
+    if noise and name not in ("html", "body", "main"):
+        return SOFT if around in (OPEN, SOFT) else HARD
+    return around
+
+
+def blocks(html: str) -> tuple[bool, list[str], list[str]]:
+    """Whether the page marks its article; the blocks of the article, or else the open ones; and those of the rest."""
+    stack: list[tuple[str, int]] = []
+    names: Counter = Counter()
+    found: list[tuple[int, str]] = []
     parts: list[str] = []
-    dropped = inside = marked = False
+    zone, at, last = OPEN, 0, html.rfind(">")
 
     def flush() -> None:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             parts.clear()
             if text:
-                texts[inside].append(text)
-
-    for m in TOKEN.finditer(html):
-        text = m.group(5)
-        if text is not None:
-            if not dropped:
-                parts.append(text)
+                found.append((zone, text))
+
+    while at < len(html):
+        lt = html.find("<", at)
+        if lt < 0 or lt > last:
+            parts.append(html[at:])
+            break
+        if lt > at:
+            parts.append(html[at:lt])
+        if html.startswith("<!--", lt):
+            end = html.find("-->", lt + 2)
+            at = len(html) if end < 0 else end + 3
             continue
-        name = m.group(3)
-        if not name:
+        if html.startswith(("<!", "<?"), lt):
+            at = html.find(">", lt) + 1
+            continue
+        m = NAME.match(html, lt + 1)
+        end = _tag_end(html, m.end()) if m else -1
+        if end < 0:
+            parts.append("<")
+            at = lt + 1
+            continue
+        name, attrs, at = m.group(2).lower(), html[m.end() : end], end + 1
+        closed = attrs.rstrip().endswith("/")
+        if name in RAW and not m.group(1):
+            flush()
+            stop = None if closed else RAW[name].search(html, at)
+            at = at if closed else stop.end() if stop else len(html)
             continue
-        name = name.lower()
         if name not in INLINE:
             flush()
-        if m.group(2):
-            if any(name == x[0] for x in stack):
-                while stack:
-                    top = stack.pop()
-                    if top[0] == name:
-                        break
-        elif name not in VOID and not m.group(4).rstrip().endswith("/"):
-            while stack and name in ENDS and stack[-1][0] in ENDS[name]:
-                stack.pop()
-            here = inside or (name in MAIN and not dropped) or ('role="main"' in m.group(4) and not dropped)
-            stack.append((name, dropped or _noise(name, m.group(4), inside), here))
-        else:
+        if m.group(1):
+            while names[name]:
+                top = stack.pop()[0]
+                names[top] -= 1
+                if top == name:
+                    break
+        elif name in VOID or closed:
             continue
-        dropped, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        marked = marked or (inside and not dropped)
+        else:
+            while stack and name in ENDS and stack[-1][0] in ENDS[name]:
+                names[stack.pop()[0]] -= 1
+            stack.append((name, _zone(name, attrs, stack[-1][1] if stack else OPEN)))
+            names[name] += 1
+        now = stack[-1][1] if stack else OPEN
+        if now != zone:
+            flush()
+            zone = now
     flush()
-    return (True, texts[True]) if texts[True] else (False, texts[False])
-
-
-def covered(pages: list[list[str]], run: int = RUN, repeats: int = REPEATS) -> list[list[bool]]:
-    """For each block of each page whether it is covered by substrings that repeat in different pages."""
-    vocabulary: dict[str, int] = {}
-    ids, page, block, out = [], [], [], [[False] * len(p) for p in pages]
-    whole: dict[str, set[int]] = {}
-    for i, p in enumerate(pages):
-        for j, text in enumerate(p):
-            words = text.split()
-            whole.setdefault(text, set()).add(i)
-            for w in words:
-                ids.append(vocabulary.setdefault(w, len(vocabulary) + 1))
-                page.append(i)
-                block.append((i, j))
-            ids.append(-len(block) - 1)  # a separator like no other token
-            page.append(i)
-            block.append((i, -1))
-    for i, p in enumerate(pages):
-        for j, text in enumerate(p):
-            out[i][j] = len(whole[text]) >= repeats
-    if len(ids) < run:
-        return out
-    # Prefix doubling: rank[k] orders the suffixes by their first `length` tokens; equal ranks are equal substrings.
-    rank = np.unique(np.array(ids, np.int64), return_inverse=True)[1]
+    there = {z for z, _ in found}
+    want = MAIN if MAIN in there else INNER if INNER in there else OPEN
+    return want != OPEN, [t for z, t in found if z == want], [t for z, t in found if z != want]
+
+
+class Runs:
+    """Hashes of tokens (remembered) and of runs of tokens on a host."""
+
+    def __init__(self, run: int = RUN):
+        self.run, self.known = run, {}
+
+    def tokens(self, text: str) -> np.ndarray:
+        words, known = text.split(), self.known
+        try:
+            return np.array([known[w] for w in words], np.uint64)
+        except KeyError:
+            if len(known) > REMEMBER:
+                known.clear()
+            known.update((w, xxhash.xxh64_intdigest(w)) for w in words if w not in known)
+            return np.array([known[w] for w in words], np.uint64)
+
+    def hashes(self, tokens: np.ndarray, host: str) -> np.ndarray:
+        """Of every run, in order; of fewer tokens than a run, of all."""
+        n = min(self.run, len(tokens))
+        h = np.full(len(tokens) - n + 1, n, np.uint64)
+        for j in range(n):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + tokens[j : len(tokens) - n + 1 + j]
+        h = (h ^ np.uint64(xxhash.xxh64_intdigest(host))) * np.uint64(0xC2B2AE3D27D4EB4F)
+        return (h ^ (h >> np.uint64(32))).view(np.int64)
+
+
+def suffix_ranks(tokens: np.ndarray, lengths: list[int], run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+    """The concatenated blocks' suffixes that have `run` tokens within their block: where they start, and their rank by
+    those tokens (equal substrings have equal ranks), by prefix doubling."""
+    ends = np.repeat(np.cumsum(lengths), lengths)
+    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
     length = 1
     while length < run:
         step = min(length, run - length)
@@ -142,110 +203,140 @@ def covered(pages: list[list[str]], run: int = RUN, repeats: int = REPEATS) -> l
         ahead[: len(rank) - step] = rank[step:] + 1
         rank = np.unique(rank * (len(rank) + 2) + ahead, return_inverse=True)[1]
         length += step
-    order = np.lexsort((np.array(page), rank))
-    r, g = rank[order], np.array(page)[order]
-    new = np.concatenate([[True], (r[1:] != r[:-1]) | (g[1:] != g[:-1])])
-    different = np.bincount(r, new)
-    starts = np.flatnonzero(different[rank] >= repeats)
-    starts = starts[starts + run <= len(ids)]
-    depth = np.zeros(len(ids) + 1, np.int64)
-    np.add.at(depth, starts, 1)
-    np.add.at(depth, starts + run, -1)
-    hit = np.cumsum(depth[:-1]) > 0
-    size, dead = Counter(), Counter()
-    for b, h in zip(block, hit.tolist()):
-        if b[1] >= 0:
-            size[b] += 1
-            dead[b] += h
-    for b, n in size.items():
-        if dead[b] == n:
-            out[b[0]][b[1]] = True
-    return out
-
-
-def windows(text: str, run: int = RUN) -> list[int]:
-    """Hashes of a block's windows of `run` tokens, in order, or of a block that isn't longer as a whole."""
-    words = text.split()
-    return [xxhash.xxh64_intdigest(" ".join(words[i : i + run])) - (1 << 63) for i in range(max(1, len(words) - run + 1))]
-
-
-def covered_by(text: str, repeated: set[int], run: int = RUN) -> bool:
-    """Whether windows that are repeated cover all of a block."""
-    end = 0
-    for i, h in enumerate(windows(text, run)):
-        if h in repeated:
-            if i > end:
-                return False
-            end = i + run
-    return end >= len(text.split())
-
-
-def extract(pages: DataFrame, keep: list[str], html: str = "html", url: str = "url") -> DataFrame:
-    """The `keep` columns with text and boilerplate_blocks (how many blocks the suffix array removed).
-
-    Pages that mark their article are decided where they lie; only the candidates of the others are written and shuffled.
-    """
-    host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1))
-    rows = pages.select(*keep, host.alias("_host"), F.col(html).cast("string").alias("_html"))
-
-    def read(want: bool):
+    starts = np.flatnonzero(np.arange(len(tokens)) + run <= ends)
+    return starts, rank[starts]
+
+
+def _few(key: np.ndarray, page: np.ndarray, repeats: int) -> np.ndarray:
+    """Places of at most `repeats` different pages of each key."""
+    order = np.lexsort((page, key))
+    k, p = key[order], page[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (p[1:] != p[:-1])
+    order, k = order[new], k[new]
+    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+    nth = np.arange(len(k)) - np.repeat(first, np.diff(np.concatenate([first, [len(k)]])))
+    return order[nth < repeats]
+
+
+def host_runs(runs: Runs, host: str, pages: list[tuple[int, list[str]]], repeats: int = REPEATS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of a host's pages (page hash, blocks) and of pages that hold them, at most `repeats` for each."""
+    streams = [(p, runs.tokens(t)) for p, blocks_ in pages for t in blocks_]
+    long, short = [s for s in streams if len(s[1]) >= runs.run], [s for s in streams if len(s[1]) < runs.run]
+    keys = [np.concatenate([runs.hashes(t, host) for _, t in short])] if short else [np.zeros(0, np.int64)]
+    at = [np.array([p for p, _ in short], np.int64)]
+    some = _few(keys[0], at[0], repeats)
+    keys[0], at[0] = keys[0][some], at[0][some]
+    if long:
+        lengths = [len(t) for _, t in long]
+        tokens = np.concatenate([t for _, t in long])
+        starts, rank = suffix_ranks(tokens, lengths, runs.run)
+        page = np.repeat(np.array([p for p, _ in long], np.int64), lengths)[starts]
+        some = _few(rank, page, repeats)
+        keys.append(runs.hashes(tokens, host)[starts[some]])
+        at.append(page[some])
+    return np.concatenate(keys), np.concatenate(at)
+
+
+def without(runs: Runs, host: str, texts_: list[str], repeated: Callable[[np.ndarray], np.ndarray]) -> tuple[list[str], int]:
+    """A page's open blocks without the tokens that repeated runs cover, and how many blocks lost any."""
+    out, cut = [], 0
+    for text in texts_:
+        s = runs.tokens(text)
+        hit = np.flatnonzero(repeated(runs.hashes(s, host)))
+        if len(hit):
+            depth = np.zeros(len(s) + 1, np.int64)
+            np.add.at(depth, hit, 1)
+            np.add.at(depth, np.minimum(hit + runs.run, len(s)), -1)
+            text = " ".join(w for w, d in zip(text.split(), np.cumsum(depth[:-1])) if not d)
+            cut += 1
+        if text:
+            out.append(text)
+    return out, cut
+
+
+def _within(values: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """Membership in a sorted array."""
+    return lambda x: values[np.minimum(np.searchsorted(values, x), len(values) - 1)] == x if len(values) else np.zeros(len(x), bool)
+
+
+def boilerplate(rows: DataFrame) -> DataFrame:
+    """run: hashes of the runs that REPEATS different pages of their host hold. rows: host, html."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs, held, size = Runs(), {}, 0
+        for batch in batches:
+            for host, html in zip(batch.column(0).to_pylist(), batch.column(1)):
+                html = html.as_py() or ""
+                marked, text, rest = blocks(html)
+                held.setdefault(host, {})[xxhash.xxh64_intdigest(html) - (1 << 63)] = rest if marked else rest + text
+                size += sum(map(len, rest)) // 4 + (0 if marked else sum(map(len, text)) // 4)
+            if size > FLUSH:
+                yield from flush(runs, held)
+                held, size = {}, 0
+        yield from flush(runs, held)
+
+    def flush(runs: Runs, held: dict) -> Iterator[pa.RecordBatch]:
+        for host, pages in held.items():
+            keys, page = host_runs(runs, host, sorted(pages.items()))
+            if len(keys):
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(page)], names=["run", "page"])
+
+    return rows.mapInArrow(work, "run long, page long").distinct().groupBy("run").agg(F.count("*").alias("n")).where(F.col("n") >= REPEATS).select("run")
+
+
+def extract(pages: DataFrame, html: str = "html", url: str = "url", broadcast_runs: int = BROADCAST_RUNS) -> DataFrame:
+    """Every row of pages as the struct `row`, with text and boilerplate_blocks (how many blocks of the text the suffix array cut)."""
+    spark = pages.sparkSession
+    host = F.lower(F.regexp_extract(F.coalesce(F.col(f"`{url}`").cast("string"), F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1))
+    source = F.col(f"`{html}`").cast("string")
+    rows = pages.select(host.alias("host"), source.alias("html"), F.struct(*[F.col(f"`{c}`") for c in pages.columns if c != html or c == url]).alias("row"))
+    table = written(boilerplate(rows.select("host", "html")), "host-runs")
+    few = table.limit(broadcast_runs + 1).count() <= broadcast_runs
+    schema = arrow_schema(rows, ["row"], "text string, boilerplate_blocks long")
+
+    def decided(part: DataFrame, member: Callable) -> DataFrame:
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            runs = Runs()
             for batch in batches:
-                got = [blocks(x.as_py() or "") for x in batch.column(len(keep) + 1)]
-                at = [i for i, g in enumerate(got) if g[0] == want]
-                part = batch.take(pa.array(at, pa.int64())).columns
-                if want:
-                    yield pa.RecordBatch.from_arrays([*part[: len(keep)], pa.array([" ".join(got[i][1]) for i in at], pa.string()), pa.array([0] * len(at), pa.int64())], names=[*keep, "text", "boilerplate_blocks"])
-                else:
-                    yield pa.RecordBatch.from_arrays([*part[: len(keep) + 1], pa.array([got[i][1] for i in at], pa.list_(pa.string()))], names=[*keep, "_host", "_blocks"])
-
-        return work
-
-    def pruned(group: pd.DataFrame, gone: list[list[bool]]) -> pd.DataFrame:
-        stay = [[b for b, g in zip(t, dead) if not g] for t, dead in zip(group["_blocks"], gone)]
-        out = group[key].copy()
-        out["text"] = [" ".join(s) for s in stay]
-        out["boilerplate_blocks"] = np.array([len(t) - len(s) for t, s in zip(group["_blocks"], stay)], np.int64)
-        return out
-
-    def prune(group: pd.DataFrame) -> pd.DataFrame:
-        """Decides for a host of one chunk."""
-        return pruned(group, covered([list(b) for b in group["_blocks"]]))
-
-    def prune_chunk(group: pd.DataFrame, hashes: pd.DataFrame) -> pd.DataFrame:
-        """Decides for one chunk of a larger host by what the host repeats."""
-        repeated = set(hashes["_window"].tolist())
-        return pruned(group, [[covered_by(b, repeated) for b in t] for t in group["_blocks"]])
+                out = []
+                for i, (h, x) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
+                    marked, text, _ = blocks(x.as_py() or "")
+                    out.append((text, 0) if marked else without(runs, h, text, member(batch, i)))
+                yield pa.RecordBatch.from_arrays([batch.column(2), pa.array([" ".join(t) for t, _ in out], pa.string()), pa.array([n for _, n in out], pa.int64())], names=["row", "text", "boilerplate_blocks"])
+
+        return part.mapInArrow(work, schema)
+
+    if few:
+        every = spark.sparkContext.broadcast(np.sort(table.toArrow().column("run").to_numpy()))
+        return decided(rows, lambda batch, i: _within(every.value))
+
+    # At most FILTER_WORDS words come to the driver; what passes them is looked up in the table.
+    slot, bit = F.shiftrightunsigned("run", 6).bitwiseAND(FILTER_WORDS - 1), F.expr("shiftleft(1L, CAST(run & 63 AS INT))")
+    got = table.groupBy(slot.cast("int").alias("slot")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    words = np.zeros(FILTER_WORDS, np.int64)
+    words[got.column("slot").to_numpy()] = got.column("bits").to_numpy()
+    words = spark.sparkContext.broadcast(words)
+    k1, k2 = F.xxhash64("host", "html"), F.xxhash64(F.lit(1), "host", "html")
 
     def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs, bits = Runs(), words.value
         for batch in batches:
-            for i, page in enumerate(batch.column(2)):
-                found = pa.array({h for b in page.as_py() for h in windows(b)}, pa.int64())
-                if len(found):
-                    at = pa.array([i] * len(found), pa.int64())
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), found], names=["_host", "_chunk", "_window"])
-
-    result = arrow_schema(pages, keep, "text string, boilerplate_blocks long")
-    key = ["_host", "_h1", "_h2"]
-    direct = rows.mapInArrow(read(True), result)
-    open_ = written(rows.mapInArrow(read(False), arrow_schema(pages, keep, "_host string, _blocks array<string>")), "page-candidates")
-    h1, h2 = hash128(F.col("_blocks"))
-    open_ = open_.withColumns({"_h1": h1, "_h2": h2})
-    different = written(open_.groupBy(*key).agg(F.first("_blocks").alias("_blocks")), "different-pages")
-    hosts = different.groupBy("_host").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("_chunks")).where("_chunks > 1")
-    few = hosts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
-    dealt = different.join(F.broadcast(hosts) if few else hosts, "_host", "left")
-    small = dealt.where("_chunks IS NULL").select(*key, "_blocks")
-    large = dealt.where("_chunks > 1").select(*key, "_blocks", F.pmod("_h1", "_chunks").cast("int").alias("_chunk"))
-    counts = written(large.select("_host", "_chunk", "_blocks").mapInArrow(seek, "_host string, _chunk int, _window long").groupBy("_host", "_chunk", "_window").agg(F.count("*").alias("_n")), "page-windows")
-    repeated = counts.groupBy("_host", "_window").agg(F.sum("_n").alias("_n")).where(F.col("_n") >= REPEATS).select("_host", "_window")
-    held = counts.select("_host", "_chunk", "_window").join(repeated, ["_host", "_window"])
-    decided = arrow_schema(different, key, "text string, boilerplate_blocks long")
-    texts = small.groupBy("_host").applyInPandas(prune, decided)
-    texts = texts.unionByName(large.groupBy("_host", "_chunk").cogroup(held.groupBy("_host", "_chunk")).applyInPandas(prune_chunk, decided))
-    return direct.unionByName(open_.select(*keep, *key).join(texts, key).select(*keep, "text", "boilerplate_blocks"))
+            for i, (h, x) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
+                marked, text, _ = blocks(x.as_py() or "")
+                r = np.unique(np.concatenate([np.zeros(0, np.int64), *[runs.hashes(runs.tokens(t), h) for t in text if not marked]]))
+                r = r[(bits[(r >> 6) & (FILTER_WORDS - 1)] >> (r & 63)) & 1 == 1]
+                if len(r):
+                    at = pa.array([i] * len(r), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(r), batch.column(2).take(at), batch.column(3).take(at)], names=["run", "k1", "k2"])
+
+    keyed = rows.withColumns({"k1": k1, "k2": k2})
+    found = keyed.select("host", "html", "k1", "k2").mapInArrow(seek, "run long, k1 long, k2 long").distinct()
+    own = found.join(table, "run", "left_semi").groupBy("k1", "k2").agg(F.array_sort(F.collect_list("run")).alias("runs"))
+    joined = keyed.join(own, ["k1", "k2"], "left").select("host", "html", "row", "runs")
+    return decided(joined, lambda batch, i: _within(np.array(batch.column(3)[i].as_py() or [], np.int64)))
 
 
 def op9_html_extraction(spark, sf_dir: str) -> DataFrame:
     pages = texts(spark, sf_dir, "pages", "page_id", "url", "html").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
-    return extract(pages, ["page_id", "url"]).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "boilerplate_blocks")
+    return extract(pages).select("row.page_id", "row.url", "text", F.char_length("text").cast("long").alias("n_chars"), "boilerplate_blocks")
