@@ -332,35 +332,96 @@ def test_language(spark):
 def test_language_edges(spark):
     train = spark.createDataFrame([("the cat and the dog", "en"), ("le chat et le chien", "fr"), ("x", None)], "text string, lang string")
     d = spark.createDataFrame([(1, None), (2, ""), (3, "123 _ ²!"), (4, "the dog"), (5, "le chien"), (6, "日本"), (6, "日本")], "doc_id long, text string")
-    got = [(r.doc_id, r.lang_pred) for r in langid.detect(d, train, ["doc_id"]).collect()]
+    d = d.selectExpr("*", "1 AS h", "2 AS letters", "3 AS cls", "4 AS row", "5 AS at", "6 AS l0", "7 AS h1")
+    got = [(r.doc_id, r.lang_pred) for r in langid.detect(d, train).select("row.doc_id", "lang_pred").collect()]
     assert dict(got) | {6: None} == {1: "und", 2: "und", 3: "und", 4: "en", 5: "fr", 6: None} and len(got) == 7
-    assert {r.lang_pred for r in langid.detect(d, train.limit(0), ["doc_id"]).collect()} == {"und"}
-    assert langid.detect(d.limit(0), train, ["doc_id"]).count() == 0
-
-
-def test_toxicity(spark):
-    rng = random.Random(6)
-    rude, plain = ["idiot", "scum", "trash", "moron"], [f"word{i}" for i in range(400)]
+    assert {r.lang_pred for r in langid.detect(d, train.limit(0)).collect()} == {"und"}
+    assert langid.detect(d.limit(0), train).count() == 0
+    long = spark.createDataFrame([(1, "the dog and the cat " * 50_000)], "doc_id long, text string")
+    assert [r.lang_pred for r in langid.detect(long, train).collect()] == ["en"]
+
+
+def test_language_model_against_brute(spark):
+    """Entropies by the plain definition, from one model and from blocks of one that is too large: the order is the same."""
+    rng = random.Random(11)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randrange(1, 9)))
+    train = [(" ".join(word("abcdé" if c else "abxyz") for _ in range(30)), "de" if c else "en") for c in (0, 1) for _ in range(8)] * 2
+    test = [" ".join(word("abcdéxyzq") for _ in range(6)) for _ in range(12)] + ["", "a", None]
+    t = spark.createDataFrame(train, "text string, lang string")
+    d = spark.createDataFrame(list(enumerate(test)), "doc_id long, text string")
+    want = brute.kneser_ney([(x, int(c == "en")) for x, c in train], 2, 5)
+    table = kneserney.gram_counts(t.selectExpr("text", "cast(lang = 'en' AS int) AS cls"), 2, 5)
+    whole, blocks = kneserney.fit(table, ["n0", "n1"]), kneserney.fit(table, ["n0", "n1"], max_cells=300)
+    assert len(whole) == 1 and len(blocks) > 3 and {m.value.order for m in [*whole, *blocks]} == {5}
+    for models in (whole, blocks):
+        got = {r.doc_id: r.h for r in langid._entropies(d, ["doc_id"], models).collect()}
+        for i, x in enumerate(test):
+            assert got[i] == pytest.approx(want(x or ""), abs=1e-4)
+    one, many = (sorted(langid.detect(d, t, max_cells=n).selectExpr("row.doc_id", "lang_pred", "round(score, 3)", "rejected").collect()) for n in (10**6, 300))
+    assert one == many
+
+
+def toxic_texts(rng, n, share=5):
+    rude, plain = ["idiot", "scum", "trash", "moron"], [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)]
 
     def text(bad):
         w = rng.choices(plain, k=rng.randrange(20, 200))
-        return " ".join([*w, *rng.choices(rude, k=3)] if bad else w)
+        for _ in range(3 * bad):
+            w.insert(rng.randrange(len(w)), "you " + rng.choice(rude))
+        return " ".join(w)
+
+    return [(text(k % share == 0), int(k % share == 0)) for k in range(n)]
 
-    train = [(text(k % 5 == 0), int(k % 5 == 0)) for k in range(1200)]
-    test = [(k, text(k % 2 == 1)) for k in range(200)] + [(500, None), (501, "")]
-    d = spark.createDataFrame(test, "doc_id long, text string")
+
+def test_toxicity(spark):
+    rng = random.Random(6)
+    train = toxic_texts(rng, 1200)
+    test = [(k, text) for k, (text, _) in enumerate(toxic_texts(rng, 200, 2))] + [(500, None), (501, ""), (502, "word " * 300_000)]
+    d = spark.createDataFrame(test, "doc_id long, text string").selectExpr("*", "1 AS evidence", "2 AS words", "3 AS row", "4 AS _text", "5 AS score", "6 AS h1", "7 AS key")
     t = spark.createDataFrame(train, "text string, toxic int")
-    got = {r.doc_id: r for r in toxicity.score(d, t, ["doc_id"]).collect()}
-    assert np.mean([got[k].predicted == k % 2 for k in range(200)]) > 0.97
-    assert got[500].score == got[501].score < 0.7
+    got = {r.doc_id: r for r in toxicity.score(d, t).select("row.doc_id", "score", "predicted").collect()}
+    assert np.mean([got[k].predicted == 1 - k % 2 for k in range(200)]) > 0.97
+    assert got[500].score == got[501].score == got[502].score < 0.7
     assert all((r.score >= 0.7) == (r.predicted == 1) for r in got.values())
-    one = {r.score for r in toxicity.score(d, t.where("toxic = 0"), ["doc_id"]).collect()}
-    assert one == {0.0} and toxicity.score(d.limit(0), t, ["doc_id"]).count() == 0
-    labels = spark.createDataFrame([(k, int(k % 2)) for k in range(200)], "doc_id long, toxic int")
+    joined = {r.doc_id: r.score for r in toxicity.score(d, t, bound=0).select("row.doc_id", "score").collect()}
+    assert joined == pytest.approx({k: r.score for k, r in got.items()}, abs=1e-9)
+    mostly = {r.doc_id: r.predicted for r in toxicity.score(d, t.where("toxic = 1 OR rand(1) < 0.05")).select("row.doc_id", "predicted").collect()}
+    assert mostly[500] == mostly[501] == 0
+    one = {r.score for r in toxicity.score(d, t.where("toxic = 0")).collect()}
+    assert one == {0.0} and toxicity.score(d.limit(0), t).count() == 0
+    labels = spark.createDataFrame([(k, int(k % 2 == 0)) for k in range(200)], "doc_id long, toxic int")
     left = toxicity.without_toxic(docs(spark, [*test, (None, "fine")]), labels)
     assert left.columns == docs(spark, []).columns and left.where("doc_id IS NULL").count() == 1
 
 
+def test_toxic_models_against_brute(spark):
+    """The evidence is the difference of two normalised models' log-likelihoods, computed plainly."""
+    rng = random.Random(12)
+    train = toxic_texts(rng, 300, 3) + [("", 0), ("x", 1)]
+    train += train[:7]
+    fold = {x: k % 4 == 0 for k, (x, c) in reversed(list(enumerate(train)))}
+    t = spark.createDataFrame([(x, c + 2 * fold[x], 0.5 if train.count((x, c)) > 1 else 1.0) for x, c in train], "text string, cls int, weight double")
+    model = toxicity.weights(*toxicity.expressions(t))
+    test = [text for text, _ in toxic_texts(rng, 20, 2)] + ["", "idiot", "you idiot", "idiot unknown you scum you"]
+    d = spark.createDataFrame(list(enumerate(test)), "n int, text string")
+    for name, rows in (("part", [(x, c) for x, c in set(train) if not fold[x]]), ("all", list(set(train)))):
+        plain = brute.toxic_models(rows)
+        got = {r.n: (r.evidence, r.words) for r in toxicity.evidence(d, ["n"], model.selectExpr("key", f"{name} AS weight")).collect()}
+        for i, x in enumerate(test):
+            assert got[i][0] == pytest.approx(plain(x), abs=1e-6) and got[i][1] == len(x.split())
+    assert model.where("abs(all) > 1").count() > 4
+
+
+def test_toxicity_held_out(spark):
+    """Labels that weren't learned from; some toxic texts have no toxic word at all (noise of the labels)."""
+    sf = "/root/testdata/sf0.1"
+    toxic = dict(brute.rows(sf, "labels", "doc_id", "toxic"))
+    held = [r for r in QUERIES["op10_toxicity"](spark, sf).collect() if r.held_out and r.doc_id in toxic]
+    caught = sum(r.predicted for r in held if toxic[r.doc_id] == 1)
+    assert caught > 0.8 * sum(toxic[r.doc_id] == 1 for r in held)
+    assert sum(r.predicted for r in held if toxic[r.doc_id] == 0) <= 0.005 * len(held)
+
+
 # op8
 
 
