@@ -9,7 +9,8 @@ sealed runs. A run is a Parquet folder in the shared folder, sorted by hash in e
 Only hashes are shuffled, and counted before they are. Texts are shuffled once, to meet the keys their document loses.
 
 Edge cases: a null or empty text is one empty line; keys shorter than ``min_chars`` are never dropped; a document whose lines
-all go keeps the empty string; repeated rows count as documents of their own; a line twice in a document counts once.
+all go keeps the empty string; repeated rows count as documents of their own; a line twice in a document counts once and goes
+twice; texts of any length are read whole; other columns are carried in a struct, so that no name clashes; no rows give none.
 """
 
 from __future__ import annotations
@@ -53,14 +54,17 @@ class LineRuns:
                 self._compact(k)
 
     def _compact(self, k: int) -> None:
+        path = new_folder(self.spark, "run")
         merged = self._read(self.levels[k]).groupBy("h1", "h2").agg(F.sum("n").alias("n"))
-        path = self._write(merged)
+        merged.withColumn("full", F.col("n") >= self.min_docs).sortWithinPartitions("full", "h1", "h2").write.partitionBy("full").parquet(path)
+        full = {r.full for r in self.spark.read.schema(f"{RUN}, full boolean").parquet(path).select("full").distinct().collect()}
         if k + 1 == len(self.levels):
             self.levels.append([])
-        full = self._read([path]).where(F.col("n") >= self.min_docs)
-        self.sealed.append(self._write(full))
         self.levels[k] = []
-        self.levels[k + 1].append(path)
+        if True in full:  # these keys leave the levels for good
+            self.sealed.append(f"{path}/full=true")
+        if False in full:
+            self.levels[k + 1].append(f"{path}/full=false")
 
     def frequent(self) -> DataFrame:
         runs = self._read([p for level in self.levels for p in level]).groupBy("h1", "h2").agg(F.sum("n").alias("n"))
@@ -68,32 +72,37 @@ class LineRuns:
         return found.unionByName(self._read(self.sealed).select("h1", "h2")).distinct() if self.sealed else found
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_docs: int = 10, min_chars: int = 1, batches: int = 4) -> DataFrame:
+def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_docs: int = 10, min_chars: int = 1, batches: int = 4, fan: int = 2) -> DataFrame:
     """Every row of docs as the struct `row`, with n_lines, n_dropped and kept, the text of the lines that stay."""
     spark = docs.sparkSession
     whole = text_or_empty(F.col(text))
     keys = F.array_distinct(F.filter(line_keys(whole), lambda k: F.char_length(k) >= min_chars))
     row = [F.col(doc_id).alias("_id"), *[h.alias(n) for h, n in zip(hash128(whole), ("_t1", "_t2"))]]
     batch = F.pmod(F.xxhash64(F.col(doc_id), F.lit("batch")), F.lit(batches)).cast("int")
-    each = docs.select(*row, batch.alias("batch"), F.explode(keys).alias("key")).select("_id", "_t1", "_t2", "batch", *[h.alias(n) for h, n in zip(hash128(F.col("key")), ("h1", "h2"))])
+    # What a row is known by is computed before the lines are dealt out, not for each of them.
+    each = docs.select(*row, batch.alias("batch"), keys.alias("keys")).select("_id", "_t1", "_t2", "batch", F.explode("keys").alias("key")).select("_id", "_t1", "_t2", "batch", *[h.alias(n) for h, n in zip(hash128(F.col("key")), ("h1", "h2"))])
 
     counted = new_folder(spark, "line-batches")
     each.groupBy("batch", "h1", "h2").agg(F.count("*").alias("n")).write.partitionBy("batch").parquet(counted)
-    runs = LineRuns(spark, min_docs)
+    runs = LineRuns(spark, min_docs, fan)
     arrived = spark.read.schema(f"{RUN}, batch int").parquet(counted)
     for k in range(batches):
         runs.add(arrived.where(F.col("batch") == k))
 
-    # Written, so that both sides of the join are shuffled for it and a hot line's rows can be split.
-    lost = each.join(written(runs.frequent(), "frequent-lines").hint("merge"), ["h1", "h2"], "left_semi").groupBy("_id", "_t1", "_t2").agg(F.collect_set("h1").alias("_lost"))
+    # Written, so that both sides of the join are shuffled for it and a hot line's rows can be split. What a document loses are
+    # places of lines: taking them from all its places is linear, however many they are.
+    places = F.filter(F.transform(line_keys(whole), lambda k, i: F.struct(k.alias("key"), i.alias("at"))), lambda x: F.char_length(x["key"]) >= min_chars)
+    lines_of = docs.select(*row, places.alias("lines")).select("_id", "_t1", "_t2", F.explode("lines").alias("line")).select("_id", "_t1", "_t2", F.col("line.at").alias("at"), *[h.alias(n) for h, n in zip(hash128(F.col("line.key")), ("h1", "h2"))])
+    lost = lines_of.join(written(runs.frequent(), "frequent-lines").hint("merge"), ["h1", "h2"], "left_semi").groupBy("_id", "_t1", "_t2").agg(F.collect_set("at").alias("_lost"))
     t1, t2 = hash128(whole)
     mine = packed(docs, whole=whole, id=F.col(doc_id), t1=t1, t2=t2)
     on = F.col("id").eqNullSafe(F.col("_id")) & (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2"))
     joined = mine.join(lost, on, "left").select("row", "whole", "_lost")
     whole = F.col("whole")
     lines = F.split(whole, "\n")
-    stays = lambda key, lost: (F.char_length(key) < min_chars) | ~F.array_contains(lost, F.xxhash64(key))
-    kept = F.transform(F.filter(F.arrays_zip(lines.alias("line"), line_keys(whole).alias("key")), lambda z: stays(z["key"], F.col("_lost"))), lambda z: z["line"])
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_lost"))
+    # Both as arguments of a lambda, which are computed once; an expression within a lambda is computed for each element.
+    kept = F.transform(F.array(F.struct(lines.alias("lines"), left.alias("left"))), lambda x: F.transform(x["left"], lambda i: F.get(x["lines"], i)))[0]
     joined = joined.withColumn("_lines", F.when(F.col("_lost").isNull(), lines).otherwise(kept))
     return joined.select("row", F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size("_lines")).cast("long").alias("n_dropped"), F.array_join("_lines", "\n").alias("kept"))
 
