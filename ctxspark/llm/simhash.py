@@ -6,7 +6,8 @@ variants itself, so no group can grow with the data, and with r = 2 any two of a
 value and emit once.
 
 Edge cases: a null or empty text has no words and fingerprint zero, which links like any other; a text of fewer words than a
-shingle is one shingle; repeated rows and ties share a component; without rows there are no rows.
+shingle is one shingle; texts of any length are read whole; repeated rows and ties share a component; a null doc_id isn't a
+component's least (its component_id is null if it has no other); without rows there are no rows.
 """
 
 from __future__ import annotations
@@ -118,7 +119,8 @@ def near_groups(docs: DataFrame, text: str = "text", k: int = 5, similarity: flo
     pairs = written(same.unionByName(met).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
 
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    shown = texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("_whole").alias("_whole"))
+    # Copies become one before they are dealt out (an inner join isn't pushed below the aggregation).
+    shown = texts.groupBy("node").agg(F.first("_whole").alias("_whole")).join(wanted, "node")
     sets = written(shingle_sets(shown, "node", "_whole", k), "shingle-sets")
     groups = written(connected_components(_alike(pairs, sets, similarity)), "near-groups")
 
@@ -180,7 +182,8 @@ def shingle_sets(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
-    """docs with one row of each group of exact or near copies: the one with the least doc_id (null last), then text hash."""
+    """docs with one row of each group of exact or near copies: the one with the least doc_id (null last), then text hash.
+    Null and empty texts are copies of each other; the columns are those of docs, whatever their names; no rows give no rows."""
     h1, h2 = hash128(text_or_empty(F.col(text)))
     rows = packed(docs, doc=F.col(doc_id), _h1=h1, _h2=h2)
     groups = near_groups(docs, text, **options)
