@@ -15,11 +15,14 @@ from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir). Where it is unset, as in tests, one is set here."""
+    """The folder that all executors share (spark.checkpoint.dir). Where it is unset, as in tests, one is set here, but only
+    if all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = known.get() if known.isDefined() else None
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="ctxspark-")
         spark.sparkContext.setCheckpointDir(found)
