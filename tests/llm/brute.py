@@ -31,7 +31,9 @@ def leaks(docs, items, window=16, least=8, similarity=0.8):
         for p, x in enumerate(w):
             where[x].append(p)
         for i, v in items:
-            if len(v) < least:
+            if len(v) < least:  # whole and unchanged
+                if v and any(w[p : p + len(v)] == v for p in range(len(w) - len(v) + 1)):
+                    out.add((d, i))
                 continue
             n, on = min(window, len(v)), defaultdict(set)
             for j, x in enumerate(v):

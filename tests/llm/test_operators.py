@@ -93,12 +93,53 @@ def test_substitutions(spark):
         for j in rng.sample(range(40), 4):
             part[j] = "sub"
         rows.append((k, " ".join(words[:30] + part + words[30:]) if k % 2 else " ".join(words)))
-    b = spark.createDataFrame([(0, " ".join(item)), (1, None), (2, ""), (3, "too short")], "item_id long, text string")
+    b = spark.createDataFrame([(0, " ".join(item)), (1, None), (2, ""), (3, "two short")], "item_id long, text string")
     d = docs(spark, rows)
     assert {(r.doc_id, r.item_id) for r in decontam.leaks(d, b).collect()} == {(k, 0) for k in range(1, 40, 2)}
     assert {r.doc_id for r in decontam.decontaminate(d, b).collect()} == set(range(0, 40, 2))
 
 
+def test_masks_are_complete():
+    """No pattern of substitutions that the rule accepts leaves every mask of every window touched."""
+    from itertools import combinations
+    from math import ceil
+
+    for n in range(8, 17):
+        masks = [*decontam.MASKS, *([decontam.EXTRA] if n in decontam.EXTRA_SIZES else [])]
+        for gone in combinations(range(n), n - ceil(0.8 * n)):
+            assert any(not any(at + o in gone for o in mask) for mask in masks for at in range(n - mask[-1]))
+
+
+def test_short_null_and_substituted_items(spark):
+    """Against brute force: items of 1 to 20 tokens, null ids, accepted and refused substitutions."""
+    rng = random.Random(13)
+    items = [(None if n == 13 else n, " ".join(f"i{n}x{k}" for k in range(n))) for n in range(1, 21)]
+    rows = []
+    for d in range(400):
+        n = rng.randrange(1, 21)
+        part = items[n - 1][1].split()
+        for j in rng.sample(range(n), min(n, rng.choice([0, 0, 1, 2, 3, 4]))):
+            part[j] = f"s{rng.randrange(10**6)}"
+        rows.append((d if d else None, " ".join([*(f"x{rng.randrange(10**6)}" for _ in range(rng.randrange(9))), *part, *(f"y{rng.randrange(10**6)}" for _ in range(rng.randrange(9)))])))
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(docs(spark, rows), b).collect()}
+    assert got == brute.leaks(rows, items) and len(got) > 150 and any(i is None for _, i in got)
+    left = decontam.decontaminate(docs(spark, rows), b)
+    assert left.count() == len(rows) - len({d for d, _ in got})
+
+
+def test_long_items(spark, monkeypatch):
+    """A long item in a long document, with and without broadcasts."""
+    rng = random.Random(14)
+    item = [f"w{rng.randrange(5000)}" for _ in range(20_000)]
+    b = spark.createDataFrame([(0, " ".join(item)), (1, "never seen " * 30)], "item_id long, text string")
+    rows = [(1, " ".join([f"x{k}" for k in range(30_000)] + item[5000:5020])), (2, " ".join(f"x{k}" for k in range(30_000)))]
+    for bound in (decontam.BROADCAST_SEEDS, 0):
+        monkeypatch.setattr(decontam, "BROADCAST_SEEDS", bound)
+        got = [(r.doc_id, r.item_id, r.doc_start, r.matched) for r in decontam.leaks(docs(spark, rows), b).collect()]
+        assert got == [(1, 0, 25_000, 16)]
+
+
 def test_decontaminate_edges(spark):
     b = spark.createDataFrame([(0, "a b c d e f g h i j")], "item_id long, text string")
     out = decontam.decontaminate(docs(spark, [*EDGE, (None, "zz A b, c d e f g h i j")]), b)
@@ -189,11 +230,23 @@ def test_line_dedup_edges(spark):
 
 
 def test_runs_compact(spark):
+    """Several levels; a sealed key is in no level any more, and isn't counted again."""
     runs = linededup.LineRuns(spark, min_docs=3, fan=2)
-    for _ in range(5):
-        runs.add(spark.createDataFrame([(1, 1, 1), (2, 2, 1)], linededup.RUN).where("h1 = 1 OR h2 > 0"))
-    assert len(runs.levels) >= 2 and all(len(level) < 2 for level in runs.levels)
+    for k in range(9):
+        runs.add(spark.createDataFrame([(1, 1, 1), (2, 2, int(k < 3)), (3, 3, int(k == 4)), (100 + k, 0, 1)], linededup.RUN).where("n > 0"))
+    assert len(runs.levels) >= 3 and all(len(level) < 2 for level in runs.levels)
     assert {(r.h1, r.h2) for r in runs.frequent().collect()} == {(1, 1), (2, 2)}
+    left = runs._read([p for level in runs.levels for p in level])
+    assert left.where("n >= 3").count() == 0 and left.where("h1 >= 100").count() == 9
+    assert sum(runs._read([p]).where("h1 = 2").count() for p in runs.sealed) == 1
+
+
+def test_many_lost_lines(spark):
+    """A document of 200,000 frequent lines; keys shorter than min_chars stay."""
+    long = "\n".join(f"line {i}" if i % 2 else "ab" for i in range(200_000))
+    out = linededup.dedup_lines(docs(spark, [(i, long) for i in range(2)] + [(5, None), (6, "line 1\nown")]), min_docs=2, min_chars=3).collect()
+    got = {r.row.doc_id: (r.n_lines, r.n_dropped, r.kept) for r in out}
+    assert got == {0: (200_000, 100_000, "\n".join(["ab"] * 100_000)), 1: got[0], 5: (1, 0, ""), 6: (2, 1, "own")}
 
 
 # op5
