@@ -173,7 +173,8 @@ def weights(words: DataFrame, pairs: DataFrame) -> DataFrame:
     single = w.where(some).select(F.col("w").alias("key"), *said(lambda m: ratio("p", m) - float(np.log(gamma[m, 1] / gamma[m, 0]))))
 
     two = pairs.select("v", "w", *[count("n", m, c).alias(f"n_{m}{c}") for m, c in each]).join(w.select("w", *[f"p_{m}{c}" for m, c in each]), "w")
-    says = lambda m, c: F.coalesce(n(m) * F.col(f"p_{m}{c}") * t[f"{m}{c}"] / (F.col(f"p_{m}0") * t[f"{m}0"] + F.col(f"p_{m}1") * t[f"{m}1"]), F.lit(0.0))
+    every = lambda m: F.col(f"p_{m}0") * t[f"{m}0"] + F.col(f"p_{m}1") * t[f"{m}1"]
+    says = lambda m, c: F.coalesce(F.try_divide(n(m) * F.col(f"p_{m}{c}") * t[f"{m}{c}"], every(m)), F.lit(0.0))  # noqa: E731  (a word may be the fold's alone)
     two = two.withColumns({f"o_{m}{c}": _own(F.col(f"n_{m}{c}"), says(m, c)) for m, c in each}).where(some)
     heads = two.groupBy("v").agg(*[F.sum(f"o_{m}{c}").alias(f"o_{m}{c}") for m, c in each]).join(w.select(F.col("w").alias("v"), *[f"f_{m}{c}" for m, c in each]), "v")
     heads = heads.withColumns({f"g_{m}{c}": F.when(F.col(f"f_{m}{c}") > 0, 1 - F.col(f"o_{m}{c}") / F.col(f"f_{m}{c}")).otherwise(F.lit(1.0)) for m, c in each})
