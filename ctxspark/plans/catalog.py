@@ -352,9 +352,9 @@ def alloc_running_peak(spark, sf):
 # Graphs
 
 
-@query(f"WITH {rel.CALLS_SQL}, e AS (SELECT *, CAST(row_number() OVER (PARTITION BY caller ORDER BY n DESC, callee) AS INTEGER) AS line FROM edges) SELECT caller, caller AS rel, min(line) AS line, count(*) AS calls FROM e WHERE split_part(callee, '::', 2) = '3' AND split_part(caller, '::', 2) <> '3' GROUP BY 1, 2")
+@query(f"WITH {rel.CALLS_SQL}, e AS (SELECT *, CAST(row_number() OVER (PARTITION BY caller ORDER BY n DESC, callee) AS INTEGER) AS line FROM edges) SELECT caller, caller AS rel, min(line) AS line, count(*) AS calls FROM e WHERE split_part(callee, '::', 2) = '19' AND split_part(caller, '::', 2) <> '19' GROUP BY 1, 2")
 def callers(spark, sf):
-    return graph.callers(rel.calls(spark, sf), "3")
+    return graph.callers(rel.calls(spark, sf), "19")
 
 
 @query(f"WITH {rel.CALLS_SQL} SELECT split_part(callee, '::', 2) AS callee, count(*) AS calls FROM edges WHERE split_part(caller, '::', 2) = '4' AND split_part(callee, '::', 2) <> '4' GROUP BY 1")
@@ -374,12 +374,12 @@ def call_path_bfs(spark, sf):
 
 
 @query(f"""WITH RECURSIVE {rel.CALLS_SQL}, w AS (SELECT '0' AS node, ['0'] AS path UNION ALL SELECT callee, list_append(path, callee) FROM w JOIN adj ON caller = node WHERE len(path) < 8 AND NOT list_contains(path, callee)),
-  g AS (SELECT max(CAST(callee AS INTEGER)) AS g FROM adj), b AS (SELECT path FROM w, g WHERE node = CAST(g AS VARCHAR) ORDER BY len(path), path LIMIT 1)
+  f AS (SELECT node, min(len(path)) AS d FROM w GROUP BY 1), g AS (SELECT node AS g FROM f ORDER BY d DESC, node LIMIT 1), b AS (SELECT path FROM w, g WHERE node = g ORDER BY len(path), path LIMIT 1)
   SELECT CAST(unnest(range(len(path))) AS INTEGER) AS step, unnest(path) AS node FROM b""")
 def call_path(spark, sf):
     adj = graph.adjacency(rel.calls(spark, sf))
-    goal = adj.agg(F.max(F.col("callee").cast("int"))).first()[0]
-    return graph.call_path(adj, "0", str(goal), 8)
+    goal = graph.reach(adj, "0", 7).orderBy(F.desc("depth"), "node").first()["node"]  # the farthest one
+    return graph.call_path(adj, "0", goal, 8)
 
 
 _COUPLED = f"""{rel.CALLS_SQL}, m AS (SELECT 'n::' || n_nationkey AS name, r_name AS module FROM nation JOIN region ON n_regionkey = r_regionkey),

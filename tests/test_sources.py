@@ -26,15 +26,23 @@ see [a](docs/a_(1).md) and [ext](https://x.y) and [<sp>](<a b.md>)
 again
 """
 
-CPP = """#include "demo.h"
-#include <vector>
-namespace demo {
-// A widget.
-struct Widget { int w; std::string name; };
-int area(const Widget& x) { return x.w * 2; } // area(no)
-int run() {
-  const char* s = "area(2)";
-  Widget a; return area(a);
+CPP = """#include <array>
+#include "gauge/tide.hpp"
+
+namespace harbor {
+struct Reading { double level; std::string place; long taken; };
+// Mean of a day's readings.
+double mean_level(const std::array<Reading, 24>& day) {
+  double sum = 0;
+  for (const auto& r : day) { sum += r.level; }
+  return sum / 24; // not mean_level(day)
+}
+bool flood(const std::array<Reading, 24>& day, double dyke) {
+  const char* note = "mean_level(x)";
+  if (mean_level(day) > dyke) {
+    return true;
+  }
+  return false;
 }
 }
 """
@@ -52,11 +60,11 @@ def test_links():
 
 
 def test_cpp():
-    defs, occ, edges = extract.code_rows("src/sample.cpp", CPP)
-    assert {(d["name"], d["kind"]) for d in defs} == {("demo::Widget", "Record"), ("demo::area", "Function"), ("demo::run", "Function")}
-    assert [(e["caller"], e["callee"], e["line"]) for e in edges] == [("demo::run", "area", 9)]
-    assert next(d for d in defs if d["name"] == "demo::Widget")["has_doc"]
-    assert next(d for d in defs if d["name"] == "demo::run")["end_line"] == 10
+    defs, occ, edges = extract.code_rows("src/tide.cpp", CPP)
+    assert {(d["name"], d["kind"]) for d in defs} == {("harbor::Reading", "Record"), ("harbor::mean_level", "Function"), ("harbor::flood", "Function")}
+    assert [(e["caller"], e["callee"], e["line"]) for e in edges] == [("harbor::flood", "mean_level", 14)]
+    assert {d["name"] for d in defs if d["has_doc"]} == {"harbor::mean_level"}
+    assert {d["name"].split("::")[1]: d["end_line"] for d in defs} == {"Reading": 5, "mean_level": 11, "flood": 18}
 
 
 def test_python():
@@ -82,20 +90,20 @@ def test_fields():
 def test_tree_and_relations(spark, tmp_path):
     (tmp_path / "src").mkdir()
     (tmp_path / "target").mkdir()
-    (tmp_path / "src/sample.cpp").write_text(CPP)
+    (tmp_path / "src/tide.cpp").write_text(CPP)
     (tmp_path / "target/gone.cpp").write_text(CPP)
     (tmp_path / "note.md").write_text(NOTE)
     t = files.tree(spark, str(tmp_path)).cache()
-    assert {(r.rel, r.lang) for r in t.collect()} == {("src/sample.cpp", "cpp"), ("note.md", None)}
-    assert {(r.target, r.angle) for r in files.includes(t).collect()} == {("demo.h", False), ("vector", True)}
+    assert {(r.rel, r.lang) for r in t.collect()} == {("src/tide.cpp", "cpp"), ("note.md", None)}
+    assert {(r.target, r.angle) for r in files.includes(t).collect()} == {("gauge/tide.hpp", False), ("array", True)}
     edges = files.call_edges(t)
-    assert [r.caller for r in graph.callers(edges, "area").collect()] == ["demo::run"]
+    assert [r.caller for r in graph.callers(edges, "mean_level").collect()] == ["harbor::flood"]
     assert files.chunks(files.sections(t.where("lang IS NULL"))).count() == 4
-    ctx = registry.symbol_context(files.definitions(t), edges, files.fields(t), "Widget")
-    assert ctx["layout"].count() == 2
+    ctx = registry.symbol_context(files.definitions(t), edges, files.fields(t), "Reading")
+    assert ctx["layout"].count() == 3
     assert [r.symbols for r in files.symbol_map(t).collect()][0]
-    ex = graph.usage_examples(files.occurrences(t), files.lines(t), "area", context=1).collect()
-    assert {r.line for r in ex} == {8, 9, 10}
+    ex = graph.usage_examples(files.occurrences(t), files.lines(t), "mean_level", context=1).collect()
+    assert {r.line for r in ex} == {13, 14, 15}
 
 
 def test_repo_source(spark, tmp_path):
