@@ -28,6 +28,9 @@ SEED = 42
 #: Odd multipliers that turn one shingle hash into several.
 MIX = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB]
 
+#: Bits of a set's parity.
+PARITY = 512
+
 
 def shingle_hashes(text: bytes, k: int) -> np.ndarray:
     """XXH64 of each k-word shingle of a UTF-8 text (A-Z lower-cased, words between ASCII white space), repeats included."""
@@ -68,21 +71,27 @@ def fingerprints(docs: DataFrame, keys: list[str], text: str = "text", k: int =
     return part.mapInArrow(work, arrow_schema(part, keys, "fp array<bigint>"))
 
 
-def ball_pairs(values: DataFrame, value: str, bits: int = 64, radius: int = 2, every: bool = False) -> DataFrame:
-    """Pairs (a, b) of distinct values that differ in at most `radius` of the low `bits` bits: for each group that meets on a
-    variant, its least value with every other one. With radius 2 these connect all that is within the radius. every: all
-    pairs (a < b) within the radius, for users to whom a connection isn't enough."""
+def _variants(values: DataFrame, value: str, bits: int, radius: int) -> DataFrame:
+    """variant and b: every value with all its variants within half the radius, in the low `bits` bits."""
     half = (radius + 1) // 2
     flips = [sum(1 << i for i in c) for n in range(half + 1) for c in combinations(range(bits), n)]
     signed = [f - (1 << 64) if f >> 63 else f for f in flips]
-    variants = values.select(F.col(value).alias("b"), F.explode(F.transform(F.lit(signed), lambda m: F.col(value).bitwiseXOR(m))).alias("variant"))
+    return values.select(F.col(value).alias("b"), F.explode(F.transform(F.lit(signed), lambda m: F.col(value).bitwiseXOR(m))).alias("variant"))
+
+
+def ball_meetings(values: DataFrame, value: str, bits: int = 64, radius: int = 2) -> DataFrame:
+    """variant, a, b: the distinct values b that share a variant with another one, a being the least of them. With radius 2
+    any two values of a variant are within the radius, and any two within the radius share a variant."""
     meeting = Window.partitionBy("variant")
-    if every:
-        group = variants.withColumn("group", F.collect_list("b").over(meeting)).where(F.size("group") > 1)
-        met = group.select("b", F.explode("group").alias("a")).where("a < b")
-    else:
-        met = variants.withColumn("a", F.min("b").over(meeting)).where("a != b")
-    return met.select("a", "b").distinct().where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
+    met = _variants(values, value, bits, radius).withColumns({"a": F.min("b").over(meeting), "most": F.max("b").over(meeting)})
+    return met.where("a != most").select("variant", "a", "b")
+
+
+def ball_pairs(values: DataFrame, value: str, bits: int = 64, radius: int = 2) -> DataFrame:
+    """Pairs (a, b) of distinct values that differ in at most `radius` of the low `bits` bits: for each group that meets on a
+    variant, its least value with every other one. With radius 2 these connect all that is within the radius."""
+    met = ball_meetings(values, value, bits, radius).where("a != b").select("a", "b").distinct()
+    return met.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
 def op6_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
@@ -100,10 +109,11 @@ def near_groups(docs: DataFrame, text: str = "text", k: int = 5, similarity: flo
     """node, root: distinct texts (by 64-bit hash) that are near-duplicates of another, and their component's root.
 
     Candidates: `tables` 32-bit halves of SimHashes over `features`-word shingles, ball hashing with radius 2 in each. In a
-    group of equal halves every text meets its centre, the least (in every second table the greatest) one, and the centres of
-    all halves within the radius meet. Every candidate pair is verified by the exact Jaccard similarity of its sets of k-word
-    shingles. Groups, and pairs of groups, that this leaves in several components hold pairs that weren't compared: their
-    texts are joined by rare_pairs, so that every pair within the radius is connected, verified or provably less similar.
+    group of equal halves every text meets its centre, the least (in every second table the greatest) one, and each half's
+    centre meets that of the least half within the radius that shares a variant's group with it: a text has two candidates
+    a table, however large its group. Every candidate pair is verified by the exact Jaccard similarity of its sets of k-word shingles. Groups
+    of a half or of a variant that this leaves in several components hold pairs that weren't compared: their texts are
+    joined by rare_pairs, so that every pair within the radius is connected, verified or provably less similar.
     """
     whole = F.col("_whole")
     texts = docs.select(text_or_empty(F.col(text)).alias("_whole")).select(F.xxhash64(whole).alias("node"), "_whole")
@@ -113,7 +123,8 @@ def near_groups(docs: DataFrame, text: str = "text", k: int = 5, similarity: flo
     even = F.shiftrightunsigned("half", 32).bitwiseAND(F.lit(1)) == 0
     centre = written(rows.groupBy("half").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).select("half", F.when(even, F.col("lo")).otherwise(F.col("hi")).alias("centre"), "n"), "centres")
     same = rows.join(centre.where("n > 1"), "half").select(F.col("node").alias("a"), F.col("centre").alias("b"))
-    near = written(ball_pairs(centre.select("half"), "half", 32, every=True).select(F.col("a").alias("x"), F.col("b").alias("y")), "near-halves")
+    meetings = written(ball_meetings(centre.select("half"), "half", 32), "meetings")
+    near = meetings.groupBy(F.col("b").alias("y")).agg(F.min("a").alias("x")).where("x != y")
     ends = lambda end, name: centre.select(F.col("half").alias(end), F.col("centre").alias(name))
     met = near.join(ends("x", "a"), "x").join(ends("y", "b"), "y").select("a", "b")
     pairs = written(same.unionByName(met).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
@@ -124,12 +135,13 @@ def near_groups(docs: DataFrame, text: str = "text", k: int = 5, similarity: flo
     sets = written(shingle_sets(shown, "node", "_whole", k), "shingle-sets")
     groups = written(connected_components(_alike(pairs, sets, similarity)), "near-groups")
 
-    # A group's least and greatest component; singles are compared by their centres, two texts of a group by themselves.
+    # The least and greatest component of a half's texts, then of a variant's. Two texts alone may have been compared themselves.
     rooted = rows.join(groups, "node", "left").select("node", "half", F.coalesce("root", "node").alias("root"))
     state = written(rooted.groupBy("half").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n")), "half-states")
-    side = lambda end: state.select(F.col("half").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("least", "most", "n")])
-    apart = near.join(side("x"), "x").join(side("y"), "y").where("n_x + n_y > 2 AND least(least_x, least_y) != greatest(most_x, most_y)")
-    open_ = state.where("n > 2 AND least != most").select("half").unionByName(apart.select(F.explode(F.array("x", "y")).alias("half"))).distinct()
+    known = meetings.join(state.withColumnRenamed("half", "b"), "b").join(near.select(F.col("y").alias("b"), "x"), "b", "left")
+    spread = known.groupBy("variant").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.sum("n").alias("n"), F.bool_or(F.col("a") == F.col("x")).alias("compared"))
+    variant = spread.where("least != most AND NOT (n = 2 AND coalesce(compared, false))")
+    open_ = state.where("n > 2 AND least != most").select("half").unionByName(meetings.join(variant, "variant", "left_semi").select(F.col("b").alias("half"))).distinct()
     left = written(rooted.join(open_, "half", "left_semi").select("node", "root").distinct(), "open-texts")
     more = written(_alike(rare_pairs(left.join(sets, "node"), similarity), sets, similarity), "rare-links")
     if more.isEmpty():
@@ -146,39 +158,45 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def rare_pairs(sets: DataFrame, similarity: float, salt: int = 2000) -> DataFrame:
-    """Pairs (a, b) that hold all pairs of that Jaccard similarity between different roots. sets: node, root, set.
+    """Pairs (a, b) that hold all pairs of that Jaccard similarity between different roots. sets: node, root, set, parity.
 
     Prefix filtering: shingles are ordered by rareness. The first one that two similar sets share lies among the first
     n - similarity n + 1 of the larger, the first n - 2 similarity / (1 + similarity) n + 1 of the smaller one, and leaves both
     enough for the overlap. Shingles of one text only take places but no rows; a frequent one is dealt out to several tasks.
+    A pair whose parities alone differ in more bits than its sets may in members isn't passed on.
     """
     each = sets.select("node", F.explode("set").alias("shingle"))
     shared = each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
     first = lambda part: F.col("n") - F.ceil(F.lit(part) * F.col("n") - 1e-9) + 1
     ranked = each.join(shared, "shingle").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("ranked"))
-    sized = ranked.join(sets.select("node", "root", F.size("set").alias("n")), "node").withColumn("alone", F.col("n") - F.size("ranked"))
+    sized = ranked.join(sets.select("node", "root", "parity", F.size("set").alias("n")), "node").withColumn("alone", F.col("n") - F.size("ranked"))
     prefix = F.slice("ranked", F.lit(1), F.greatest(first(similarity) - F.col("alone"), F.lit(0)).cast("int"))
-    keys = sized.select("node", "root", "n", "alone", F.posexplode(prefix).alias("at", "key")).select("node", "root", "n", (F.col("at") + F.col("alone")).alias("at"), "key.shingle", (F.col("key.df") / salt).cast("int").alias("salts"))
+    keys = sized.select("node", "root", "parity", "n", "alone", F.posexplode(prefix).alias("at", "key")).select("node", "root", "parity", "n", (F.col("at") + F.col("alone")).alias("at"), "key.shingle", (F.col("key.df") / salt).cast("int").alias("salts"))
     keys = written(keys, "rare-shingles")
-    fields = ("node", "root", "n", "at")
+    fields = ("node", "root", "parity", "n", "at")
     a = keys.select("shingle", *[F.col(c).alias(f"{c}_a") for c in fields], F.pmod(F.xxhash64("node"), F.col("salts") + 1).cast("int").alias("salt"))
     b = keys.where(F.col("at") < first(2 * similarity / (1 + similarity))).select("shingle", *[F.col(c).alias(f"{c}_b") for c in fields], F.explode(F.sequence(F.lit(0), "salts")).alias("salt"))
     needed = F.lit(similarity / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) - 1e-9
     ordered = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") > F.col("node_b")))
-    met = a.join(b, ["shingle", "salt"]).where(ordered & (F.col("root_a") != F.col("root_b")) & (F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= needed))
+    differ = sum((F.bit_count(F.col("parity_a")[i].bitwiseXOR(F.col("parity_b")[i])) for i in range(PARITY // 64)), F.lit(0))
+    near = differ <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) + 1e-9
+    met = a.join(b, ["shingle", "salt"]).where(ordered & near & (F.col("root_a") != F.col("root_b")) & (F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= needed))
     return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def shingle_sets(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """key and set: the distinct 32-bit hashes of a text's k-word shingles."""
+    """key, set: the distinct 32-bit hashes of a text's k-word shingles, and parity: for each of 512 values of their low bits
+    whether an odd number of them has it. Two parities differ in at most as many bits as their sets in members."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.unique((h ^ (h >> np.uint64(32))).astype(np.uint32)).view(np.int32) for h in (shingle_hashes(t or b"", k) for t in batch.column(1).cast(pa.binary()).to_pylist())]
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*sets, np.zeros(0, np.int32)])))], names=[key, "set"])
+            odd = [np.packbits(np.bincount(s & (PARITY - 1), minlength=PARITY) & 1).view(np.int64) for s in sets]
+            parity = pa.ListArray.from_arrays(np.arange(0, len(sets) + 1, dtype=np.int32) * (PARITY // 64), pa.array(np.concatenate([*odd, np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*sets, np.zeros(0, np.int32)]))), parity], names=[key, "set", "parity"])
 
-    return docs.select(key, text).mapInArrow(work, f"`{key}` bigint, set array<int>")
+    return docs.select(key, text).mapInArrow(work, f"`{key}` bigint, set array<int>, parity array<bigint>")
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:

@@ -352,8 +352,24 @@ def test_every_ball_pair(spark):
     rng = random.Random(6)
     base = [rng.getrandbits(32) for _ in range(20)]
     values = {b ^ sum(1 << x for x in rng.sample(range(32), n)) for b in base for n in (0, 1, 1, 2)}
-    pairs = simhash.ball_pairs(spark.createDataFrame([(v,) for v in values], "half long"), "half", 32, every=True).collect()
-    assert sorted((r.a, r.b) for r in pairs) == sorted((a, b) for a in values for b in values if a < b and bin(a ^ b).count("1") <= 2)
+    met = {}
+    for r in simhash.ball_meetings(spark.createDataFrame([(v,) for v in values], "half long"), "half", 32).collect():
+        met.setdefault(r.variant, []).append(r)
+    assert all(r.a == min(x.b for x in group) and len(group) > 1 for group in met.values() for r in group)
+    pairs = {(x.b, y.b) for group in met.values() for x in group for y in group if x.b < y.b}
+    assert sorted(pairs) == sorted((a, b) for a in values for b in values if a < b and bin(a ^ b).count("1") <= 2)
+
+
+def test_parity_bounds_difference(spark):
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(900)]
+    rows = [(i, " ".join(rng.sample(words, n) if n > 100 else words[:n])) for i, n in enumerate((0, 1, 4, 5, 6, 90, 100, 300, 900))]
+    rows += [(20 + i, near_copy(t, rng, 0.02)) for i, t in rows if t]
+    got = simhash.shingle_sets(spark.createDataFrame(rows, "node long, text string"), "node", "text", 5).collect()
+    for a in got:
+        for b in got:
+            bits = sum(bin((x ^ y) & (2**64 - 1)).count("1") for x, y in zip(a.parity, b.parity))
+            assert bits <= len(set(a.set) ^ set(b.set)) and (a.node != b.node or bits == 0)
 
 
 # op7, op10
