@@ -58,14 +58,16 @@ def drift(dirty: DataFrame, claims: DataFrame, cap: int = 8) -> DataFrame:
 
 
 def divergence(agents: DataFrame) -> DataFrame:
-    """bases on which active agents work and how many; work diverges if there is more than one (pairs follow from a join)."""
+    """bases on which active agents work and how many; work diverges if there is more than one."""
     return agents.where("base_oid != ''").groupBy("base_oid").agg(F.count("*").alias("agents"))
 
 
 def divergent_pairs(agents: DataFrame) -> DataFrame:
-    """a, b: active agents with different bases. Every pair is a finding, so use it where agents are few."""
-    x, y = (agents.where("base_oid != ''").select(F.col("agent_id").alias(n), F.col("base_oid").alias(f"base_{n}")) for n in "ab")
-    return x.join(y, (F.col("a") < F.col("b")) & (F.col("base_a") != F.col("base_b")))
+    """a, base_a, b, base_b: the least active agent, and every one whose base isn't that one's. Agents without a row share
+    its base, so two agents diverge exactly if their bases here differ; there is at most a row an agent."""
+    there = agents.where("base_oid != ''")
+    first = there.agg(F.min(F.struct("agent_id", "base_oid")).alias("f")).select(F.col("f.agent_id").alias("a"), F.col("f.base_oid").alias("base_a"))
+    return there.select(F.col("agent_id").alias("b"), F.col("base_oid").alias("base_b")).crossJoin(F.broadcast(first)).where("base_a != base_b").select("a", "base_a", "b", "base_b")
 
 
 def handoff_status(handoffs: DataFrame, agents: DataFrame, now: int, orphan_secs: int = 86_400) -> DataFrame:

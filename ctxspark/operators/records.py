@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.text import idea_slug, looks_generated  # noqa: F401
 from ..functions.vectors import freshness
 
+#: The states of an idea, and what an unresolved defect's score is multiplied by in a search.
+IDEA_STATUSES = ("seed", "sprouted", "planned", "implemented", "archived")
+DEFECT_BOOSTS = {"eyeball_fail": 8.0, "open": 4.0, "gated": 2.0}
+
 
 def upsert(table: DataFrame, new: DataFrame, key: str, order: str, retain: int | None = None) -> DataFrame:
     """Both tables with one row per key, the newest by `order`; null fields of it keep what was there before. `retain` keeps
@@ -98,6 +102,36 @@ def capture_idea(ideas: DataFrame, title: str, body: str, tags: list[str], today
     return ideas.unionByName(row, allowMissingColumns=True)
 
 
+def touch_ideas(ideas: DataFrame, which: Column, today: str, **fields: Column) -> DataFrame:
+    """ideas in which the chosen ones have today as their touched day and the given fields. Age and freshness follow from with_freshness."""
+    today = F.lit(today).cast(ideas.schema["touched"].dataType)
+    return ideas.withColumns({c: F.when(which, v).otherwise(F.col(c)) for c, v in ({"touched": today} | fields).items()})
+
+
+def set_idea_status(ideas: DataFrame, which: Column, status: str, today: str, archive_reason: str | None = None) -> DataFrame:
+    """Touched ideas with a new status; a reason is kept (trimmed) only for archived ones. ValueError for an unknown status."""
+    if status not in IDEA_STATUSES:
+        raise ValueError(f"status must be one of {', '.join(IDEA_STATUSES)}")
+    reason = {"archive_reason": F.lit(archive_reason.strip())} if status == "archived" and archive_reason is not None else {}
+    return touch_ideas(ideas, which, today, status=F.lit(status), **reason)
+
+
+def defect_chunks(defects: DataFrame, path: str = "") -> DataFrame:
+    """Unresolved defects as chunks of the search corpus: id, path, heading, body and the boost of their status. Of the array
+    columns acceptance, evidence and anchors the filled ones have lines in the body; a missing or null column is empty."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    items = lambda c: F.col(c) if c in defects.columns else F.lit(None).cast("array<string>")
+    filled = lambda c, line: F.when(F.size(items(c)) > 0, line(items(c))).otherwise("")
+    joined = lambda label, mark: lambda a: F.concat(F.lit(label), F.array_join(a, mark), F.lit("\n"))
+    body = F.concat(
+        F.lit("Defect "), text("id"), F.lit(" ("), text("status"), F.lit(") in "), F.coalesce(F.nullif(F.col("subsystem"), F.lit("")), F.lit("unspecified")), F.lit(": "), text("summary"), F.lit("\n"),
+        filled("acceptance", joined("Acceptance:\n- ", "\n- ")), filled("evidence", joined("Evidence: ", "; ")), filled("anchors", joined("Anchors: ", ", ")),
+    )
+    boost = F.coalesce(*[F.when(F.col("status") == s, F.lit(b)) for s, b in DEFECT_BOOSTS.items()], F.lit(0.0))
+    heading = F.concat(F.lit("DEFECT ["), text("status"), F.lit("] "), text("id"))
+    return defects.where("status IS NULL OR status != 'done'").select("id", F.lit(path).alias("path"), heading.alias("heading"), body.alias("body"), boost.alias("boost"))
+
+
 def read_board(entries: DataFrame, since_id: int | None = None, role: str | None = None, tag: str | None = None, recipient: str | None = None) -> DataFrame:
     """Blackboard entries after an id, of a role, with a tag, for a recipient (or for nobody in particular)."""
     e = facet(entries, role=role)

@@ -403,12 +403,13 @@ def fan_in(spark, sf):
     return graph.fan_in(rel.modules(spark, sf).select("name"), rel.calls(spark, sf))
 
 
-@query(f"""WITH {rel.CALLS_SQL} SELECT 'n::' || n_nationkey AS name, 'n' AS rel, n_nationkey AS line, n_regionkey = 0 AS caveat FROM nation
-  WHERE CAST(n_nationkey AS VARCHAR) NOT IN (SELECT callee FROM adj) AND n_nationkey NOT IN (SELECT DISTINCT c_nationkey FROM customer WHERE c_custkey < 12)""")
+@query(f"""WITH {rel.CALLS_SQL} SELECT 'n::' || c_custkey AS name, 'n' AS rel, c_custkey AS line, c_nationkey = 0 AS caveat FROM customer
+  WHERE CAST(c_custkey AS VARCHAR) NOT IN (SELECT callee FROM adj) AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT')""")
 def dead_nodes(spark, sf):
-    n = read(spark, sf, "nation")
-    defs = n.select(F.concat(F.lit("n::"), F.col("n_nationkey")).alias("name"), F.lit("n").alias("rel"), F.col("n_nationkey").alias("line"), (F.col("n_regionkey") == 0).alias("exported"), F.lit(0).alias("mtime_days"))
-    occ = read(spark, sf, "customer").where("c_custkey < 12").select(F.col("c_nationkey").cast("string").alias("name"), F.lit("ref").alias("role"))
+    """Customers as definitions, urgent pending orders as their mentions."""
+    c = read(spark, sf, "customer")
+    defs = c.select(F.concat(F.lit("n::"), F.col("c_custkey")).alias("name"), F.lit("n").alias("rel"), F.col("c_custkey").alias("line"), (F.col("c_nationkey") == 0).alias("exported"), F.lit(0).alias("mtime_days"))
+    occ = read(spark, sf, "orders").where("o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'").select(F.col("o_custkey").cast("string").alias("name"), F.lit("ref").alias("role"))
     return graph.dead(defs, rel.calls(spark, sf), occ).select("name", "rel", "line", "caveat")
 
 
@@ -456,10 +457,10 @@ def backlinks(spark, sf):
 # Changes
 
 
-@query("""WITH s AS (SELECT c_nationkey AS rel, c_custkey AS start, c_custkey + 9 AS "end" FROM customer WHERE c_custkey % 5 = 0), h AS (SELECT s_nationkey AS rel, s_suppkey * 13 AS first, s_suppkey * 13 + 4 AS last FROM supplier)
+@query("""WITH s AS (SELECT c_nationkey AS rel, c_custkey AS start, c_custkey + 9 AS "end" FROM customer), h AS (SELECT s_nationkey AS rel, s_suppkey * 13 AS first, s_suppkey * 13 + 4 AS last FROM supplier)
   SELECT rel, start, "end" FROM s WHERE EXISTS (SELECT 1 FROM h WHERE h.rel = s.rel AND start <= last AND "end" >= first)""")
 def changed_spans(spark, sf):
-    s = read(spark, sf, "customer").where("c_custkey % 5 = 0").select(F.col("c_nationkey").alias("rel"), F.col("c_custkey").alias("start"), (F.col("c_custkey") + 9).alias("end"))
+    s = read(spark, sf, "customer").select(F.col("c_nationkey").alias("rel"), F.col("c_custkey").alias("start"), (F.col("c_custkey") + 9).alias("end"))
     h = read(spark, sf, "supplier").select(F.col("s_nationkey").alias("rel"), (F.col("s_suppkey") * 13).alias("first"), (F.col("s_suppkey") * 13 + 4).alias("last"))
     return change.overlapping(s, h)
 
@@ -575,6 +576,24 @@ def upsert_latest(spark, sf):
     return records.upsert(d, n, "id", "updated", retain=200)
 
 
+@query(rf"""WITH {rel.DEFECTS_SQL}
+  SELECT id, 'DEFECT [' || status || '] ' || id AS heading, 'Defect ' || id || ' (' || status || ') in ' || CASE WHEN subsystem = '5-LOW' THEN 'unspecified' ELSE subsystem END || ': ' || summary || chr(10) || CASE WHEN o_custkey % 2 = 0 THEN 'Acceptance:' || chr(10) || '- c' || o_custkey || chr(10) || '- d' || chr(10) ELSE '' END
+    || CASE WHEN o_custkey % 3 = 0 THEN 'Evidence: e; f' || chr(10) ELSE '' END || CASE WHEN o_custkey % 5 = 0 THEN 'Anchors: g, h' || chr(10) ELSE '' END AS body, CASE status WHEN 'eyeball_fail' THEN 8.0 WHEN 'open' THEN 4.0 ELSE 2.0 END::DOUBLE AS boost
+  FROM df WHERE status <> 'done'""")
+def defect_chunks(spark, sf):
+    some = lambda n, *items: F.when(F.col("o_custkey") % n == 0, F.array(*items)).otherwise(F.array().cast("array<string>"))
+    lists = {"acceptance": some(2, F.concat(F.lit("c"), "o_custkey"), F.lit("d")), "evidence": some(3, F.lit("e"), F.lit("f")), "anchors": some(5, F.lit("g"), F.lit("h"))}
+    d = rel.defects(spark, sf).withColumn("subsystem", F.when(F.col("subsystem") != "5-LOW", F.col("subsystem"))).withColumns(lists)
+    return records.defect_chunks(d).select("id", "heading", "body", "boost")
+
+
+@query(f"""WITH {rel.IDEAS_SQL} SELECT slug, CASE WHEN slug % 7 = 0 THEN 'archived' ELSE status END AS status, CASE WHEN slug % 7 = 0 THEN '{rel.TODAY}' ELSE CAST(day AS VARCHAR) END AS touched, CASE WHEN slug % 7 = 0 THEN 'old' END AS archive_reason FROM idea""")
+def idea_status(spark, sf):
+    ideas = rel.ideas(spark, sf).withColumn("archive_reason", F.lit(None).cast("string"))
+    out = records.set_idea_status(ideas, F.col("slug") % 7 == 0, "archived", rel.TODAY, " old ")
+    return out.select("slug", "status", "touched", "archive_reason")
+
+
 @query("SELECT CAST(user_id AS VARCHAR) AS path, arg_min('b' || event_id, event_id) AS restore, arg_max('a' || event_id, event_id) AS expected, count(*) AS edits FROM events GROUP BY 1")
 def undo_target(spark, sf):
     e = read(spark, sf, "events").select(F.col("user_id").cast("string").alias("path"), F.col("event_id").alias("ord"), F.concat(F.lit("b"), F.col("event_id")).alias("before"), F.concat(F.lit("a"), F.col("event_id")).alias("after"))
@@ -623,10 +642,10 @@ def drift(spark, sf):
     return presence.drift(d, rel.claims(spark, sf).select("agent_id", "path"))
 
 
-@query("""WITH a AS (SELECT CAST(s_suppkey AS VARCHAR) AS agent_id, CASE WHEN s_nationkey % 4 = 0 THEN '' ELSE 'b' || s_nationkey % 3 END AS base_oid FROM supplier WHERE s_suppkey < 40)
-  SELECT x.agent_id AS a, x.base_oid AS base_a, y.agent_id AS b, y.base_oid AS base_b FROM a x JOIN a y ON x.agent_id < y.agent_id AND x.base_oid <> y.base_oid WHERE x.base_oid <> '' AND y.base_oid <> ''""")
+@query("""WITH a AS (SELECT CAST(s_suppkey AS VARCHAR) AS agent_id, CASE WHEN s_nationkey % 4 = 0 THEN '' ELSE 'b' || s_nationkey % 3 END AS base_oid FROM supplier), f AS (SELECT min(agent_id) AS a, arg_min(base_oid, agent_id) AS base_a FROM a WHERE base_oid <> '')
+  SELECT f.a, f.base_a, agent_id AS b, base_oid AS base_b FROM a, f WHERE base_oid <> '' AND base_oid <> base_a""")
 def divergence(spark, sf):
-    a = read(spark, sf, "supplier").where("s_suppkey < 40").select(F.col("s_suppkey").cast("string").alias("agent_id"), F.when(F.col("s_nationkey") % 4 == 0, "").otherwise(F.concat(F.lit("b"), F.col("s_nationkey") % 3)).alias("base_oid"))
+    a = read(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("agent_id"), F.when(F.col("s_nationkey") % 4 == 0, "").otherwise(F.concat(F.lit("b"), F.col("s_nationkey") % 3)).alias("base_oid"))
     return presence.divergent_pairs(a)
 
 
@@ -649,7 +668,7 @@ def holdout_split(spark, sf):
 # Decisions
 
 _OPT = f"list_filter(string_split_regex(lower({{}}), '[^a-z0-9]+'), lambda x: length(x) >= 2 AND x NOT IN ({STOP_SQL}))"
-OPTIONS_SQL = f"""rq AS (SELECT CAST(d.doc_id AS VARCHAR) AS id, {_OPT.format("substr(text, 1, 300) || ' ' || 'which of the th er on'")} AS ctx FROM documents d WHERE doc_id < 120),
+OPTIONS_SQL = f"""rq AS (SELECT CAST(d.doc_id AS VARCHAR) AS id, {_OPT.format("coalesce(text || ' ', '') || 'which of the th er on'")} AS ctx FROM documents d),
   op(ord, option, descr) AS (VALUES (0, 'alpha', 'the of inea er on th'), (1, 'beta', 'de la que ion'), (2, 'gamma', 'der die und sch'), (3, 'delta', 'erly hath ion on')),
   tk AS (SELECT id, option, ord, ctx, {_OPT.format("option || ' ' || descr")} AS toks FROM rq, op),
   fr AS (SELECT id, option, ord, list_transform(toks, lambda t: len(list_filter(ctx, lambda c: c = t))) AS f, len(toks) AS n FROM tk),
@@ -659,7 +678,7 @@ OPTIONS_SQL = f"""rq AS (SELECT CAST(d.doc_id AS VARCHAR) AS id, {_OPT.format("s
 
 def _requests(spark, sf):
     options = "array(named_struct('id', 'alpha', 'description', 'the of inea er on th'), named_struct('id', 'beta', 'description', 'de la que ion'), named_struct('id', 'gamma', 'description', 'der die und sch'), named_struct('id', 'delta', 'description', 'erly hath ion on'))"
-    return read(spark, sf, "documents").where("doc_id < 120").select(F.col("doc_id").cast("string").alias("id"), F.substring("text", 1, 300).alias("state"), F.lit("which of the th er on").alias("question"), F.expr(options).alias("options"))
+    return read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("state"), F.lit("which of the th er on").alias("question"), F.expr(options).alias("options"))
 
 
 @query(f"WITH {OPTIONS_SQL} SELECT id, option, round(raw_score, 6) AS raw_score, round(probability, 6) AS probability FROM pr")
@@ -698,9 +717,9 @@ def token_sizes(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.when(n >= 1000, "big").otherwise("small").alias("size"), n.alias("tokens"))
 
 
-@query("""SELECT doc_id, CASE WHEN s = '' THEN 'section' ELSE s END AS slug FROM (SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 60)), '[^\\p{L}\\p{N}_]+', '-', 'g'), '-') AS s FROM documents)""")
+@query("""SELECT doc_id, CASE WHEN s = '' THEN 'section' ELSE s END AS slug FROM (SELECT doc_id, trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}_]+', '-', 'g'), '-') AS s FROM documents)""")
 def heading_slugs(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", tx.heading_slug(F.substring("text", 1, 60)).alias("slug"))
+    return read(spark, sf, "documents").select("doc_id", tx.heading_slug(F.col("text")).alias("slug"))
 
 
 @query("""SELECT vec_id, label, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST((SELECT embedding FROM embeddings WHERE vec_id = 1) AS DOUBLE[])), 6) AS cosine FROM embeddings""")

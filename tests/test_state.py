@@ -91,3 +91,32 @@ def test_pressure(spark, n, level):
     e = spark.range(n).select(F.lit("ok").alias("outcome"))
     assert telemetry.pressure(e).first().level == level
     assert telemetry.pressure(e.limit(0)).first().level == "low"
+
+
+def test_defect_chunks(spark):
+    rows = [("d1", "open", "", "s", ["x", "y"], [], None), ("d2", "done", "ui", "s", [], [], []), ("d3", "odd", "ui", None, None, ["e"], ["a", "b"]), ("d4", None, None, "s", [], [], [])]
+    d = spark.createDataFrame(rows, "id string, status string, subsystem string, summary string, acceptance array<string>, evidence array<string>, anchors array<string>")
+    got = {r.id: (r.heading, r.body, r.boost) for r in records.defect_chunks(d).collect()}
+    assert got == {
+        "d1": ("DEFECT [open] d1", "Defect d1 (open) in unspecified: s\nAcceptance:\n- x\n- y\n", 4.0),
+        "d3": ("DEFECT [odd] d3", "Defect d3 (odd) in ui: \nEvidence: e\nAnchors: a, b\n", 0.0),
+        "d4": ("DEFECT [] d4", "Defect d4 () in unspecified: s\n", 0.0),
+    }
+    plain = records.defect_chunks(d.drop("acceptance", "evidence", "anchors")).collect()
+    assert {r.body for r in plain} == {"Defect d1 (open) in unspecified: s\n", "Defect d3 (odd) in ui: \n", "Defect d4 () in unspecified: s\n"}
+
+
+def test_idea_writes(spark):
+    ideas = spark.createDataFrame([("a", "seed", "2024-01-01", None), ("b", "seed", "2024-01-02", "was")], "slug string, status string, touched string, archive_reason string")
+    chosen = F.col("slug") == "b"
+    assert [tuple(r) for r in records.touch_ideas(ideas, chosen, "2024-02-01").orderBy("slug").collect()] == [("a", "seed", "2024-01-01", None), ("b", "seed", "2024-02-01", "was")]
+    assert tuple(records.set_idea_status(ideas, chosen, "archived", "2024-02-01", " no ").where(chosen).first()) == ("b", "archived", "2024-02-01", "no")
+    assert tuple(records.set_idea_status(ideas, chosen, "sprouted", "2024-02-01", "no").where(chosen).first()) == ("b", "sprouted", "2024-02-01", "was")
+    with pytest.raises(ValueError):
+        records.set_idea_status(ideas, chosen, "lost", "2024-02-01")
+
+
+def test_divergence_is_linear(spark):
+    agents = spark.createDataFrame([("a", "o1"), ("b", "o2"), ("c", "o2"), ("d", "o1"), ("e", ""), ("f", "o3")], "agent_id string, base_oid string")
+    assert sorted(tuple(r) for r in presence.divergent_pairs(agents).collect()) == [("a", "o1", "b", "o2"), ("a", "o1", "c", "o2"), ("a", "o1", "f", "o3")]
+    assert presence.divergent_pairs(agents.where("base_oid = 'none'")).count() == 0
