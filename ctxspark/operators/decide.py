@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import option_tokens
@@ -20,15 +20,20 @@ Scorer = Callable[[DataFrame], DataFrame]
 def word_scores(requests: DataFrame) -> DataFrame:
     """0.5, plus 1 + ln(1 + f) for every word of an option that the context has f times, plus the share of such words.
 
-    An option's words are looked up in the context's array, so a request is scored where it lies.
+    A request is scored where it lies: its context is split once, and only the options' scores are exploded. Options' words are
+    tokens already, so the context's short and stop words needn't be taken out: none of them equals one.
     """
-    ctx = option_tokens(F.concat_ws(" ", "state", "question"))
-    each = requests.select("id", ctx.alias("_ctx"), F.posexplode("options").alias("ord", "o")).select("id", "ord", "_ctx", F.col("o.id").alias("option"), option_tokens(F.concat_ws(" ", F.col("o.id"), F.col("o.description"))).alias("_toks"))
-    f = lambda t: F.size(F.filter("_ctx", lambda c: c == t))
-    counts = each.withColumn("_f", F.transform("_toks", f))
-    hits = F.filter("_f", lambda n: n > 0)
-    score = F.lit(0.5) + F.aggregate(hits, F.lit(0.0), lambda s, n: s + 1 + F.log(n.cast("double") + 1)) + F.size(hits) / F.greatest(F.size("_toks"), F.lit(1))
-    return counts.select("id", "option", "ord", score.alias("raw_score"))
+    context = F.split(F.lower(F.concat_ws(" ", "state", "question")), "[^a-z0-9]+")
+
+    def score(ctx: Column, o: Column) -> Column:
+        words = option_tokens(F.concat_ws(" ", o["id"], o["description"]))
+        found = F.filter(F.transform(words, lambda w: F.size(ctx) - F.size(F.array_remove(ctx, w))), lambda f: f > 0)
+        start = F.struct(F.lit(0.5).alias("sum"), F.lit(0).alias("n"))
+        add = lambda a, f: F.struct((a["sum"] + 1 + F.log(f.cast("double") + 1)).alias("sum"), (a["n"] + 1).alias("n"))
+        return F.aggregate(found, start, add, lambda a: a["sum"] + a["n"] / F.greatest(F.size(words), F.lit(1)))
+
+    scored = F.transform(F.array(context), lambda ctx: F.transform("options", lambda o: F.struct(o["id"].alias("option"), score(ctx, o).alias("raw_score"))))
+    return requests.select("id", F.posexplode(scored[0]).alias("ord", "o")).select("id", "o.option", "ord", "o.raw_score")
 
 
 def probabilities(scores: DataFrame, temperature: float = 1.0) -> DataFrame:

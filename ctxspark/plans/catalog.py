@@ -678,7 +678,7 @@ OPTIONS_SQL = f"""rq AS (SELECT CAST(d.doc_id AS VARCHAR) AS id, {_OPT.format("c
 
 def _requests(spark, sf):
     options = "array(named_struct('id', 'alpha', 'description', 'the of inea er on th'), named_struct('id', 'beta', 'description', 'de la que ion'), named_struct('id', 'gamma', 'description', 'der die und sch'), named_struct('id', 'delta', 'description', 'erly hath ion on'))"
-    return read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("state"), F.lit("which of the th er on").alias("question"), F.expr(options).alias("options"))
+    return rel.spread(read(spark, sf, "documents").select("doc_id", "text")).select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("state"), F.lit("which of the th er on").alias("question"), F.expr(options).alias("options"))
 
 
 @query(f"WITH {OPTIONS_SQL} SELECT id, option, round(raw_score, 6) AS raw_score, round(probability, 6) AS probability FROM pr")
