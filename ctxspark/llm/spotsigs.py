@@ -10,7 +10,9 @@ can hold partners; within them sets meet on their rarest signatures (as many as
 lengths differ too much are pruned, and the rest is verified exactly. Equal fingerprints are one set.
 
 Edge cases: a text of anchors only has one signature, of all its words; one without words, of the text itself; a null or empty
-text has no signatures, and is like another such one (1.0) and nothing else (0.0). Repeated rows are rows of their own.
+text has no signatures, and is like another such one (1.0) and nothing else (0.0). Repeated rows are rows of their own, next to
+each other; null ids come first; a text of any length is read whole; other columns aren't read; a row alone follows itself;
+no rows give no rows.
 """
 
 from __future__ import annotations
@@ -56,20 +58,38 @@ def jaccard(a: str, b: str) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
-def next_text(docs: DataFrame, rows_per_bucket: int = 20_000, least: int = 1000, most: int = 2_000_000) -> DataFrame:
+def _ranges(rows: DataFrame, key: str, per: int) -> DataFrame:
+    """rows with longer paths `bucket`: those of over 4 * per rows are split by `key` until they are smaller or hold one value of it.
+
+    A path is an array of places that sorts as its rows do. A range is split at equal distances between its own least and
+    greatest value, so outlying values cost a level more, not a large range; each level at least halves a range's width.
+    What is broadcast is a row for each range that is split: at most a fourth of (number of rows / per).
+    """
+    exact = lambda c: F.col(c).cast("decimal(20,0)")
+    while True:
+        cells = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi"))
+        hot = written(cells.where((F.col("n") > 4 * per) & (F.col("lo") < F.col("hi"))), "ranges")
+        if hot.isEmpty():
+            return rows
+        parts = F.greatest(F.lit(16), F.ceil(F.col("n") / per)).cast("double")
+        place = F.floor((exact(key) - exact("lo")).cast("double") / (exact("hi") - exact("lo") + 1).cast("double") * parts)
+        split = rows.join(F.broadcast(hot), "bucket", "left")
+        rows = split.withColumn("bucket", F.when(F.col("n").isNull(), F.col("bucket")).otherwise(F.concat("bucket", F.array(place)))).drop("n", "lo", "hi")
+
+
+def next_text(docs: DataFrame, rows_per_bucket: int = 20_000, least: int = 1000, most: int = 100_000) -> DataFrame:
     """doc_id, text, next_text: the text of the row that follows by doc_id (nulls first; ties by text hash; the first follows the last).
 
-    doc_id is cut into equal ranges. Each range's first row is also put at the end of the range before it, so that every row
-    finds its successor in its own range; at most `most` (range, doc_id) pairs are broadcast to find those first rows.
+    doc_id is cut into ranges of at most about `rows_per_bucket` rows (fewer in small tables, so that there are about `least` ranges;
+    more where there would be over `most`); an id, or null, with more rows is cut by text hash. Each range's first row is also
+    put at the end of the range before it, so that every row finds its successor in its own range. The ranges' first ids are broadcast.
     """
     docs = docs.select("doc_id", "text")
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, high = (low or 0), (high or 0)
-    buckets = min(most, max(least, n // rows_per_bucket))
-    width = max(1, -(-(high - low + 1) // buckets))
-    bucket = F.coalesce(F.floor((F.col("doc_id").cast("decimal(20,0)") - F.lit(low)) / F.lit(width)).cast("long"), F.lit(-1))
-    rows = docs.withColumns({"bucket": bucket, "tie": F.xxhash64("text")})
-    firsts = rows.groupBy("bucket").agg(F.min("doc_id").alias("first_id"))
+    n = docs.count()
+    per = max(1, min(rows_per_bucket, n // least), n // most)
+    rows = docs.withColumns({"bucket": F.array(F.when(F.col("doc_id").isNull(), 0).otherwise(1).cast("long")), "tie": F.xxhash64("text")})
+    rows = _ranges(_ranges(rows, "doc_id", per), "tie", per)
+    firsts = written(rows.groupBy("bucket").agg(F.min("doc_id").alias("first_id")), "first-ids")
     order = Window.orderBy("bucket")
     before = firsts.select("first_id", F.col("bucket").alias("of"), F.coalesce(F.lag("bucket").over(order), F.max("bucket").over(Window.partitionBy())).alias("into"))
     heads = rows.join(F.broadcast(before), (rows["bucket"] == F.col("of")) & rows["doc_id"].eqNullSafe(F.col("first_id")))

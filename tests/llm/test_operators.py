@@ -271,6 +271,20 @@ def test_next_text(spark):
     assert spotsigs.next_text(docs(spark, [])).where("NOT head").count() == 0
 
 
+def test_next_text_skew(spark):
+    """An outlying id, a third of the rows under one id, a third without one, and ids that double: every range stays small."""
+    ids = [*range(5000), 10**15, *(2**k for k in range(13, 62)), *[77] * 3000, *[None] * 3000]
+    rows = [(i, f"text {k}") for k, i in enumerate(ids)] + [(9, "same")] * 40
+    out = spotsigs.next_text(docs(spark, rows), rows_per_bucket=50, least=10).where("NOT head").cache()
+    per = out.groupBy("bucket").count().agg(F.max("count")).first()[0]
+    assert per <= 4 * 50
+    order = spark.createDataFrame(rows, "doc_id long, text string").withColumn("tie", F.xxhash64("text")).collect()
+    order.sort(key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.tie))
+    want = sorted((str(r.doc_id), r.text, s.text) for r, s in zip(order, order[1:] + order[:1]))
+    assert sorted((str(r.doc_id), r.text, r.next_text) for r in out.collect()) == want
+    out.unpersist()
+
+
 def test_similar_pairs(spark, sf):
     rows = brute.rows(sf, "documents", "doc_id", "text")
     member, pairs = spotsigs.similar_pairs(docs(spark, [*rows, (None, None), (-1, "")]), similarity=0.8)
