@@ -222,3 +222,13 @@ def resolve_symbol(names: DataFrame, symbol: str, n: int = 8) -> DataFrame:
     scored = names.select(segment(F.col("name")).alias("name")).distinct().withColumn("score", fuzzy_score(needle, F.col("name"))).where("score IS NOT NULL")
     exact = scored.where("score = 0")
     return exact if not exact.isEmpty() else scored.orderBy("score", "name").limit(n)
+
+
+def includees(includes: DataFrame, rel: str) -> DataFrame:
+    """What a file includes (target, ord), each target at its first directive, in order."""
+    return includes.where(F.col("rel") == rel).groupBy("target").agg(F.min("ord").alias("ord")).orderBy("ord", "target")
+
+
+def of_kind(definitions: DataFrame, *kinds: str) -> DataFrame:
+    """Definitions of the given kinds, functions and records if none is given."""
+    return definitions.where(F.col("kind").isin(*(kinds or ("function", "record"))))

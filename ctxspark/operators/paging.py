@@ -12,11 +12,17 @@ from pyspark.sql import functions as F
 
 def budget_page(rows: DataFrame, size: Column, order: list, budget: int, offset: int = 0, page: int = 10_000) -> DataFrame:
     """From the offset on, the rows that fit in the budget: they stop at the first that doesn't, but one is always given.
-    Adds rank (from 1) and used. A page is read from the top `page` rows, so only those are sorted in one place."""
-    top = rows.orderBy(*order).limit(offset + page)
+    Adds rank (from 1) and used. Only the top rows are sorted in one place: `page` of them, and four times as many as long as
+    these all fit, so that is in proportion to what is given."""
     w = Window.orderBy(*order)
-    sized = top.withColumn("rank", F.row_number().over(w)).where(F.col("rank") > offset)
-    sized = sized.withColumn("used", F.sum(size).over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)))
+    while True:
+        top = rows.orderBy(*order).limit(offset + page)
+        sized = top.withColumn("rank", F.row_number().over(w)).where(F.col("rank") > offset)
+        sized = sized.withColumn("used", F.sum(size).over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)))
+        n, used = sized.agg(F.count("*"), F.max("used")).first()
+        if n < page or used > budget:
+            break
+        page *= 4
     over = F.min(F.when(F.col("used") > budget, F.col("rank"))).over(Window.partitionBy())
     return sized.withColumn("_over", over).where(F.col("_over").isNull() | (F.col("rank") < F.col("_over")) | (F.col("rank") == offset + 1)).drop("_over")
 

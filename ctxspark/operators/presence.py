@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import folders_above, paths_overlap
 
+#: Keys under which a source body would be stored.
+BODY_KEYS = ("patch", "diff", "source", "file_contents", "contents")
+
 
 def idempotent(journal: DataFrame, key: str = "idempotency_key", order: str = "seq") -> DataFrame:
     """The first event of each key; events without a key all stay."""
@@ -172,3 +175,47 @@ def gate_minima(played: DataFrame) -> DataFrame:
 
 def overlaps(a, b):
     return paths_overlap(a, b)
+
+
+def unsafe_payload(body: Column) -> Column:
+    """Why a JSON body isn't stored: a source body under a key at the top, or key material anywhere; null if it may be."""
+    keys = F.array_intersect(F.json_object_keys(body), F.lit(list(BODY_KEYS)))
+    return F.when(F.size(keys) > 0, F.concat(F.lit("source body: "), F.array_join(F.array_sort(keys), ", "))).when(F.contains(body, F.lit("-----BEGIN ")), F.lit("secret"))
+
+
+def admit(agents: DataFrame, requests: DataFrame, handoffs: DataFrame, now: int, ttl: int = 300, suspend_ttl: int = 86_400) -> DataFrame:
+    """What becomes of a batch of check-ins, updates and check-outs: ord, agent_id, kind, status, error, lease, revision, expires_at.
+
+    agents: agent_id, state, lease_id, revision, expires_at, ttl_secs, dirty (how many paths), checkpoint. requests: ord,
+    agent_id, kind, lease_id, expected_revision, force, state, ttl_secs, dirty, checkpoint, reason, handoff (whether it gives
+    one), handoff_id (which it takes). handoffs: handoff_id, to, status. Status is ok, already (checked out before), refused, or
+    deferred: an agent's later requests wait for the state after its first one, so a batch is judged by joins alone.
+    """
+    q = requests.join(requests.groupBy("agent_id").agg(F.min("ord").alias("_first")), "agent_id")
+    a = agents.select("agent_id", *[F.col(c).alias(f"_{c}") for c in ("state", "lease_id", "revision", "expires_at", "ttl_secs", "dirty", "checkpoint")])
+    h = handoffs.select("handoff_id", F.col("to").alias("_to"), F.col("status").alias("_offer"))
+    j = q.join(a, "agent_id", "left").join(h, "handoff_id", "left")
+    c = F.col
+    known, gone = c("_revision").isNotNull(), c("_state") == "checked_out"
+    live = known & ~gone
+    mine = F.coalesce(c("lease_id") == c("_lease_id"), F.lit(False))
+    expired = (c("_expires_at") > 0) & (F.lit(now) >= c("_expires_at"))
+    conflict = F.coalesce(c("expected_revision") != F.coalesce("_revision", F.lit(0)), F.lit(False))
+    taken = F.when(c("handoff_id").isNull(), None).when(c("_offer").isNull(), "unknown handoff").when(c("_offer") != "offered", "handoff not offered").when((c("_to") != "") & (c("_to") != c("agent_id")), "handoff is another's")
+    to = F.coalesce("state", "_state")
+    unsaved = (to == "suspended") & (F.coalesce("dirty", "_dirty", F.lit(0)) > 0) & (F.coalesce("checkpoint", "_checkpoint", F.lit("")) == "")
+    lease = F.when(c("lease_id").isNull(), "lease required").when(~mine, "lease mismatch").when(conflict, "revision conflict")
+    enter = F.when(live & ~mine & ~expired & ~F.coalesce("force", F.lit(False)), "checked in").when(conflict, "revision conflict").otherwise(taken)
+    change = F.when(~live, "not checked in").when(lease.isNotNull(), lease).when(to == "checked_out", "update can't check out").when(unsaved, "checkpoint required")
+    leave = F.when(~known, "not checked in").when(gone, None).when(lease.isNotNull(), lease).when((c("reason") == "handed_off") & ~F.coalesce("handoff", F.lit(False)), "handoff required")
+    error = F.when(c("kind") == "check_in", enter).when(c("kind") == "update", change).when(c("kind") == "check_out", leave).otherwise("unknown kind")
+    later = c("ord") > c("_first")
+    out = j.withColumn("error", F.when(~later, error))
+    state = F.when(later, "deferred").when(c("error").isNotNull(), "refused").when((c("kind") == "check_out") & gone, "already").otherwise("ok")
+    out = out.withColumn("status", state)
+    revision = F.coalesce("_revision", F.lit(0)) + 1
+    fresh = (c("kind") == "check_in") & ~(live & mine)
+    key = F.when(fresh, F.substring(F.md5(F.concat_ws("|", "agent_id", revision, F.lit(now))), 1, 16)).otherwise(c("_lease_id"))
+    life = F.when((c("kind") == "update") & (to == "suspended"), suspend_ttl).when(c("kind") == "update", F.coalesce("ttl_secs", F.greatest("_ttl_secs", F.lit(ttl)))).otherwise(F.coalesce("ttl_secs", F.lit(ttl)))
+    ok = c("status") == "ok"
+    return out.select("ord", "agent_id", "kind", "status", "error", F.when(ok, key).alias("lease"), F.when(ok, revision).alias("revision"), F.when(ok & (c("kind") != "check_out"), F.lit(now) + F.greatest(life, F.lit(1))).alias("expires_at"))

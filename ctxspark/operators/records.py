@@ -206,3 +206,15 @@ def compose_note(content: Column, heading: str, body: str, mode: str = "append")
     if mode == "append":
         return added
     return F.when(content.rlike(section), F.regexp_replace(content, section, F.lit(block.replace("\\", "\\\\").replace("$", "\\$")))).otherwise(added)
+
+
+def recent(files: DataFrame, n: int = 20) -> DataFrame:
+    """The newest files (path, mtime), 1 to 100 of them; ties by path."""
+    return files.orderBy(F.desc("mtime"), "path").limit(min(max(n, 1), 100))
+
+
+def outdated(manifest: DataFrame, files: DataFrame, by: str = "path", at: str = "mtime") -> DataFrame:
+    """path and change: added, changed (another time than in the manifest) or removed."""
+    m, f = manifest.select(by, F.col(at).alias("_old")), files.select(by, F.col(at).alias("_new"))
+    change = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").when(F.col("_old") != F.col("_new"), "changed")
+    return m.join(f, by, "full_outer").select(by, change.alias("change")).where("change IS NOT NULL")

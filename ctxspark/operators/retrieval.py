@@ -66,14 +66,15 @@ def search(chunks: DataFrame, query: str, id: str = "chunk_id", body: str = "bod
 
 
 def search_many(chunks: DataFrame, queries: DataFrame, id: str = "chunk_id", body: str = "body", query_id: str = "query_id", query: str = "query", k: int = 5) -> DataFrame:
-    """query_id, chunk id, score and rank: the best k chunks for every query."""
+    """query_id, chunk id, score and rank: the best k chunks for every query. Only the queries' terms are dealt out, once, by
+    chunk; each task scores its chunks and passes on its best k of each query."""
     q = queries.select(F.col(query_id).alias("_q"), F.explode(tokens(F.col(query))).alias("term")).groupBy("_q", "term").agg(F.count("*").alias("qf"))
     terms = q.select("term").distinct()
     few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     small = F.broadcast if few else (lambda df: df)
     base = chunks.select(F.col(id).alias("_id"), tokens(F.col(body)).alias("_t")).select("_id", F.size("_t").alias("dl"), "_t")
     stats = base.where("dl > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    tf = base.select("_id", "dl", F.explode("_t").alias("term")).join(small(terms), "term", "left_semi").groupBy("_id", "dl", "term").agg(F.count("*").alias("tf"))
+    tf = base.select("_id", "dl", F.explode("_t").alias("term")).join(small(terms), "term", "left_semi").repartition("_id").groupBy("_id", "dl", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     part = tf.join(small(df) if few else df, "term").join(small(q) if few else q, "term").crossJoin(F.broadcast(stats))
     scored = part.groupBy("_q", "_id").agg(F.sum(F.col("qf") * idf(F.col("n"), F.col("df")) * bm25_weight(F.col("tf").cast("double"), F.col("dl"), F.col("avgdl"))).alias("score"))

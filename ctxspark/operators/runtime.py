@@ -94,3 +94,16 @@ def reordered(fields: DataFrame, by: str = "type") -> DataFrame:
     w = Window.partitionBy(by).orderBy(F.desc("bytes"), "ord")
     sized = fields.withColumn("bytes", type_size(F.col("ty")))
     return sized.withColumns({"place": F.row_number().over(w), "offset": F.sum("bytes").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("bytes")})
+
+
+def metric(snapshot: Column, key: str) -> Column:
+    """A number of a JSON snapshot, as a long: `pools.NAME` (its in_use) or `pools.NAME.FIELD` by the pool's name, or a JSON
+    pointer, with or without its first slash. Null if there is no number."""
+    if key.startswith("pools."):
+        name, _, field = key[len("pools.") :].partition(".")
+        pools = F.from_json(F.get_json_object(snapshot, "$.pools"), "array<map<string,string>>")
+        found = F.get(F.filter(pools, lambda p: p["name"] == name), F.lit(0))[field or "in_use"]
+    else:
+        steps = [s.replace("~1", "/").replace("~0", "~") for s in key.strip("/").split("/")]
+        found = F.get_json_object(snapshot, "$" + "".join(f"[{s}]" if s.isdigit() else f"['{s}']" for s in steps))
+    return F.floor(found.try_cast("double")).cast("long")

@@ -120,3 +120,10 @@ def pressure(events: DataFrame, unresolved: int = 0, eyeball: int = 0, failed_ru
     score = F.when(e >= 80, 3).when(e >= 40, 2).when(e >= 20, 1).otherwise(0) + F.when(r >= 20, 2).when(r >= 10, 1).otherwise(0) + F.when(t >= 20, 1).otherwise(0) + fixed
     s = F.col("score")
     return base.withColumn("score", score).withColumn("level", F.when(s <= 2, "low").when(s <= 5, "medium").when(s <= 8, "high").otherwise("critical"))
+
+
+def averages(calls: DataFrame, *by: str) -> DataFrame:
+    """calls, board_calls (from the blackboard), fallback_calls (that took the plain path), the mean ratio, and the mean of the
+    precisions that are numbers, of calls (used, ratio, precision, from_board)."""
+    measured = F.when(~F.isnan("precision"), F.col("precision"))
+    return calls.groupBy(*by).agg(F.count("*").alias("calls"), F.count_if("from_board").alias("board_calls"), F.count_if(~F.col("used")).alias("fallback_calls"), F.avg("ratio").alias("ratio"), F.avg(measured).alias("precision"), F.count(measured).alias("measured"))

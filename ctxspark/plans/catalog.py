@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vectors as vx
-from ..operators import change, decide, graph, paging, presence, records, retrieval, runtime, telemetry, trace
+from ..operators import change, decide, digest, graph, paging, presence, records, retrieval, runtime, telemetry, trace
 from . import relations as rel
 from .relations import read
 
@@ -808,6 +808,148 @@ def stream_allocs(spark, sf):
     return rollups.drain(rollups.allocations(a), _name("allocs"), "update").select("proc", "live", "peak")
 
 
+# Digests, presence requests and stores
+
+STATUS_SQL = """st AS (SELECT p_size % 7 AS run, p_partkey AS ord, CASE p_partkey % 6 WHEN 0 THEN '??' WHEN 1 THEN ' M' WHEN 2 THEN 'A ' WHEN 3 THEN 'D ' WHEN 4 THEN 'RM' ELSE 'UU' END AS code, lower(p_type) AS folder, p_name || p_partkey AS name FROM part)"""
+
+
+@query(f"""WITH {STATUS_SQL}, k AS (SELECT run, ord, CASE trim(code) WHEN '??' THEN 'untracked ' || folder WHEN 'M' THEN 'modified' WHEN 'A' THEN 'added' WHEN 'D' THEN 'deleted' WHEN 'RM' THEN 'renamed' ELSE 'other' END AS kind, CASE WHEN code <> '??' THEN folder || '/' || name END AS path FROM st),
+  r AS (SELECT *, row_number() OVER (PARTITION BY run, kind ORDER BY ord) AS rn FROM k)
+  SELECT run, kind, count(*) AS n, coalesce(string_agg(path, chr(10) ORDER BY ord) FILTER (rn <= 40), '') AS paths, greatest(count(path) - 40, 0) AS more FROM r GROUP BY 1, 2""")
+def digest_status(spark, sf):
+    p = read(spark, sf, "part")
+    code = F.element_at(F.lit(["??", " M", "A ", "D ", "RM", "UU"]), (F.col("p_partkey") % 6 + 1).cast("int"))
+    lines = p.select((F.col("p_size") % 7).alias("run"), F.col("p_partkey").alias("ord"), F.concat(code, F.lit(" "), F.lower("p_type"), F.lit("/"), F.col("p_name"), F.col("p_partkey")).alias("text"))
+    lines = lines.unionByName(lines.select("run", F.lit(0).cast("long").alias("ord"), F.lit("## main...origin/main").alias("text")).distinct())
+    return digest.status(lines).withColumn("paths", F.array_join("paths", "\n"))
+
+
+@query("SELECT o_custkey AS run, substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 7) AS hash, o_orderpriority || ' ' || o_orderkey AS subject FROM orders WHERE o_orderkey % 9 <> 0")
+def digest_log(spark, sf):
+    """A customer's orders as its commits; every ninth has no subject."""
+    o = read(spark, sf, "orders")
+    subject = F.when(F.col("o_orderkey") % 9 != 0, F.concat(F.lit("    "), F.col("o_orderpriority"), F.lit(" "), F.col("o_orderkey"))).otherwise(F.lit(""))
+    parts = F.array(F.concat(F.lit("commit "), F.md5(F.col("o_orderkey").cast("string"))), F.lit("Author: someone"), F.lit("Date: today"), F.lit(""), subject)
+    lines = o.select(F.col("o_custkey").alias("run"), "o_orderkey", F.posexplode(parts).alias("at", "text")).select("run", (F.col("o_orderkey") * 8 + F.col("at")).alias("ord"), "text")
+    return digest.log(lines).select("run", "hash", "subject")
+
+
+_TEST_LINES = "t AS (SELECT l_suppkey AS run, l_returnflag AS flag, l_linenumber AS line FROM lineitem)"
+
+
+@query(f"WITH {_TEST_LINES} SELECT run, count(*) FILTER (flag = 'A') AS passed, count(*) FILTER (flag = 'R') AS failed, count(*) FILTER (flag = 'R' OR (flag = 'N' AND line = 1)) AS kept FROM t GROUP BY 1")
+def digest_ctest(spark, sf):
+    flag = F.col("l_returnflag")
+    text = F.when(flag == "A", "1/9 Test #1: a ... Passed").when(flag == "R", "2/9 Test #2: b ...***Failed").when(F.col("l_linenumber") == 1, "90% tests passed").otherwise("Start 1: a")
+    return digest.ctest(read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("run"), text.alias("text")))[0]
+
+
+_RUN_SQL = "l AS (SELECT user_id % 50 AS run, event_id AS ord, CASE event_type WHEN 'click' THEN 'A' WHEN 'error' THEN 'R' ELSE 'N' END AS flag FROM events)"
+
+
+def _run_lines(spark, sf, a: str, r: str, n: str) -> DataFrame:
+    """Users' events as lines of 50 runs: clicks, errors, and all others."""
+    text = F.when(F.col("event_type") == "click", a).when(F.col("event_type") == "error", r).otherwise(n)
+    return read(spark, sf, "events").select((F.col("user_id") % 50).alias("run"), F.col("event_id").alias("ord"), text.alias("text"))
+
+
+@query(f"""WITH {_RUN_SQL}, b AS (SELECT *, last_value(CASE WHEN flag <> 'N' THEN flag END IGNORE NULLS) OVER (PARTITION BY run ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM l)
+  SELECT run, count(*) FILTER (flag = 'A') AS passed, count(*) FILTER (flag = 'R') AS failed, count(*) FILTER (flag = 'R' OR (flag = 'N' AND before = 'R')) AS kept FROM b GROUP BY 1""")
+def digest_cargo_test(spark, sf):
+    """Errors fail, clicks pass, other events are indented lines."""
+    return digest.cargo_test(_run_lines(spark, sf, "test a ... ok", "test b ... FAILED", "    left: 1"))[0]
+
+
+@query(f"""WITH {_RUN_SQL}, r AS (SELECT *, count(*) FILTER (flag = 'A') OVER (PARTITION BY run ORDER BY ord) AS file FROM l),
+  c AS (SELECT *, count(*) FILTER (flag = 'R') OVER (PARTITION BY run, file ORDER BY ord) AS n FROM r)
+  SELECT run, ord, CASE WHEN flag = 'A' THEN 'diff --git a b' WHEN n <= 1 THEN '+x' ELSE '…' END AS text FROM c WHERE flag = 'A' OR (flag = 'R' AND n <= 2)""")
+def digest_diff(spark, sf):
+    return digest.diff(_run_lines(spark, sf, "diff --git a b", "+x", " same"), cap=1)
+
+
+@query(f"WITH {_RUN_SQL} SELECT run, ord FROM l WHERE flag <> 'N'")
+def digest_build(spark, sf):
+    return digest.build(_run_lines(spark, sf, "Finished dev", "ERROR: no", "Compiling x")).select("run", "ord")
+
+
+ADMIT_SQL = """ag AS (SELECT 'c' || c_custkey AS agent_id, CASE c_custkey % 4 WHEN 0 THEN 'checked_out' WHEN 1 THEN 'suspended' ELSE 'checked_in' END AS state, 'L' || c_custkey % 3 AS lease, c_custkey % 5 AS revision, c_custkey % 11 * 100 AS expires_at, c_custkey % 2 AS dirty FROM customer),
+  rq AS (SELECT o_orderkey AS ord, 'c' || (o_custkey + CASE WHEN o_orderkey % 13 = 0 THEN 10000000 ELSE 0 END) AS agent_id, CASE o_orderstatus WHEN 'O' THEN 'check_in' WHEN 'F' THEN 'update' ELSE 'check_out' END AS kind, CASE WHEN o_orderkey % 7 <> 0 THEN 'L' || o_custkey % CASE WHEN o_orderkey % 5 = 0 THEN 2 ELSE 3 END END AS lease,
+    CASE WHEN o_orderkey % 6 = 0 THEN o_custkey % 5 + CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE 0 END END AS expected, o_orderkey % 10 = 3 AS force, CASE o_orderkey % 8 WHEN 1 THEN 'suspended' WHEN 2 THEN 'checked_out' WHEN 3 THEN 'live_code' END AS state, CASE WHEN o_orderkey % 3 = 0 THEN 50 END AS ttl, CASE WHEN o_orderkey % 16 = 1 THEN 'stash' END AS checkpoint,
+    CASE WHEN o_orderkey % 2 = 0 THEN 'handed_off' END AS reason, o_orderkey % 4 = 0 AS handoff, CASE WHEN o_orderkey % 15 = 0 THEN 'h' || o_orderkey % 4 END AS handoff_id, row_number() OVER (PARTITION BY o_custkey, o_orderkey % 13 = 0 ORDER BY o_orderkey) AS rn FROM orders),
+  ho(handoff_id, recipient, offer) AS (VALUES ('h0', '', 'offered'), ('h1', 'c1', 'offered'), ('h2', '', 'accepted'))"""
+
+
+@query(f"""WITH {ADMIT_SQL}, j AS (SELECT rq.*, ag.state AS now_state, ag.lease AS now_lease, ag.revision AS have, ag.expires_at AS until, ag.dirty, ho.offer, ho.recipient FROM rq LEFT JOIN ag USING (agent_id) LEFT JOIN ho USING (handoff_id)),
+  e AS (SELECT *, CASE WHEN rn > 1 THEN NULL
+    WHEN kind = 'check_in' THEN CASE WHEN now_state <> 'checked_out' AND lease IS DISTINCT FROM now_lease AND NOT (until > 0 AND 600 >= until) AND NOT force THEN 'checked in' WHEN expected <> coalesce(have, 0) THEN 'revision conflict'
+      WHEN handoff_id IS NULL THEN NULL WHEN offer IS NULL THEN 'unknown handoff' WHEN offer <> 'offered' THEN 'handoff not offered' WHEN recipient <> '' AND recipient <> agent_id THEN 'handoff is another''s' END
+    WHEN have IS NULL THEN 'not checked in' WHEN now_state = 'checked_out' THEN CASE WHEN kind = 'update' THEN 'not checked in' END
+    WHEN lease IS NULL THEN 'lease required' WHEN lease <> now_lease THEN 'lease mismatch' WHEN expected <> have THEN 'revision conflict'
+    WHEN kind = 'update' THEN CASE WHEN state = 'checked_out' THEN 'update can''t check out' WHEN coalesce(state, now_state) = 'suspended' AND dirty > 0 AND checkpoint IS NULL THEN 'checkpoint required' END
+    WHEN reason = 'handed_off' AND NOT handoff THEN 'handoff required' END AS error FROM j),
+  s AS (SELECT *, CASE WHEN rn > 1 THEN 'deferred' WHEN error IS NOT NULL THEN 'refused' WHEN kind = 'check_out' AND now_state = 'checked_out' THEN 'already' ELSE 'ok' END AS status FROM e)
+  SELECT ord, agent_id, kind, status, error, CASE WHEN status = 'ok' THEN CASE WHEN kind <> 'check_in' OR (now_state <> 'checked_out' AND lease = now_lease) THEN now_lease ELSE substr(md5(agent_id || '|' || (coalesce(have, 0) + 1) || '|600'), 1, 16) END END AS lease,
+    CASE WHEN status = 'ok' THEN coalesce(have, 0) + 1 END AS revision, CASE WHEN status = 'ok' AND kind <> 'check_out' THEN 600 + CASE WHEN kind = 'update' AND coalesce(state, now_state) = 'suspended' THEN 86400 ELSE coalesce(ttl, 300) END END AS expires_at FROM s""")
+def presence_admit(spark, sf):
+    """Customers as agents and orders as their requests; every thirteenth comes from a stranger."""
+    k, o = F.col("c_custkey"), F.col("o_orderkey")
+    agents = read(spark, sf, "customer").select(F.concat(F.lit("c"), k).alias("agent_id"), F.when(k % 4 == 0, "checked_out").when(k % 4 == 1, "suspended").otherwise("checked_in").alias("state"), F.concat(F.lit("L"), k % 3).alias("lease_id"), (k % 5).alias("revision"), (k % 11 * 100).alias("expires_at"), F.lit(300).alias("ttl_secs"), (k % 2).alias("dirty"), F.lit(None).cast("string").alias("checkpoint"))
+    cust = F.col("o_custkey")
+    requests = read(spark, sf, "orders").select(
+        o.alias("ord"),
+        F.concat(F.lit("c"), cust + F.when(o % 13 == 0, 10_000_000).otherwise(0)).alias("agent_id"),
+        F.when(F.col("o_orderstatus") == "O", "check_in").when(F.col("o_orderstatus") == "F", "update").otherwise("check_out").alias("kind"),
+        F.when(o % 7 != 0, F.concat(F.lit("L"), cust % F.when(o % 5 == 0, 2).otherwise(3))).alias("lease_id"),
+        F.when(o % 6 == 0, cust % 5 + F.when(o % 4 == 0, 1).otherwise(0)).alias("expected_revision"),
+        (o % 10 == 3).alias("force"),
+        F.when(o % 8 == 1, "suspended").when(o % 8 == 2, "checked_out").when(o % 8 == 3, "live_code").alias("state"),
+        F.when(o % 3 == 0, 50).alias("ttl_secs"),
+        F.lit(None).cast("long").alias("dirty"),
+        F.when(o % 16 == 1, "stash").alias("checkpoint"),
+        F.when(o % 2 == 0, "handed_off").alias("reason"),
+        (o % 4 == 0).alias("handoff"),
+        F.when(o % 15 == 0, F.concat(F.lit("h"), o % 4)).alias("handoff_id"),
+    )
+    handoffs = spark.sql("SELECT * FROM VALUES ('h0', '', 'offered'), ('h1', 'c1', 'offered'), ('h2', '', 'accepted') AS h(handoff_id, to, status)")
+    return presence.admit(agents, requests, handoffs, now=600)
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'source body: diff, patch' WHEN event_id % 4 = 1 THEN 'secret' END AS why FROM events""")
+def payload_check(spark, sf):
+    k = F.col("event_id") % 4
+    body = F.when(k == 0, '{"patch": "x", "diff": "-----BEGIN y", "note": 1}').when(k == 1, '{"note": {"deep": ["-----BEGIN KEY"]}}').when(k == 2, '{"note": {"patch": "x"}}').otherwise("[]")
+    return read(spark, sf, "events").select("event_id", presence.unsafe_payload(body).alias("why"))
+
+
+@query("SELECT p_partkey, CAST(p_size AS BIGINT) AS used, CAST(p_size * 2 AS BIGINT) AS peak, CAST(p_partkey AS BIGINT) AS deep, CAST(NULL AS BIGINT) AS none FROM part")
+def metric_pointers(spark, sf):
+    """A part as a runtime snapshot in JSON."""
+    pools = F.array(F.struct(F.lit("other").alias("name"), F.lit(1).alias("in_use"), F.lit(2).alias("peak")), F.struct(F.lit("heap").alias("name"), F.col("p_size").cast("int").alias("in_use"), (F.col("p_size") * 2).cast("int").alias("peak")))
+    snap = F.to_json(F.struct(pools.alias("pools"), F.struct(F.array(F.lit(0), F.col("p_partkey")).alias("list")).alias("a/b"), F.col("p_brand").alias("label")))
+    s = read(spark, sf, "part").select("p_partkey", snap.alias("s"))
+    return s.select("p_partkey", runtime.metric(F.col("s"), "pools.heap").alias("used"), runtime.metric(F.col("s"), "pools.heap.peak").alias("peak"), runtime.metric(F.col("s"), "/a~1b/list/1").alias("deep"), runtime.metric(F.col("s"), "label").alias("none"))
+
+
+@query("SELECT event_type AS mode, count(*) AS calls, count(*) FILTER (event_id % 3 = 0) AS board_calls, count(*) FILTER (event_id % 2 <> 0) AS fallback_calls, round(avg(event_id % 7), 6) AS ratio, round(avg(event_id % 5) FILTER (event_id % 4 <> 0), 6) AS \"precision\", count(*) FILTER (event_id % 4 <> 0) AS measured FROM events GROUP BY 1")
+def optical_averages(spark, sf):
+    e = F.col("event_id")
+    calls = read(spark, sf, "events").select(F.col("event_type").alias("mode"), (e % 2 == 0).alias("used"), (e % 7).cast("double").alias("ratio"), F.when(e % 4 == 0, F.lit(float("nan"))).otherwise((e % 5).cast("double")).alias("precision"), (e % 3 == 0).alias("from_board"))
+    return telemetry.averages(calls, "mode").withColumns({"ratio": F.round("ratio", 6), "precision": F.round("precision", 6)})
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS path, CAST(floor(epoch(o_orderdate)) AS BIGINT) AS mtime FROM orders ORDER BY mtime DESC, path LIMIT 100")
+def recent_docs(spark, sf):
+    files = rel.defects(spark, sf).select(F.col("id").cast("string").alias("path"), F.col("updated").alias("mtime"))
+    return records.recent(files, 500)
+
+
+@query("SELECT o_orderkey AS path, CASE WHEN o_orderkey % 5 = 0 THEN 'added' WHEN o_orderkey % 7 = 0 THEN 'removed' ELSE 'changed' END AS change FROM orders WHERE (o_orderkey % 5 = 0) <> (o_orderkey % 7 = 0) OR (o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 AND o_orderkey % 3 = 0)")
+def manifest_outdated(spark, sf):
+    """Orders as files: every fifth isn't in the manifest, every seventh is gone, every third has another time."""
+    o = read(spark, sf, "orders").select(F.col("o_orderkey").alias("path"))
+    return records.outdated(o.where("path % 5 != 0").withColumn("mtime", F.lit(1)), o.where("path % 7 != 0").withColumn("mtime", F.when(F.col("path") % 3 == 0, 2).otherwise(1)))
+
+
 def plan_of(df: DataFrame) -> str:
     """The formatted physical plan, for tests and the bench."""
     return df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")

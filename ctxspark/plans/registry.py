@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import change, decide, graph, paging, presence, records, retrieval, runtime, telemetry, trace
+from ..operators import change, decide, digest, graph, paging, presence, records, retrieval, runtime, telemetry, trace
 from ..sources import files
 
 
@@ -75,13 +75,13 @@ TOOLS: dict[str, Callable] = {
     "board_status": records.convergence, "board_finalize": records.handoff, "session_handoff": records.handoff, "defect_upsert": records.upsert, "defect_list": records.list_defects, "idea_list": records.facet,
     "idea_show": retrieval.similar, "idea_upsert": records.capture_idea, "idea_review": records.review_queue, "idea_touch": records.touch_ideas, "idea_status": records.set_idea_status,
     "run_record": records.upsert, "run_history": records.run_history, "artifact_index": files.artifacts, "session_pressure": telemetry.pressure, "commit_scope": change.scopes, "presence_status": presence.findings,
-    "presence_advise": presence.findings, "continuation": paging.budget_page,
+    "presence_advise": presence.findings, "presence_check_in": presence.admit, "presence_update": presence.admit, "presence_check_out": presence.admit, "continuation": paging.budget_page,
+    "includees": graph.includees, "digest_status": digest.status, "digest_log": digest.log, "digest_diff": digest.diff, "digest_tests": digest.ctest, "digest_build": digest.build, "recent_docs": records.recent,
 }
 
 #: Tools without a function here, and why.
 OUTSIDE = {
     "doc_comment": "not implemented: definitions say whether there is a comment, not what it says", "trace_profile": "not implemented: perf_triage and trace_summary give its parts",
-    "presence_check_in": "not implemented: leases and revisions aren't checked on writing", "presence_update": "not implemented: see presence_check_in", "presence_check_out": "not implemented: see presence_check_in",
     "idea_bookmark": "not implemented: write the row with records.upsert",
     "decision_bridge": "a bridge to another program's library", "board_timeline": "draws images", "write_gate": "a switch of the host's write tools", "profile_upsert": "edits the host's configuration",
     "task_submit": "jobs on other machines", "task_status": "jobs on other machines", "task_fetch": "jobs on other machines", "task_cancel": "jobs on other machines", "worker_status": "jobs on other machines",

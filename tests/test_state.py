@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from ctxspark.operators import decide, graph, presence, records, telemetry
+from ctxspark.operators import decide, digest, graph, paging, presence, records, telemetry
 
 
 def rows(spark, data, schema):
@@ -120,3 +120,63 @@ def test_divergence_is_linear(spark):
     agents = spark.createDataFrame([("a", "o1"), ("b", "o2"), ("c", "o2"), ("d", "o1"), ("e", ""), ("f", "o3")], "agent_id string, base_oid string")
     assert sorted(tuple(r) for r in presence.divergent_pairs(agents).collect()) == [("a", "o1", "b", "o2"), ("a", "o1", "c", "o2"), ("a", "o1", "f", "o3")]
     assert presence.divergent_pairs(agents.where("base_oid = 'none'")).count() == 0
+
+
+def test_budget_page_grows(spark):
+    x = spark.range(500).selectExpr("id", "CAST(id >= 450 AS INT) AS size")
+    got = [r.id for r in paging.budget_page(x, F.col("size"), ["id"], 3, offset=2, page=5).orderBy("id").collect()]
+    assert got == list(range(2, 453))
+    assert paging.budget_page(x.limit(0), F.col("size"), ["id"], 3).count() == 0
+
+
+def output(spark, text):
+    return rows(spark, [("r", i, t) for i, t in enumerate(text.split("\n"))], "run string, ord int, text string")
+
+
+def test_digests(spark):
+    short = output(spark, "## main...origin/main\n M a/b.py\n?? new/x.py\n?? new/y.py\n?? top\nR  old.py -> new.py\nMM c\n\nnothing here")
+    got = {r.kind: (r.n, r.paths, r.more) for r in digest.status(short, cap=1).collect()}
+    assert got == {"modified": (2, ["a/b.py"], 1), "untracked new": (2, [], 0), "untracked .": (1, [], 0), "renamed": (1, ["new.py"], 0)}
+    long = output(spark, "On branch main\n\tmodified:   a.rs\n\tnew file:   b.rs\n\tdeleted:    c.rs")
+    assert {(r.kind, r.path) for r in digest.status_lines(long).collect()} == {("modified", "a.rs"), ("added", "b.rs"), ("deleted", "c.rs")}
+    log = output(spark, "commit 0123456789ab\nAuthor: x\nDate: y\n\n    First thing\n\n    body\ncommit fedcba9876\nMerge: a b\n\n    Second")
+    assert [(r.hash, r.subject) for r in digest.log(log).orderBy("ord").collect()] == [("0123456", "First thing"), ("fedcba9", "Second")]
+    assert [(r.hash, r.subject) for r in digest.log(output(spark, "0123456 one\nabcdef0 two\nno hash")).orderBy("ord").collect()] == [("0123456", "one"), ("abcdef0", "two")]
+    assert digest.log(output(spark, "")).count() == 0
+    lines = [r.text for r in digest.diff(output(spark, "diff --git a b\nindex 1\n--- a\n+++ b\n@@ -1 +1 @@\n same\n+1\n-2\n+3\n+4\ndiff --git c d\n+5"), cap=2).orderBy("ord").collect()]
+    assert lines == ["diff --git a b", "index 1", "--- a", "+++ b", "@@ -1 +1 @@", "+1", "-2", "…", "diff --git c d", "+5"]
+    counts, kept = digest.cargo_test(output(spark, "test a ... ok\n    lost\ntest b ... FAILED\n    why\n\tmore\nother\n    lost\ntest result: FAILED. 1 passed"))
+    assert tuple(counts.first())[1:] == (1, 2, 4) and [r.ord for r in kept.orderBy("ord").collect()] == [2, 3, 4, 7]
+    one = spark.range(1).select(digest.shorter(F.lit("ab"), F.lit("abc")).alias("a"), digest.shorter(F.lit(""), F.lit("abc")).alias("b"), digest.shorter(F.lit("abcd"), F.lit("abc")).alias("c")).first()
+    assert tuple(one) == ("ab", "abc", "abc")
+
+
+def test_admit(spark):
+    agents = rows(spark, [("a", "checked_in", "L", 3, 100, 60, 1, None), ("b", "checked_out", "M", 5, 100, 60, 0, None)], "agent_id string, state string, lease_id string, revision int, expires_at int, ttl_secs int, dirty int, checkpoint string")
+    handoffs = rows(spark, [("h", "z", "offered")], "handoff_id string, to string, status string")
+    fields = "ord int, agent_id string, kind string, lease_id string, expected_revision int, force boolean, state string, ttl_secs int, dirty int, checkpoint string, reason string, handoff boolean, handoff_id string"
+
+    def ask(agent, kind, lease=None, expected=None, force=None, state=None, ttl=None, dirty=None, checkpoint=None, reason=None, handoff=None, handoff_id=None, now=50):
+        r = presence.admit(agents, rows(spark, [(1, agent, kind, lease, expected, force, state, ttl, dirty, checkpoint, reason, handoff, handoff_id)], fields), handoffs, now).first()
+        return r.status, r.error, r.revision, r.expires_at
+
+    assert ask("a", "check_in") == ("refused", "checked in", None, None)
+    assert ask("a", "check_in", "L") == ("ok", None, 4, 350)
+    assert ask("a", "check_in", now=100) == ("ok", None, 4, 400)
+    assert ask("c", "check_in", expected=0, ttl=10) == ("ok", None, 1, 60)
+    assert ask("c", "check_in", handoff_id="h") == ("refused", "handoff is another's", None, None)
+    assert ask("z", "check_in", handoff_id="h") == ("ok", None, 1, 350)
+    assert ask("a", "update", "L", state="suspended") == ("refused", "checkpoint required", None, None)
+    assert ask("a", "update", "L", state="suspended", checkpoint="s") == ("ok", None, 4, 86_450)
+    assert ask("a", "update", "L", expected=2) == ("refused", "revision conflict", None, None)
+    assert ask("b", "update", "M") == ("refused", "not checked in", None, None)
+    assert ask("b", "check_out", "M") == ("already", None, None, None)
+    assert ask("a", "check_out", "L", reason="handed_off") == ("refused", "handoff required", None, None)
+    assert ask("a", "check_out", "L") == ("ok", None, 4, None)
+
+
+def test_includees_and_kinds(spark):
+    i = rows(spark, [("a.c", "x.h", 2), ("a.c", "y.h", 1), ("a.c", "x.h", 5), ("b.c", "z.h", 1)], "rel string, target string, ord int")
+    assert [tuple(r) for r in graph.includees(i, "a.c").collect()] == [("y.h", 1), ("x.h", 2)]
+    d = rows(spark, [("f", "function"), ("r", "record"), ("m", "module")], "name string, kind string")
+    assert {r.name for r in graph.of_kind(d).collect()} == {"f", "r"} and graph.of_kind(d, "module").count() == 1
