@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vectors as vx
 from ..operators import change, decide, digest, graph, paging, presence, records, retrieval, runtime, telemetry, trace
+from ..storage import stored
 from . import relations as rel
 from .relations import read
 
@@ -808,6 +809,87 @@ def stream_allocs(spark, sf):
     return rollups.drain(rollups.allocations(a), _name("allocs"), "update").select("proc", "live", "peak")
 
 
+#: Presence requests: a user's events, five users to a group; clients know the lease of their last check-in, if it was accepted.
+REQUESTS_SQL = """e AS (SELECT event_id AS e, user_id AS u, event_type AS t, ts, max(CASE WHEN event_type = 'signup' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS signed,
+    max(CASE WHEN event_type = 'purchase' THEN event_id END) OVER (PARTITION BY user_id // 5 ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS left_at FROM events),
+  q AS (SELECT 'g' || (u // 5) AS grp, e AS seq, CAST(floor(epoch(ts)) AS BIGINT) AS now, 'a' || u AS agent_id, CASE t WHEN 'signup' THEN 'check_in' WHEN 'purchase' THEN 'check_out' ELSE 'update' END AS kind,
+    CASE WHEN e % 11 <> 0 AND (t <> 'signup' OR e % 3 = 0) THEN substr(md5('a' || u || '|' || signed), 1, 16) END AS lease_id, CASE WHEN e % 13 = 0 THEN e % 4 END AS expected_revision, e % 7 = 3 AS force,
+    CASE WHEN e % 6 < 5 THEN ['live_code', 'suspended', 'checked_in', 'checked_out', 'away'][1 + e % 6] END AS state, CASE WHEN e % 3 = 0 THEN 3600 * (1 + e % 50) END AS ttl_secs, CASE WHEN e % 5 = 0 THEN e % 3 END AS dirty,
+    CASE WHEN e % 4 = 1 THEN 'stash' END AS checkpoint, CASE WHEN e % 10 = 1 THEN 'lost' WHEN e % 2 = 0 THEN 'handed_off' END AS reason, CASE WHEN e % 4 = 0 THEN 'a' || (u // 5 * 5 + e % 5) WHEN e % 8 = 2 THEN '' END AS handoff_to,
+    CASE WHEN t = 'signup' AND e % 2 = 0 THEN 'h' || left_at END AS handoff_id, CASE WHEN e % 9 = 0 THEN 'k' || (u % 5) || '-' || (e // 20000) END AS idempotency_key,
+    row_number() OVER (PARTITION BY u // 5 ORDER BY e) AS n FROM e)"""
+
+
+def presence_requests(e):
+    """The requests of a frame of events, a stream or not, less what needs a window: signed and left_at are columns of it."""
+    i, u, t = F.col("event_id"), F.col("user_id"), F.col("event_type")
+    agent = F.concat(F.lit("a"), u)
+    states = F.array(*[F.lit(x) for x in ("live_code", "suspended", "checked_in", "checked_out", "away")])
+    return e.select(
+        F.concat(F.lit("g"), F.floor(u / 5)).alias("grp"),
+        i.alias("seq"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.unix_seconds(F.col("ts").cast("timestamp")).alias("now"),
+        agent.alias("agent_id"),
+        F.when(t == "signup", "check_in").when(t == "purchase", "check_out").otherwise("update").alias("kind"),
+        F.when((i % 11 != 0) & ((t != "signup") | (i % 3 == 0)), F.substring(F.md5(F.concat(agent, F.lit("|"), F.col("signed"))), 1, 16)).alias("lease_id"),
+        F.when(i % 13 == 0, i % 4).alias("expected_revision"),
+        (i % 7 == 3).alias("force"),
+        F.when(i % 6 < 5, F.get(states, (i % 6).cast("int"))).alias("state"),
+        F.when(i % 3 == 0, 3600 * (1 + i % 50)).alias("ttl_secs"),
+        F.when(i % 5 == 0, i % 3).alias("dirty"),
+        F.when(i % 4 == 1, "stash").alias("checkpoint"),
+        F.when(i % 10 == 1, "lost").when(i % 2 == 0, "handed_off").alias("reason"),
+        F.when(i % 4 == 0, F.concat(F.lit("a"), F.floor(u / 5) * 5 + i % 5)).when(i % 8 == 2, "").alias("handoff_to"),
+        F.when((t == "signup") & (i % 2 == 0), F.concat(F.lit("h"), F.col("left_at"))).alias("handoff_id"),
+        F.when(i % 9 == 0, F.concat(F.lit("k"), u % 5, F.lit("-"), F.floor(i / 20000))).alias("idempotency_key"),
+    )
+
+
+#: Each group's requests one after the other, with its state in maps.
+_AGENT = "STRUCT(state VARCHAR, lease VARCHAR, revision BIGINT, ends BIGINT, ttl BIGINT, dirty BIGINT, checkpoint VARCHAR)"
+_OFFER = "STRUCT(recipient VARCHAR, status VARCHAR)"
+
+
+@query(f"""WITH RECURSIVE {REQUESTS_SQL},
+  run AS (SELECT DISTINCT grp, 0::BIGINT AS n, MAP([]::VARCHAR[], []::{_AGENT}[]) AS agents, MAP([]::VARCHAR[], []::{_OFFER}[]) AS offers, MAP([]::VARCHAR[], []::BIGINT[]) AS keys,
+      NULL::STRUCT(seq BIGINT, agent_id VARCHAR, kind VARCHAR, status VARCHAR, error VARCHAR, lease VARCHAR, revision BIGINT, state VARCHAR, expires_at BIGINT, handoff VARCHAR, repeats BIGINT, now BIGINT) AS v FROM q
+    UNION ALL
+    SELECT grp, n, CASE WHEN status = 'ok' THEN map_concat(agents, MAP([agent_id], [x])) ELSE agents END,
+      CASE WHEN status = 'ok' AND kind = 'check_out' AND handoff_to IS NOT NULL THEN map_concat(offers, MAP(['h' || seq], [struct_pack(recipient := handoff_to, status := 'offered')]))
+        WHEN status = 'ok' AND kind = 'check_in' AND handoff_id IS NOT NULL THEN map_concat(offers, MAP([handoff_id], [struct_pack(recipient := o.recipient, status := 'accepted')])) ELSE offers END,
+      CASE WHEN status = 'ok' AND idempotency_key IS NOT NULL THEN map_concat(keys, MAP([idempotency_key], [seq])) ELSE keys END,
+      struct_pack(seq := seq, agent_id := agent_id, kind := kind, status := status, error := CASE WHEN status = 'refused' THEN error END, lease := CASE WHEN status = 'ok' THEN x.lease END, revision := CASE WHEN status = 'ok' THEN x.revision END, state := CASE WHEN status = 'ok' THEN x.state END,
+        expires_at := CASE WHEN status = 'ok' AND kind <> 'check_out' THEN x.ends END, handoff := CASE WHEN status = 'ok' AND kind = 'check_out' AND handoff_to IS NOT NULL THEN 'h' || seq END, repeats := CASE WHEN status = 'repeat' THEN rep END, now := now)
+    FROM (SELECT *, CASE WHEN rep IS NOT NULL THEN 'repeat' WHEN kind = 'check_out' AND known AND NOT live THEN 'already' WHEN error IS NOT NULL THEN 'refused' ELSE 'ok' END AS status,
+        {{'state': CASE kind WHEN 'check_in' THEN 'checked_in' WHEN 'update' THEN want ELSE 'checked_out' END, 'lease': CASE WHEN kind <> 'check_in' OR mine THEN a.lease ELSE substr(md5(agent_id || '|' || seq), 1, 16) END, 'revision': coalesce(a.revision, 0) + 1,
+          'ends': CASE kind WHEN 'check_in' THEN now + coalesce(ttl_secs, 43200) WHEN 'update' THEN now + CASE WHEN want = 'suspended' THEN 604800 ELSE coalesce(ttl_secs, greatest(a.ttl, 43200)) END ELSE a.ends END,
+          'ttl': CASE WHEN kind = 'check_in' THEN coalesce(ttl_secs, 43200) ELSE a.ttl END, 'dirty': CASE kind WHEN 'check_in' THEN coalesce(dirty, 0) WHEN 'update' THEN coalesce(dirty, a.dirty) ELSE 0 END, 'checkpoint': CASE WHEN kind = 'check_in' THEN checkpoint WHEN kind = 'update' THEN coalesce(checkpoint, a.checkpoint) ELSE a.checkpoint END}}::{_AGENT} AS x
+      FROM (SELECT *, CASE kind WHEN 'check_in' THEN CASE WHEN live AND NOT mine AND now < a.ends AND NOT force THEN 'checked in' WHEN expected_revision <> coalesce(a.revision, 0) THEN 'revision conflict'
+            WHEN handoff_id IS NULL THEN NULL WHEN o IS NULL THEN 'unknown handoff' WHEN o.status <> 'offered' THEN 'handoff not offered' WHEN o.recipient <> '' AND o.recipient <> agent_id THEN 'handoff is another''s' END
+          ELSE CASE WHEN NOT known OR (kind = 'update' AND NOT live) THEN 'not checked in' WHEN lease_id IS NULL THEN 'lease required' WHEN lease_id <> a.lease THEN 'lease mismatch' WHEN expected_revision <> a.revision THEN 'revision conflict'
+            WHEN kind = 'update' THEN CASE WHEN want = 'away' THEN 'unknown state' WHEN want = 'checked_out' THEN 'update can''t check out' WHEN want = 'suspended' AND coalesce(dirty, a.dirty) > 0 AND coalesce(checkpoint, a.checkpoint) IS NULL THEN 'checkpoint required' END
+            WHEN reason = 'lost' THEN 'unknown reason' WHEN reason = 'handed_off' AND handoff_to IS NULL THEN 'handoff required' END END AS error
+        FROM (SELECT *, a IS NOT NULL AS known, coalesce(a.state <> 'checked_out', false) AS live, coalesce(a.state <> 'checked_out' AND lease_id = a.lease, false) AS mine, coalesce(state, a.state) AS want
+          FROM (SELECT q.*, run.agents, run.offers, run.keys, run.agents[q.agent_id] AS a, run.offers[q.handoff_id] AS o, run.keys[q.idempotency_key] AS rep FROM run JOIN q ON q.grp = run.grp AND q.n = run.n + 1)))))
+  , ok AS (SELECT grp, v.*, lead(v.now) OVER (PARTITION BY grp, v.agent_id ORDER BY v.seq) AS next FROM run WHERE v.status = 'ok'),
+  final AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM events)
+  SELECT grp, v.seq AS seq, v.agent_id AS agent_id, v.kind AS kind, v.status AS status, v.error AS error, v.lease AS lease, v.revision AS revision, v.state AS state, v.expires_at AS expires_at, v.handoff AS handoff, v.repeats AS repeats FROM run WHERE n > 0
+  UNION ALL
+  SELECT grp, NULL, agent_id, 'lease', 'expired', NULL, lease, revision, state, expires_at, NULL, NULL FROM ok, final WHERE kind <> 'check_out' AND (next >= expires_at OR (next IS NULL AND make_timestamp(expires_at * 1000000) <= mark))""")
+def presence_gate(spark, sf):
+    """All requests of all groups as a stream, several an agent, each judged after the one before it."""
+    from ..streaming import gate, rollups
+
+    _stateful(spark)
+    mine = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
+    group = Window.partitionBy(F.floor(F.col("user_id") / 5)).orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
+    known = lambda kind, w: F.max(F.when(F.col("event_type") == kind, F.col("event_id"))).over(w)
+    asked = stored(presence_requests(read(spark, sf, "events").withColumns({"signed": known("signup", mine), "left_at": known("purchase", group)})), "presence-requests")
+    stream = spark.readStream.schema(asked.schema).parquet(asked.inputFiles()[0].rsplit("/", 1)[0])
+    return rollups.drain(gate.judged(stream, ttl=43_200, suspend_ttl=604_800), _name("gate"), "append")
+
+
 # Digests, presence requests and stores
 
 STATUS_SQL = """st AS (SELECT p_size % 7 AS run, p_partkey AS ord, CASE p_partkey % 6 WHEN 0 THEN '??' WHEN 1 THEN ' M' WHEN 2 THEN 'A ' WHEN 3 THEN 'D ' WHEN 4 THEN 'RM' ELSE 'UU' END AS code, lower(p_type) AS folder, p_name || p_partkey AS name FROM part)"""

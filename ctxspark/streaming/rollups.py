@@ -7,8 +7,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
+from ..storage import shared_folder
+
 EVENT = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
@@ -139,7 +142,19 @@ def upsert_batches(stream: DataFrame, target: str, key: str, order: str, checkpo
 
 
 def drain(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over all that is there and gives the sink's rows; for tests and small results."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Runs a stream over all that is there. Gives the rows of its batches, in complete mode of the last one, as a table in the
+    shared folder, a folder for each batch, which a repeated batch overwrites."""
+    spark = stream.sparkSession
+    path = shared_folder(spark, name)
+
+    def put(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/epoch={epoch}")
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    if q.lastProgress is None:
+        return spark.createDataFrame([], stream.schema)
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("epoch", T.LongType())])).parquet(f"{path}/rows")
+    if mode == "complete":
+        rows = rows.where(F.col("epoch") == rows.agg(F.max("epoch")).first()[0])
+    return rows.drop("epoch")
