@@ -12,6 +12,7 @@ component's least (its component_id is null if it has no other); without rows th
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -54,15 +55,31 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, keys: list[str], text: str = "text", k: int = 3, count: int = 1) -> DataFrame:
-    """The key columns and fp: array of `count` 64-bit fingerprints of the whole text."""
+def ends(hashes: np.ndarray) -> list[int]:
+    """Two 64-bit values, each of two 32-bit fingerprints: of the text's first and of its last shingles, L of them each, L being
+    the largest power of two and the largest odd power of its root that is at most half of them. Texts that differ by
+    one block of up to a quarter have the same beginning or the same ending for one of the two."""
+    n, out = len(hashes), []
+    if not n:
+        return [0, 0]
+    half = math.log2(max(n / 2, 1))
+    sizes = [int(2 ** math.floor(half)), max(int(2 ** (math.floor(half - 0.5) + 0.5)), 1)]
+    for part in (lambda m: hashes[:m], lambda m: hashes[n - m :]):
+        low, high = (majority(part(m)) for m in sizes)
+        out.append((low & 0xFFFFFFFF) | ((high & 0xFFFFFFFF) << 32))
+    return out
+
+
+def fingerprints(docs: DataFrame, keys: list[str], text: str = "text", k: int = 3, count: int = 1, both_ends: bool = False) -> DataFrame:
+    """The key columns and fp: array of `count` 64-bit fingerprints of the whole text, and with both_ends the two of `ends`."""
+    count += 2 * both_ends
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for t in batch.column(len(keys)).cast(pa.binary()).to_pylist():
                 h = shingle_hashes(t or b"", k)
-                rows.append([majority(h)] + [majority((x := h * np.uint64(m)) ^ (x >> np.uint64(29))) for m in MIX[: count - 1]])
+                rows.append([majority(h)] + [majority((x := h * np.uint64(m)) ^ (x >> np.uint64(29))) for m in MIX[: count - 1 - 2 * both_ends]] + (ends(h) if both_ends else []))
             flat = np.array(rows, np.uint64).reshape(-1).view(np.int64)
             column = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, count, dtype=np.int32), pa.array(flat))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], column], names=[*keys, "fp"])
@@ -105,19 +122,33 @@ def op6_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_groups(docs: DataFrame, text: str = "text", k: int = 5, similarity: float = 0.8, features: int = 2, tables: int = 12) -> DataFrame:
-    """node, root: distinct texts (by 64-bit hash) that are near-duplicates of another, and their component's root.
-
-    Candidates: `tables` 32-bit halves of SimHashes over `features`-word shingles, ball hashing with radius 2 in each. In a
-    group of equal halves every text meets its centre, the least (in every second table the greatest) one, and each half's
-    centre meets that of the least half within the radius that shares a variant's group with it: a text has two candidates
-    a table, however large its group. Every candidate pair is verified by the exact Jaccard similarity of its sets of k-word shingles. Groups
+def identified(rows: DataFrame) -> DataFrame:
+    """node for each distinct (_h1, _h2): a number of its own. That is _h1 but for texts that have it in common with another
+    one; these, of which 10**10 texts have about three, get another hash, and another one until no two numbers are equal."""
+    known = rows.select("_h1", "_h2").distinct()
+    clash = written(known.groupBy("_h1").agg(F.min("_h2").alias("lo"), F.max("_h2").alias("hi")).where("lo != hi").select("_h1"), "clashes")
+    if clash.isEmpty():
+        return known.withColumn("node", F.col("_h1"))
+    alone = known.join(clash, "_h1", "left_anti").withColumn("node", F.col("_h1"))
+    for seed in range(1, 100):
+        again = alone.unionByName(known.join(clash, "_h1", "left_semi").withColumn("node", F.xxhash64(F.lit(seed), "_h1", "_h2")))
+        if again.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+            return again
+    raise ValueError("texts without a number of their own")
+
+
+def near_groups(texts: DataFrame, k: int = 5, similarity: float = 0.8, features: int = 2, tables: int = 12) -> DataFrame:
+    """node, root: texts (node, _whole; equal texts have equal nodes) that are near-duplicates of another, and their component's root.
+
+    Candidates: `tables` 32-bit fingerprints over `features`-word shingles, four of them of the text's `ends` and the others
+    halves of SimHashes of the whole text, with ball hashing (radius 2) in each. In a group of equal halves every text meets
+    its centre, the least (in every second table the greatest) one, and each half's centre meets that of the least half within
+    the radius that shares a variant's group with it: a text has two candidates a table, however large its group. Every
+    candidate pair is verified by the exact Jaccard similarity of its sets of k-word shingles. Groups
     of a half or of a variant that this leaves in several components hold pairs that weren't compared: their texts are
     joined by rare_pairs, so that every pair within the radius is connected, verified or provably less similar.
     """
-    whole = F.col("_whole")
-    texts = docs.select(text_or_empty(F.col(text)).alias("_whole")).select(F.xxhash64(whole).alias("node"), "_whole")
-    wide = fingerprints(texts, ["node"], "_whole", features, tables // 2)
+    wide = fingerprints(texts.select("node", "_whole"), ["node"], "_whole", features, tables // 2 - 2, True)
     halves = F.flatten(F.transform("fp", lambda x, i: F.array(F.shiftrightunsigned(x, 32).bitwiseOR(F.shiftleft(2 * i.cast("long"), 32)), x.bitwiseAND(0xFFFFFFFF).bitwiseOR(F.shiftleft(2 * i.cast("long") + 1, 32)))))
     rows = written(wide.select("node", F.explode(halves).alias("half")).groupBy("node", "half").count().select("node", "half"), "halves")
     even = F.shiftrightunsigned("half", 32).bitwiseAND(F.lit(1)) == 0
@@ -201,12 +232,22 @@ def shingle_sets(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """docs with one row of each group of exact or near copies: the one with the least doc_id (null last), then text hash.
-    Null and empty texts are copies of each other; the columns are those of docs, whatever their names; no rows give no rows."""
-    h1, h2 = hash128(text_or_empty(F.col(text)))
-    rows = packed(docs, doc=F.col(doc_id), _h1=h1, _h2=h2)
-    groups = near_groups(docs, text, **options)
+    Null and empty texts are copies of each other; texts are known by 128-bit hashes; the columns are those of docs, whatever
+    their names; no rows give no rows."""
+    whole = text_or_empty(F.col(f"`{text}`"))
+    h1, h2 = hash128(whole)
+    rows = packed(docs, doc=F.col(f"`{doc_id}`"), _h1=h1, _h2=h2)
     copies = rows.groupBy("_h1", "_h2").agg(F.min("doc").alias("id")).select("_h1", "_h2", F.struct(F.col("id").isNull().alias("none"), "id").alias("first"))
-    rooted = copies.join(groups.withColumnRenamed("node", "_h1"), "_h1", "left").withColumn("root", F.coalesce("root", "_h1"))
+    copies = written(copies, "copies")
+    known = written(identified(copies), "text-nodes")
+    texts = docs.select(h1.alias("_h1"), h2.alias("_h2"), whole.alias("_whole"))
+    if known.where("node != _h1").isEmpty():
+        texts = texts.select(F.col("_h1").alias("node"), "_whole")
+    else:
+        moved = known.where("node != _h1")
+        texts = texts.join(F.broadcast(moved), ["_h1", "_h2"], "left").select(F.coalesce("node", "_h1").alias("node"), "_whole")
+    groups = near_groups(texts, **options)
+    rooted = copies.join(known, ["_h1", "_h2"]).join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = rooted.groupBy("root").agg(F.min(F.struct("first", "_h1", "_h2")).alias("best"))
     stay = best.select(F.col("best._h1").alias("_h1"), F.col("best._h2").alias("_h2"), F.col("best.first.id").alias("_id"))
     on = (rows["_h1"] == stay["_h1"]) & (rows["_h2"] == stay["_h2"]) & rows["doc"].eqNullSafe(stay["_id"])

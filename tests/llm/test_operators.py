@@ -362,6 +362,50 @@ def test_near_within_template(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(docs(spark, rows)).collect()) == list(range(2000))
 
 
+def edited(words, rng, kind, share):
+    """A text like another one: by substituted words, or by one block more at its end, its beginning or within."""
+    n = len(words)
+    fresh = lambda m: [f"n{rng.randrange(10**9)}" for _ in range(m)]
+    if kind == "substituted":
+        out = list(words)
+        for j in rng.sample(range(n), max(1, int(share * n / 10))):
+            out[j] = fresh(1)[0]
+        return out
+    at = {"ending": n, "beginning": 0, "block": rng.randrange(n)}[kind]
+    return words[:at] + fresh(int(share * n) - 5 * (kind == "block")) + words[at:]  # a block within parts some shingles
+
+
+@pytest.mark.parametrize("length", [40, 200, 1500])
+def test_recall_near_the_threshold(spark, length):
+    """Pairs of similarity 0.8 to 0.83, by kind of edit: at least nine of ten are found at each length."""
+    rng, rows, pairs = random.Random(length), [], []
+    share = {"substituted": 0.2, "ending": 0.235, "beginning": 0.235, "block": 0.235}
+    for i in range(480):
+        kind = list(share)[i % 4]
+        words = [f"w{rng.randrange(10**7)}" for _ in range(length + rng.randrange(length))]
+        other = edited(words, rng, kind, share[kind])
+        a, b = brute.shingles(" ".join(words), 5), brute.shingles(" ".join(other), 5)
+        if len(a & b) >= 0.8 * len(a | b):
+            pairs.append((kind, 2 * i))
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    kept = {r.doc_id for r in simhash.keep_one(docs(spark, rows)).collect()}
+    for kind in share:
+        of = [d for k, d in pairs if k == kind]
+        found = sum(d + 1 not in kept for d in of)
+        assert len(of) > 5 and found >= 0.9 * len(of), (kind, found, len(of))
+    assert all(2 * i in kept for i in range(480))
+
+
+def test_equal_hashes_do_not_merge(spark, monkeypatch):
+    """Different texts whose first hash is the same stay different, and near copies among them are still found."""
+    real = simhash.hash128
+    monkeypatch.setattr(simhash, "hash128", lambda col: [F.pmod(real(col)[0], F.lit(3)), real(col)[1]])
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))) for i in range(40)]
+    rows += [(100 + i, t + " more") for i, t in rows[:10]] + [(200 + i, t) for i, t in rows[:10]]
+    assert sorted(r.doc_id for r in simhash.keep_one(docs(spark, rows)).collect()) == list(range(40))
+
+
 def test_every_ball_pair(spark):
     rng = random.Random(6)
     base = [rng.getrandbits(32) for _ in range(20)]
