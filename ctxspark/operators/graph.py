@@ -119,6 +119,14 @@ def fan_in(defs: DataFrame, edges: DataFrame) -> DataFrame:
     return defs.join(n, segment(F.col("name")) == F.col("_seg"), "left").drop("_seg").fillna(0, ["fan_in"])
 
 
+def doc_comment(defs: DataFrame, symbol: str) -> DataFrame:
+    """rel, name, line, signature and doc of the definitions of a name, alone or as the last part of a qualified one; those with a
+    comment first."""
+    short = F.element_at(F.split("name", "::"), -1)
+    found = defs.where((F.col("name") == symbol) | (short == symbol))
+    return found.select("rel", "name", "line", "signature", "doc").orderBy(F.col("doc").isNull(), "rel", "line")
+
+
 def undocumented(defs: DataFrame, edges: DataFrame, include_private: bool = False, n: int = 40) -> DataFrame:
     """Definitions without a comment, most called first."""
     d = defs.where(~F.col("has_doc"))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vectors as vx
-from ..operators import change, decide, digest, graph, paging, presence, records, retrieval, runtime, telemetry, trace
+from ..operators import change, decide, digest, graph, linediff, paging, presence, records, retrieval, runtime, telemetry, trace
+from ..sources import files
 from ..storage import stored
 from . import relations as rel
 from .relations import read
@@ -1032,6 +1033,69 @@ def manifest_outdated(spark, sf):
     return records.outdated(o.where("path % 5 != 0").withColumn("mtime", F.lit(1)), o.where("path % 7 != 0").withColumn("mtime", F.when(F.col("path") % 3 == 0, 2).otherwise(1)))
 
 
+# Source code: a part is a file in one of four languages.
+
+_CODE = {
+    "cpp": "/// {n}\nstruct P{k} : public B{s} {{\n  P{k}() {{ init{s}(); }}\n}};\nvoid P{k}::run() {{\n  T{s} v(make());\n  step<int>(v);\n  o.go{k}();\n}}\n",
+    "rs": "/// {n}\nstruct P{k};\nimpl Tie for P{k} {{\n  fn run(&self) {{\n    fn inner() {{ deep{s}(); }}\n    inner();\n    self.x.go{k}();\n  }}\n}}\n",
+    "ts": "/** {n} */\nclass P{k} extends B{s} {{\n  run = () => {{ this.go{k}(); }};\n  m() {{ new T(); step{s}(); }}\n}}\n",
+    "cs": "/// {n}\nclass P{k} : B{s} {{\n  void Run() {{ var t = new T(); t.Go{k}(); }}\n  int N => Find{s}();\n}}\n",
+}
+CODE_SQL = "f AS (SELECT p_partkey AS k, p_size AS s, p_name AS n, ['cpp', 'rs', 'ts', 'cs'][1 + p_partkey % 4] AS ext, 'p' || p_partkey || '.' || ['cpp', 'rs', 'ts', 'cs'][1 + p_partkey % 4] AS rel FROM part)"
+
+
+def code_files(spark, sf):
+    k, texts = F.col("p_partkey"), []
+    for text in _CODE.values():
+        parts = F.lit(text.replace("{{", "{").replace("}}", "}"))
+        for mark, value in (("{k}", k.cast("string")), ("{s}", F.col("p_size").cast("string")), ("{n}", F.col("p_name"))):
+            parts = F.replace(parts, F.lit(mark), value)
+        texts.append(parts)
+    pick = (k % 4).cast("int")
+    rel = F.concat(F.lit("p"), k, F.lit("."), F.get(F.array(*[F.lit(x) for x in _CODE]), pick))
+    return read(spark, sf, "part").select(rel.alias("rel"), F.get(F.array(*texts), pick).alias("content"))
+
+
+@query(f"""WITH {CODE_SQL}, e AS (
+  SELECT rel, 'P' || k || '::P' || k AS caller, 'init' || s AS callee, 3 AS line FROM f WHERE ext = 'cpp' UNION ALL SELECT rel, 'P' || k || '::run', 'make', 6 FROM f WHERE ext = 'cpp'
+  UNION ALL SELECT rel, 'P' || k || '::run', 'step', 7 FROM f WHERE ext = 'cpp' UNION ALL SELECT rel, 'P' || k || '::run', 'go' || k, 8 FROM f WHERE ext = 'cpp'
+  UNION ALL SELECT rel, 'P' || k || '::run::inner', 'deep' || s, 5 FROM f WHERE ext = 'rs' UNION ALL SELECT rel, 'P' || k || '::run', 'inner', 6 FROM f WHERE ext = 'rs' UNION ALL SELECT rel, 'P' || k || '::run', 'go' || k, 7 FROM f WHERE ext = 'rs'
+  UNION ALL SELECT rel, 'P' || k || '::run', 'go' || k, 3 FROM f WHERE ext = 'ts' UNION ALL SELECT rel, 'P' || k || '::m', 'step' || s, 4 FROM f WHERE ext = 'ts'
+  UNION ALL SELECT rel, 'P' || k || '::Run', 'Go' || k, 3 FROM f WHERE ext = 'cs' UNION ALL SELECT rel, 'P' || k || '::N', 'Find' || s, 4 FROM f WHERE ext = 'cs') SELECT * FROM e""")
+def source_calls(spark, sf):
+    return files.call_edges(code_files(spark, sf)).select("rel", "caller", "callee", "line")
+
+
+@query(f"""WITH {CODE_SQL} SELECT rel, 'P' || k AS name, 'Record' AS kind, 2 AS line, n AS doc FROM f""")
+def doc_comments(spark, sf):
+    """The text of the comments above each documented definition."""
+    return files.definitions(code_files(spark, sf)).where("doc IS NOT NULL").select("rel", "name", "kind", "line", "doc")
+
+
+@query(f"""WITH {CODE_SQL}, o AS (SELECT 'B' || s AS name, 'ref' AS role FROM f WHERE ext <> 'rs' UNION ALL SELECT CASE ext WHEN 'cpp' THEN 'T' || s ELSE 'T' END, 'ref' FROM f WHERE ext <> 'rs'
+  UNION ALL SELECT 'step' || CASE WHEN ext = 'ts' THEN CAST(s AS VARCHAR) ELSE '' END, 'call' FROM f WHERE ext IN ('cpp', 'ts') UNION ALL SELECT 'run', 'def' FROM f WHERE ext <> 'cs')
+  SELECT name, role, count(*) AS n FROM o GROUP BY 1, 2""")
+def source_roles(spark, sf):
+    """How often bases, types, calls and methods occur, by role."""
+    found = files.occurrences(code_files(spark, sf)).where(F.col("name").rlike("^([BT][0-9]*|step[0-9]*|run)$"))
+    return found.groupBy("name", "role").agg(F.count("*").alias("n"))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(range(1, 1 + len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL),
+  s AS (SELECT doc_id, i, 0 AS k, CASE WHEN i % 5 = 0 THEN 'gone' ELSE 'kept' END AS what FROM l UNION ALL SELECT doc_id, i, 1, 'fresh' FROM l WHERE i % 7 = 3),
+  w AS (SELECT *, count(*) FILTER (what = 'kept') OVER b AS g, count(*) FILTER (what <> 'fresh') OVER b AS o, count(*) FILTER (what <> 'gone') OVER b AS n FROM s WINDOW b AS (PARTITION BY doc_id ORDER BY i, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  h AS (SELECT doc_id, g, min(o) AS o, min(n) AS n, count(*) FILTER (what = 'gone') AS old_count, count(*) FILTER (what = 'fresh') AS new_count FROM w WHERE what <> 'kept' GROUP BY doc_id, g)
+  SELECT doc_id, o + CASE WHEN old_count > 0 THEN 1 ELSE 0 END AS old_start, old_count, n + CASE WHEN new_count > 0 THEN 1 ELSE 0 END AS new_start, new_count FROM h""")
+def line_diff(spark, sf):
+    """Whole texts against versions without every fifth line and with a new one after some; lines are numbered, so that one
+    shortest script is the only one."""
+    numbered = F.transform(F.split("text", "\n"), lambda x, i: F.concat(i, F.lit(":"), x, F.lit("\n")))
+    fresh = lambda x, i: F.filter(F.array(F.when((i + 1) % 5 != 0, x), F.when((i + 1) % 7 == 3, F.concat(F.lit("new "), i, F.lit("\n")))), lambda y: y.isNotNull())
+    d = read(spark, sf, "documents").select("doc_id", numbered.alias("lines"))
+    pairs = d.select("doc_id", F.array_join("lines", "").alias("old"), F.array_join(F.flatten(F.transform("lines", fresh)), "").alias("new"))
+    return linediff.line_hunks(pairs)
+
+
 def plan_of(df: DataFrame) -> str:
     """The formatted physical plan, for tests and the bench."""
     return df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")

@@ -1,9 +1,7 @@
 """Parsers of one file's text into rows: Markdown sections and links, definitions, occurrences and call edges of source code.
 
 They hold state from line to line (fences, heading stacks, brace depth), so they are Python; Spark applies them to Arrow
-batches of files with ``mapInPandas``. Python is parsed exactly by its own syntax tree. C-family languages, Rust, TypeScript
-and C# are read by a lexer that knows comments, strings and braces: a name before ``(`` in a body is a call, a declarator
-before ``{`` a definition.
+batches of files with ``mapInPandas``. Python is parsed by its own syntax tree, C-family languages, Rust, TypeScript and C# by `trees`.
 """
 
 from __future__ import annotations
@@ -12,6 +10,8 @@ import ast
 import re
 from collections.abc import Iterator
 
+from . import trees
+
 #: Languages by extension, and folders that are never entered.
 LANGUAGES = {
     "cpp": "h hpp hh cpp cc cxx", "rust": "rs", "python": "py pyi", "daslang": "das", "glsl": "glsl vert frag comp geom tesc tese vs fs",
@@ -148,7 +148,7 @@ def python_rows(text: str) -> tuple[list[dict], list[dict], list[dict]]:
             if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
                 kind = "Record" if isinstance(child, ast.ClassDef) else "Function"
                 name = "::".join([*scope, child.name])
-                defs.append({"name": name, "kind": kind, "line": child.lineno, "end_line": child.end_lineno, "signature": lines[child.lineno - 1].strip(), "has_doc": ast.get_docstring(child) is not None, "exported": not child.name.startswith("_")})
+                defs.append({"name": name, "kind": kind, "line": child.lineno, "end_line": child.end_lineno, "signature": lines[child.lineno - 1].strip(), "has_doc": ast.get_docstring(child) is not None, "doc": ast.get_docstring(child), "exported": not child.name.startswith("_")})
                 occ.append({"name": child.name, "role": "def", "line": child.lineno})
                 inner = [*scope, child.name]
                 owner = name if kind == "Function" else fn
@@ -165,10 +165,7 @@ def python_rows(text: str) -> tuple[list[dict], list[dict], list[dict]]:
     return defs, occ, edges
 
 
-#: Words before a parenthesis that are no calls.
-KEYWORDS = set("if for while switch catch return sizeof alignof decltype match loop fn function do else new delete throw await typeof using lock foreach nameof static_assert defined assert macro_rules in as and or not where when constructor super".split())
 STRIP = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])'|`(?:\\.|[^`\\])*`", re.S)
-DEFINED = re.compile(r"(?P<kind>\b(?:class|struct|enum(?:\s+class)?|union|trait|interface|namespace|mod|impl)\b)\s+(?P<type>[A-Za-z_][\w:]*)|(?P<name>[~A-Za-z_][\w:~]*)\s*(?:<[^<>(){};]*>)?\s*\((?P<args>[^(){};]*(?:\([^()]*\)[^(){};]*)*)\)(?P<tail>[^(){};=]*(?:->[^(){};]*)?)$")
 
 
 def _blank(m: re.Match) -> str:
@@ -176,53 +173,6 @@ def _blank(m: re.Match) -> str:
     return re.sub(r"[^\n]", " ", s) if s.startswith("/") else s[0] + re.sub(r"[^\n]", " ", s[1:-1]) + s[-1]
 
 
-def lexed_rows(text: str, lang: str) -> tuple[list[dict], list[dict], list[dict]]:
-    """Definitions, occurrences and call edges by braces; the same shapes as python_rows."""
-    clean, raw = STRIP.sub(_blank, text), text.split("\n")
-    clean = re.sub(r"^[ \t]*#[^\n]*", lambda m: " " * len(m[0]), clean, flags=re.M)
-    defs, occ, edges = [], [], []
-    stack: list[dict | None] = []
-    start = 0
-    for m in re.finditer(r"[{};]|\b([A-Za-z_]\w*(?:::[A-Za-z_]\w*)*)\s*(?=\()|\b[A-Za-z_]\w*\b", clean):
-        tok = m[0]
-        line = clean.count("\n", 0, m.start()) + 1
-        fn = next((d for d in reversed(stack) if d and d["kind"] == "Function"), None)
-        if tok == "{":
-            head = clean[start : m.start()].strip()
-            d = None
-            found = DEFINED.search(re.sub(r"\s+", " ", head)) if head and not head.endswith(("=", "=>", ",", "(")) else None
-            if found and found["type"]:
-                kind = "Namespace" if found["kind"] in ("namespace", "mod", "impl") else "Record"
-                d = {"name": found["type"], "kind": kind}
-            elif found and found["name"] and found["name"].rsplit("::", 1)[-1] not in KEYWORDS and fn is None:
-                d = {"name": found["name"], "kind": "Function"}
-            if d:
-                at = start + len(clean[start : m.start()]) - len(clean[start : m.start()].lstrip())
-                first = clean.count("\n", 0, at) + 1
-                outer = [x["name"] for x in stack if x]
-                before = raw[first - 2].strip() if first >= 2 else ""
-                d |= {"name": "::".join([*outer, d["name"]]) if d["name"] not in outer else d["name"], "line": first, "end_line": first, "signature": re.sub(r"\s+", " ", head)[:200], "has_doc": before.startswith(("///", "/**", "//", "*/", "*")), "exported": lang not in ("cpp", "glsl") and bool(re.search(r"\b(pub|export|public)\b", head))}
-                if d["kind"] != "Namespace":
-                    defs.append(d)
-                    occ.append({"name": d["name"].rsplit("::", 1)[-1], "role": "def", "line": first})
-            stack.append(d)
-            start = m.end()
-        elif tok == "}":
-            if stack and (d := stack.pop()):
-                d["end_line"] = line
-            start = m.end()
-        elif tok == ";":
-            start = m.end()
-        elif m[1]:
-            name = m[1]
-            if name not in KEYWORDS and fn:
-                occ.append({"name": name, "role": "call", "line": line})
-                edges.append({"caller": fn["name"], "callee": name, "line": line, "text": raw[line - 1].strip()})
-        elif tok not in KEYWORDS and fn:
-            occ.append({"name": tok, "role": "ref", "line": line})
-    return defs, occ, edges
-
-
 def code_rows(path: str, text: str) -> tuple[list[dict], list[dict], list[dict]]:
     lang = language(path)
     if lang == "python":
@@ -232,7 +182,10 @@ def code_rows(path: str, text: str) -> tuple[list[dict], list[dict], list[dict]]
         for m in re.finditer(r"<script[^>]*>(.*?)</script>", text, re.S):
             keep[m.start(1) : m.end(1)] = [True] * (m.end(1) - m.start(1))
         text, lang = "".join(c if k or c == "\n" else " " for c, k in zip(text, keep)), "ts"
-    return lexed_rows(text, lang) if lang in ("cpp", "rust", "ts", "tsx", "csharp", "glsl") else ([], [], [])
+    if lang == "daslang":
+        found = [d | {"kind": "Function" if re.search(r"\bdef\b", d["signature"]) else "Record", "end_line": d["line"], "has_doc": False, "exported": "public" in d["signature"], "doc": None} for d in das_symbols(text)]
+        return found, [{"name": d["name"], "role": "def", "line": d["line"]} for d in found], []
+    return trees.rows(text, lang) if lang in ("cpp", "rust", "ts", "tsx", "csharp", "glsl") else ([], [], [])
 
 
 def record_fields(text: str) -> Iterator[dict]:

@@ -13,7 +13,7 @@ from . import extract
 
 SECTION = "path string, heading string, heading_level int, heading_path array<string>, anchor string, ordinal int, start_line int, end_line int, body string, tags array<string>"
 LINK = "source string, raw string, target string, is_external boolean"
-DEF = "rel string, name string, kind string, line int, end_line int, signature string, has_doc boolean, exported boolean"
+DEF = "rel string, name string, kind string, line int, end_line int, signature string, has_doc boolean, exported boolean, doc string"
 OCCURRENCE = "rel string, name string, role string, line int"
 EDGE = "rel string, caller string, callee string, line int, text string"
 FIELD = "rel string, type string, name string, ty string, ord int, non_pod_reason string"
