@@ -17,17 +17,37 @@ def idempotent(journal: DataFrame, key: str = "idempotency_key", order: str = "s
     return journal.join(first, key, "left").where(F.col(key).isNull() | (F.col(order) == F.col("_first"))).drop("_first").select(*journal.columns)
 
 
+#: Kinds of events that make an agent's state; others (decisions and their outcomes) are kept for replay.
+BOARD = ("snapshot", "check_in", "update", "check_out")
+FOLDED = "struct<events:long,checked_out:boolean>"
+
+
 def fold(journal: DataFrame, fields: list[str], by: str = "agent_id", order: str = "seq") -> DataFrame:
-    """The state of each agent after all its events (kind check_in, update, check_out).
+    """The state of each agent after all its events (kind check_in, update, check_out, or snapshot of a compacted journal).
 
-    A check-in begins anew: fields count from the last one on. A field that an event doesn't set (null) keeps its value. All
-    is max_by over the sequence number, so it is aggregated before it is shuffled.
+    A check-in begins anew: fields count from the last one on, or from a snapshot. A field that an event doesn't set (null) keeps
+    its value. All is max_by over the sequence number, so it is aggregated before it is shuffled.
     """
-    starts = journal.where("kind = 'check_in'").groupBy(by).agg(F.max(order).alias("_start"))
+    if "folded" not in journal.columns:
+        journal = journal.withColumn("folded", F.lit(None).cast(FOLDED))
+    journal = journal.where(F.col("kind").isin(*BOARD))
+    starts = journal.where("kind IN ('check_in', 'snapshot')").groupBy(by).agg(F.max(order).alias("_start"))
     now = journal.join(starts, by).where(F.col(order) >= F.col("_start"))
     last = lambda c: F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(c)
-    out = now.groupBy(by).agg(*[last(c) for c in fields], F.max_by("kind", order).alias("_kind"), F.max(order).alias("revision"), F.max("ts").alias("updated"), F.count("*").alias("events"))
-    return out.withColumn("checked_out", F.col("_kind") == "check_out").drop("_kind")
+    left = (F.col("kind") == "check_out") | F.coalesce(F.col("folded.checked_out"), F.lit(False))
+    return now.groupBy(by).agg(*[last(c) for c in fields], F.max(order).alias("revision"), F.max("ts").alias("updated"), F.sum(F.coalesce("folded.events", F.lit(1))).alias("events"), F.max_by(left, order).alias("checked_out"))
+
+
+def compact(journal: DataFrame, fields: list[str], upto: int, by: str = "agent_id", order: str = "seq") -> DataFrame:
+    """A journal whose events up to a sequence number are one snapshot an agent, with the later events and all events of other
+    kinds as they were. `fold` gives the same of it as of the whole, whatever comes after; compacting again is the same as once."""
+    if "folded" not in journal.columns:
+        journal = journal.withColumn("folded", F.lit(None).cast(FOLDED))
+    early = (F.col(order) <= upto) & F.col("kind").isin(*BOARD)
+    state = fold(journal.where(early), fields, by, order)
+    have = {by: F.col(by), order: F.col("revision"), "ts": F.col("updated"), "kind": F.lit("snapshot"), "folded": F.struct("events", "checked_out").cast(FOLDED)} | {c: F.col(c) for c in fields}
+    snaps = state.select(*[have.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in journal.schema.fields])
+    return snaps.unionByName(journal.where(~early))
 
 
 def counts(agents: DataFrame, now: int) -> DataFrame:

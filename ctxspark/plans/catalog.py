@@ -11,7 +11,7 @@ from ..functions import text as tx
 from ..functions import vectors as vx
 from ..operators import change, decide, digest, graph, linediff, paging, presence, records, retrieval, runtime, telemetry, trace
 from ..sources import files
-from ..storage import stored
+from ..storage import shared_folder, stored
 from . import relations as rel
 from .relations import read
 
@@ -619,6 +619,15 @@ def presence_counts(spark, sf):
     return presence.counts(presence.fold(rel.journal(spark, sf), ["state", "note", "expires_at"]), NOW)
 
 
+@query(f"WITH {FOLD_SQL} SELECT * FROM ag")
+def journal_compact(spark, sf):
+    """The fold of a journal whose first half has become snapshots, and of these and a further quarter snapshots once more."""
+    fields = ["state", "note", "expires_at"]
+    j = rel.journal(spark, sf)
+    most = j.agg(F.max("seq")).first()[0] or 0
+    return presence.fold(presence.compact(presence.compact(j, fields, most // 2), fields, most * 3 // 4), fields)
+
+
 @query(f"WITH {rel.JOURNAL_SQL} SELECT seq, agent_id FROM jr WHERE idempotency_key IS NULL OR seq IN (SELECT min(seq) FROM jr GROUP BY idempotency_key)")
 def idempotent_first(spark, sf):
     return presence.idempotent(rel.journal(spark, sf)).select("seq", "agent_id")
@@ -1096,6 +1105,35 @@ def line_diff(spark, sf):
     return linediff.line_hunks(pairs)
 
 
+@query("""SELECT doc_id, CASE WHEN doc_id % 7 = 0 OR doc_id % 5 = 0 THEN 2 ELSE 1 END AS mtime, line, CASE WHEN doc_id % 7 = 0 THEN 'new ' || body ELSE body END AS body
+  FROM (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS line, unnest(string_split(text, chr(10))) AS body FROM documents) WHERE doc_id % 11 <> 0 AND (doc_id % 5 <> 0 OR line = 0 OR doc_id % 7 = 0)""")
+def index_sync(spark, sf):
+    """Lines of all documents in an index: then every seventh document has other lines, every fifth only its first one, and every
+    eleventh is gone."""
+    from ..streaming.index import BucketIndex
+
+    lines = read(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "body")).select("doc_id", F.lit(1).cast("long").alias("mtime"), "line", "body")
+    index = BucketIndex(spark, shared_folder(spark, "index"), "doc_id", buckets=16)
+    index.sync(lines)
+    other, fewer = F.col("doc_id") % 7 == 0, F.col("doc_id") % 5 == 0
+    later = lines.where("doc_id % 11 != 0").where(~fewer | other | (F.col("line") == 0)).withColumns({"mtime": F.when(other | fewer, F.lit(2)).otherwise(F.col("mtime")).cast("long"), "body": F.when(other, F.concat(F.lit("new "), "body")).otherwise(F.col("body"))})
+    index.sync(later)
+    return index.read(lines.schema)
+
+
+@query("SELECT event_type, count(*) * 2 AS n, round(sum(value) * 2, 4) AS total FROM events GROUP BY 1")
+def sink_append(spark, sf):
+    """Events written as a version of a table, and once more as the next one, and read back."""
+    from ..sources.versioned import VersionedDataSource
+
+    spark.dataSource.register(VersionedDataSource)
+    path = shared_folder(spark, "versioned").removeprefix("file://").removeprefix("file:")
+    e = read(spark, sf, "events").select("event_id", "event_type", "value")
+    e.write.format("versioned").mode("overwrite").save(path)
+    e.write.format("versioned").mode("append").save(path)
+    return spark.read.format("versioned").load(path).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
 def plan_of(df: DataFrame) -> str:
     """The formatted physical plan, for tests and the bench."""
     return df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
