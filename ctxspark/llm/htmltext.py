@@ -57,11 +57,24 @@ NOISE = re.compile(
     r"|(?:site|page|main|global|top|bottom|left|right)[-_](?:header|footer|nav|navigation|menu|sidebar|banner|ads?)",
     re.I,
 )
+#: Inside an article, and on one, only these: a noise word alone, or with words of a part of a page behind it (`comment-list`, not
+#: `comments-open`, `ad-free`, `share-price` or `social-science`).
+PART = r"(?:box|block|banner|bar|list|section|container|wrapper|wrap|widget|area|form|links?|buttons?|btns?|icons?|slots?|units?|panel|thread|consent|signup|inner|body|content|items?|title|header|footer|top|bottom|left|right|popup|modal|overlay|message|notices?|policy|settings|dialog|law|info|google|native|respond|reply|posts|articles|stories|feed|\d\w*)"
+STRICT = re.compile(
+    r"(?:nav|navbar|navigation|menu|sidebar|aside|toolbar|notices?|alert|overlay|related|recommended|recommendations|repl(?:y|ies)|widget|copyright|disclaimer|complementary|skip|hidden|banner"
+    r"|ads?|advert\w*|adsense|sponsor\w*|promo|cookies?|consent|gdpr|newsletter|subscribe|subscription|breadcrumbs?|comments?|disqus|respond|share|sharing|social|pagination|pager|login|signup|search|popup|modal)"
+    rf"(?:[-_]{PART})*",
+    re.I,
+)
+#: Words that say that an article element is the article, whatever else is said of it; and ids of forms around whole pages.
+POSITIVE = re.compile(r"(?:h-?entry|post|article|entry|story|content|main|single|page|news)(?:[-_]\w+)*", re.I)
+PAGE_FORM = re.compile(r"aspnet\w*|form1|mainform|pageform", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: Elements that an opening tag of the first kind ends when it is open.
 ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Where a block lies: marked nowhere, in an article, in an article within noise, in noise, and where nothing is an article.
-OPEN, MAIN, INNER, SOFT, HARD = range(5)
+#: A form is like the last, but an article that is marked in it counts.
+OPEN, MAIN, INNER, SOFT, HARD, FORM = range(6)
 
 
 def _tag_end(html: str, at: int) -> int:
@@ -81,18 +94,29 @@ def _tag_end(html: str, at: int) -> int:
 
 def _zone(name: str, attrs: str, around: int) -> int:
     """Where the content of an element lies."""
-    noise = article = hidden = False
+    noise = strict = positive = article = hidden = whole = False
     for key, value in NAMED.findall(attrs) if attrs else ():
         key, value = key.lower(), value.strip("\"'")
         hidden |= key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and bool(HIDDEN.search(value)))
         if key in ("class", "id", "role"):
-            noise |= any(map(NOISE.fullmatch, value.split()))
+            words = value.split()
+            noise |= any(map(NOISE.fullmatch, words))
+            strict |= any(map(STRICT.fullmatch, words))
+            positive |= any(map(POSITIVE.fullmatch, words))
+            whole |= any(map(PAGE_FORM.fullmatch, words))
             article |= key == "role" and value.lower() == "main"
-    if around == HARD or hidden or (name in DROPPED and not (name == "header" and around in (MAIN, INNER))):
+    if around == HARD or hidden:
+        return HARD
+    if name == "form":
+        return around if whole else HARD if around in (MAIN, INNER, SOFT) else FORM
+    if name in DROPPED and not (name == "header" and around in (MAIN, INNER)):
         return HARD
     if name in ("article", "main") or article:
-        if not noise or name == "main":
-            return {OPEN: MAIN, SOFT: INNER}.get(around, around)
+        # An article outranks what else its class says, unless that is nothing but noise.
+        if name == "main" or positive or not strict:
+            return {OPEN: MAIN, FORM: MAIN, SOFT: INNER}.get(around, around)
+    if around in (MAIN, INNER):
+        return HARD if strict else around
     if noise and name not in ("html", "body", "main"):
         return SOFT if around in (OPEN, SOFT) else HARD
     return around

@@ -8,8 +8,10 @@ highest; the small bundles come last and level what is left. Rows then learn the
 are dealt by hash into parts, and a row's slot is its part's first slot and its place in the part, so neither a hot group nor a
 whole shard is ever sorted in one task. No text is shuffled.
 
-Edge cases: a null text has size 1 like an empty one; copies beyond a shard's capacity are spread, others stay together; repeated
-rows get slots of their own; an empty table gives no rows; the law is `bytes`.
+Edge cases: a null text has size 1 like an empty one; copies beyond a shard's capacity are spread, by their place in the table, so
+also if their ids are null or equal; other copies stay together; repeated rows get slots of their own; of items that fit alike the
+first shard takes one; a text larger than a shard's capacity has a shard nearly for itself; no column but doc_id and text is read,
+so that no other name matters; an empty table gives no rows; the law is `bytes`.
 """
 
 from __future__ import annotations
@@ -44,7 +46,7 @@ def shard(docs: DataFrame, shards: int = 16, text: str = "text", doc_id: str = "
     whole = text_or_empty(F.col(text))
     h1, h2 = hash128(whole)
     rows = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(whole) + 1).cast("long").alias("size"), F.regexp_count(whole, F.lit(r"\S+")).cast("long").alias("tokens"), F.crc32(whole).alias("text_crc32"), h1.alias("h1"), h2.alias("h2"))
-    rows = written(rows, "shard-rows")
+    rows = written(rows.withColumn("at", F.monotonically_increasing_id()), "shard-rows")
     sums = [F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("n")]
     total = rows.agg(*sums).first()
     share = F.greatest(*[F.col(c) / F.lit(float(max(total[c] or 0, 1))) for c in ("size", "tokens", "n")]) * bundles
@@ -59,7 +61,7 @@ def shard(docs: DataFrame, shards: int = 16, text: str = "text", doc_id: str = "
     known = F.broadcast(spark.createDataFrame(known, "h1 long, h2 long, parts long, first long"))
     bundle = F.pmod("h1", F.lit(bundles))
     fine = F.pmod(F.shiftrightunsigned("h2", 20), F.lit(SMALL))
-    part = F.when(F.col("first").isNotNull(), F.col("first") + F.pmod(F.xxhash64("doc_id", "h2"), F.col("parts"))).otherwise(bundle * SMALL + F.when(bundle < SPLIT, fine).otherwise(F.lit(0)))
+    part = F.when(F.col("first").isNotNull(), F.col("first") + F.pmod(F.xxhash64("at"), F.col("parts"))).otherwise(bundle * SMALL + F.when(bundle < SPLIT, fine).otherwise(F.lit(0)))
     dealt = rows.join(known, ["h1", "h2"], "left").select("doc_id", "size", "tokens", "text_crc32", part.cast("long").alias("part"))
 
     parts = dealt.groupBy("part").agg(*sums).orderBy("part").collect()

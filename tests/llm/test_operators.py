@@ -581,6 +581,31 @@ def test_groups_stay_whole(spark):
     assert total.max() / total.min() < 1.02
 
 
+@pytest.mark.parametrize("same", [None, 5])
+def test_copies_with_one_id_are_spread(spark, same):
+    """A group beyond a shard's capacity whose rows have no id, or all the same one."""
+    rows = [(same, "copy " * 20)] * 4000 + [(10 + i, f"text {i} " + "w " * (i % 40)) for i in range(4000)]
+    out = sharding.shard(docs(spark, rows), 16).toPandas()
+    assert len(out) == len(rows) and all(sorted(g["slot"]) == list(range(len(g))) for _, g in out.groupby("shard"))
+    n, size = out.groupby("shard").size(), out.groupby("shard")["size"].sum()
+    assert n.max() < 1.06 * n.min() and size.max() < 1.02 * size.min()
+
+
+def test_place_against_a_plain_version():
+    rng = np.random.default_rng(5)
+    for shards in (1, 3, 16):
+        vectors = np.round(rng.exponential(50, (200, 3)))
+        share = [[v[k] / max(vectors[:, k].sum(), 1) * shards for k in range(3)] for v in vectors]
+        left, want = [[1.0] * 3 for _ in range(shards)], [0] * len(share)
+        for i in sorted(range(len(share)), key=lambda i: (-max(share[i]), i)):
+            fits = [sum(left[s][k] * sharding.WEIGHTS[k] * share[i][k] for k in range(3)) for s in range(shards)]
+            best = max(range(shards), key=lambda s: (fits[s], -s))
+            want[i] = best
+            left[best] = [x - y for x, y in zip(left[best], share[i])]
+        assert sharding.place(vectors, shards).tolist() == want
+    assert sharding.place(np.zeros((0, 3)), 4).tolist() == []
+
+
 # op9
 
 
@@ -597,6 +622,17 @@ PAGES = [
 
 
 PAGES += [
+    ("<article class='post comments-open'><p>a</p></article>", "a"),
+    ("<article class='post ad-free'><p>a</p></article><article class='related'><p>no</p></article>", "a"),
+    ("<main><article class='share-price'><p>a</p></article></main>", "a"),
+    ("<article class='comments-open'><p>a</p></article><article class='comment-list'><p>no</p></article>", "a"),
+    ("<form id='aspnetForm'><nav>m</nav><article><p>a</p><form>b</form></article></form>", "a"),
+    ("<form method='post'><p>no</p><article><p>a</p></article></form>", "a"),
+    ("<form id='aspnetForm'><div><p>a</p></div></form>", "a"),
+    ("<form><p>no</p><label>no</label></form><p>a</p>", "a"),
+    ("<article><section class='discussion'><p>a</p></section><div class='legal'>b</div><p class='social-science'>c</p><p class='promo-code'>d</p></article>", "a b c d"),
+    ("<article><p>a</p><div class='share-buttons'>no</div><div class='ad-slot-300x250'>no</div><ul class='comment-list'><li>no</ul><div class='newsletter_signup'>no</div><p class='notice'>no</p></article>", "a"),
+    ("<div class='comments'><article class='comment'><p>no</p></article></div><article class='entry'><p>a</p></article>", "a"),
     ("<div class='layout no-sidebar'><article class='post has-comments'><div class='entry-header'><h1>Head</h1></div><p>text</p><section class='related-work'><p>cited</p></section><div class='related'>no</div></article></div>", "Head text cited"),
     ("<div class='sidebar'><article><p>inner</p></article></div><p>beside</p>", "inner"),
     ("<title>x</title><p title=don't>a<p class='ad-banner top'>b<p class=headline>c", "a c"),
