@@ -9,6 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import basename, folder, segment
+from ..storage import stored
+from .ranking import ranked
+
+#: Nodes of a search's level up to which they are numbered in one place.
+WIDE = 100_000
 
 
 def callers(edges: DataFrame, symbol: str) -> DataFrame:
@@ -40,8 +45,7 @@ def call_path(adjacent: DataFrame, start: str, goal: str, max_depth: int = 8) ->
     """step, node of the shortest chain from start to goal; no rows if there is none within max_depth (1 to 64).
 
     Breadth-first: each level joins the frontier with the edges and leaves out what was seen. A node's parent is the one that
-    a search in alphabetical order would find first. Only counts come to the driver; levels are checkpointed where the
-    session has a checkpoint folder.
+    a search in alphabetical order would find first. Only counts come to the driver; levels are tables in the shared folder.
     """
     spark, depth = adjacent.sparkSession, max(1, min(64, max_depth))
     cut = _cutter(spark)
@@ -54,13 +58,15 @@ def call_path(adjacent: DataFrame, start: str, goal: str, max_depth: int = 8) ->
         reached = edges.join(frontier, edges["caller"] == frontier["node"]).join(seen.select(F.col("node").alias("callee")), "callee", "left_anti")
         found = reached.groupBy("callee").agg(F.min(F.struct("place", F.col("caller").alias("parent"))).alias("p")).select(F.col("callee").alias("node"), "p.parent", F.col("p.place").alias("from"))
         found = cut(found)
-        if found.isEmpty():
+        wide = found.count()
+        if not wide:
             break
         seen = cut(seen.unionByName(found.select("node", "parent", F.lit(level).alias("depth"))))
         if not found.where(F.col("node") == goal).isEmpty():
             break
-        # Places in the order of discovery, as wide as a level; ranges of it would do for very wide ones.
-        frontier = found.select("node", F.row_number().over(Window.orderBy("from", "node")).cast("long").alias("place"))
+        # Places in the order of discovery; those of a wide level are taken by ranges.
+        place = ranked(found, ["from", "node"]) if wide > WIDE else found.withColumn("rank", F.row_number().over(Window.orderBy("from", "node")))
+        frontier = place.select("node", F.col("rank").cast("long").alias("place"))
     path, node = [], goal
     while node is not None:
         row = seen.where(F.col("node") == node).first()
@@ -72,8 +78,7 @@ def call_path(adjacent: DataFrame, start: str, goal: str, max_depth: int = 8) ->
 
 
 def _cutter(spark):
-    folder_ = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-    return (lambda df: df.checkpoint()) if folder_ else (lambda df: df.persist())
+    return lambda df: stored(df, "graph-level")
 
 
 def reach(adjacent: DataFrame, start: str, max_depth: int = 8) -> DataFrame:

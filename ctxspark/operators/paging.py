@@ -9,22 +9,26 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import ranked
+
 
 def budget_page(rows: DataFrame, size: Column, order: list, budget: int, offset: int = 0, page: int = 10_000) -> DataFrame:
     """From the offset on, the rows that fit in the budget: they stop at the first that doesn't, but one is always given.
-    Adds rank (from 1) and used. Only the top rows are sorted in one place: `page` of them, and four times as many as long as
-    these all fit, so that is in proportion to what is given."""
+    Adds rank (from 1) and used. The `page` first rows are sorted in one place; only if all of these fit and there may be more, ranks
+    and totals are taken over ranges of all rows, so that no task has them all, however small they are."""
     w = Window.orderBy(*order)
-    while True:
-        top = rows.orderBy(*order).limit(offset + page)
-        sized = top.withColumn("rank", F.row_number().over(w)).where(F.col("rank") > offset)
-        sized = sized.withColumn("used", F.sum(size).over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)))
-        n, used = sized.agg(F.count("*"), F.max("used")).first()
-        if n < page or used > budget:
-            break
-        page *= 4
-    over = F.min(F.when(F.col("used") > budget, F.col("rank"))).over(Window.partitionBy())
-    return sized.withColumn("_over", over).where(F.col("_over").isNull() | (F.col("rank") < F.col("_over")) | (F.col("rank") == offset + 1)).drop("_over")
+    top = rows.orderBy(*order).limit(offset + page).withColumn("_size", size)
+    sized = top.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") > offset)
+    sized = sized.withColumn("used", F.sum("_size").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)))
+    n, used, over = sized.agg(F.count("*"), F.max("used"), F.min(F.when(F.col("used") > budget, F.col("rank")))).first()
+    if n == page and over is None:
+        sized = ranked(rows.withColumn("_size", size), order, F.col("_size"))
+        had = sized.where(F.col("rank") == offset).agg(F.max("used")).first()[0] or 0
+        sized = sized.where(F.col("rank") > offset).withColumn("used", F.col("used") - had)
+        over = sized.agg(F.min(F.when(F.col("used") > budget, F.col("rank")))).first()[0]
+    if over is not None:
+        sized = sized.where((F.col("rank") < over) | (F.col("rank") == offset + 1))
+    return sized.drop("_size")
 
 
 def fingerprint(args: dict) -> str:

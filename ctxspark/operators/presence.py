@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import folders_above, paths_overlap
+from .ranking import ranked
 
 #: Keys under which a source body would be stored.
 BODY_KEYS = ("patch", "diff", "source", "file_contents", "contents")
@@ -135,8 +136,8 @@ def split_holdout(worlds: DataFrame, share: float = 0.2) -> DataFrame:
     """Worlds with holdout: the newest fifth (rounded up, at least one, never all) by ts and episode. One world is never held out."""
     n = worlds.count()
     held = 0 if n < 2 else min(max(1, -(-n * int(share * 100) // 100)), n - 1)
-    newest = worlds.orderBy(F.desc("ts"), F.desc("episode_id")).limit(held).select("episode_id", F.lit(True).alias("holdout"))
-    return worlds.join(newest, "episode_id", "left").fillna(False, ["holdout"])
+    out = ranked(worlds, [F.desc("ts"), F.desc("episode_id")])
+    return out.withColumn("holdout", F.col("rank") <= held).drop("rank")
 
 
 def replay(decisions: DataFrame, outcomes: DataFrame, prefer: dict[str, float], beta: float = 1.0, min_score: float = 0.0, max_batch: int = 4, max_rounds: int = 16, recorded: bool = False) -> DataFrame:

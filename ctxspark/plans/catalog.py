@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vectors as vx
-from ..operators import change, decide, digest, graph, linediff, paging, presence, records, retrieval, runtime, telemetry, trace
+from ..operators import change, decide, digest, graph, linediff, paging, policy, presence, records, retrieval, runtime, telemetry, trace
 from ..sources import files
 from ..storage import shared_folder, stored
 from . import relations as rel
@@ -1134,6 +1134,39 @@ def sink_append(spark, sf):
     return spark.read.format("versioned").load(path).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
+# Policies: views and clicks as decisions between three actions, three users to an episode.
+
+@query("""WITH d AS (SELECT event_id AS e, user_id AS u, CAST(user_id // 3 AS VARCHAR) AS ep, CAST(floor(epoch(ts)) AS BIGINT) AS ts, 't' || (user_id // 3 % 4) AS task, value FROM events WHERE event_type IN ('view', 'click')),
+  w AS (SELECT ep, arg_min(ts, e) AS ts, arg_min(task, e) AS task, bool_or(u % 50 = 0) AS open FROM d GROUP BY 1), n AS (SELECT count(*) AS n, max(task) AS last, count(DISTINCT task) AS tasks FROM w),
+  h AS (SELECT w.*, n >= 2 AND row_number() OVER (ORDER BY ts DESC, ep DESC) <= greatest(1, least((n + 4) // 5, n - 1)) AS holdout, tasks > 1 AND task = last AS task_holdout FROM w, n),
+  a AS (SELECT *, unnest(range(3)) AS k FROM d), b AS (SELECT *, e % 3 = k OR (e % 5 = 0 AND (e + 1) % 3 = k) AS taken, CASE WHEN (e + k) % 3 <> 0 THEN 1.0 ELSE 0 END + CASE WHEN (e + k) % 4 = 1 THEN 0.5 ELSE 0 END AS score FROM a),
+  r AS (SELECT *, dense_rank() OVER (PARTITION BY ep ORDER BY e) AS round, row_number() OVER (PARTITION BY e ORDER BY score DESC, k) AS best FROM b),
+  p AS (SELECT 'solo' AS policy, * FROM r WHERE best = 1 AND round <= 16 UNION ALL SELECT 'same', * FROM r WHERE taken UNION ALL SELECT 'incumbent', * FROM r WHERE taken),
+  s AS (SELECT p.*, unnest(list_filter(['all', CASE WHEN holdout THEN 'holdout' END, CASE WHEN task_holdout THEN 'task_holdout' END], lambda x: x IS NOT NULL)) AS part FROM p JOIN h USING (ep) WHERE NOT open),
+  t AS (SELECT policy, part, count(*) FILTER (taken) AS inside, count(*) FILTER (NOT taken) AS outside, round(coalesce(sum(value) FILTER (taken AND e % 13 <> 0), 0), 4) AS cost, coalesce(max(e % 10) FILTER (taken AND e % 13 <> 0), 0) AS quality,
+    min(e % 2) FILTER (taken AND e % 13 <> 0) AS correctness, min(e % 10) FILTER (taken AND e % 13 <> 0) AS score FROM s GROUP BY 1, 2),
+  g AS (SELECT policy, part, unnest(['correctness', 'score']) AS metric, unnest([correctness, score]) AS least FROM t), i AS (SELECT part, metric, least AS bound FROM g WHERE policy = 'incumbent' AND part <> 'all' AND least IS NOT NULL),
+  f AS (SELECT c.policy, string_agg(i.part || ':' || i.metric, ', ' ORDER BY i.part, i.metric) AS failed FROM (SELECT unnest(['solo', 'same']) AS policy) c CROSS JOIN i LEFT JOIN g ON g.policy = c.policy AND g.part = i.part AND g.metric = i.metric WHERE g.least IS NULL OR g.least < i.bound GROUP BY 1)
+  SELECT c.policy, (SELECT count(*) FROM w) AS worlds, (SELECT count(*) FROM w WHERE open) AS censored, (SELECT count(*) FROM h WHERE holdout) AS holdout_worlds, (SELECT count(*) FROM h WHERE task_holdout) AS task_holdout_worlds,
+    round(x.inside / (x.inside + x.outside), 6) AS support, round(y.inside / (y.inside + y.outside), 6) AS holdout_support, x.outside AS out_of_support, x.cost, CAST(x.quality AS DOUBLE) AS quality, z.cost AS incumbent_cost, CAST(z.quality AS DOUBLE) AS incumbent_quality,
+    coalesce(f.failed, '') AS failed, y.inside >= 0.7 * (y.inside + y.outside) AND y.outside = 0 AND f.failed IS NULL AS promotion_ok
+  FROM (SELECT unnest(['solo', 'same']) AS policy) c JOIN t x ON x.policy = c.policy AND x.part = 'all' JOIN t y ON y.policy = c.policy AND y.part = 'holdout' JOIN t z ON z.policy = 'incumbent' AND z.part = 'all' LEFT JOIN f ON f.policy = c.policy""")
+def policy_verdicts(spark, sf):
+    """A policy that avoids overlaps and one that does what was done, against what was done."""
+    e, u = F.col("event_id"), F.col("user_id")
+    action = lambda k: F.struct(F.lit(f"a{k}").alias("id"), F.get(F.array(*[F.lit(x) for x in ("continue", "root", "handoff", "other")]), ((e + k) % 4).cast("int")).alias("kind"), F.array(F.lit(f"p{k}")).alias("paths"), F.array().cast("array<string>").alias("causal_parents"), ((e + k) % 3 == 0).alias("overlapping"))
+    name = lambda c: F.concat(F.lit("a"), c % 3)
+    events = read(spark, sf, "events").where("event_type IN ('view', 'click')")
+    decisions = events.select(F.floor(u / 3).cast("string").alias("episode_id"), e.cast("string").alias("id"), e.alias("seq"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("ts"), u.cast("string").alias("agent_id"), F.concat(F.lit("t"), F.floor(u / 3) % 4).alias("task"), F.array(*[action(k) for k in range(3)]).alias("legal"), F.when(e % 5 == 0, F.array(name(e), name(e + 1))).otherwise(F.array(name(e))).alias("selected"), "value")
+    metrics = F.create_map(F.lit("cost"), F.col("value"), F.lit("score"), (F.col("seq") % 10).cast("double"), F.lit("correctness"), (F.col("seq") % 2).cast("double"))
+    outcomes = decisions.select(F.col("id").alias("decision"), F.explode("selected").alias("action"), "seq", metrics.alias("metrics"), (F.col("seq") % 13 == 0).alias("censored"))
+    agents = read(spark, sf, "events").select(u.cast("string").alias("agent_id"), (u % 50 != 0).alias("checked_out")).distinct()
+    asked = [policy.Policy("solo", {"non_overlapping": 1.0, "root": 0.5}, max_batch=1), policy.Policy("same", max_batch=32, max_rounds=10_000, recorded=True)]
+    out = policy.evaluate(asked, decisions.drop("value"), outcomes, agents, ["correctness", "score"])
+    shown = ("policy", "worlds", "censored", "holdout_worlds", "task_holdout_worlds", "support", "holdout_support", "out_of_support", "cost", "quality", "incumbent_cost", "incumbent_quality", "failed", "promotion_ok")
+    return out.withColumns({"support": F.round("support", 6), "holdout_support": F.round("holdout_support", 6), "cost": F.round("cost", 4), "incumbent_cost": F.round("incumbent_cost", 4), "failed": F.array_join("failed", ", ")}).select(*shown)
+
+
 def plan_of(df: DataFrame) -> str:
     """The formatted physical plan, for tests and the bench."""
     return df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")

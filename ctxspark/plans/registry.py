@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import change, decide, digest, graph, paging, presence, records, retrieval, runtime, telemetry, trace
+from ..operators import change, decide, digest, graph, paging, policy, presence, records, retrieval, runtime, telemetry, trace
 from ..sources import files, git
 from ..streaming import gate
 
@@ -76,7 +76,7 @@ TOOLS: dict[str, Callable] = {
     "board_status": records.convergence, "board_finalize": records.handoff, "session_handoff": records.handoff, "defect_upsert": records.upsert, "defect_list": records.list_defects, "idea_list": records.facet,
     "idea_show": retrieval.similar, "idea_upsert": records.capture_idea, "idea_review": records.review_queue, "idea_touch": records.touch_ideas, "idea_status": records.set_idea_status,
     "run_record": records.upsert, "run_history": records.run_history, "artifact_index": files.artifacts, "session_pressure": telemetry.pressure, "commit_scope": git.commit_scopes, "presence_status": presence.findings,
-    "presence_advise": presence.findings, "presence_check_in": gate.judged, "presence_update": gate.judged, "presence_check_out": gate.judged, "doc_comment": graph.doc_comment, "continuation": paging.budget_page,
+    "presence_advise": policy.advise, "presence_check_in": gate.judged, "presence_update": gate.judged, "presence_check_out": gate.judged, "doc_comment": graph.doc_comment, "continuation": paging.budget_page,
     "includees": graph.includees, "digest_status": digest.status, "digest_log": digest.log, "digest_diff": digest.diff, "digest_tests": digest.ctest, "digest_build": digest.build, "recent_docs": records.recent,
 }
 

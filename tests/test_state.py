@@ -180,3 +180,82 @@ def test_includees_and_kinds(spark):
     assert [tuple(r) for r in graph.includees(i, "a.c").collect()] == [("y.h", 1), ("x.h", 2)]
     d = rows(spark, [("f", "function"), ("r", "record"), ("m", "module")], "name string, kind string")
     assert {r.name for r in graph.of_kind(d).collect()} == {"f", "r"} and graph.of_kind(d, "module").count() == 1
+
+
+def test_ranks_by_ranges(spark):
+    import random
+
+    from ctxspark.operators import ranking
+
+    rng = random.Random(4)
+    data = [(i, rng.randrange(50), rng.choice([None, 1, 2])) for i in range(500)]
+    df = spark.createDataFrame(data, "id long, k long, n long").repartition(7)
+    got = ranking.ranked(df, [F.desc("k"), "id"], F.coalesce("n", F.lit(0))).collect()
+    total = 0
+    for place, (i, k, n) in enumerate(sorted(data, key=lambda r: (-r[1], r[0])), 1):
+        total += n or 0
+        row = next(r for r in got if r.id == i)
+        assert (row["rank"], row.used, row.k, row.n) == (place, total, k, n)
+    assert ranking.ranked(df.limit(0), ["id"]).count() == 0
+
+
+def test_wide_levels(spark, monkeypatch):
+    from ctxspark.operators import graph
+
+    edges = spark.createDataFrame([("s", f"m{i}") for i in range(30)] + [(f"m{i}", f"n{i % 3}") for i in range(30)] + [("n2", "goal"), ("n1", "goal")], "caller string, callee string")
+    want = [r.node for r in graph.call_path(edges, "s", "goal").orderBy("step").collect()]
+    monkeypatch.setattr(graph, "WIDE", 0)
+    assert [r.node for r in graph.call_path(edges, "s", "goal").orderBy("step").collect()] == want and len(want) == 4
+
+
+DECIDED = "episode_id string, id string, seq long, ts long, agent_id string, task string, legal array<struct<id:string,kind:string,paths:array<string>,causal_parents:array<string>,overlapping:boolean>>, selected array<string>"
+
+
+def policy_rows(spark, episodes):
+    """Decisions between `keep` (which overlaps) and `leap`; of each episode: its agent, task, what was taken."""
+    legal = [("keep", "continue", [], [], True), ("leap", "root", [], [], False)]
+    d = [(f"e{i}", f"d{i}", i, i, agent, task, legal, taken) for i, (agent, task, taken) in enumerate(episodes)]
+    o = [(f"d{i}", a, 1, {"correctness": 1.0 if a == "keep" else 0.0, "cost": 2.0, "secret": 9.0}, False) for i in range(len(episodes)) for a in ("keep", "leap")]
+    return rows(spark, d, DECIDED), rows(spark, o, "decision string, action string, seq long, metrics map<string,double>, censored boolean")
+
+
+def test_policy_gates(spark):
+    from ctxspark.operators import policy
+
+    asked = [policy.Policy("avoid", {"non_overlapping": 5.0}, max_batch=1), policy.Policy("as_was", recorded=True, max_batch=32, max_rounds=100)]
+    agents = rows(spark, [("ana", True), ("ben", False)], "agent_id string, checked_out boolean")
+    d, o = policy_rows(spark, [("ana", "t1", ["keep"])] * 6 + [("ben", "t1", ["keep"])])
+    got = {r.policy: r for r in policy.evaluate(asked, d, o, agents, ["correctness"]).collect()}
+    avoid, as_was = got["avoid"], got["as_was"]
+    # What wasn't taken earns nothing, whatever its outcome was; the open episode isn't played.
+    assert (avoid.support, avoid.out_of_support, avoid.cost, avoid.promotion_ok, avoid.censored) == (0.0, 6, 0.0, False, 1)
+    assert avoid.failed == ["holdout:correctness"] and avoid.incumbent_cost == 12.0
+    assert (as_was.support, as_was.holdout_worlds, as_was.failed, as_was.promotion_ok) == (1.0, 2, [], True)
+    # One world alone is never held out, so nothing is promoted on it.
+    d, o = policy_rows(spark, [("ana", "", ["keep"])])
+    assert [r.promotion_ok for r in policy.evaluate(asked, d, o, agents, ["correctness"]).collect()] == [False, False]
+    # A gate of the tasks that were held out counts too.
+    d, o = policy_rows(spark, [("ana", "t1", ["leap"]), ("ana", "t2", ["keep", "leap"]), *[("ana", "t1", ["leap"])] * 3])
+    worse = policy.evaluate([policy.Policy("keeps", {"continue": 1.0}, max_batch=1)], d, o, agents, ["correctness"]).first()
+    assert worse.task_holdout_worlds == 1 and not worse.promotion_ok
+    with pytest.raises(ValueError):
+        policy.Policy("x", {"unknown": 1.0})
+
+
+def test_promotion_and_advice(spark):
+    from ctxspark.operators import policy
+
+    verdicts = rows(spark, [("a", True, 0.9), ("b", False, 0.1), ("c", True, 0.8)], "policy string, promotion_ok boolean, holdout_support double")
+    up = policy.promotions(verdicts, 10, 99)
+    assert [(r.seq, r.id, r.support) for r in up.orderBy("seq").collect()] == [(11, "a", 0.9), (12, "c", 0.8)]
+    status = lambda more: {r.id: r.status for r in policy.records(up.select("seq", "kind", "id", "support").unionByName(rows(spark, more, "seq long, kind string, id string, support double"))).collect()}
+    assert status([]) == {"a": "retired", "c": "active"}
+    assert status([(20, "policy_retire", "c", None)]) == {"a": "retired", "c": "retired"}
+    assert status([(20, "policy_retire", "c", None), (21, "policy_promote", "c", 0.7)]) == {"a": "retired", "c": "active"}
+    found = rows(spark, [("drift", "x", None, "p"), ("stale", "y", None, "q"), ("base_divergence", "x", "y", "r")], "kind string, a string, b string, detail string")
+    offers = rows(spark, [("h1", "x", "", "offered"), ("h2", "x", "y", "accepted")], "id string, from string, to string, derived string")
+    active = policy.records(up)
+    said = lambda prefer, a=active: sorted((r.kind, r.detail, r.confidence) for r in policy.advise(a, prefer, found, offers).collect())
+    assert said(["non_overlapping"]) == [("drift", "p", 0.8), ("stale", "q", 0.8)]
+    assert said([]) == [("handoff", "h1", 0.8), ("stale", "q", 0.8)]
+    assert said(["handoff"], active.where("status = 'retired'")) == []
