@@ -9,7 +9,9 @@ inside a role or text get one more backslash after their first character, which
 markers of the template are the only ones in the output.
 
 Edge cases: null records, invalid JSON and unknown layouts have layout null and no turns; null roles and texts are empty;
-turns keep their order and repeats; an unknown role is kept as it is; extra fields don't change the fingerprint.
+turns keep their order and repeats; an unknown role is kept as it is; extra fields don't change the fingerprint; texts of any
+length are kept whole; repeated records have results of their own; other columns are carried in a struct, so that no name
+clashes; a conversation without turns is the empty string; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import packed, text_or_empty
+
 TURN = "array<struct<role:string,text:string>>"
 START, MESSAGE, END = "<|start|>", "<|message|>", "<|end|>"
 
@@ -106,9 +110,11 @@ def _turns(mapping: dict, rec: Column, kind: T.DataType) -> Column:
 
 
 def canonical(df: DataFrame, record: str) -> DataFrame:
-    """Adds fingerprint long, layout string and turns (role, text) of the record column, a JSON string or a struct."""
+    """Every row of df as the struct `row`, with fingerprint long, layout string and turns (role, text) of the record column, a JSON
+    string or a struct."""
     kind = df.schema[record].dataType
-    rec = F.col(record)
+    df = packed(df, rec=F.col(f"`{record}`"))
+    rec = F.col("rec")
     prints = json_fingerprint(rec) if isinstance(kind, T.StringType) else F.when(rec.isNotNull(), struct_fingerprint(kind))
     df = df.withColumn("fingerprint", prints)
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURN)
@@ -118,39 +124,40 @@ def canonical(df: DataFrame, record: str) -> DataFrame:
             continue
         hit = F.col("fingerprint").isin(*[_hash(ps) for ps in _paths(mapping)])
         layout, turns = F.when(hit, F.lit(name)).otherwise(layout), F.when(hit, _turns(mapping, rec, kind)).otherwise(turns)
-    return df.withColumn("layout", layout).withColumn("turns", F.coalesce(turns, F.array().cast(TURN)))
+    return df.select("row", "fingerprint", layout.alias("layout"), F.coalesce(turns, F.array().cast(TURN)).alias("turns"))
 
 
 def formatted(df: DataFrame, turns: str = "turns", learn: str = "assistant") -> DataFrame:
-    """Adds formatted string and loss_mask: for each turn how many code points of the output are skipped, learned, and
-    skipped after them. The numbers sum to the length of the output; only texts of the role to learn are learned."""
+    """Every row of df as the struct `row`, with formatted string and loss_mask: for each turn how many code points of the output
+    are skipped, learned, and skipped after them. The numbers sum to the length of the output; only texts of the role to learn are learned."""
     size = lambda c: F.char_length(c).cast("int")
-    safe = F.transform(F.col(turns), lambda t: F.struct(escape(t["role"]).alias("role"), escape(t["text"]).alias("text"), (t["role"] == learn).alias("loss")))
+    df = packed(df, turns=F.col(f"`{turns}`"))
+    safe = F.transform(F.coalesce(F.col("turns"), F.array().cast(TURN)), lambda t: F.struct(escape(text_or_empty(t["role"])).alias("role"), escape(text_or_empty(t["text"])).alias("text"), F.coalesce(t["role"] == learn, F.lit(False)).alias("loss")))
     head = lambda t: F.lit(len(START) + len(MESSAGE)) + size(t["role"])
     return (
         df.withColumn("_safe", safe)
         .withColumn("formatted", F.array_join(F.transform("_safe", lambda t: F.concat(F.lit(START), t["role"], F.lit(MESSAGE), t["text"], F.lit(END))), ""))
         .withColumn("loss_mask", F.transform("_safe", lambda t: F.struct(F.when(t["loss"], head(t)).otherwise(head(t) + size(t["text"])).alias("skip"), F.when(t["loss"], size(t["text"])).otherwise(F.lit(0)).alias("learn"), F.lit(len(END)).alias("tail"))))
-        .drop("_safe")
+        .select("row", "formatted", "loss_mask")
     )
 
 
 def read_back(df: DataFrame) -> DataFrame:
-    """Adds back (role, text, learned text) per turn, from formatted and loss_mask alone; the inverse of ``formatted``."""
+    """Every row of df as the struct `row`, with back (role, text, learned text) per turn, from its formatted and loss_mask alone;
+    the inverse of ``formatted``."""
+    df = packed(df, formatted=F.col("formatted"), loss_mask=F.col("loss_mask"))
     quoted = lambda s: s.replace("|", r"\|")
     pieces = F.split(F.col("formatted"), quoted(END))
     pieces = F.slice(pieces, 1, F.size(pieces) - 1)
-    return df.withColumn(
-        "back",
-        F.transform(
-            F.arrays_zip(pieces.alias("piece"), F.col("loss_mask").alias("mask")),
-            lambda z: F.struct(
-                unescape(F.substring(F.split(z["piece"], quoted(MESSAGE))[0], len(START) + 1, 2**31 - 1)).alias("role"),
-                unescape(F.split(z["piece"], quoted(MESSAGE))[1]).alias("text"),
-                unescape(F.substring(z["piece"], z["mask"]["skip"] + 1, z["mask"]["learn"])).alias("learned"),
-            ),
+    back = F.transform(
+        F.arrays_zip(pieces.alias("piece"), F.col("loss_mask").alias("mask")),
+        lambda z: F.struct(
+            unescape(F.substring(F.split(z["piece"], quoted(MESSAGE))[0], len(START) + 1, 2**31 - 1)).alias("role"),
+            unescape(F.split(z["piece"], quoted(MESSAGE))[1]).alias("text"),
+            unescape(F.substring(z["piece"], z["mask"]["skip"] + 1, z["mask"]["learn"])).alias("learned"),
         ),
     )
+    return df.select("row", back.alias("back"))
 
 
 def rows_to_records(rows: DataFrame) -> DataFrame:
@@ -168,12 +175,12 @@ def op1_chat_formatting(spark, sf_dir: str) -> DataFrame:
     df = read_back(formatted(canonical(rows_to_records(rows.unionByName(extra)), "record")))
     learned = F.array_join(F.transform("back", lambda t: t["learned"]), "")
     return df.select(
-        "conv_id",
+        "row.row.row.conv_id",
         F.size("back").cast("long").alias("n_turns"),
         F.sha2(F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
         F.char_length(learned).cast("long").alias("loss_chars"),
         F.sha2(learned, 256).alias("loss_sha256"),
-        F.char_length("formatted").cast("long").alias("formatted_chars"),
+        F.char_length("row.formatted").cast("long").alias("formatted_chars"),
     )
 
 

@@ -48,7 +48,7 @@ LAYOUTS = [
 def test_layouts(spark):
     rows = [json.dumps(r) for r, _, _ in LAYOUTS] + [None, "not json", "[]"]
     df = chat.canonical(spark.createDataFrame(list(enumerate(rows)), "n int, rec string"), "rec")
-    got = {r.n: (r.layout, [tuple(t) for t in r.turns]) for r in df.collect()}
+    got = {r.row.n: (r.layout, [tuple(t) for t in r.turns]) for r in df.collect()}
     assert [got[i] for i in range(len(LAYOUTS))] == [(name, turns) for _, name, turns in LAYOUTS]
     assert all(got[len(LAYOUTS) + i] == (None, []) for i in range(3))
 
@@ -62,10 +62,23 @@ def test_round_trip(spark):
     turns = [(i, [(rng.choice(["user", "assistant", "<|end|>", ""]), t) for t in texts[i : i + 3]]) for i in range(0, 600, 3)]
     df = chat.read_back(chat.formatted(spark.createDataFrame(turns, "n int, turns array<struct<role:string,text:string>>")))
     for r in df.collect():
-        want = dict(turns)[r.n]
+        want = dict(turns)[r.row.row.n]
         assert [(b.role, b.text) for b in r.back] == want
         assert [b.learned for b in r.back] == [t if role == "assistant" else "" for role, t in want]
-        assert sum(sum(m) for m in r.loss_mask) == len(r.formatted)
+        assert sum(sum(m) for m in r.row.loss_mask) == len(r.row.formatted)
+
+
+def test_chat_edges(spark):
+    """Columns with the names of results stay; null roles, texts and turns; long texts; repeats; no rows."""
+    names = ("turns", "layout", "fingerprint", "formatted", "loss_mask", "back", "row", "rec")
+    rec = json.dumps({"messages": [{"role": None, "content": None}, {"role": "assistant", "content": "x" * 300_000}]})
+    df = spark.createDataFrame([(rec, *names), (rec, *names), (None, *names)], "record string, " + ", ".join(f"`{n}` string" for n in names))
+    out = chat.read_back(chat.formatted(chat.canonical(df, "record"))).collect()
+    assert len(out) == 3 and all(tuple(r.row.row.row)[1:] == names for r in out)
+    assert sorted([[(b.role, len(b.text), len(b.learned)) for b in r.back] for r in out]) == [[], [("", 0, 0), ("assistant", 300_000, 300_000)], [("", 0, 0), ("assistant", 300_000, 300_000)]]
+    assert chat.read_back(chat.formatted(chat.canonical(df.limit(0), "record"))).collect() == []
+    turns = spark.createDataFrame([([(None, "a"), ("user", None)],), (None,)], "turns array<struct<role:string,text:string>>")
+    assert sorted([(b.role, b.text) for b in r.back] for r in chat.read_back(chat.formatted(turns)).collect()) == [[], [("", "a"), ("user", "")]]
 
 
 def test_control_conversation(spark, sf):
