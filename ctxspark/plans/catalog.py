@@ -900,6 +900,38 @@ def presence_gate(spark, sf):
     return rollups.drain(gate.judged(stream, ttl=43_200, suspend_ttl=604_800), _name("gate"), "append")
 
 
+@query("""WITH s AS (SELECT 'h' || (user_id % 8) AS host, event_id AS seq, value, CAST(floor(value) AS BIGINT) % 3 AS m, event_id // 50 AS g FROM events),
+  w AS (SELECT *, row_number() OVER w AS n, lag(seq, 119) OVER w AS old, first(seq) OVER w AS start, count(*) FILTER (value >= 25) OVER (PARTITION BY host ORDER BY seq ROWS BETWEEN 119 PRECEDING AND CURRENT ROW) AS hitches, lag(m) OVER w AS was, lag(g) OVER w AS had FROM s WINDOW w AS (PARTITION BY host ORDER BY seq))
+  SELECT host, seq, value >= 25 AS hitch, CAST(least(n, 120) AS INTEGER) AS kept, coalesce(old, start) AS oldest_seq, CAST(hitches AS INTEGER) AS hitches, CASE WHEN was IS DISTINCT FROM m THEN CAST(m AS DOUBLE) END AS mode, had IS DISTINCT FROM g AS map_dirty, CASE WHEN had IS DISTINCT FROM g THEN 'r' || g END AS regions FROM w""")
+def stream_timeline(spark, sf):
+    """Events as samples of eight hosts: the last 120, hitches among them, and what changed."""
+    from ..streaming import captures
+
+    _stateful(spark)
+    rollups, e = _events(spark, sf)
+    metrics = F.create_map(F.lit("value"), F.col("value"), F.lit("mode"), (F.floor("value") % 3).cast("double"))
+    samples = e.select(F.concat(F.lit("h"), F.col("user_id") % 8).alias("host"), F.col("event_id").alias("seq"), F.lit("sample").alias("kind"), F.col("value").alias("presented_ms"), metrics.alias("metrics"), F.concat(F.lit("r"), F.floor(F.col("event_id") / 50)).alias("regions"))
+    out = rollups.drain(captures.timeline(samples), _name("timeline"), "append")
+    return out.select("host", "seq", "hitch", "kept", "oldest_seq", "hitches", F.try_element_at("changed", F.lit("mode")).alias("mode"), "map_dirty", "regions")
+
+
+@query("""WITH s AS (SELECT user_id % 8 AS host, user_id AS pid, ts, event_id AS seq FROM events WHERE event_type <> 'error'), o AS (SELECT user_id % 8 AS host, CASE WHEN event_id % 2 = 0 THEN user_id END AS pid, ts AS received, event_id AS n FROM events WHERE event_type = 'error'),
+  j AS (SELECT s.seq, s.pid, arg_max(o.n, o.received) AS n FROM s LEFT JOIN o ON s.host = o.host AND (o.pid IS NULL OR o.pid = s.pid) AND o.received <= s.ts AND o.received >= s.ts - INTERVAL 2 HOUR WHERE s.ts < TIMESTAMP '2024-01-29' GROUP BY 1, 2)
+  SELECT seq, coalesce('live ' || n, 'own') AS lifetime, n IS NOT NULL AS alloc_hooks, n IS NULL OR n % 3 <> 0 AS pmc, n % 5 AS overlay_dropped, n IS NOT NULL AS overlaid FROM j""")
+def stream_overlays(spark, sf):
+    """Errors as overlays of the other events of their host, half of them for one process only."""
+    from ..streaming import captures
+
+    rollups, e = _events(spark, sf)
+    e = e.withColumn("ts", F.col("ts").cast("timestamp"))
+    n, host, none = F.col("event_id"), F.col("user_id") % 8, F.lit(None).cast("string")
+    flags = lambda **kw: F.create_map(*[x for k, v in kw.items() for x in (F.lit(k), v)])
+    snaps = e.where("event_type != 'error'").select(host.alias("host"), F.col("user_id").alias("pid"), "ts", n.alias("seq"), F.lit("own").alias("lifetime"), none.alias("locality"), flags(alloc_hooks=F.lit(False), pmc=F.lit(True)).alias("capabilities"), F.create_map().cast("map<string,string>").alias("quality"))
+    overs = e.where("event_type = 'error'").select(host.alias("host"), F.when(n % 2 == 0, F.col("user_id")).alias("pid"), F.col("ts").alias("received"), F.concat(F.lit("live "), n).alias("lifetime"), none.alias("locality"), flags(alloc_hooks=F.lit(True), pmc=n % 3 != 0, other=F.lit(True)).alias("capabilities"), F.create_map(F.lit("lifetime"), F.lit("sampled")).alias("quality"), (n % 5).alias("dropped"), F.lit(1.0).alias("estimated_overhead_pct"))
+    out = rollups.drain(captures.overlaid(snaps, overs, "2 HOURS"), _name("overlays"), "append").where("ts < TIMESTAMP '2024-01-29'")
+    return out.select("seq", "lifetime", F.col("capabilities")["alloc_hooks"].alias("alloc_hooks"), F.col("capabilities")["pmc"].alias("pmc"), "overlay_dropped", "overlaid")
+
+
 # Digests, presence requests and stores
 
 STATUS_SQL = """st AS (SELECT p_size % 7 AS run, p_partkey AS ord, CASE p_partkey % 6 WHEN 0 THEN '??' WHEN 1 THEN ' M' WHEN 2 THEN 'A ' WHEN 3 THEN 'D ' WHEN 4 THEN 'RM' ELSE 'UU' END AS code, lower(p_type) AS folder, p_name || p_partkey AS name FROM part)"""
