@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vectors as vx
-from ..operators import change, decide, digest, graph, linediff, paging, policy, presence, records, retrieval, runtime, telemetry, trace
+from ..operators import change, decide, digest, graph, linediff, paging, policy, presence, providers, records, retrieval, runtime, telemetry, trace
 from ..sources import files
 from ..storage import shared_folder, stored
 from . import relations as rel
@@ -1199,6 +1199,24 @@ def policy_verdicts(spark, sf):
     return out.withColumns({"support": F.round("support", 6), "holdout_support": F.round("holdout_support", 6), "cost": F.round("cost", 4), "incumbent_cost": F.round("incumbent_cost", 4), "failed": F.array_join("failed", ", ")}).select(*shown)
 
 
+@query("""WITH p AS (SELECT p_partkey AS k, p_size AS s, p_name AS n, p_partkey % 13 = 0 AS gone, p_partkey % 17 = 0 AS broken FROM part),
+  c AS (SELECT *, unnest(range(5)) AS ord FROM p WHERE NOT gone AND NOT broken)
+  SELECT k AS provider, 1000 - s * 10 <= 700 AS available, CASE WHEN 1000 - s * 10 > 700 THEN 'stale' END AS reason, CAST(1000 - s * 10 AS BIGINT) AS age_secs, CAST(ord AS INTEGER) AS ord, CASE WHEN ord = 0 THEN n WHEN ord = 1 THEN '—' END AS value, CASE WHEN ord = 0 THEN CAST(s AS VARCHAR) END AS detail,
+    CASE ord WHEN 2 THEN '0|-|' || s || '.0|-;7|x|3.0|-' WHEN 3 THEN '-|a|' || s || '.0|-;-|?|0.0|-' WHEN 4 THEN '100|{"ts":100,"what":"z"}|-|15m' END AS series FROM c
+  UNION ALL SELECT k, false, CASE WHEN gone THEN 'unavailable' ELSE 'parse error' END, NULL, NULL, NULL, NULL, NULL FROM p WHERE gone OR broken""")
+def provider_cards(spark, sf):
+    """Parts as providers: five cards of each one's document; some have none, or one that can't be read."""
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    lit = F.lit
+    text = F.concat(lit('{"ts": '), size, lit('0, "name": '), F.to_json(F.array("p_name")), lit(', "deep": {"list": [{"n": '), size, lit('}]}, "spark": ['), size, lit(', {"ts": 7, "value": 3, "label": "x"}], "mix": [{"name": "a", "count": '), size, lit('}, {"label": 4}], "log": [{"ts": 100, "what": "z"}]}'))
+    parts = read(spark, sf, "part")
+    documents = parts.where(k % 13 != 0).select(k.cast("string").alias("sidecar"), F.when(k % 17 == 0, lit('{"ts": ')).otherwise(text).alias("content"), lit(0).cast("long").alias("mtime"))
+    spec = [(0, "metric", "/name/0", "/deep/list/0/n", None), (1, "metric", "/not/there", None, None), (2, "sparkline", None, None, "/spark"), (3, "donut", None, None, "mix"), (4, "activity", None, None, "/log")]
+    specs = parts.select(k.alias("provider"), k.cast("string").alias("sidecar"), lit(700).alias("stale_secs")).crossJoin(F.broadcast(spark.createDataFrame([(*s[:2], f"t{s[0]}", *s[2:]) for s in spec], "ord int, kind string, title string, value string, detail string, series string")))
+    shown = F.array_join(F.transform("series", lambda x: F.concat_ws("|", *[F.coalesce(x[f].cast("string"), lit("-")) for f in ("ts", "label", "value", "ago")])), ";")
+    return providers.cards(specs, documents, 1000).select("provider", "available", "reason", "age_secs", "ord", "value", "detail", shown.alias("series"))
+
+
 def plan_of(df: DataFrame) -> str:
     """The formatted physical plan, for tests and the bench."""
     return df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")

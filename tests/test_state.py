@@ -259,3 +259,17 @@ def test_promotion_and_advice(spark):
     assert said(["non_overlapping"]) == [("drift", "p", 0.8), ("stale", "q", 0.8)]
     assert said([]) == [("handoff", "h1", 0.8), ("stale", "q", 0.8)]
     assert said(["handoff"], active.where("status = 'retired'")) == []
+
+
+def test_provider_cards(spark):
+    from ctxspark.operators import providers
+
+    specs = rows(spark, [("p", "a", 30, i, kind, f"t{i}", value, detail, series) for i, (kind, value, detail, series) in enumerate([("metric", "/x", "/on", None), ("metric", "/none", "/none", None), ("bar", None, None, "/x"), ("sparkline", None, None, "/s"), ("odd", None, None, "/s"), ("metric", None, None, None), ("activity", None, None, "/log")])] + [("q", "b", 30, 0, "metric", "t", "/x", None, None), ("q", "b", 30, 1, "metric", "t", "/y", None, None), ("r", "c", 30, 0, "metric", "t", "/x", None, None)], "provider string, sidecar string, stale_secs int, ord int, kind string, title string, value string, detail string, series string")
+    docs = rows(spark, [("a", '{"x": {"y": [1]}, "on": true, "s": [1.5, "word", {"rtt_ms": 2}, null], "log": [{"ts": 10}, {"no": 1}]}', 90), ("c", "nonsense", 0)], "sidecar string, content string, mtime long")
+    got = {(r.provider, r.ord): r for r in providers.cards(specs, docs, 100).collect()}
+    assert set(got) == {("p", 0), ("p", 1), ("p", 2), ("p", 3), ("p", 6), ("q", None), ("r", None)}
+    assert (got["p", 0].value, got["p", 0].detail, got["p", 0].available, got["p", 0].age_secs) == ('{"y":[1]}', "true", True, 10)
+    assert (got["p", 1].value, got["p", 1].detail) == ("—", None) and got["p", 2].series == []
+    assert [(x.ts, x.value) for x in got["p", 3].series] == [(0, 1.5), (1, 0.0), (2, 2.0), (3, 0.0)]
+    assert [(x.ts, x.label, x.ago) for x in got["p", 6].series] == [(10, '{"ts":10}', "1m"), (None, '{"no":1}', None)]
+    assert (got["q", None].reason, got["r", None].reason) == ("unavailable", "parse error")
