@@ -1180,9 +1180,9 @@ def sink_append(spark, sf):
   g AS (SELECT policy, part, unnest(['correctness', 'score']) AS metric, unnest([correctness, score]) AS least FROM t), i AS (SELECT part, metric, least AS bound FROM g WHERE policy = 'incumbent' AND part <> 'all' AND least IS NOT NULL),
   f AS (SELECT c.policy, string_agg(i.part || ':' || i.metric, ', ' ORDER BY i.part, i.metric) AS failed FROM (SELECT unnest(['solo', 'same']) AS policy) c CROSS JOIN i LEFT JOIN g ON g.policy = c.policy AND g.part = i.part AND g.metric = i.metric WHERE g.least IS NULL OR g.least < i.bound GROUP BY 1)
   SELECT c.policy, (SELECT count(*) FROM w) AS worlds, (SELECT count(*) FROM w WHERE open) AS censored, (SELECT count(*) FROM h WHERE holdout) AS holdout_worlds, (SELECT count(*) FROM h WHERE task_holdout) AS task_holdout_worlds,
-    round(x.inside / (x.inside + x.outside), 6) AS support, round(y.inside / (y.inside + y.outside), 6) AS holdout_support, x.outside AS out_of_support, x.cost, CAST(x.quality AS DOUBLE) AS quality, z.cost AS incumbent_cost, CAST(z.quality AS DOUBLE) AS incumbent_quality,
-    coalesce(f.failed, '') AS failed, y.inside >= 0.7 * (y.inside + y.outside) AND y.outside = 0 AND f.failed IS NULL AS promotion_ok
-  FROM (SELECT unnest(['solo', 'same']) AS policy) c JOIN t x ON x.policy = c.policy AND x.part = 'all' JOIN t y ON y.policy = c.policy AND y.part = 'holdout' JOIN t z ON z.policy = 'incumbent' AND z.part = 'all' LEFT JOIN f ON f.policy = c.policy""")
+    round(x.inside / (x.inside + x.outside), 6) AS support, coalesce(round(y.inside / (y.inside + y.outside), 6), 1.0) AS holdout_support, x.outside AS out_of_support, x.cost, CAST(x.quality AS DOUBLE) AS quality, z.cost AS incumbent_cost, CAST(z.quality AS DOUBLE) AS incumbent_quality,
+    coalesce(f.failed, '') AS failed, coalesce(y.inside >= 0.7 * (y.inside + y.outside) AND y.outside = 0, true) AND f.failed IS NULL AS promotion_ok
+  FROM (SELECT unnest(['solo', 'same']) AS policy) c JOIN t x ON x.policy = c.policy AND x.part = 'all' LEFT JOIN t y ON y.policy = c.policy AND y.part = 'holdout' JOIN t z ON z.policy = 'incumbent' AND z.part = 'all' LEFT JOIN f ON f.policy = c.policy""")
 def policy_verdicts(spark, sf):
     """A policy that avoids overlaps and one that does what was done, against what was done."""
     e, u = F.col("event_id"), F.col("user_id")
