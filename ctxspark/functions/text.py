@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -187,12 +190,26 @@ def artifact_kind(path: Column) -> Column:
     return out
 
 
+#: What the path of a secret has in it or ends with, and folders and endings of generated files.
+SECRET_PARTS = [".env", "id_rsa", "credentials", "secret"]
+SECRET_ENDS = [".pem", ".key"]
+GENERATED_ROOTS = ["target", "build"]
+GENERATED_FOLDERS = ["target", "build", "node_modules", ".cache", "__pycache__", "obj"]
+GENERATED_ENDS = [".blend1"]
+
+
 def looks_secret(path: Column) -> Column:
-    return F.lower(path).rlike(r"\.env|\.pem$|\.key$|id_rsa|credentials|secret")
+    """Whether a path has a secret's name in it, in any case."""
+    p = F.lower(path)
+    return reduce(or_, [F.contains(p, F.lit(x)) for x in SECRET_PARTS] + [F.endswith(p, F.lit(x)) for x in SECRET_ENDS])
 
 
 def looks_generated(path: Column) -> Column:
-    return F.replace(path, F.lit("\\"), F.lit("/")).rlike(r"(^|/)(target|build)/|/(node_modules|\.cache|__pycache__|obj)/|\.blend1$")
+    """Whether a file lies in a folder of generated files (for some, also at the top), or has such an ending."""
+    p = F.replace(path, F.lit("\\"), F.lit("/"))
+    folders = F.slice(F.split(p, "/"), F.lit(1), F.size(F.split(p, "/")) - 1)
+    inner = F.slice(folders, F.lit(2), F.greatest(F.size(folders) - 1, F.lit(0)))
+    return F.arrays_overlap(inner, F.lit(GENERATED_FOLDERS)) | F.coalesce(F.get(folders, F.lit(0)).isin(GENERATED_ROOTS), F.lit(False)) | reduce(or_, [F.endswith(p, F.lit(x)) for x in GENERATED_ENDS])
 
 
 def looks_binary(path: Column) -> Column:

@@ -72,6 +72,29 @@ def symbol_overlaps(claims: DataFrame) -> DataFrame:
     return l.join(r, "symbol").where("a < b").select("a", "b", "symbol")
 
 
+def symbol_contests(claims: DataFrame) -> DataFrame:
+    """symbol, agent_id, other, others: a row for each agent on a symbol that others claim too, with one of them (the least, or for
+    the least agent the greatest) and how many there are. As many rows as claims, where all pairs of `symbol_overlaps` are
+    quadratic; who meets whom follows from it, since all agents of a symbol do (claims: agent_id, symbol)."""
+    each = claims.select("agent_id", "symbol").where("agent_id IS NOT NULL AND symbol IS NOT NULL").distinct()
+    on = each.groupBy("symbol").agg(F.count("*").alias("_n"), F.min("agent_id").alias("_least"), F.max("agent_id").alias("_most")).where("_n > 1")
+    other = F.when(F.col("agent_id") == F.col("_least"), F.col("_most")).otherwise(F.col("_least"))
+    return each.join(on, "symbol").select("symbol", "agent_id", other.alias("other"), (F.col("_n") - 1).alias("others"))
+
+
+def path_contests(claims: DataFrame) -> DataFrame:
+    """agent_id, path, over, other, others: a row for each claim and each path at or above it that others claim, with one of them
+    and how many there are. At most a row for each claim and folder above it; `path_overlaps` has all pairs of agents."""
+    each = claims.select("agent_id", "path").where("agent_id IS NOT NULL AND path IS NOT NULL").distinct()
+    on = each.groupBy(F.col("path").alias("over")).agg(F.count("*").alias("_n"), F.min("agent_id").alias("_least"), F.max("agent_id").alias("_most"))
+    up = each.select("agent_id", "path", F.explode(folders_above(F.col("path"))).alias("over")).join(on, "over")
+    mine = each.select("agent_id", F.col("path").alias("over"), F.lit(1).alias("_mine"))
+    # Only an agent that claims the upper path itself is to be left out of its claimants; equal paths are known to be its own.
+    own = up.join(mine, ["agent_id", "over"], "left").withColumn("others", F.col("_n") - F.coalesce("_mine", F.lit(0)))
+    other = F.when(F.col("_mine").isNotNull() & (F.col("agent_id") == F.col("_least")), F.col("_most")).otherwise(F.col("_least"))
+    return own.where("others > 0").select("agent_id", "path", "over", other.alias("other"), "others")
+
+
 def drift(dirty: DataFrame, claims: DataFrame, cap: int = 8) -> DataFrame:
     """Dirty paths of an agent that no claim of its own covers, at most `cap` per agent with the number of the others."""
     up = dirty.select("agent_id", "path", F.explode(folders_above(F.col("path"))).alias("folder"))
@@ -113,8 +136,19 @@ def retained(agents: DataFrame, handoffs: DataFrame, now: int, stale: int = 32)
     return present.unionByName(newest).unionByName(agents.where("checked_out").join(named, "agent_id", "left_semi"))
 
 
+def _pairs(kind: str, contests: DataFrame, others: Column, own: Column) -> DataFrame:
+    """Contests as findings: the two agents in order and what each of them claims."""
+    swap = F.col("agent_id") < F.col("other")
+    detail = F.when(swap, F.concat_ws(" ", own.cast("string"), others)).otherwise(F.concat_ws(" ", others, own.cast("string")))
+    return contests.select(F.lit(kind).alias("kind"), F.least("agent_id", "other").alias("a"), F.greatest("agent_id", "other").alias("b"), detail.alias("detail")).distinct()
+
+
 def findings(agents: DataFrame, claims: DataFrame, dirty: DataFrame, now: int) -> DataFrame:
-    """kind, a, b, detail of all advisories: stale leases, drift, overlapping paths and symbols, divergent bases."""
+    """kind, a, b, detail of all advisories: stale leases, drift, overlapping paths and symbols, divergent bases.
+
+    Overlaps are given as `path_contests` and `symbol_contests`: everyone concerned has a row with one of the others, so that what
+    many share makes as many rows as it has claims.
+    """
     there = agents.where("NOT checked_out")
     active = there.where(F.col("expires_at") > now)
     none = F.lit(None).cast("string")
@@ -122,8 +156,8 @@ def findings(agents: DataFrame, claims: DataFrame, dirty: DataFrame, now: int) -
     parts = [
         there.where(F.col("expires_at") <= now).select(F.lit("stale").alias("kind"), F.col("agent_id").alias("a"), none.alias("b"), F.lit("lease expired").alias("detail")),
         drift(of(dirty), of(claims)).select(F.lit("drift").alias("kind"), F.col("agent_id").alias("a"), none.alias("b"), F.col("path").alias("detail")),
-        path_overlaps(of(claims).select("agent_id", "path")).select(F.lit("path_overlap").alias("kind"), "a", "b", F.concat_ws(" ", "path_a", "path_b").alias("detail")),
-        symbol_overlaps(of(claims).select("agent_id", F.explode("symbols").alias("symbol"))).select(F.lit("symbol_overlap").alias("kind"), "a", "b", F.col("symbol").alias("detail")),
+        _pairs("path_overlap", path_contests(of(claims)), F.col("over"), F.col("path")),
+        _pairs("symbol_overlap", symbol_contests(of(claims).select("agent_id", F.explode("symbols").alias("symbol"))), F.col("symbol"), F.lit(None)),
         divergent_pairs(active).select(F.lit("base_divergence").alias("kind"), "a", "b", F.concat_ws(" ", "base_a", "base_b").alias("detail")),
     ]
     out = parts[0]

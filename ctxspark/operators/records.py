@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import idea_slug, looks_generated  # noqa: F401
+from ..functions.text import idea_slug, idea_tokens, looks_generated, overlap  # noqa: F401
 from ..functions.vectors import freshness
 
 #: The states of an idea, and what an unresolved defect's score is multiplied by in a search.
@@ -116,6 +116,56 @@ def set_idea_status(ideas: DataFrame, which: Column, status: str, today: str, ar
     return touch_ideas(ideas, which, today, status=F.lit(status), **reason)
 
 
+def set_idea_links(ideas: DataFrame, which: Column, links: Column, today: str) -> DataFrame:
+    """Touched ideas with the given links in place of their own."""
+    return touch_ideas(ideas, which, today, links=F.coalesce(links, F.array().cast("array<string>")))
+
+
+def set_idea_tags(ideas: DataFrame, which: Column, tags: Column, today: str) -> DataFrame:
+    """Touched ideas with the given tags, trimmed, without empty ones and without those that stand before in another case."""
+    given = F.filter(F.transform(F.coalesce(tags, F.array().cast("array<string>")), lambda t: F.trim(t)), lambda t: t != "")
+    lower = F.transform(given, lambda t: F.lower(t))
+    return touch_ideas(ideas, which, today, tags=F.filter(given, lambda t, i: F.array_position(lower, F.lower(t)) == i + 1))
+
+
+def toggle_bookmarks(bookmarks: DataFrame, ideas: DataFrame, slugs: DataFrame, now: int, on: bool | None = None) -> DataFrame:
+    """bookmarks (slug, at) with those of the given slugs set, taken away, or turned over if `on` is None. A slug that is no idea's,
+    or null, changes nothing; one given several times counts once."""
+    asked = slugs.select("slug").distinct().join(ideas.select("slug").distinct(), "slug", "left_semi").withColumn("_asked", F.lit(True))
+    both = bookmarks.groupBy("slug").agg(F.max("at").alias("at")).withColumn("_had", F.lit(True)).join(asked, "slug", "full_outer")
+    want = F.col("_had").isNull() if on is None else F.lit(on)
+    kept = F.when(F.col("_asked").isNull(), F.lit(True)).otherwise(want)
+    return both.where(kept).select("slug", F.when(F.col("_asked").isNotNull(), F.lit(now)).otherwise(F.col("at")).cast("long").alias("at"))
+
+
+def list_ideas(ideas: DataFrame, bookmarks: DataFrame, query: str = "", semantic: bool = False, status: str | None = None, freshness: str | None = None, tag: str | None = None, n: int | None = 15) -> DataFrame:
+    """Ideas of a status, freshness and tag with `bookmarked`, in the order of their slugs, and only those with the query in slug, title or
+    body. Or, if semantic, all of them with `similarity` to the query, the most alike first, then the last touched, then by slug."""
+    out = facet(ideas, status=status, freshness=freshness)
+    out = tagged(out, tag) if tag else out
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    order = ["slug"]
+    if semantic and query:
+        out = out.withColumn("similarity", overlap(idea_tokens(F.lit(query)), idea_tokens(F.concat_ws("\n", text("title"), text("body"))), "multiset"))
+        order = [F.desc("similarity"), F.desc("touched"), "slug"]
+    elif query:
+        out = free_text(out, query, "slug", "title", "body")
+    marked = bookmarks.select("slug").distinct().withColumn("_marked", F.lit(True))
+    out = out.join(marked, "slug", "left").withColumn("bookmarked", F.coalesce("_marked", F.lit(False))).drop("_marked").orderBy(*order)
+    return out.limit(n) if n else out
+
+
+def idea_metrics(ideas: DataFrame, bookmarks: DataFrame) -> DataFrame:
+    """facet, value, n: how many ideas there are in all, bookmarked, of each status and freshness, and how often each tag is given."""
+    marked = bookmarks.select("slug").distinct().withColumn("_marked", F.lit(True))
+    none = F.lit(None).cast("string")
+    one = lambda name, value, when=None: F.when(F.lit(True) if when is None else when, F.struct(F.lit(name).alias("facet"), value.cast("string").alias("value")))
+    whole = F.array(one("total", none), one("bookmarked", none, F.col("_marked").isNotNull()), one("status", F.col("status")), one("freshness", F.col("freshness")))
+    tags = F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: one("tag", t))
+    each = F.explode(F.array_compact(F.concat(whole, tags))).alias("x")
+    return ideas.join(marked, "slug", "left").select(each).groupBy("x.facet", "x.value").agg(F.count("*").alias("n"))
+
+
 def defect_chunks(defects: DataFrame, path: str = "") -> DataFrame:
     """Unresolved defects as chunks of the search corpus: id, path, heading, body and the boost of their status. Of the array
     columns acceptance, evidence and anchors the filled ones have lines in the body; a missing or null column is empty."""

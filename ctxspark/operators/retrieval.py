@@ -44,7 +44,7 @@ def _once(value: Column, of) -> Column:
     return F.get(F.transform(F.array(value), of), F.lit(0))
 
 
-def search(chunks: DataFrame, query: str, id: str = "chunk_id", body: str = "body", boost: Column | None = None, k: int | None = 5) -> DataFrame:
+def search(chunks: DataFrame, query: str, id: str | list = "chunk_id", body: str = "body", boost: Column | None = None, k: int | None = 5) -> DataFrame:
     """chunks with score, the best k by score and then id (all hits if k is None). boost multiplies the score of a chunk."""
     asked = query_terms(query)
     terms = sorted(set(asked))
@@ -62,7 +62,26 @@ def search(chunks: DataFrame, query: str, id: str = "chunk_id", body: str = "bod
         score = score * boost
     found = chunks.crossJoin(F.broadcast(stats)).withColumn("score", F.coalesce(score, F.lit(0.0))).select(*chunks.columns, "score")
     # Above the limit, the filter isn't pushed into the scan, where it would compute the score again.
-    return found.orderBy(F.desc("score"), id).limit(k).where("score > 0") if k is not None else found.where("score > 0")
+    return found.orderBy(F.desc("score"), *([id] if isinstance(id, str) else id)).limit(k).where("score > 0") if k is not None else found.where("score > 0")
+
+
+def corpus(documents: DataFrame, defects: DataFrame | None = None) -> DataFrame:
+    """What is searched: documents and unresolved defects in one relation, kind, chunk_id, path, heading, body, boost and text.
+
+    documents: chunk_id, path, heading, body. defects as `records.defect_chunks` gives them; those without a boost are left out.
+    All count in n, in document frequencies and in the average length. `text` is what is searched: heading and body.
+    """
+    text = F.concat_ws(" ", "heading", "body").alias("text")
+    columns = lambda kind, id, boost: [F.lit(kind).alias("kind"), id.cast("string").alias("chunk_id"), "path", "heading", "body", boost.alias("boost"), text]
+    out = documents.select(*columns("document", F.col("chunk_id"), F.lit(1.0)))
+    if defects is None:
+        return out
+    return out.unionByName(defects.where("boost > 0").select(*columns("defect", F.concat(F.lit("defect "), F.col("id")), F.col("boost"))))
+
+
+def search_corpus(chunks: DataFrame, query: str, k: int | None = 5) -> DataFrame:
+    """`search` over a `corpus`; of equal scores documents come first, then ids count."""
+    return search(chunks, query, id=[F.desc("kind"), "chunk_id"], body="text", boost=F.col("boost"), k=k)
 
 
 def search_many(chunks: DataFrame, queries: DataFrame, id: str = "chunk_id", body: str = "body", query_id: str = "query_id", query: str = "query", k: int = 5) -> DataFrame:
@@ -95,6 +114,39 @@ def answer(hits: DataFrame, query: str, id: str = "chunk_id", body: str = "body"
     return ranked.agg(F.array_join(F.transform(said, lambda x: x["part"]), " ").alias("answer"), F.count("*").alias("citations"))
 
 
+def padded_answer(hits: DataFrame, query: str, id: str = "chunk_id", body: str = "body", citations: int = 5) -> DataFrame:
+    """`answer`, with a second part where the best hits give only one or none: shorter snippets of the hits from the place on that
+    follows as many as there are parts. That place may be that of the hit which gave the part. Columns answer, citations and
+    padded, the number of parts put in; the answer says so if there is no hit, or none of use."""
+    terms = sorted(set(query_terms(query)))
+    best = hits.orderBy(F.desc("score"), id).limit(citations)
+    rank = F.row_number().over(Window.orderBy(F.desc("score"), id))  # of a few hits
+    part = lambda chars: clean(snippet(F.col(body), terms, chars))
+    each = best.select(rank.alias("rank"), part(220).alias("long"), part(160).alias("short"))
+    rows = each.agg(F.array_sort(F.collect_list(F.struct("rank", "long", "short"))).alias("h"))
+    said = F.transform(F.filter("h", lambda x: x["long"] != ""), lambda x: sentence(x["long"]))
+    more = F.transform(F.filter(F.slice(F.col("h"), F.size("said") + 1, citations), lambda x: x["short"] != ""), lambda x: sentence(x["short"]))
+    wanted = F.when((F.size("said") < 2) & (F.size("h") > F.size("said")), F.slice(more, F.lit(1), F.lit(2) - F.size("said"))).otherwise(F.array().cast("array<string>"))
+    out = rows.withColumn("said", said).withColumn("more", wanted)
+    text = F.array_join(F.concat("said", "more"), " ")
+    none = F.when(F.size("h") == 0, "(no matching documents)").otherwise("(no usable snippets)")
+    return out.select(F.when(text == "", none).otherwise(text).alias("answer"), F.size("h").alias("citations"), F.size("more").alias("padded"))
+
+
+def cited(hits: DataFrame, query: str, budget: int = 1200, used: int = 0, id: str = "chunk_id", body: str = "body", citations: int = 5) -> DataFrame:
+    """rank, id, path, heading, score and snippet of the best hits as long as their lines fit in the token budget (four bytes a
+    token), of which `used` bytes are taken before. The first is always given."""
+    terms = sorted(set(query_terms(query)))
+    w = Window.orderBy(F.desc("score"), id)  # of a few hits
+    best = hits.orderBy(F.desc("score"), id).limit(citations).withColumn("rank", F.row_number().over(w)).withColumn("snippet", clean(snippet(F.col(body), terms, 200)))
+    line = F.concat(F.lit("  ["), "rank", F.lit("] "), "path", F.lit(" - "), "heading", F.lit(" (score "), F.format_string("%.2f", "score"), F.lit(")\n      "), "snippet", F.lit("\n"))
+    sized = best.withColumn("_size", F.octet_length(line))
+    before = F.lit(used) + F.coalesce(F.sum("_size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    over = (F.floor(before / 4) + F.floor(F.col("_size") / 4) > budget) & (F.col("rank") > 1)
+    cut = sized.withColumn("_over", over.cast("int")).withColumn("_cut", F.max("_over").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return cut.where("_cut = 0").select("rank", id, "path", "heading", "score", "snippet")
+
+
 def rerank(hits: DataFrame, similarity: Column, id: str = "chunk_id", head: int = 24, weight: float = 0.5) -> DataFrame:
     """The best `head` hits by (1 - weight) * score / best + weight * similarity, the others after them in their old order and
     with their old scores. Adds rank."""

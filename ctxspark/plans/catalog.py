@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vectors as vx
-from ..operators import change, decide, digest, graph, linediff, paging, policy, presence, providers, records, retrieval, runtime, telemetry, trace
+from ..operators import change, decide, digest, graph, linediff, paging, policy, presence, providers, records, retrieval, runtime, telemetry, trace, vectorcache
 from ..sources import files
 from ..storage import shared_folder, stored
 from . import relations as rel
@@ -98,7 +98,13 @@ def bm25_batch_benchmark(spark, sf):
 
 
 _LOW = "lower(body)"
-_POS = "coalesce(list_min(list_filter([" + ", ".join(f"strpos({_LOW}, '{t}')" for t in sorted(set(TERMS))) + "], lambda x: x > 0)), 1)"
+
+
+def _pos(terms: list[str]) -> str:
+    return "coalesce(list_min(list_filter([" + ", ".join(f"strpos({_LOW}, '{t}')" for t in sorted(set(terms))) + "], lambda x: x > 0)), 1)"
+
+
+_POS = _pos(TERMS)
 SNIPPET_SQL = f"""
   p AS (SELECT *, {_POS} AS pos FROM b), l AS (SELECT *, pos - length(list_last(string_split(substr(body, 1, pos - 1), chr(10)))) AS line FROM p),
   s AS (SELECT *, substr(body, line) AS rest FROM l),
@@ -119,6 +125,35 @@ def extractive_answer(spark, sf):
     return retrieval.answer(retrieval.search(rel.chunks(spark, sf), QUERY, k=5), QUERY)
 
 
+CORPUS_QUERY = "inea thble urgent eyeball fail 4711"
+CORPUS_ROWS = ", ".join(f"('{t}', {n})" for t, n in sorted({t: retrieval.query_terms(CORPUS_QUERY).count(t) for t in retrieval.query_terms(CORPUS_QUERY)}.items()))
+CORPUS_SQL = f"""{rel.DEFECTS_SQL.replace("df AS (", "defects AS (", 1)},
+  corpus AS (SELECT 'document' AS kind, CAST(doc_id AS VARCHAR) AS doc_id, coalesce(source, '') AS path, 'Document ' || doc_id AS heading, coalesce(text, '') AS body, 1.0 AS boost FROM documents
+    UNION ALL SELECT 'defect', 'defect ' || id, '', 'DEFECT [' || status || '] ' || id, 'Defect ' || id || ' (' || status || ') in ' || subsystem || ': ' || summary || chr(10), CASE status WHEN 'eyeball_fail' THEN 8.0 WHEN 'open' THEN 4.0 ELSE 2.0 END FROM defects WHERE status <> 'done'),
+  tok AS (SELECT doc_id, unnest({tokens_sql("heading || ' ' || body")}) AS term FROM corpus), {SCORE_SQL.replace(TERM_ROWS, CORPUS_ROWS)},
+  hit AS (SELECT corpus.*, score * boost AS score FROM sc JOIN corpus USING (doc_id))"""
+
+
+def _corpus(spark, sf):
+    d = read(spark, sf, "documents")
+    docs = d.select(F.col("doc_id").alias("chunk_id"), F.coalesce("source", F.lit("")).alias("path"), F.concat(F.lit("Document "), "doc_id").alias("heading"), F.coalesce("text", F.lit("")).alias("body"))
+    return retrieval.corpus(rel.spread(docs), records.defect_chunks(rel.defects(spark, sf)))
+
+
+@query(f"WITH {CORPUS_SQL} SELECT kind, doc_id AS chunk_id, heading, round(score, 6) AS score FROM hit")
+def corpus_search(spark, sf):
+    """Documents and unresolved defects in one search: every hit with its score."""
+    return retrieval.search_corpus(_corpus(spark, sf), CORPUS_QUERY, k=None).select("kind", "chunk_id", "heading", _r("score"))
+
+
+@query(f"""WITH {CORPUS_SQL}, b AS (SELECT * FROM hit ORDER BY score DESC, kind DESC, doc_id LIMIT 5), {SNIPPET_SQL.replace('$N', '200').replace(_POS, _pos(retrieval.query_terms(CORPUS_QUERY)))}
+  SELECT CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id AS chunk_id, path, heading, round(score, 6) AS score, trim(regexp_replace(trim(regexp_replace(snippet, '\\s+', ' ', 'g')), '^[`*#|]+|[`*#|]+$', '', 'g')) AS snippet FROM sn""")
+def corpus_citations(spark, sf):
+    """What an answer over documents and defects cites."""
+    hits = retrieval.search_corpus(_corpus(spark, sf), CORPUS_QUERY, k=5)
+    return retrieval.cited(hits, CORPUS_QUERY).withColumn("score", F.round("score", 6))
+
+
 @query("""WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0), b AS (SELECT vec_id, 10.0 / (1 + vec_id % 50) AS score, embedding FROM embeddings),
   h AS (SELECT *, row_number() OVER (ORDER BY score DESC, vec_id) AS rn FROM b), m AS (SELECT max(score) AS m FROM h WHERE rn <= 24),
   x AS (SELECT vec_id, rn <= 24 AS head, CASE WHEN rn <= 24 THEN 0.5 * score / m + 0.5 * (list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])) + 1) / 2 ELSE score END AS score FROM h, m, q)
@@ -596,6 +631,49 @@ def idea_status(spark, sf):
     return out.select("slug", "status", "touched", "archive_reason")
 
 
+IDEA_TEXT_SQL = f"""{rel.FRESH_SQL}, full_idea AS (SELECT f.*, o_orderpriority AS title, 'order of customer ' || o_custkey || ' ' || o_orderpriority AS body, [lower(o_orderpriority), 'c' || o_custkey % 7] AS tags, f.slug % 4 = 0 AS bookmarked FROM fresh f JOIN orders ON f.slug = o_orderkey)"""
+
+
+def _full_ideas(spark, sf):
+    o = read(spark, sf, "orders").select(F.col("o_orderkey").alias("slug"), F.col("o_orderpriority").alias("title"), F.concat(F.lit("order of customer "), "o_custkey", F.lit(" "), "o_orderpriority").alias("body"), F.array(F.lower("o_orderpriority"), F.concat(F.lit("c"), F.col("o_custkey") % 7)).alias("tags"))
+    ideas = records.with_freshness(rel.ideas(spark, sf), F.to_date(F.lit(rel.TODAY))).join(o, "slug")
+    return ideas, ideas.where("slug % 4 = 0").select("slug", F.lit(5).cast("long").alias("at"))
+
+
+@query(f"""WITH {IDEA_TEXT_SQL}, q AS (SELECT ['urgent', 'order', 'order', 'high'] AS q), t AS (SELECT *, list_filter(string_split_regex(lower(title || chr(10) || body), '[^a-z0-9]+'), lambda x: length(x) > 2) AS t FROM full_idea CROSS JOIN q),
+  s AS (SELECT *, len(list_filter(q, lambda x: list_contains(t, x))) AS shared FROM t)
+  SELECT slug, bookmarked, freshness, round(CASE WHEN len(t) = 0 THEN 0 ELSE shared::DOUBLE / (len(q) + len(t) - shared) END, 6) AS similarity FROM s WHERE list_contains(tags, 'c3')""")
+def idea_hybrid(spark, sf):
+    """All ideas of a tag by likeness to a query, with their bookmarks."""
+    ideas, marks = _full_ideas(spark, sf)
+    return records.list_ideas(ideas, marks, "Urgent order, order; high", semantic=True, tag="C3", n=None).select("slug", "bookmarked", "freshness", _r("similarity"))
+
+
+@query(f"""WITH {IDEA_TEXT_SQL} SELECT 'total' AS facet, NULL AS value, count(*) AS n FROM full_idea UNION ALL SELECT 'bookmarked', NULL, count(*) FROM full_idea WHERE bookmarked
+  UNION ALL SELECT 'status', status, count(*) FROM full_idea GROUP BY 2 UNION ALL SELECT 'freshness', freshness, count(*) FROM full_idea GROUP BY 2 UNION ALL SELECT 'tag', tag, count(*) FROM (SELECT unnest(tags) AS tag FROM full_idea) GROUP BY 2""")
+def idea_metrics(spark, sf):
+    return records.idea_metrics(*_full_ideas(spark, sf))
+
+
+@query("""WITH ids AS (SELECT o_orderkey AS slug, o_orderkey % 4 = 0 AS had, o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45) AS asked FROM orders)
+  SELECT slug, CASE WHEN asked THEN 9 ELSE 5 END::BIGINT AS at FROM ids WHERE had <> asked""")
+def idea_bookmarks(spark, sf):
+    """Bookmarks turned over by requests, of which several may name one idea."""
+    ideas, marks = _full_ideas(spark, sf)
+    asked = read(spark, sf, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("slug"))
+    return records.toggle_bookmarks(marks, ideas, asked, now=9)
+
+
+@query(f"""WITH {rel.IDEAS_SQL} SELECT slug, CASE WHEN slug % 7 = 0 OR slug % 5 = 0 THEN '{rel.TODAY}' ELSE CAST(day AS VARCHAR) END AS touched, CASE WHEN slug % 7 = 0 THEN [o_orderstatus, 'Two'] ELSE ['old'] END AS tags, CASE WHEN slug % 5 = 0 THEN ['l' || o_custkey] ELSE [] END AS links FROM idea JOIN orders ON slug = o_orderkey""")
+def idea_tags(spark, sf):
+    """Tags with blanks, empty ones and ones that differ in case only, and links."""
+    o = read(spark, sf, "orders").select(F.col("o_orderkey").alias("slug"), "o_orderstatus", "o_custkey")
+    ideas = rel.ideas(spark, sf).join(o, "slug").withColumns({"tags": F.array(F.lit("old")), "links": F.array().cast("array<string>")})
+    given = F.array(F.concat(F.lit(" "), "o_orderstatus"), F.lit("  "), F.lit("Two"), F.lower("o_orderstatus"), F.lit("tWO "))
+    out = records.set_idea_tags(ideas, F.col("slug") % 7 == 0, given, rel.TODAY)
+    return records.set_idea_links(out, F.col("slug") % 5 == 0, F.array(F.concat(F.lit("l"), "o_custkey")), rel.TODAY).select("slug", "touched", "tags", "links")
+
+
 @query("SELECT CAST(user_id AS VARCHAR) AS path, arg_min('b' || event_id, event_id) AS restore, arg_max('a' || event_id, event_id) AS expected, count(*) AS edits FROM events GROUP BY 1")
 def undo_target(spark, sf):
     e = read(spark, sf, "events").select(F.col("user_id").cast("string").alias("path"), F.col("event_id").alias("ord"), F.concat(F.lit("b"), F.col("event_id")).alias("before"), F.concat(F.lit("a"), F.col("event_id")).alias("after"))
@@ -644,6 +722,20 @@ def symbol_overlap(spark, sf):
     return presence.symbol_overlaps(rel.claims(spark, sf).select("agent_id", "symbol"))
 
 
+@query(f"""WITH {rel.CLAIMS_SQL}, c AS (SELECT DISTINCT agent_id, path FROM cl), st AS (SELECT path AS "over", count(*) AS n, min(agent_id) AS least, max(agent_id) AS most FROM c GROUP BY 1),
+  j AS (SELECT c.*, st.*, (c.agent_id, st."over") IN (SELECT (agent_id, path) FROM c) AS own FROM c JOIN st ON c.path = st."over" OR starts_with(c.path, st."over" || '/'))
+  SELECT agent_id, path, "over", CASE WHEN own AND agent_id = least THEN most ELSE least END AS other, n - CAST(own AS BIGINT) AS others FROM j WHERE n > CAST(own AS BIGINT)""")
+def claim_contest(spark, sf):
+    """Who else claims each path or one above it, without all pairs."""
+    return presence.path_contests(rel.claims(spark, sf).select("agent_id", "path"))
+
+
+@query(f"""WITH {rel.CLAIMS_SQL}, c AS (SELECT DISTINCT agent_id, symbol FROM cl), w AS (SELECT *, count(*) OVER p AS n, min(agent_id) OVER p AS least, max(agent_id) OVER p AS most FROM c WINDOW p AS (PARTITION BY symbol))
+  SELECT symbol, agent_id, CASE WHEN agent_id = least THEN most ELSE least END AS other, n - 1 AS others FROM w WHERE n > 1""")
+def symbol_contest(spark, sf):
+    return presence.symbol_contests(rel.claims(spark, sf).select("agent_id", "symbol"))
+
+
 @query(f"""WITH {rel.CLAIMS_SQL}, c AS (SELECT DISTINCT agent_id, path FROM cl), d AS (SELECT DISTINCT 'a' || (l_partkey % 50 + 1) AS agent_id, lower(p_type) || '/' || p_name || l_partkey % 400 AS path FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1),
   x AS (SELECT * FROM d WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.agent_id = d.agent_id AND (c.path = d.path OR starts_with(d.path, c.path || '/'))))
   SELECT agent_id, path, CAST(greatest(count(*) OVER (PARTITION BY agent_id) - 8, 0) AS BIGINT) AS others FROM x QUALIFY row_number() OVER (PARTITION BY agent_id ORDER BY path) <= 8""")
@@ -733,6 +825,32 @@ def heading_slugs(spark, sf):
     return read(spark, sf, "documents").select("doc_id", tx.heading_slug(F.col("text")).alias("slug"))
 
 
+_ALPHABET = "abcdefghijklmnopqrstuvwxyz"
+_LETTERS = lambda text: f"list_transform(string_split('{_ALPHABET}', ''), lambda x: CAST(length({text}) - length(replace({text}, x, '')) AS DOUBLE))"
+
+
+def _letters(texts):
+    """How often each letter is in a text: a small embedding that SQL knows too."""
+    return texts.select("key", F.array(*[(F.length("text") - F.length(F.replace("text", F.lit(x)))).cast("float") for x in _ALPHABET]).alias("vector"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text FROM documents), k AS (SELECT text, bool_or(lang = 'en') AS warm FROM d GROUP BY 1), q AS (SELECT {_LETTERS("'" + QUERY + "'")} AS q),
+  n AS (SELECT count(*) FILTER (warm) AS first_run, count(*) FILTER (NOT warm) AS second_run FROM k)
+  SELECT doc_id, sha256(text) AS key, warm, first_run, second_run, 0::BIGINT AS third_run, round(CASE WHEN list_sum({_LETTERS('text')}) = 0 THEN 0 ELSE list_cosine_similarity({_LETTERS('text')}, q) END, 6) AS cosine FROM d JOIN k USING (text) CROSS JOIN q CROSS JOIN n""")
+def vector_cache(spark, sf):
+    """English documents fill the cache; then all of them do, which computes the texts that aren't there; then nothing is left to do."""
+    path = shared_folder(spark, "vectors")
+    d = read(spark, sf, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("body"))
+    first = vectorcache.fill(path, d.where("lang = 'en'"), "letters", _letters)
+    before = vectorcache.cached(spark, path, "letters").select("key", F.lit(True).alias("warm"))
+    second = vectorcache.fill(path, d, "letters", _letters)
+    third = vectorcache.fill(path, d, "letters", _letters)
+    probe = F.lit([float(QUERY.count(x)) for x in _ALPHABET])
+    out = vectorcache.with_vectors(d, vectorcache.cached(spark, path, "letters")).join(before, "key", "left")
+    runs = {n: F.lit(v).cast("long") for n, v in (("first_run", first), ("second_run", second), ("third_run", third))}
+    return out.withColumns(runs).select("doc_id", "key", F.coalesce("warm", F.lit(False)).alias("warm"), *runs, F.round(vx.cosine(F.col("vector"), probe), 6).alias("cosine"))
+
+
 @query("""SELECT vec_id, label, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST((SELECT embedding FROM embeddings WHERE vec_id = 1) AS DOUBLE[])), 6) AS cosine FROM embeddings""")
 def cosine_scan(spark, sf):
     e = read(spark, sf, "embeddings")
@@ -749,15 +867,38 @@ def busiest_users(spark, sf):
 # Sources and streams
 
 
-@query()
-def md_sections(spark, sf):
-    """The Markdown parser over every document as a file; headings are rare there, tests/ has files with many."""
-    from ..sources import files
+#: Sections of the files in f (path, content): headings outside fences of back-ticks, what stands before the first one, ordinals of equal slugs.
+SECTIONS_SQL = r"""
+  ln AS (SELECT path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS i FROM f),
+  mk AS (SELECT *, regexp_matches(line, '^ {0,3}```[^`]*$') AS mark FROM ln), fc AS (SELECT *, sum(CAST(mark AS INTEGER)) OVER (PARTITION BY path ORDER BY i) AS marks FROM mk),
+  hd AS (SELECT *, NOT mark AND marks % 2 = 0 AND regexp_matches(line, '^ {0,3}#{1,6}([ \t]+.*)?$') AS head FROM fc), sx AS (SELECT *, sum(CAST(head AS INTEGER)) OVER (PARTITION BY path ORDER BY i) AS sec FROM hd),
+  se AS (SELECT path, sec, min(i) AS start_line, max(i) AS end_line, coalesce(max(line) FILTER (head), '') AS top, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT head), '') AS body FROM sx GROUP BY 1, 2),
+  nm AS (SELECT *, length(regexp_extract(top, '^ {0,3}(#{1,6})', 1)) AS heading_level, trim(regexp_replace(regexp_replace(top, '^ {0,3}#{1,6}', ''), '([ \t]+#+)?[ \t]*$', '')) AS heading FROM se WHERE sec > 0 OR regexp_matches(body, '\S')),
+  sl AS (SELECT *, coalesce(nullif(trim(regexp_replace(lower(heading), '[^\p{L}\p{N}_]+', '-', 'g'), '-'), ''), 'section') AS slug FROM nm), od AS (SELECT *, row_number() OVER (PARTITION BY path, slug ORDER BY start_line) AS ordinal FROM sl)
+  SELECT path, heading, CAST(heading_level AS INTEGER) AS heading_level, CASE WHEN ordinal = 1 THEN slug ELSE slug || '#' || ordinal END AS anchor, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line"""
+
 
+@query(f"WITH f AS (SELECT CAST(doc_id AS VARCHAR) AS path, coalesce(text, '') AS content FROM documents), {SECTIONS_SQL} FROM od")
+def md_sections(spark, sf):
+    """The Markdown parser over every document as a file; headings are rare there, `md_outline` and tests/ have many."""
     d = read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("rel"), F.col("text").alias("content"))
     return files.sections(d).select("path", "heading", "heading_level", "anchor", "start_line", "end_line")
 
 
+_TURN_SQL = """'## ' || coalesce(role, '') || CASE turn % 3 WHEN 1 THEN ' ##' ELSE '' END || chr(10) || coalesce(text, '') || CASE turn % 2 WHEN 1 THEN chr(10) || '```sql' || chr(10) || '# not a heading' || chr(10) || '```' || chr(10) || '### Über ' || turn ELSE '' END"""
+
+
+@query(f"""WITH f AS (SELECT CAST(conv_id AS VARCHAR) AS path, 'before' || chr(10) || '# Chat ' || conv_id || chr(10) || string_agg({_TURN_SQL}, chr(10) ORDER BY turn, role, text) AS content FROM conversations GROUP BY 1, conv_id), {SECTIONS_SQL}, ordinal, trim(body, chr(10)) AS body FROM od""")
+def md_outline(spark, sf):
+    """Every conversation as a Markdown file: a heading a turn, many of them equal, with code blocks and headings below."""
+    c = read(spark, sf, "conversations").withColumn("part", F.expr(_TURN_SQL.replace("chr(10)", "char(10)")))
+    # A conversation is a file, so it is one row.
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "part"))), lambda x: x["part"])
+    f = c.groupBy("conv_id").agg(F.array_join(turns, "\n").alias("turns"))
+    f = f.select(F.col("conv_id").cast("string").alias("rel"), F.concat(F.lit("before\n# Chat "), "conv_id", F.lit("\n"), "turns").alias("content"))
+    return files.sections(f).select("path", "heading", "heading_level", "anchor", "start_line", "end_line", F.col("ordinal").cast("long").alias("ordinal"), "body")
+
+
 @query(r"SELECT CAST(page_id AS VARCHAR) AS rel, i AS line, href AS target FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href, unnest(range(len(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)))) AS i FROM pages)".replace('\\"', '"'))
 def page_links(spark, sf):
     found = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))

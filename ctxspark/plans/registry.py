@@ -70,11 +70,11 @@ TOOLS: dict[str, Callable] = {
     "repo_map": files.symbol_map, "outline": files.definitions, "symbol_refs": graph.references, "symbol_resolve": graph.resolve_symbol, "call_graph": graph.callers, "call_path": graph.call_path,
     "symbol_context": symbol_context, "usage_examples": graph.usage_examples, "undocumented": graph.undocumented, "dead_code": graph.dead, "big_functions": graph.big,
     "symbol_diff": change.overlapping, "module_map": graph.coupling, "include_graph": graph.includers, "type_layout": files.fields, "diff_map": git.diff_map, "diff_hunks": diff_map, "test_map": graph.occurrence_counts,
-    "batch_context": batch_context, "perf_triage": perf_triage, "test_impact": test_impact, "knowledge_search": retrieval.search, "knowledge_answer": retrieval.answer, "knowledge_upsert": records.compose_note,
+    "batch_context": batch_context, "perf_triage": perf_triage, "test_impact": test_impact, "knowledge_search": retrieval.search_corpus, "knowledge_answer": retrieval.padded_answer, "knowledge_upsert": records.compose_note,
     "semantic_decide": decide.decide, "trace_summary": trace.top_zones, "runtime_snapshot": runtime.latest, "memory_diff": runtime.diff_named, "locality_hotspots": runtime.hotspots,
     "integration_hooks": integration_hooks, "index_stale": index_health, "index_health": index_health, "stats": telemetry.rollup_total, "board_post": records.cap_fields, "board_read": records.read_board,
-    "board_status": records.convergence, "board_finalize": records.handoff, "session_handoff": records.handoff, "defect_upsert": records.upsert, "defect_list": records.list_defects, "idea_list": records.facet,
-    "idea_show": retrieval.similar, "idea_upsert": records.capture_idea, "idea_review": records.review_queue, "idea_touch": records.touch_ideas, "idea_status": records.set_idea_status,
+    "board_status": records.convergence, "board_finalize": records.handoff, "session_handoff": records.handoff, "defect_upsert": records.upsert, "defect_list": records.list_defects, "idea_list": records.list_ideas,
+    "idea_show": retrieval.similar, "idea_upsert": records.capture_idea, "idea_review": records.review_queue, "idea_touch": records.touch_ideas, "idea_status": records.set_idea_status, "idea_bookmark": records.toggle_bookmarks,
     "run_record": records.upsert, "run_history": records.run_history, "artifact_index": files.artifacts, "session_pressure": telemetry.pressure, "commit_scope": git.commit_scopes, "presence_status": presence.findings,
     "presence_advise": policy.advise, "presence_check_in": gate.judged, "presence_update": gate.judged, "presence_check_out": gate.judged, "doc_comment": graph.doc_comment, "continuation": paging.budget_page,
     "includees": graph.includees, "digest_status": digest.status, "digest_log": digest.log, "digest_diff": digest.diff, "digest_tests": digest.ctest, "digest_build": digest.build, "recent_docs": records.recent,
@@ -83,7 +83,6 @@ TOOLS: dict[str, Callable] = {
 #: Tools without a function here, and why.
 OUTSIDE = {
     "trace_profile": "not implemented: perf_triage and trace_summary give its parts",
-    "idea_bookmark": "not implemented: write the row with records.upsert",
     "decision_bridge": "a bridge to another program's library", "board_timeline": "draws images", "write_gate": "a switch of the host's write tools", "profile_upsert": "edits the host's configuration",
     "task_submit": "jobs on other machines", "task_status": "jobs on other machines", "task_fetch": "jobs on other machines", "task_cancel": "jobs on other machines", "worker_status": "jobs on other machines",
 }

@@ -273,3 +273,58 @@ def test_provider_cards(spark):
     assert [(x.ts, x.value) for x in got["p", 3].series] == [(0, 1.5), (1, 0.0), (2, 2.0), (3, 0.0)]
     assert [(x.ts, x.label, x.ago) for x in got["p", 6].series] == [(10, '{"ts":10}', "1m"), (None, '{"no":1}', None)]
     assert (got["q", None].reason, got["r", None].reason) == ("unavailable", "parse error")
+
+
+def test_contests(spark):
+    import itertools
+    import random
+
+    pick = random.Random(5)
+    paths = ["a", "a/b", "a/b/c", "a/bc", "d", "d/e", "", "a/b/c/d"]
+    cs = list({(f"x{pick.randrange(6)}", pick.choice(paths)) for _ in range(25)})
+    claims = rows(spark, cs + cs[:3] + [(None, "a"), ("x1", None)], "agent_id string, path string")
+    under = lambda p, q: p == q or p.startswith(q + "/")
+    want = {}
+    for (a, p), (b, q) in itertools.product(cs, cs):
+        if a != b and under(p, q):
+            want.setdefault((a, p, q), set()).add(b)
+    got = {(r.agent_id, r.path, r.over): (r.other, r.others) for r in presence.path_contests(claims).collect()}
+    assert {k: n for k, (_, n) in got.items()} == {k: len(v) for k, v in want.items()}
+    assert all(got[k][0] in v for k, v in want.items())
+    # Equal strings above one another only: an empty path is a folder of nothing but itself and of what begins with a slash.
+    symbols = rows(spark, [("p", "f"), ("q", "f"), ("q", "f"), ("r", "f"), ("p", "g"), (None, "g"), ("p", None), ("q", None)], "agent_id string, symbol string")
+    assert {tuple(r) for r in presence.symbol_contests(symbols).collect()} == {("f", "p", "r", 2), ("f", "q", "p", 2), ("f", "r", "p", 2)}
+    assert presence.path_contests(claims.limit(0)).count() == 0 and presence.symbol_contests(symbols.limit(0)).count() == 0
+
+
+def test_findings_of_a_hot_symbol(spark):
+    """Two hundred agents on one path and symbol: as many findings as agents, and nobody is left out."""
+    n = 200
+    agents = spark.range(n).select(F.format_string("a%03d", "id").alias("agent_id"), F.lit(False).alias("checked_out"), F.lit(100).cast("long").alias("expires_at"), F.lit("").alias("base_oid"))
+    claims = agents.select("agent_id", F.lit("src").alias("path"), F.array(F.lit("f")).alias("symbols"))
+    got = presence.findings(agents, claims, agents.select("agent_id", F.lit("src/x").alias("path")), 50).collect()
+    for kind in ("path_overlap", "symbol_overlap"):
+        mine = [r for r in got if r.kind == kind]
+        assert len(mine) == n - 1 and {r.a for r in mine} | {r.b for r in mine} == {f"a{i:03d}" for i in range(n)}
+    assert len(got) == 2 * (n - 1)
+
+
+def test_idea_links_tags_and_bookmarks(spark):
+    schema = "slug string, title string, body string, status string, freshness string, touched string, tags array<string>, links array<string>"
+    ideas = rows(spark, [("a", "Red box", "one two", "seed", "due", "2024-01-01", ["T"], None), ("b", None, None, "seed", "fresh", "2024-01-02", None, None), ("c", "Blue box", "two", "archived", "due", "2024-01-03", ["t", "u"], ["x"])], schema)
+    out = {r.slug: r for r in records.set_idea_tags(ideas, F.col("slug") == "b", F.array(F.lit(" K "), F.lit(""), F.lit("k"), F.lit("l")), "2024-05-05").collect()}
+    assert out["b"].tags == ["K", "l"] and out["b"].touched == "2024-05-05" and out["a"].tags == ["T"] and out["a"].touched == "2024-01-01"
+    out = {r.slug: r for r in records.set_idea_links(ideas, F.col("slug") == "c", F.lit(None).cast("array<string>"), "2024-05-05").collect()}
+    assert out["c"].links == [] and out["a"].links is None
+    marks = rows(spark, [("a", 1), ("c", 2), ("gone", 3)], "slug string, at long")
+    ask = rows(spark, [("a",), ("a",), ("b",), ("nowhere",), (None,)], "slug string")
+    turn = lambda on: {tuple(r) for r in records.toggle_bookmarks(marks, ideas, ask, 9, on).collect()}
+    assert turn(None) == {("b", 9), ("c", 2), ("gone", 3)}
+    assert turn(True) == {("a", 9), ("b", 9), ("c", 2), ("gone", 3)}
+    assert turn(False) == {("c", 2), ("gone", 3)}
+    listed = [(r.slug, round(r.similarity, 3), r.bookmarked) for r in records.list_ideas(ideas, marks, "two box", semantic=True).collect()]
+    assert listed == [("c", 0.667, True), ("a", 0.5, True), ("b", 0.0, False)]
+    assert [r.slug for r in records.list_ideas(ideas, marks, "BOX", tag="T", freshness="DUE").collect()] == ["a", "c"]
+    assert [r.slug for r in records.list_ideas(ideas, marks, n=1).collect()] == ["a"]
+    got = {(r.facet, r.value): r.n for r in records.idea_metrics(ideas, marks).collect()}
+    assert got == {("total", None): 3, ("bookmarked", None): 2, ("status", "seed"): 2, ("status", "archived"): 1, ("freshness", "due"): 2, ("freshness", "fresh"): 1, ("tag", "T"): 1, ("tag", "t"): 1, ("tag", "u"): 1}
