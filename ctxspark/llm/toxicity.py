@@ -47,7 +47,7 @@ SURE = 3.0
 #: Labelled texts at most on which the score is calibrated, and the part of the training texts they are taken from.
 SAMPLE, FOLDS = 20_000, 4
 #: Expressions that a task counts before it passes them on, and words whose hashes it remembers.
-FLUSH, REMEMBER = 400_000, 400_000
+FLUSH, REMEMBER = 400_000, 100_000
 BROADCAST_ROWS = 2_000_000
 #: Score from which a text is rejected.
 REJECT = 0.7
@@ -198,8 +198,9 @@ def _keys(h: np.ndarray) -> np.ndarray:
     return np.concatenate([h, pair_keys(h[:-1], h[1:]), first_keys(h[:-1])]).view(np.int64) if len(h) else np.zeros(0, np.int64)
 
 
-def evidence(docs: DataFrame, keep: list[str], model: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """The `keep` columns of docs (which has text) with evidence and words, by a table of key and weight."""
+def evidence(docs: DataFrame, keep: list[str], model: DataFrame, bound: int = BROADCAST_ROWS, inside: int | None = None) -> DataFrame:
+    """The `keep` columns of docs (which has text) with evidence and words, by a table of key and weight. inside: the number of the
+    field of the first kept column, a struct, that is the text too, so that it needn't be passed to Python twice."""
     sc = docs.sparkSession.sparkContext
     few = model.limit(bound + 1).count() <= bound
     got = model.toArrow().sort_by("key") if few else None
@@ -209,7 +210,7 @@ def evidence(docs: DataFrame, keep: list[str], model: DataFrame, bound: int = BR
         words = Words()
         for batch in batches:
             sums, size = [], []
-            for text in batch.column(len(keep)):
+            for text in batch.column(len(keep)) if inside is None or not few else batch.column(0).field(inside):
                 h = words(text.as_py())
                 size.append(len(h))
                 if few and len(values.value[0]):
@@ -231,7 +232,7 @@ def evidence(docs: DataFrame, keep: list[str], model: DataFrame, bound: int = BR
 
     if few:
         names = [*keep, "evidence", "words"]
-        return docs.select(*keep, "text").mapInArrow(work, arrow_schema(docs, keep, "evidence double, words long"))
+        return docs.select(*keep, *(["text"] if inside is None else [])).mapInArrow(work, arrow_schema(docs, keep, "evidence double, words long"))
     h1, h2 = hash128(F.col("text"))
     names = [*keep, "_h1", "_h2", "_none", "words"]
     rows = docs.select(*keep, h1.alias("_h1"), h2.alias("_h2"), "text")
@@ -292,7 +293,8 @@ def score(docs: DataFrame, train: DataFrame, text: str = "text", sample: int = S
     fitted = _logistic(x, y, often)
     z = sum((f * float(k) for f, k in zip(_features(F.col("evidence"), F.col("words")), fitted)), F.lit(0.0))
     p = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
-    out = evidence(rows, ["row"], by("all"), bound).select("row", p.alias("score"))
+    inside = docs.columns.index(text) if docs.columns.count(text) == 1 and docs.schema[text].dataType.typeName() == "string" else None
+    out = evidence(rows, ["row"], by("all"), bound, inside).select("row", p.alias("score"))
     return out.withColumn("predicted", (F.col("score") >= REJECT).cast("int"))
 
 
