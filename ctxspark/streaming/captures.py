@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
 #: How long an overlay holds, samples of a timeline, milliseconds of a hitch, samples of a capture, and captures kept.
@@ -16,31 +18,89 @@ RING, HITCH_MS, CAPTURE_SAMPLES, CAPTURES = 120, 25.0, 1800, 16
 SECTIONS, SWITCHES = ("lifetime", "locality"), ("alloc_hooks", "pmc")
 
 
+WAITING = pa.schema([("us", pa.int64()), ("pid", pa.string()), ("seq", pa.string()), ("body", pa.string()), ("overlay", pa.bool_())])
+
+
+class Overlays(StatefulProcessor):
+    """What a host's snapshots of one span of time are merged with: rows wait until the watermark has passed the span, then one
+    walk over them in order finds the newest overlay for each, so the work doesn't grow with the overlays within its life."""
+
+    def __init__(self, life: int):
+        self.life = life
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.parts = handle.getListState("parts", "rows binary")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if not self.parts.exists():
+            self.handle.registerTimer(-(-(key[1] + 1) * self.life // 1000))
+        # Rows wait as Arrow batches: a state's value each would be a call each.
+        for part in rows:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, WAITING) as out:
+                out.write_batch(pa.RecordBatch.from_pandas(part[WAITING.names], WAITING, preserve_index=False))
+            self.parts.appendValue((sink.getvalue().to_pybytes(),))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        waiting = pa.concat_tables([pa.ipc.open_stream(p[0]).read_all() for p in self.parts.get()])
+        self.parts.clear()
+        # Of the same time overlays come first, in the order of their texts, since one received at the time of a snapshot counts.
+        rows = sorted(zip(*[c.to_pylist() for c in waiting.columns]), key=lambda r: (r[0], not r[4], r[3] if r[4] else ""))
+        newest, out, seen = {}, [], set()
+        for place, (at, pid, seq, body, overlay) in enumerate(rows):
+            if overlay:
+                newest[pid] = (place, at, body)
+            elif (at, pid, seq) not in seen:
+                seen.add((at, pid, seq))
+                found = max(newest.get(None, (-1, 0, None)), newest.get(pid, (-1, 0, None)))
+                out.append((key[0], pid, at, seq, body, found[2] if found[1] >= at - self.life else None))
+        if out:
+            yield pd.DataFrame(out, columns=["host", "pid", "us", "seq", "s", "o"])
+
+    def close(self) -> None:
+        pass
+
+
 def overlaid(snapshots: DataFrame, overlays: DataFrame, life: str = OVERLAY_LIFE, late: str = "10 seconds") -> DataFrame:
-    """Snapshots with the newest overlay that was received at most `life` before: an interval join of two streams with watermarks on
-    both sides, so that neither side's state grows.
+    """Snapshots with the newest overlay that was received at most `life` before. Both streams have watermarks and are dealt out by host
+    and spans of `life`, an overlay to its own and the next one, so that a snapshot meets all that may count in one place and a
+    span's state goes when the watermark has passed it. Needs the RocksDB state store; output mode append.
 
     snapshots: host, pid, ts, seq, lifetime, locality, capabilities (map<string,boolean>), quality (map<string,string>). overlays: host, pid
     (null: of any process of the host), received, and the same, with dropped and estimated_overhead_pct. An overlay of another
-    process or an older one isn't merged. Sections of the overlay replace the snapshot's, its switches and qualities are added.
+    process or an older one isn't merged; of overlays received at the same time the one with the greatest text as JSON is. Sections of
+    the overlay replace the snapshot's, its switches and qualities are added.
     """
-    s = snapshots.withWatermark("ts", late)
-    fields = ("pid", "received", *SECTIONS, "capabilities", "quality", "dropped", "estimated_overhead_pct")
-    o = overlays.withWatermark("received", late).select(F.col("host").alias("o_host"), *[F.col(c).alias(f"o_{c}") for c in fields])
-    inside = (F.col("o_received") <= F.col("ts")) & (F.col("o_received") >= F.col("ts") - F.expr(f"INTERVAL {life}"))
-    met = s.join(o, (F.col("host") == F.col("o_host")) & (F.col("o_pid").isNull() | (F.col("o_pid") == F.col("pid"))) & inside, "leftOuter")
-    mine = F.struct(*SECTIONS, "capabilities", "quality")
-    theirs = F.struct(*[F.col(f"o_{c}").alias(c) for c in fields if c != "pid"])
-    newest = met.groupBy("ts", "host", "pid", "seq").agg(F.first(mine).alias("s"), F.max_by(theirs, "o_received").alias("o"))
-    added = lambda c: F.map_zip_with(F.coalesce(f"s.{c}", F.create_map().cast(kinds[c])), F.coalesce(f"o.{c}", F.create_map().cast(kinds[c])), lambda k, a, b: F.coalesce(b, a))
+    spark = snapshots.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    span = spark.sql(f"SELECT unix_micros(timestamp_micros(0) + INTERVAL {life})").first()[0]
+    mine = (*SECTIONS, "capabilities", "quality")
+    theirs = (*mine, "dropped", "estimated_overhead_pct")
+
+    def dealt(df: DataFrame, ts: str, seq: Column, columns: tuple[str, ...], overlay: bool) -> DataFrame:
+        us = F.unix_micros(ts)
+        first = F.expr(f"(unix_micros({ts}) - pmod(unix_micros({ts}), {span}L)) div {span}L")
+        spans = F.explode(F.array(first, first + 1)) if overlay else first
+        body = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+        return df.where(F.col(ts).isNotNull()).withWatermark(ts, late).select(F.col(ts).alias("at"), "host", spans.alias("span"), us.alias("us"), F.col("pid").cast("string").alias("pid"), seq.cast("string").alias("seq"), body.alias("body"), F.lit(overlay).alias("overlay"))
+
+    rows = dealt(snapshots, "ts", F.col("seq"), mine, False).unionByName(dealt(overlays.where("host IS NOT NULL"), "received", F.lit(None), theirs, True))
+    host, types = snapshots.schema["host"].dataType, {c: snapshots.schema[c].dataType for c in ("pid", "seq")}
+    schema = T.StructType([T.StructField("host", host), *T.StructType.fromDDL("pid string, us long, seq string, s string, o string").fields])
+    met = rows.groupBy("host", "span").transformWithStateInPandas(Overlays(span), schema, "append", "eventTime")
+    typed = lambda df, columns: T.StructType([df.schema[c] for c in columns])
+    newest = met.select("host", F.col("pid").cast(types["pid"]).alias("pid"), F.timestamp_micros("us").alias("ts"), F.col("seq").cast(types["seq"]).alias("seq"), F.from_json("s", typed(snapshots, mine)).alias("s"), F.from_json("o", typed(overlays, theirs)).alias("o"))
     kinds = {c: snapshots.schema[c].dataType for c in ("capabilities", "quality")}
+    added = lambda c: F.map_zip_with(F.coalesce(f"s.{c}", F.create_map().cast(kinds[c])), F.coalesce(f"o.{c}", F.create_map().cast(kinds[c])), lambda k, a, b: F.coalesce(b, a))
     switched = F.map_filter(F.coalesce("o.capabilities", F.create_map().cast(kinds["capabilities"])), lambda k, v: k.isin(*SWITCHES))
     capabilities = F.map_zip_with(F.coalesce("s.capabilities", F.create_map().cast(kinds["capabilities"])), switched, lambda k, a, b: F.coalesce(b, a))
     return newest.select(
         "host", "pid", "ts", "seq",
         *[F.coalesce(f"o.{c}", f"s.{c}").alias(c) for c in SECTIONS],
         capabilities.alias("capabilities"), added("quality").alias("quality"),
-        F.col("o.dropped").alias("overlay_dropped"), F.col("o.estimated_overhead_pct").alias("estimated_overhead_pct"), F.col("o.received").isNotNull().alias("overlaid"),
+        F.col("o.dropped").alias("overlay_dropped"), F.col("o.estimated_overhead_pct").alias("estimated_overhead_pct"), F.col("o").isNotNull().alias("overlaid"),
     )
 
 

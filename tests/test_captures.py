@@ -64,3 +64,14 @@ def test_overlays(spark, tmp_path, one_batch):
     # Sections that the overlay doesn't have stay, only switches are taken over, and qualities are added.
     assert (new.locality, new.capabilities, new.quality, new.overlay_dropped) == ("near", {"numa": True, "pmc": False, "alloc_hooks": True}, {"rss": "exact", "life": "sampled"}, 3)
     assert (got["h", 20].overlaid, got["h", 20].quality, got["h", 20].overlay_dropped) == (False, {"rss": "exact"}, None)
+
+
+def test_overlays_need_no_pairs(spark, tmp_path):
+    """Many overlays within the life of each snapshot: no join of all of them, and of equal times the greatest text."""
+    snaps = [("h", t % 3, at(t / 100), t, "own", None, {}, {}) for t in range(1500)] + [("h", 1, at(10_000), 9999, None, None, None, None)]
+    overs = [("h", None if t % 2 else t % 3, at(t / 100), f"live {t}{x}", None, {}, {}, t, 0.5) for t in range(1500) for x in "ba"] + [("x", 1, at(10_000), None, None, None, None, None, None)]
+    out = captures.overlaid(stream(spark, tmp_path / "s", SNAP, [snaps]), stream(spark, tmp_path / "o", OVER, [overs]))
+    assert "Join" not in out._jdf.queryExecution().analyzed().toString()
+    got = {r.seq: r.lifetime for r in rollups.drain(out, "pairs", "append").collect() if r.seq != 9999}
+    want = {t: next((f"live {n}b" for n in range(t, max(t - 501, -1), -1) if n % 2 or n % 3 == t % 3), "own") for t in range(1500)}
+    assert got == want
