@@ -955,9 +955,11 @@ def stream_presence(spark, sf):
   SELECT proc, CAST(arg_max(live, ord) AS BIGINT) AS live, CAST(greatest(max(live), 0) AS BIGINT) AS peak FROM r GROUP BY 1""")
 def stream_allocs(spark, sf):
     _stateful(spark)
-    rollups, e = _events(spark, sf)
+    from ..streaming import rollups
+
+    e = read(spark, sf, "events")
     a = e.select((F.col("user_id") % 16).alias("proc"), F.col("event_id").alias("ord"), F.when(F.col("event_id") % 2 == 0, "A").otherwise("F").alias("kind"), F.floor(F.col("event_id") / 2).cast("long").alias("ptr"), F.lit(None).cast("long").alias("new_ptr"), (F.floor("value") + 1).cast("long").alias("size"))
-    return rollups.drain(rollups.allocations(a), _name("allocs"), "update").select("proc", "live", "peak")
+    return rollups.drain_in_order(a, "ord", rollups.allocations, _name("allocs"), "update", "proc").select("proc", "live", "peak")
 
 
 #: Presence requests: a user's events, five users to a group; clients know the lease of their last check-in, if it was accepted.
@@ -1046,13 +1048,13 @@ def presence_gate(spark, sf):
   SELECT host, seq, value >= 25 AS hitch, CAST(least(n, 120) AS INTEGER) AS kept, coalesce(old, start) AS oldest_seq, CAST(hitches AS INTEGER) AS hitches, CASE WHEN was IS DISTINCT FROM m THEN CAST(m AS DOUBLE) END AS mode, had IS DISTINCT FROM g AS map_dirty, CASE WHEN had IS DISTINCT FROM g THEN 'r' || g END AS regions FROM w""")
 def stream_timeline(spark, sf):
     """Events as samples of eight hosts: the last 120, hitches among them, and what changed."""
-    from ..streaming import captures
+    from ..streaming import captures, rollups
 
     _stateful(spark)
-    rollups, e = _events(spark, sf)
+    e = read(spark, sf, "events")
     metrics = F.create_map(F.lit("value"), F.col("value"), F.lit("mode"), (F.floor("value") % 3).cast("double"))
     samples = e.select(F.concat(F.lit("h"), F.col("user_id") % 8).alias("host"), F.col("event_id").alias("seq"), F.lit("sample").alias("kind"), F.col("value").alias("presented_ms"), metrics.alias("metrics"), F.concat(F.lit("r"), F.floor(F.col("event_id") / 50)).alias("regions"))
-    out = rollups.drain(captures.timeline(samples), _name("timeline"), "append")
+    out = rollups.drain_in_order(samples, "seq", captures.timeline, _name("timeline"))
     return out.select("host", "seq", "hitch", "kept", "oldest_seq", "hitches", F.try_element_at("changed", F.lit("mode")).alias("mode"), "map_dirty", "regions")
 
 

@@ -75,3 +75,20 @@ def test_overlays_need_no_pairs(spark, tmp_path):
     got = {r.seq: r.lifetime for r in rollups.drain(out, "pairs", "append").collect() if r.seq != 9999}
     want = {t: next((f"live {n}b" for n in range(t, max(t - 501, -1), -1) if n % 2 or n % 3 == t % 3), "own") for t in range(1500)}
     assert got == want
+
+
+def test_allocations_without_a_bound(spark):
+    """More live pointers than any bound was, over several batches in order, with frees of earlier batches' pointers."""
+    catalog._stateful(spark)
+    n = 120_000
+    rows = spark.range(n + 10).selectExpr("0L AS proc", "id AS ord", f"CASE WHEN id < {n} THEN 'A' ELSE 'F' END AS kind", f"id % {n} AS ptr", "CAST(NULL AS LONG) AS new_ptr", "2L AS size")
+    got = rollups.drain_in_order(rows, "ord", rollups.allocations, "unbounded", "update", "proc", most=60_000).collect()
+    assert [tuple(r) for r in got] == [(0, 2 * (n - 10), 2 * n, n - 10, 0)]
+
+
+def test_timeline_in_segments(spark):
+    """Segments in order give the same updates as one batch."""
+    catalog._stateful(spark)
+    rows = spark.createDataFrame([sample(k * 7 % 300, float(k % 40), {"a": float(k % 3)}, f"r{k // 50}", f"h{k % 2}") for k in range(300)], captures.SAMPLE)
+    one, many = (sorted(map(str, rollups.drain_in_order(rows, "seq", captures.timeline, "segments", most=m).collect())) for m in (1000, 80))
+    assert one == many and len(one) == 300
