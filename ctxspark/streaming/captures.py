@@ -14,6 +14,8 @@ from pyspark.sql.streaming import StatefulProcessor
 #: How long an overlay holds, samples of a timeline, milliseconds of a hitch, samples of a capture, and captures kept.
 OVERLAY_LIFE = "5 seconds"
 RING, HITCH_MS, CAPTURE_SAMPLES, CAPTURES = 120, 25.0, 1800, 16
+#: Updates of a timeline that are passed on together.
+CHUNK = 20_000
 #: What an overlay replaces of a snapshot, and the capabilities that it may switch.
 SECTIONS, SWITCHES = ("lifetime", "locality"), ("alloc_hooks", "pmc")
 
@@ -149,6 +151,9 @@ class Timeline(StatefulProcessor):
                 caps[now][0] += 1
                 full = caps[now][0] >= self.capture_samples
                 caps[now][1:] = [not full, full]
+            if len(out) >= CHUNK:
+                yield self._frame(out)
+                out = []
             out.append((key[0], seq, bool(hitch), len(ring), ring[0][0], sum(h for _, h in ring), changed, dirty, regions if dirty else None, now, caps[now][0] if now is not None else None, full, len(caps)))
         self.ring.put(ring) if ring else None
         self.last.update((metrics, regions))
@@ -158,7 +163,11 @@ class Timeline(StatefulProcessor):
             if before.get(k) != tuple(v):
                 self.kept.updateValue((k,), tuple(v))
         if out:
-            yield pd.DataFrame(out, columns=["host", "seq", "hitch", "kept", "oldest_seq", "hitches", "changed", "map_dirty", "regions", "capture", "capture_samples", "truncated", "captures"]).astype({"capture": "Int64", "capture_samples": "Int32"})
+            yield self._frame(out)
+
+    @staticmethod
+    def _frame(out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["host", "seq", "hitch", "kept", "oldest_seq", "hitches", "changed", "map_dirty", "regions", "capture", "capture_samples", "truncated", "captures"]).astype({"capture": "Int64", "capture_samples": "Int32"})
 
     def close(self) -> None:
         pass
