@@ -1237,7 +1237,9 @@ def code_files(spark, sf):
         texts.append(parts)
     pick = (k % 4).cast("int")
     rel = F.concat(F.lit("p"), k, F.lit("."), F.get(F.array(*[F.lit(x) for x in _CODE]), pick))
-    return read(spark, sf, "part").select(rel.alias("rel"), F.get(F.array(*texts), pick).alias("content"))
+    # Parsing a file takes longer than moving it, and a table of many small files may be one row group.
+    part = read(spark, sf, "part").select("p_partkey", "p_size", "p_name").repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey")
+    return part.select(rel.alias("rel"), F.get(F.array(*texts), pick).alias("content"))
 
 
 @query(f"""WITH {CODE_SQL}, e AS (

@@ -189,3 +189,13 @@ def test_registry(spark):
     with pytest.raises(NotImplementedError):
         registry.run("task_submit")
     assert registry.tools(spark).count() == len(registry.TOOLS) + len(registry.OUTSIDE)
+
+
+def test_code_files_are_dealt_out(spark, tmp_path):
+    """A table in one row group comes to the parsers in as many parts as there are cores, and more."""
+    from ctxspark.plans import catalog
+
+    spark.range(4000).selectExpr("id AS p_partkey", "1 AS p_size", "'x' AS p_name").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    parts = catalog.code_files(spark, str(tmp_path)).select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(parts) >= spark.sparkContext.defaultParallelism and sum(r["count"] for r in parts) == 4000
+    assert max(r["count"] for r in parts) < 1000
