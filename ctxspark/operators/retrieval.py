@@ -164,10 +164,12 @@ def cosine_similarity(vector: str, to: list[float]) -> Column:
 
 
 def similar(ideas: DataFrame, probe: str, id: str = "slug", text: str = "text", mode: str = "multiset", threshold: float = 0.25, k: int = 5) -> DataFrame:
-    """The k ideas most like the probe text. The probe is one row, so this is a scan without a shuffle."""
+    """The k ideas most like the probe text. The probe is one row, so this is a scan without a shuffle, which splits each text once."""
     words = [w for w in re.split("[^a-z0-9]+", probe.lower()) if len(w) > 2]
     asked = F.lit(words) if words else F.array().cast("array<string>")
-    return ideas.select(F.col(id), overlap(asked, idea_tokens(F.col(text)), mode).alias("similarity")).where(F.col("similarity") >= threshold).orderBy(F.desc("similarity"), id).limit(k)
+    likeness = _once(idea_tokens(F.col(text)), lambda t: overlap(asked, t, mode))
+    # Above the limit, the filter isn't pushed into the scan, where it would compute the likeness again.
+    return ideas.select(F.col(id), likeness.alias("similarity")).orderBy(F.desc("similarity"), id).limit(k).where(F.col("similarity") >= threshold)
 
 
 def design_links(designs: DataFrame, probe: str, path: str = "path", body: str = "content", k: int = 5) -> DataFrame:

@@ -108,3 +108,10 @@ def test_path_flags(spark):
     rows = [("build/x", False, True), ("a/build/x", False, True), ("a/builds/x", False, False), ("obj/x", False, False), ("a/obj/x", False, True), ("a\\node_modules\\x", False, True), ("x.blend1", False, True), ("target", False, False), ("a/target", False, False), ("My.ENV.txt", True, False), ("k.pem", True, False), ("k.pem.md", False, False), ("a/Secrets.md", True, False), ("", False, False)]
     got = spark.createDataFrame(rows, "path string, s boolean, g boolean").select("path", (tx.looks_secret(F.col("path")) == F.col("s")).alias("s"), (tx.looks_generated(F.col("path")) == F.col("g")).alias("g")).collect()
     assert not [r.path for r in got if not (r.s and r.g)]
+
+
+def test_similar_splits_each_text_once(spark):
+    ideas = spark.createDataFrame([("a", "red fox jumps"), ("b", "red hen"), ("c", None), ("d", "")], "slug string, text string")
+    out = retrieval.similar(ideas, "red fox red", threshold=0.1, k=3)
+    assert [(r.slug, round(r.similarity, 3)) for r in out.collect()] == [("a", 1.0), ("b", 0.667)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
