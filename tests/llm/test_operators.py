@@ -1,6 +1,7 @@
 """Each operator against a plain version, and its edge cases: nulls, empty texts, ties, repeats, no rows, clashing names."""
 
 import json
+import math
 import random
 
 import numpy as np
@@ -501,6 +502,23 @@ def test_language_model_against_brute(spark):
     assert one == many
 
 
+def test_language_is_calibrated_on_all_training_texts(spark):
+    """More different texts than a sample had room for: the rejected ones are those above the exact quantile of all."""
+    rng = random.Random(5)
+    texts = [("".join(rng.choice("abcdefgh" if k % 3 else "efghijkl") for _ in range(6 + k % 5)) + f" {chr(97 + k % 26)}", "one" if k % 3 else "two") for k in range(9000)]
+    t = spark.createDataFrame(texts, "text string, lang string").repartition(8)
+    models = kneserney.fit(kneserney.gram_counts(t.selectExpr("text", "cast(lang = 'two' AS int) AS cls"), 2, 5), ["n0", "n1"])
+    h = {r.text: r.h for r in langid._entropies(t, ["text"], models).collect()}
+    own = [np.sort([h[x][c] for x, lang in texts if lang == name]) for c, name in enumerate(("one", "two"))]
+    limit = [v[math.ceil(langid.REJECT * len(v)) - 1] for v in own]
+    want = {x: bool(min(h[x]) > limit[int(np.argmin(h[x]))]) for x, _ in texts}
+    assert 10 < sum(want.values()) < 90
+    plain = {(r.row.text, r.lang_pred, round(r.score, 9), r.rejected) for r in langid.detect(t, t).collect()}
+    assert {x[0]: x[3] for x in plain} == want
+    once = langid.detect(t, lang="lang", keep=["text"]).collect()
+    assert {(r.row.text, r.lang_pred, round(r.score, 9), r.rejected) for r in once} == plain and once[0].row.__fields__ == ["text"]
+
+
 def toxic_texts(rng, n, share=5):
     rude, plain = ["idiot", "scum", "trash", "moron"], [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)]
 
