@@ -56,13 +56,14 @@ def log(lines: DataFrame, by: str = "run", ord: str = "ord", text: str = "text")
     subject gives no row."""
     line, bare = F.col(text), _bare(text)
     starts = line.rlike("^commit [0-9a-fA-F]{7}")
-    numbered = lines.withColumn("_c", F.count_if(starts).over(_so_far(by, ord)))
     header = line.startswith("commit ") | line.startswith("Author:") | line.startswith("Date:") | line.startswith("Merge:")
-    row = F.struct(F.col(ord).alias("ord"), bare.alias("subject"))
-    of = numbered.where(F.col("_c") > 0).groupBy(by, "_c").agg(F.max(F.when(starts, F.substring(line, 8, 7))).alias("hash"), F.min(F.when(~header & (bare != ""), row)).alias("s"))
-    full = of.where("s IS NOT NULL").select(by, F.col("s.ord").alias("ord"), "hash", F.col("s.subject").alias("subject"))
-    short = lines.where(line.rlike("^[0-9a-fA-F]{7} .")).select(by, F.col(ord).alias("ord"), F.substring(line, 1, 7).alias("hash"), F.substring(line, 9, 1 << 30).alias("subject"))
-    return full.unionByName(short.join(full.select(by, "ord"), [by, "ord"], "left_anti"))
+    short = line.rlike("^[0-9a-fA-F]{7} .")
+    # Without headers and blank lines, a commit's subject is the line right after its first one: one window, and no line but these in it.
+    told = lines.where(starts | (~header & (bare != ""))).select(by, ord, text)
+    told = told.withColumn("_of", F.lag(F.when(starts, F.substring(line, 8, 7))).over(Window.partitionBy(by).orderBy(ord, text)))
+    named = F.col("_of").isNotNull()
+    found = told.where(~starts & (named | short))
+    return found.select(by, F.col(ord).alias("ord"), F.coalesce("_of", F.substring(line, 1, 7)).alias("hash"), F.when(named, bare).otherwise(F.substring(line, 9, 1 << 30)).alias("subject"))
 
 
 def diff(lines: DataFrame, by: str = "run", ord: str = "ord", text: str = "text", cap: int = 12) -> DataFrame:

@@ -1,5 +1,8 @@
 """Records, presence, decisions and replay on small rows."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,6 +211,27 @@ def test_wide_levels(spark, monkeypatch):
     assert [r.node for r in graph.call_path(edges, "s", "goal").orderBy("step").collect()] == want and len(want) == 4
 
 
+def test_a_log_is_read_in_one_pass(spark):
+    """Against a plain reading of several runs, and with one shuffle of the lines, which leaves headers and blank lines out."""
+    rng = random.Random(3)
+    kinds = ["commit {:07x}89", "Author: x", "Date: y", "Merge: a", "", " \t", "    said {}", "{:07x} short {}", "plain {}", None]
+    text = lambda k, i: None if k is None else k.format(*[rng.randrange(16**7) if ":07x" in k else i, i])
+    lines = [(f"r{r}" if r else None, i, text(rng.choice(kinds), i)) for r in range(5) for i in range(80)]
+    want, commit = [], {}
+    for run, i, x in lines:
+        if x is not None and re.match("commit [0-9a-f]{7}", x):
+            commit[run] = x[7:14]
+        elif x and not re.match("commit |Author:|Date:|Merge:", x) and x.strip(" \t\r"):
+            if commit.get(run):
+                want.append((run, i, commit.pop(run), x.strip(" \t\r")))
+            elif re.match("[0-9a-f]{7} .", x):
+                want.append((run, i, x[:7], x[8:]))
+    df = digest.log(rows(spark, rng.sample(lines, len(lines)), "run string, ord int, text string"))
+    assert sorted(map(tuple, df.collect()), key=str) == sorted(want, key=str) and len(want) > 40
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
 DECIDED = "episode_id string, id string, seq long, ts long, agent_id string, task string, legal array<struct<id:string,kind:string,paths:array<string>,causal_parents:array<string>,overlapping:boolean>>, selected array<string>"
 
 
