@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Regions that a task sorts, where their number is known.
+PART_ROWS = 400_000
+
 
 def latest(captures: DataFrame, by: str = "capture", order: str = "seq") -> DataFrame:
     """The last record of each capture."""
@@ -41,10 +44,15 @@ def gaps(regions: DataFrame, by: list[str], start: str = "start", end: str = "en
     return regions.withColumn("gap", F.when(before.isNotNull(), F.greatest(F.col(start) - before, F.lit(0))))
 
 
-def buckets(regions: DataFrame, by: list[str], n: int, kind: str = "kind", start: str = "start", end: str = "end") -> DataFrame:
-    """Consecutive regions in at most n buckets: bounds, bytes, regions, and their kind or `mixed`."""
+def buckets(regions: DataFrame, by: list[str], n: int, kind: str = "kind", start: str = "start", end: str = "end", rows: int | None = None) -> DataFrame:
+    """Consecutive regions in at most n buckets: bounds, bytes, regions, and their kind or `mixed`. rows: how many regions there
+    are, if it is known; then a task gets PART_ROWS of them, however many there are (but all of a group)."""
     w = Window.partitionBy(*by).orderBy(start, end)
-    per = F.ceil(F.count("*").over(Window.partitionBy(*by)) / n)
+    # Rank and number over one order: a task sorts its regions once for both.
+    per = F.ceil(F.count("*").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) / n)
+    regions = regions.select(*by, start, end, kind)
+    if rows is not None:
+        regions = regions.repartition(1 + rows // PART_ROWS, *by)
     placed = regions.withColumn("bucket", F.floor((F.row_number().over(w) - 1) / per).cast("long"))
     one = F.when(F.min(kind) == F.max(kind), F.min(kind)).otherwise("mixed")
     return placed.groupBy(*by, "bucket").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.sum(F.col(end) - F.col(start)).alias("bytes"), F.count("*").alias("regions"), one.alias("kind"))

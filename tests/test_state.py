@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from ctxspark.operators import decide, digest, graph, paging, presence, records, telemetry
+from ctxspark.operators import decide, digest, graph, paging, presence, records, runtime, telemetry
 
 
 def rows(spark, data, schema):
@@ -232,6 +232,25 @@ def test_a_log_is_read_in_one_pass(spark):
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
 
 
+def test_buckets_are_dealt_out_by_their_number(spark, monkeypatch):
+    rng = random.Random(4)
+    data = [(f"p{rng.randrange(30)}" if k % 40 else None, 10 * k, 10 * k + rng.randrange(9), rng.choice(["a", "a", "b", None])) for k in range(1500)]
+    want = []
+    for proc in {x[0] for x in data}:
+        own = sorted(x for x in data if x[0] == proc)
+        per = -(-len(own) // 4)
+        for i in range(0, len(own), per):
+            some, kinds = own[i : i + per], {x[3] for x in own[i : i + per]} - {None}
+            want.append((proc, i // per, some[0][1], max(x[2] for x in some), sum(x[2] - x[1] for x in some), len(some), kinds.pop() if len(kinds) == 1 else "mixed"))
+    df = rows(spark, data, "proc string, start long, end long, kind string")
+    monkeypatch.setattr(runtime, "PART_ROWS", 100)
+    got = runtime.buckets(df, ["proc"], 4, rows=1500)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str) == sorted(map(tuple, runtime.buckets(df, ["proc"], 4).collect()), key=str)
+    assert got.rdd.getNumPartitions() == 16
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Window [") == plan.count("Exchange ") == 1 and plan.count("Sort [") == 2
+
+
 DECIDED = "episode_id string, id string, seq long, ts long, agent_id string, task string, legal array<struct<id:string,kind:string,paths:array<string>,causal_parents:array<string>,overlapping:boolean>>, selected array<string>"
 
 
