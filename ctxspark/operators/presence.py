@@ -178,34 +178,38 @@ def replay(decisions: DataFrame, outcomes: DataFrame, prefer: dict[str, float],
     """decision, action, supported and metrics of a policy over recorded decisions.
 
     The policy ranks a decision's legal actions by the weights of their features and takes independent ones greedily; that is
-    sequential within a decision, so it runs per decision in pandas. An episode ends where nothing is chosen.
+    sequential within a decision, so it is a fold over its actions. An episode ends where nothing is chosen. Missing lists are
+    empty, and what isn't known to overlap doesn't.
     """
-    import pandas as pd
-
-    def independent(x, y) -> bool:
-        over = lambda p, q: p == q or p.startswith(q + "/") or q.startswith(p + "/")
-        return x["id"] not in y["causal_parents"] and y["id"] not in x["causal_parents"] and not any(over(p, q) for p in x["paths"] for q in y["paths"])
-
-    def score(x) -> float:
-        hits = {"non_overlapping": not x["overlapping"], "continue": x["kind"] == "continue", "root": x["kind"] == "root", "handoff": x["kind"] == "handoff"}
-        return beta * sum(w for f, w in prefer.items() if hits.get(f))
-
-    def play(batches):
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                if recorded:
-                    chosen = [a["id"] for a in r.legal if a["id"] in set(r.selected)]
-                else:
-                    taken: list = []
-                    for a in sorted(r.legal, key=lambda a: (-score(a), a["id"])):
-                        if score(a) >= min_score and len(taken) < max_batch and all(independent(b, a) for b in taken):
-                            taken.append(a)
-                    chosen = [a["id"] for a in taken]
-                out.append((r.episode_id, r.id, r.seq, chosen))
-            yield pd.DataFrame(out, columns=["episode_id", "decision", "seq", "chosen"])
-
-    got = decisions.select("episode_id", "id", "seq", "legal", "selected").mapInPandas(play, "episode_id string, decision string, seq long, chosen array<string>")
+    listed = lambda c, kind: F.coalesce(c, F.array().cast(kind))
+    legal, selected = F.coalesce("legal", F.array()), listed(F.col("selected"), "array<string>")
+
+    def score(x: Column) -> Column:
+        hits = {"non_overlapping": ~F.coalesce(x["overlapping"], F.lit(False)), **{k: F.coalesce(x["kind"] == k, F.lit(False)) for k in ("continue", "root", "handoff")}}
+        total = F.lit(0.0)
+        for feature, weight in prefer.items():
+            if feature in hits:
+                total = total + F.when(hits[feature], float(weight)).otherwise(0.0)
+        return total * float(beta)
+
+    def over(p: Column, q: Column) -> Column:
+        return (p == q) | F.startswith(p, F.concat(q, F.lit("/"))) | F.startswith(q, F.concat(p, F.lit("/")))
+
+    def apart(x: Column, y: Column) -> Column:
+        tied = F.array_contains(y["causal_parents"], x["id"]) | F.array_contains(x["causal_parents"], y["id"])
+        return ~F.coalesce(tied, F.lit(False)) & ~F.exists(x["paths"], lambda p: F.coalesce(F.exists(y["paths"], lambda q: over(p, q)), F.lit(False)))
+
+    if recorded:
+        chosen = F.transform(F.filter(legal, lambda x: F.exists(selected, lambda s: s.eqNullSafe(x["id"]))), lambda x: x["id"])
+    else:
+        # Ordered by score, id and place; structs compare field by field.
+        order = F.transform(legal, lambda x, i: F.struct((-score(x)).alias("rank"), x["id"].alias("id"), i.alias("at"), listed(x["paths"], "array<string>").alias("paths"), listed(x["causal_parents"], "array<string>").alias("causal_parents")))
+        able = F.filter(F.array_sort(order), lambda x: -x["rank"] >= float(min_score))
+        none = F.filter(able, lambda x: F.lit(False))
+        take = lambda taken, x: F.when((F.size(taken) < max_batch) & F.forall(taken, lambda y: apart(y, x)), F.concat(taken, F.array(x))).otherwise(taken)
+        chosen = F.transform(F.aggregate(able, none, take), lambda x: x["id"])
+
+    got = decisions.select("episode_id", F.col("id").alias("decision"), "seq", chosen.alias("chosen"))
     w = Window.partitionBy("episode_id").orderBy("seq", "decision")
     ended = F.max((F.size("chosen") == 0).cast("int")).over(w)
     live = got.withColumns({"round": F.row_number().over(w), "ended": ended}).where((F.col("round") <= max_rounds) & (F.col("ended") == 0))

@@ -251,6 +251,32 @@ def test_buckets_are_dealt_out_by_their_number(spark, monkeypatch):
     assert plan.count("Window [") == plan.count("Exchange ") == 1 and plan.count("Sort [") == 2
 
 
+def test_replay_against_a_plain_fold_without_python(spark):
+    rng = random.Random(8)
+    paths, kinds = ["a", "a/b", "a/b/c", "ab", "b", ""], ["root", "continue", "handoff", "other", None]
+    action = lambda i: (i, rng.choice(kinds), rng.sample(paths, rng.randrange(3)), rng.sample("uvwxyz", rng.randrange(2)), rng.choice([True, False, None]))
+    d = [(f"e{k}", f"d{k}", k, [action(i) for i in rng.sample("uvwxyz", rng.randrange(1, 6))], rng.sample("uvwxyz", 2)) for k in range(120)]
+    legal = "array<struct<id:string,kind:string,paths:array<string>,causal_parents:array<string>,overlapping:boolean>>"
+    df = rows(spark, d, f"episode_id string, id string, seq long, legal {legal}, selected array<string>")
+    o = rows(spark, [], "decision string, action string, seq long, metrics map<string,double>, censored boolean")
+    over = lambda p, q: p == q or p.startswith(q + "/") or q.startswith(p + "/")
+    apart = lambda x, y: x[0] not in y[3] and y[0] not in x[3] and not any(over(p, q) for p in x[2] for q in y[2])
+    for prefer, beta, least, most in (({"root": 2.0, "non_overlapping": 1.5, "handoff": -1.0}, 0.5, 0.0, 4), ({"continue": 1.0}, 2.0, 1.0, 2), ({}, 1.0, 0.0, 4)):
+        score = lambda x: beta * sum(w for f, w in prefer.items() if (not x[4] if f == "non_overlapping" else x[1] == f))  # noqa: E731, B023
+        want = set()
+        for _, name, _, acts, _ in d:
+            taken = []
+            for x in sorted(acts, key=lambda x: (-score(x), x[0])):
+                if score(x) >= least and len(taken) < most and all(apart(y, x) for y in taken):
+                    taken.append(x)
+            want |= {(name, x[0]) for x in taken}
+        played = presence.replay(df, o, prefer, beta, least, most)
+        assert {(r.decision, r.action) for r in played.collect()} == want
+    kept = presence.replay(df, o, {}, recorded=True)
+    assert {(r.decision, r.action, r.supported) for r in kept.collect()} == {(x[1], a[0], True) for x in d for a in x[3] if a[0] in x[4]}
+    assert all("Pandas" not in x._jdf.queryExecution().executedPlan().toString() for x in (played, kept))
+
+
 DECIDED = "episode_id string, id string, seq long, ts long, agent_id string, task string, legal array<struct<id:string,kind:string,paths:array<string>,causal_parents:array<string>,overlapping:boolean>>, selected array<string>"
 
 
