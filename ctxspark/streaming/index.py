@@ -3,14 +3,18 @@
 Rows lie in hash buckets of their key. A change writes the buckets it touches anew, in a folder of its epoch, and then one
 manifest that says where each bucket is now; readers follow the newest complete manifest. An epoch that runs again writes the
 same over its own folder, from the manifest before it, so a repeated micro-batch changes nothing. Buckets are bounded in number;
-keys of one bucket are split among tasks when they are written.
+keys of one bucket are split among tasks when they are written. Old rows and new ones are shuffled once: they meet what becomes of
+their keys in the same partition in which they are written.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Rows of a part of a bucket, about: as many keys as that are written by one task.
+PART_ROWS = 100_000
+
 
 class BucketIndex:
     def __init__(self, spark: SparkSession, target: str, key: str = "path", stamp: str = "mtime", buckets: int = 64):
@@ -47,25 +51,41 @@ class BucketIndex:
     def apply(self, changes: DataFrame, epoch: int, deleted: str = "deleted") -> list[int]:
         """Puts a batch of changes into the index and returns the buckets it wrote. A key's rows in the batch replace all it had;
         if any of them is marked as deleted, it has none."""
+        schema = type(changes.schema)([f for f in changes.schema.fields if f.name != deleted])
+        staged = f"{self.target}/staged/epoch={epoch}"
+        changes.write.mode("overwrite").parquet(staged)
+        part = self.spark.read.schema(changes.schema).parquet(staged)
+        marks = part.groupBy(self.key).agg((~F.bool_or(F.coalesce(deleted, F.lit(False)))).alias("_comes"))
+        return self._replace(part.select(*schema.names), marks, epoch, part.count())
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(F.col(self.key).cast("string")), F.lit(self.buckets)).cast("int")
+
+    def _replace(self, rows: DataFrame, marks: DataFrame, epoch: int, n: int) -> list[int]:
+        """Writes an epoch: keys in marks (key, _comes) lose the rows they had and, where _comes, get theirs of rows (n in all); other
+        keys stay as they are, whatever rows there are of them."""
         before = max((e for e in self._epochs("manifest") if e < epoch), default=None)
         places = self.manifest(before)
         data = f"{self.target}/data/epoch={epoch}"
-        bucket = F.pmod(F.xxhash64(F.col(self.key).cast("string")), F.lit(self.buckets)).cast("int")
-        fields = [f for f in changes.schema.fields if f.name != deleted]
-        schema = type(changes.schema)(fields)
-        staged = f"{self.target}/staged/epoch={epoch}"
-        changes.withColumn("_bucket", bucket).write.mode("overwrite").parquet(staged)
-        part = self.spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in changes.schema.fields)}, _bucket int").parquet(staged)
-        touched = sorted(r[0] for r in part.select("_bucket").distinct().collect())
-        keys = part.groupBy(F.col(self.key).alias("_key")).agg(F.bool_or(F.coalesce(deleted, F.lit(False))).alias("_gone"))
-        old = self._rows({b: places[b] for b in touched if b in places}, schema).withColumn("_bucket", bucket)
-        stay = old.join(keys, F.col(self.key).eqNullSafe(F.col("_key")), "left_anti")
-        come = part.drop(deleted).join(keys.where("NOT _gone"), F.col(self.key).eqNullSafe(F.col("_key")), "left_semi")
-        stay.unionByName(come.select(*stay.columns)).hint("rebalance", "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(data)
+        touched = sorted(r[0] for r in marks.select(self._bucket().alias("b")).distinct().collect())
+        old = self._rows({b: places[b] for b in touched if b in places}, rows.schema)
+        # Whole rows, so that a key's name can't clash; a key's mark comes with null columns.
+        row = F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_row")
+        key = F.col(self.key).alias("_key")
+        all_ = old.select(self._bucket().alias("_bucket"), key, F.lit(0).alias("_side"), F.lit(None).cast("boolean").alias("_comes"), row)
+        new = rows.select(self._bucket().alias("_bucket"), key, F.lit(1).alias("_side"), F.lit(None).cast("boolean").alias("_comes"), row)
+        all_ = all_.unionByName(new.where(F.col("_bucket").isin(touched)))
+        all_ = all_.unionByName(marks.select(self._bucket().alias("_bucket"), key, F.lit(2).alias("_side"), "_comes", F.lit(None).cast(rows.schema).alias("_row")))
+        splits = 1 + (n + old.count()) // (self.buckets * PART_ROWS)
+        split = F.pmod(F.xxhash64(F.lit(1), F.col("_key").cast("string")), F.lit(splits)).cast("int")
+        comes = F.max("_comes").over(Window.partitionBy("_bucket", "_split", "_key"))
+        kept = all_.withColumn("_split", split).repartition("_bucket", "_split").withColumn("_comes", comes)
+        kept = kept.where(((F.col("_side") == 0) & F.col("_comes").isNull()) | ((F.col("_side") == 1) & F.col("_comes")))
+        kept.select("_row.*", "_bucket").write.mode("overwrite").option("compression", "zstd").partitionBy("_bucket").parquet(data)
         there = {r[0] for r in self.spark.read.parquet(data).select("_bucket").distinct().collect()} if self._has_rows(data) else set()
         now = {b: e for b, e in places.items() if b not in touched} | dict.fromkeys(there, epoch)
-        rows = self.spark.createDataFrame(sorted(now.items()), "bucket int, written long")
-        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.target}/manifest/epoch={epoch}")
+        manifest = self.spark.createDataFrame(sorted(now.items()), "bucket int, written long")
+        manifest.coalesce(1).write.mode("overwrite").parquet(f"{self.target}/manifest/epoch={epoch}")
         return touched
 
     def _has_rows(self, folder: str) -> bool:
@@ -87,10 +107,8 @@ class BucketIndex:
             n = {r["_state"]: (r.n, r.rows) for r in states.groupBy("_state").agg(F.count("*").alias("n"), F.sum("_n").alias("rows")).collect()}
             out = {"scanned": sum(n.get(s, (0, 0))[0] for s in ("updated", "skipped")), **{s: n.get(s, (0, 0))[0] for s in ("updated", "skipped", "deleted")}, "rows": n.get("updated", (0, 0))[1] or 0}
             if out["updated"] or out["deleted"]:
-                changed = rows.join(states.where("_state = 'updated'"), F.col(self.key).eqNullSafe(F.col("_key")), "left_semi").withColumn("deleted", F.lit(False))
-                none = [F.lit(None).cast(f.dataType).alias(f.name) if f.name != self.key else F.col("_key").cast(f.dataType).alias(f.name) for f in rows.schema.fields]
-                gone = states.where("_state = 'deleted'").select(*none, F.lit(True).alias("deleted"))
-                self.apply(changed.unionByName(gone), 0 if epoch is None else epoch + 1)
+                marks = states.where("_state != 'skipped'").select(F.col("_key").alias(self.key), (F.col("_state") == "updated").alias("_comes"))
+                self._replace(rows, marks, 0 if epoch is None else epoch + 1, out["rows"])
             return out
         finally:
             states.unpersist()

@@ -41,6 +41,25 @@ def test_index_follows_its_files(spark, tmp_path):
     assert index.sync(table(spark, []))["deleted"] == len(now) and rows(index.read(table(spark, []).schema)) == []
 
 
+def test_a_sync_shuffles_rows_once_and_writes_them_once(spark, tmp_path, monkeypatch):
+    """Parts of a bucket, null keys and stamps, and keys that stay; nothing but the index's own files is written."""
+    from ctxspark.streaming import index as module
+
+    monkeypatch.setattr(module, "PART_ROWS", 20)
+    rng, index = random.Random(2), BucketIndex(spark, f"{tmp_path}/ix", buckets=3)
+    first = [(f"f{i}" if i else None, 1, f"{i}-{k}") for i in range(90) for k in range(3)]
+    later = [(p, 2 if p is None or p.endswith("3") else m, f"{b} new" if p is None or p.endswith("3") else "not looked at") for p, m, b in first if p is None or not p.endswith("7")] + [("g", None, None)]
+    want = [x for x in later if x[1] != 1] + [x for x in first if x[0] and x[0][-1] not in "37"]
+    plans, write = [], type(spark.range(1)).write
+    monkeypatch.setattr(type(spark.range(1)), "write", property(lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write.fget(df)))
+    for items, held in ((first, first), (later, want)):
+        index.sync(table(spark, rng.sample(items, len(items))))
+        assert rows(index.read(table(spark, []).schema)) == sorted(held, key=str)
+    assert sorted(os.listdir(f"{tmp_path}/ix")) == ["data", "manifest"]
+    data = [p for p in plans if "_bucket" in p]
+    assert len(data) == 2 and all(p.count("Exchange hashpartitioning(_bucket") == 1 and "Join" not in p.split("InMemoryRelation")[0] for p in data)
+
+
 def test_a_change_costs_its_bucket(spark, tmp_path):
     index = BucketIndex(spark, f"{tmp_path}/ix", buckets=8)
     index.sync(table(spark, [(f"f{i}", 1, "x") for i in range(80)]))
